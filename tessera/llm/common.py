@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
@@ -44,7 +45,7 @@ def chunks(batches: Iterator[pa.RecordBatch], col: str, limit: int) -> Iterator[
     """Cuts batches so that each holds at most ``limit`` bytes of ``col`` (or one row): memory stays bounded with long texts."""
     for b in batches:
         at, size = 0, 0
-        for i, n in enumerate(pa.compute.binary_length(b.column(col)).to_pylist()):
+        for i, n in enumerate(pc.binary_length(b.column(col)).to_pylist()):
             if size and size + (n or 0) > limit:
                 yield b.slice(at, i - at)
                 at, size = i, 0
