@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fmindex
+from tessera.llm import bpe, fmindex, html, urls
 from tessera.storage import table
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.train(urls.labelled_urls(spark)))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.report(fmindex.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -22,5 +30,5 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op9_benchmark_decontamination, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op4_url_filter, op7_html_extraction, op9_benchmark_decontamination, op10_bpe)}
 SQL: dict[str, str] = {}
