@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, fmindex, html, urls
+from tessera.llm import bpe, fmindex, html, maxscore, toxicity, urls
 from tessera.storage import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+
+
+def op3_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.train(urls.labelled_urls(spark)))
 
@@ -30,5 +38,5 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op4_url_filter, op7_html_extraction, op9_benchmark_decontamination, op10_bpe)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_maxscore_search, op4_url_filter, op7_html_extraction, op9_benchmark_decontamination, op10_bpe)}
+SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL}
