@@ -1,0 +1,28 @@
+"""Connected components over an edge table, as DataFrame joins with the lineage cut in every round."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from tessera.storage import materialize
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) for every end of an edge (a, b): the smallest id that it reaches.
+
+    Each round gives a node the least label around it, then the label of its label (so long chains halve), until no
+    label changes. Null ends are left out; loops and repeated edges do no harm; no edges give no rows.
+    """
+    known = edges.where("a is not null and b is not null and a <> b")
+    both = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialize(both, "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
+    while True:
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        step = materialize(step, "step")
+        jump = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
+        moved = materialize(step.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
+        labels = moved.select("id", "component")
+        if moved.where("component <> old").limit(1).count() == 0:
+            return labels

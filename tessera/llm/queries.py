@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, fmindex, html, maxscore, toxicity, urls
+from tessera.llm import bpe, fmindex, html, jaccard, maxscore, substrings, toxicity, urls
 from tessera.storage import table
 
 
@@ -20,6 +20,15 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.train(urls.labelled_urls(spark)))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", "removed", F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"))
+
+
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.groups(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -38,5 +47,5 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_maxscore_search, op4_url_filter, op7_html_extraction, op9_benchmark_decontamination, op10_bpe)}
-SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_maxscore_search, op4_url_filter, op5_substring_dedup, op6_ngram_jaccard_join, op7_html_extraction, op9_benchmark_decontamination, op10_bpe)}
+SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL, "op6_ngram_jaccard_join": jaccard.SQL}
