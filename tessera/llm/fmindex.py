@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm.common import alnum_words, chunks, utf8
-from tessera.storage import materialize
+from tessera.storage import broadcast_if_small, materialize
 
 WINDOW = 10
 #: Benchmark words per FM-index; bytes of text of a batch.
@@ -32,6 +32,8 @@ SHARD_SYMBOLS, SHARD_BYTES = 200_000, 6 << 20
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 #: Every so many positions of a run the suffix position is kept.
 SAMPLE = 8
+#: Names beside columns that are carried along.
+KEY, SPANS = "__tessera_key", "__tessera_spans"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -308,12 +310,10 @@ def cut_words(text: str, spans: list) -> str:
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with the contaminated spans cut out of ``text`` (and ``n_chars``, if there, counted again)."""
     found = materialize(find_phrases(docs, benchmark, key, text, **options), "phrases").where(F.size("item_ids") > 0)
-    spans = found.select(F.col(key).alias("_key"), "hit_words")
+    spans = found.select(F.col(key).alias(KEY), F.col("hit_words").alias(SPANS))
     clean = F.udf(cut_words, "string", useArrow=True)
-    from tessera.storage import broadcast_if_small
-
-    joined = docs.join(broadcast_if_small(spans.dropDuplicates(["_key"]), 20_000), docs[key] == F.col("_key"), "left")
-    out = joined.withColumn(text, F.when(F.col("hit_words").isNull(), F.col(text)).otherwise(clean(F.col(text), F.col("hit_words"))))
+    joined = docs.join(broadcast_if_small(spans.dropDuplicates([KEY]), 20_000), docs[key] == F.col(KEY), "left")
+    out = joined.withColumn(text, F.when(F.col(SPANS).isNull(), F.col(text)).otherwise(clean(F.col(text), F.col(SPANS))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
     return out.select(*docs.columns)

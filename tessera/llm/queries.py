@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, fmindex, html, jaccard, maxscore, substrings, toxicity, urls
+from tessera.llm import bpe, fmindex, html, jaccard, lm, maxscore, quality, substrings, toxicity, urls
 from tessera.storage import table
 
 
@@ -12,6 +12,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= quality.KEEP).alias("keep"), "votes")
+
+
 def op3_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(table(spark, sf_dir, "embeddings"))
 
@@ -33,6 +38,10 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fmindex.report(fmindex.find_phrases(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -47,5 +56,5 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_maxscore_search, op4_url_filter, op5_substring_dedup, op6_ngram_jaccard_join, op7_html_extraction, op9_benchmark_decontamination, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_maxscore_search, op4_url_filter, op5_substring_dedup, op6_ngram_jaccard_join, op7_html_extraction, op8_brown_lm, op9_benchmark_decontamination, op10_bpe)}
 SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL, "op6_ngram_jaccard_join": jaccard.SQL}

@@ -33,6 +33,8 @@ from tessera.storage import materialize
 MIN_WORDS, TINY, LONG_UNIT, CUT_EVERY = 12, 3, 40, 8
 #: Marked units that may be broadcast (8 bytes each and a key a document); with more, documents are joined by shuffle.
 BROADCAST_UNITS = 1_000_000
+#: Names beside columns that are carried along.
+TEXT, KEY, UNITS = "__tessera_text", "__tessera_key", "__tessera_units"
 _EDGE = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+|(?<=[^\s.!?…])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][^\sA-ZÀ-ÖØ-Þ])")
 _SPACE = re.compile(r"\s+")
 _SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
@@ -64,9 +66,9 @@ def units(text: str) -> list[tuple[int, bytes, int]]:
 
 
 def _digests(batches, key: str):
-    for b in chunks(batches, "_text", 8 << 20):
+    for b in chunks(batches, TEXT, 8 << 20):
         keys, at, raw = [], [], []
-        for k, t in zip(b.column(key).to_pylist(), b.column("_text").to_pylist(), strict=True):
+        for k, t in zip(b.column(key).to_pylist(), b.column(TEXT).to_pylist(), strict=True):
             if k is None or not t:
                 continue
             for i, (_, unit, n) in enumerate(units(t)):
@@ -92,7 +94,7 @@ def _digests(batches, key: str):
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, units array<bigint>): the numbers of the units that repeat an earlier occurrence."""
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("_text"))
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(TEXT))
     sent = rows.mapInArrow(lambda batches: _digests(batches, key), "h1 long, h2 long, k long, unit long, known boolean")
     w = Window.partitionBy("h1", "h2").orderBy("known", "k", "unit")
     marked = sent.withColumn("r", F.rank().over(w)).where(F.col("known") | (F.col("r") > 1))
@@ -124,17 +126,17 @@ def removal(text: str, marked: list[int]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text`` (``n_chars``, if there, counted again for changed rows),
     and ``removed`` array<struct<start,end>> in characters of the original text."""
-    marked = materialize(repeated_units(docs, key, text), "repeats").select(F.col("k").alias("_k"), F.col("units").alias("_units"))
-    few = (marked.agg(F.sum(F.size("_units"))).first()[0] or 0) <= BROADCAST_UNITS
+    marked = materialize(repeated_units(docs, key, text), "repeats").select(F.col("k").alias(KEY), F.col("units").alias(UNITS))
+    few = (marked.agg(F.sum(F.size(UNITS))).first()[0] or 0) <= BROADCAST_UNITS
     base = docs.drop("removed")
-    joined = base.join(F.broadcast(marked) if few else marked, base[key].cast("long") == F.col("_k"), "left").drop("_k")
+    joined = base.join(F.broadcast(marked) if few else marked, base[key].cast("long") == F.col(KEY), "left").drop(KEY)
     schema = StructType([*base.schema.fields, StructField("removed", ArrayType(_SPAN))])
     names, counted = base.columns, "n_chars" in base.columns and text != "n_chars"
 
     def run(batches):
         for b in chunks(batches, text, 8 << 20):
             texts, spans, size = b.column(text).to_pylist(), [], b.column("n_chars").to_pylist() if counted else []
-            for i, m in enumerate(b.column("_units").to_pylist()):
+            for i, m in enumerate(b.column(UNITS).to_pylist()):
                 cut = removal(texts[i], m) if m and texts[i] else []
                 spans.append([{"start": s, "end": e} for s, e in cut])
                 if cut:

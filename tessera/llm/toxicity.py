@@ -11,7 +11,7 @@ subsequence weights. A text's score is a logistic function of its two highest wo
 Runs of three or more single signs between blanks (``i d i o t``) count as one word, too.
 
 Defined results: null and empty texts have no words and get the lowest score; texts of any length are scored whole;
-equal texts get equal scores; repeated rows each give their row; without labelled rows of both classes every score is
+equal texts get equal scores; a null key is not held out; repeated rows each give their row; without labelled rows of both classes every score is
 0; an empty table gives an empty table; other columns never enter a score.
 
 Training takes at most TRAIN_TOXIC and TRAIN_CLEAN labelled texts (those of the smallest key hashes) of at most
@@ -39,6 +39,8 @@ ROUNDS = 5
 THRESHOLD = 0.7
 CACHE_WORDS = 300_000
 LOWEST = -3.0
+#: The text's name beside columns that are carried along.
+TEXT = "__tessera_text"
 
 OTHER, MARK, OPEN, CLOSE = 26, 36, 37, 38
 SYMBOLS = 39
@@ -228,6 +230,7 @@ def _logistic(rows: np.ndarray) -> tuple[float, float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fits on the labelled rows given; leave out those that must stay unseen."""
+    docs = docs.select(F.col(key), F.col(text))
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
     fits = docs.where(F.length(text) <= TRAIN_CHARS).select(F.col(key).alias("_key"), F.xxhash64(key).alias("_order"))
     known = known.join(fits, "_key")
@@ -245,8 +248,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     def run(batches):
         model, known = shared.value, {}
-        for b in chunks(batches, "_text", 8 << 20):
-            bags = [tokens(t) if t else () for t in b.column("_text").to_pylist()]
+        for b in chunks(batches, TEXT, 8 << 20):
+            bags = [tokens(t) if t else () for t in b.column(TEXT).to_pylist()]
             new = list({t for bag in bags for t in bag if t not in known})
             if len(known) + len(new) > CACHE_WORDS:
                 known.clear()
@@ -259,11 +262,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             out = [model.probability(*_top_two(map(known.__getitem__, bag))) for bag in bags]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64())], [*names, "toxicity"])
 
-    return docs.select(*names, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*names, F.col(text).alias(TEXT)).mapInArrow(run, schema)
 
 
 def held_out(key: str = "doc_id"):
-    return fold_bucket(F.col(key), 3) == 1
+    return F.coalesce(fold_bucket(F.col(key), 3) == 1, F.lit(False))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
