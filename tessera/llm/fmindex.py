@@ -295,8 +295,10 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     )
 
 
-def cut_words(text: str, spans: list) -> str:
-    """``text`` without the words of these spans (in word numbers), and with one space in place of each."""
+def cut_words(text: str | None, spans: list | None) -> str | None:
+    """``text`` without the words of these spans (in word numbers) and the punctuation right after them."""
+    if not text or not spans:
+        return text
     raw, at, out = text.encode(), 0, []
     where = [m.span() for m in _WORD.finditer(raw)]
     for s in spans:
@@ -313,7 +315,7 @@ def remove_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", t
     spans = found.select(F.col(key).alias(KEY), F.col("hit_words").alias(SPANS))
     clean = F.udf(cut_words, "string", useArrow=True)
     joined = docs.join(broadcast_if_small(spans.dropDuplicates([KEY]), 20_000), docs[key] == F.col(KEY), "left")
-    out = joined.withColumn(text, F.when(F.col(SPANS).isNull(), F.col(text)).otherwise(clean(F.col(text), F.col(SPANS))))
+    out = joined.withColumn(text, clean(F.col(text), F.col(SPANS)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length(text).cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
