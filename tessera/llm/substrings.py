@@ -28,11 +28,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from tessera.llm.common import alnum_words, chunks
-from tessera.storage import materialize
 
 MIN_WORDS, TINY, LONG_UNIT, CUT_EVERY = 12, 3, 40, 8
-#: Marked units that may be broadcast (8 bytes each and a key a document); with more, documents are joined by shuffle.
-BROADCAST_UNITS = 1_000_000
 #: Names beside columns that are carried along.
 TEXT, KEY, UNITS = "__tessera_text", "__tessera_key", "__tessera_units"
 _EDGE = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+|(?<=[^\s.!?…])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][^\sA-ZÀ-ÖØ-Þ])")
@@ -126,10 +123,9 @@ def removal(text: str, marked: list[int]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text`` (``n_chars``, if there, counted again for changed rows),
     and ``removed`` array<struct<start,end>> in characters of the original text."""
-    marked = materialize(repeated_units(docs, key, text), "repeats").select(F.col("k").alias(KEY), F.col("units").alias(UNITS))
-    few = (marked.agg(F.sum(F.size(UNITS))).first()[0] or 0) <= BROADCAST_UNITS
+    marked = repeated_units(docs, key, text).select(F.col("k").alias(KEY), F.col("units").alias(UNITS))
     base = docs.drop("removed")
-    joined = base.join(F.broadcast(marked) if few else marked, base[key].cast("long") == F.col(KEY), "left").drop(KEY)
+    joined = base.join(marked, base[key].cast("long") == F.col(KEY), "left").drop(KEY)
     schema = StructType([*base.schema.fields, StructField("removed", ArrayType(_SPAN))])
     names, counted = base.columns, "n_chars" in base.columns and text != "n_chars"
 
