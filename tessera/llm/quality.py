@@ -16,50 +16,73 @@ The sample: SAMPLE texts of the smallest key hashes with SAMPLE_CHARS characters
 from __future__ import annotations
 
 import math
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import chunks
+from tessera.llm.common import arrow_map, chunks
 from tessera.llm.html import STOP_WORDS
 
 SAMPLE, SAMPLE_CHARS = 6000, 20_000
 BUCKETS = 4096
 KEEP = 0.5
 #: The text's name beside columns that are carried along.
-TEXT = "__tessera_text"
+TEXT, KEY = "__tessera_text", "__tessera_key"
 CACHE_WORDS = 200_000
-_ODD = re.compile(r"[#%$&*|<>{}\\=_~^@+\[\]/]")
-_UPPER, _LETTER = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\W\d_]")
+_ODD = b"#%$&*|<>{}\\=_~^@+[]/"
+_UPPER, _LETTERS = bytes(range(65, 91)), bytes([*range(65, 91), *range(97, 123)])
 _STRIP = ".,;:!?\"'()«»…%$#&*|"
 
 
-def votes(text: str | None) -> str:
+class Voter:
     """One sign a labeller: nine look for a defect (bad or abstain), three judge either way."""
-    text = text or ""
-    words = text.split()
-    n, size = len(words), max(1, len(text))
-    low = [w.strip(_STRIP).lower() for w in words]
-    lines = [x.strip() for x in text.split("\n") if x.strip()]
-    share = lambda hits: hits / max(1, n)
-    stops, ended = share(sum(w in STOP_WORDS for w in low)), sum(x[-1] in ".!?…" for x in lines) / max(1, len(lines))
-    defects = (
-        len(_ODD.findall(text)) > 0.02 * size,
-        share(sum(len(w) > 1 and w[-1] == w[-2] and not w[-1].isalnum() for w in words)) > 0.2,
-        len(_UPPER.findall(text)) > 0.3 * max(1, len(_LETTER.findall(text))),
-        share(sum(w.isupper() and len(w) > 1 for w in words)) > 0.5,
-        share(sum(w.endswith("!") for w in words)) > 0.2,
-        share(sum(a == b and a != "" for a, b in zip(low, low[1:], strict=False))) > 0.1,
-        n >= 30 and len(zlib.compress(text.encode(), 1)) < 0.2 * size,
-        share(len(set(low))) < 0.35 * min(1.0, 14 / math.sqrt(max(1, n))),
-        share(sum(w == "" for w in low)) > 0.2,
-    )
-    either = ((n < 6, n >= 30), (stops < 0.04 and n >= 6, stops > 0.12), (ended < 0.2, ended > 0.6))
-    return "".join(["-" if x else "0" for x in defects] + ["-" if bad else "+" if good else "0" for bad, good in either])
+
+    STOP, CLOSED, CAPS, LOUD, EMPTY = 1, 2, 4, 8, 16
+
+    def __init__(self):
+        self.codes: dict[str, int] = {}
+        self.plain: dict[str, int] = {}
+
+    def _code(self, word: str) -> int:
+        """A number for the bare lower-case word, times 32, and what the word shows."""
+        low = word.strip(_STRIP).lower()
+        shows = (self.STOP * (low in STOP_WORDS)) | (self.CLOSED * (len(word) > 1 and word[-1] == word[-2] and not word[-1].isalnum()))
+        shows |= (self.CAPS * (len(word) > 1 and word.isupper())) | (self.LOUD * word.endswith("!")) | (self.EMPTY * (low == ""))
+        return self.plain.setdefault(low, len(self.plain)) * 32 + shows
+
+    def __call__(self, text: str | None) -> str:
+        text = text or ""
+        words, raw = text.split(), text.encode()
+        n, size = len(words), max(1, len(raw))
+        known = self.codes
+        if len(known) > CACHE_WORDS:
+            known.clear()
+            self.plain.clear()
+        for w in words:
+            if w not in known:
+                known[w] = self._code(w)
+        code = np.fromiter(map(known.__getitem__, words), np.int64, n)
+        plain, shows = code >> 5, code & 31
+        share = lambda flag: np.count_nonzero(shows & flag) / max(1, n)
+        gone = lambda signs: len(raw) - len(raw.translate(None, signs))
+        lines = [x for x in map(str.strip, text.split("\n")) if x]
+        stops, ended = share(self.STOP), sum(x[-1] in ".!?…" for x in lines) / max(1, len(lines))
+        defects = (
+            gone(_ODD) > 0.02 * size,
+            share(self.CLOSED) > 0.2,
+            gone(_UPPER) > 0.3 * max(1, gone(_LETTERS)),
+            share(self.CAPS) > 0.5,
+            share(self.LOUD) > 0.2,
+            np.count_nonzero((plain[1:] == plain[:-1]) & (shows[1:] & self.EMPTY == 0)) > 0.1 * max(1, n),
+            n >= 30 and len(zlib.compress(raw, 1)) < 0.2 * size,
+            len(np.unique(plain)) < 0.35 * min(1.0, 14 / math.sqrt(max(1, n))) * n,
+            share(self.EMPTY) > 0.2,
+        )
+        either = ((n < 6, n >= 30), (stops < 0.04 and n >= 6, stops > 0.12), (ended < 0.2, ended > 0.6))
+        return "".join(["-" if x else "0" for x in defects] + ["-" if bad else "+" if good else "0" for bad, good in either])
 
 
 def weigh(patterns: list[tuple[str, int]], rounds: int = 100) -> dict[str, float]:
@@ -142,27 +165,30 @@ def fit(texts: list[tuple[str | None, float]], steps: int = 300) -> np.ndarray:
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with ``quality`` (0 to 1) and ``votes`` added."""
-    spark, base = docs.sparkSession, docs.drop("quality", "votes")
+    """``docs`` with ``quality`` (0 to 1) added."""
+    spark, base = docs.sparkSession, docs.drop("quality")
 
     def label(batches):
+        vote = Voter()
         for b in chunks(batches, TEXT, 8 << 20):
-            yield pa.RecordBatch.from_arrays([pa.array([votes(t) for t in b.column(TEXT).to_pylist()])], ["pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array([vote(t) for t in b.column(TEXT).to_pylist()])], ["pattern"])
 
-    source = base.select(F.col(text).alias(TEXT))
-    found = source.mapInArrow(label, "pattern string").groupBy("pattern").count()
+    found = arrow_map(base.select(F.col(text).alias(TEXT)), label, "pattern string").groupBy("pattern").count()
     belief = weigh([(r[0], r[1]) for r in found.collect()])
-    order = base.where(F.coalesce(F.length(text), F.lit(0)) <= SAMPLE_CHARS).select(F.xxhash64(key).alias("_h"), F.col(text).alias(TEXT))
-    rows = order.orderBy("_h", F.xxhash64(TEXT)).limit(SAMPLE).collect()
-    weights = fit([(r[1], belief[votes(r[1])]) for r in rows])
+    short = base.where(F.coalesce(F.length(text), F.lit(0)) <= SAMPLE_CHARS).select(F.col(key).alias(KEY), F.xxhash64(key).alias("h"))
+    picked = short.orderBy("h").limit(SAMPLE).select(KEY).distinct()  # keys only: texts come over for the picked rows alone
+    rows = base.select(F.col(key).alias(KEY), F.col(text).alias(TEXT)).join(F.broadcast(picked), KEY, "left_semi").where(F.coalesce(F.length(TEXT), F.lit(0)) <= SAMPLE_CHARS)
+    texts, vote = [r[0] for r in rows.select(TEXT).limit(2 * SAMPLE).collect()], Voter()
+    texts.sort(key=lambda t: t or "")
+    weights = fit([(t, belief.get(vote(t), 0.5)) for t in texts])
     shared, names = spark.sparkContext.broadcast(weights.astype(np.float32)), base.columns
-    schema = StructType([*base.schema.fields, StructField("quality", DoubleType()), StructField("votes", StringType())])
+    schema = StructType([*base.schema.fields, StructField("quality", DoubleType())])
 
     def run(batches):
         cut, w = Hashed(), shared.value
         for b in chunks(batches, TEXT, 8 << 20):
             texts = b.column(TEXT).to_pylist()
             out = [float(1 / (1 + math.exp(-max(-30.0, min(30.0, float(cut(t) @ w[:-1] + w[-1])))))) for t in texts]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64()), pa.array([votes(t) for t in texts])], [*names, "quality", "votes"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64())], [*names, "quality"])
 
-    return base.withColumn(TEXT, F.col(text)).mapInArrow(run, schema)
+    return arrow_map(base.withColumn(TEXT, F.col(text)), run, schema)

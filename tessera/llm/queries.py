@@ -14,7 +14,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return judged.select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= quality.KEEP).alias("keep"), "votes")
+    return judged.select("doc_id", F.col("quality").alias("score"), (F.col("quality") >= quality.KEEP).alias("keep"))
 
 
 def op3_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
