@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tessera.llm.common import chunks
+from tessera.llm.common import arrow_map, chunks
 
 # Fixed values of the vocabulary's format: Unicode white space, and the pattern that splits normalised text.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -161,7 +161,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists, pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return arrow_map(docs.select(*names), run, schema)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

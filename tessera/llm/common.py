@@ -37,7 +37,16 @@ def fold_bucket(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+#: Rows of an Arrow batch, where the session leaves Spark's default: texts can be long, and both the JVM and Python
+#: hold whole batches.
+BATCH_ROWS = 2000
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(name) == "10000":
+        conf.set(name, str(BATCH_ROWS))
     return df.mapInArrow(fn, schema)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from tessera.llm.common import alnum_words, chunks, utf8
+from tessera.llm.common import arrow_map, alnum_words, chunks, utf8
 from tessera.storage import broadcast_if_small, materialize
 
 WINDOW = 10
@@ -268,7 +268,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
                     [key, "n_words", "hit_words", "item_ids"],
                 )
 
-        results.append(source.mapInArrow(run, schema))
+        results.append(arrow_map(source, run, schema))
     if len(results) == 1:
         return results[0]
     # Several blocks: only documents with hits meet again, as one row a block; their spans merge once more.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from tessera.llm.common import chunks
+from tessera.llm.common import arrow_map, chunks
 
 # Element names of HTML, words of class names, stop words.
 RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select option datalist audio video head".split())
@@ -228,4 +228,4 @@ def extract(pages: DataFrame, source: str = "html") -> DataFrame:
             texts = [main_text(x) for x in b.column(source).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*names, "text", "n_chars"])
 
-    return pages.select(*names, source).mapInArrow(run, schema)
+    return arrow_map(pages.select(*names, source), run, schema)

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tessera.llm.common import arrow_map
 from tessera.storage import materialize
 
 QUERY_BLOCK = 8192
@@ -105,7 +106,7 @@ def top_k(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedd
         matrix = np.zeros((len(rows), wide), np.int64)
         for i, r in enumerate(rows):
             matrix[i, : len(r)] = r
-        found.append(vectors.mapInArrow(_searcher(spark.sparkContext.broadcast((ids, matrix)), k), "query_id long, id long, score long"))
+        found.append(arrow_map(vectors, _searcher(spark.sparkContext.broadcast((ids, matrix)), k), "query_id long, id long, score long"))
     if not found:
         return asked.selectExpr("id as query_id", "0 as rank", "id as vec_id", "0L as score").where("false")
     merged = reduce(DataFrame.unionByName, found)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from tessera.llm.common import alnum_words, chunks
+from tessera.llm.common import arrow_map, alnum_words, chunks
 
 MIN_WORDS, TINY, LONG_UNIT, CUT_EVERY = 12, 3, 40, 8
 #: Names beside columns that are carried along.
@@ -92,7 +92,7 @@ def _digests(batches, key: str):
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(k, units array<bigint>): the numbers of the units that repeat an earlier occurrence."""
     rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(TEXT))
-    sent = rows.mapInArrow(lambda batches: _digests(batches, key), "h1 long, h2 long, k long, unit long, known boolean")
+    sent = arrow_map(rows, lambda batches: _digests(batches, key), "h1 long, h2 long, k long, unit long, known boolean")
     w = Window.partitionBy("h1", "h2").orderBy("known", "k", "unit")
     marked = sent.withColumn("r", F.rank().over(w)).where(F.col("known") | (F.col("r") > 1))
     return marked.groupBy("k").agg(F.sort_array(F.collect_set("unit")).alias("units"))
@@ -148,4 +148,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 [*(new.get(n, b.column(n)) for n in names), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], [*names, "removed"]
             )
 
-    return joined.mapInArrow(run, schema)
+    return arrow_map(joined, run, schema)

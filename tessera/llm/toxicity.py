@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import chunks, fold_bucket
+from tessera.llm.common import arrow_map, chunks, fold_bucket
 from tessera.storage import broadcast_if_small
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 20_000
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             out = [model.probability(*_top_two(map(known.__getitem__, bag))) for bag in bags]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64())], [*names, "toxicity"])
 
-    return docs.select(*names, F.col(text).alias(TEXT)).mapInArrow(run, schema)
+    return arrow_map(docs.select(*names, F.col(text).alias(TEXT)), run, schema)
 
 
 def held_out(key: str = "doc_id"):
