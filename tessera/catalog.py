@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import period
+from tessera.plans import analytics, period, relational, texts
 
-QUERIES = {**period.QUERIES}
-SQL = {**period.SQL}
+QUERIES = {**period.QUERIES, **texts.QUERIES, **relational.QUERIES, **analytics.QUERIES}
+SQL = {**period.SQL, **texts.SQL, **relational.SQL, **analytics.SQL}
