@@ -198,8 +198,8 @@ def main_text(page: str | None) -> str:
         last = ""
         for i in order:
             side[i] = last
-            # Inside an article a bad block is an insertion and says nothing of the text around it.
-            if labels[i] == "good" or labels[i] == "bad" and not held:
+            # A block that its place makes bad, or a bad one inside an article, is an insertion and says nothing of the text around it.
+            if labels[i] == "good" or labels[i] == "bad" and not held and not found[i].bad:
                 last = labels[i]
     keep = [False] * n
     for i, x in enumerate(labels):

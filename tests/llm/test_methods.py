@@ -212,7 +212,7 @@ def test_toxic_words_with_gaps_and_endings():
     held = [(score(t) >= toxicity.THRESHOLD, bool(y)) for t, y in texts[400:]]
     assert sum(p == y for p, y in held) >= 97
     assert score("on the grum-pf and zwack.el") > score("on the ther and ourestion")
-    assert score("a b l o r k o z w a c k e l") > 0.5
+    assert score("then b l o r k o ation z w a c k e l en") > 0.5
     assert score("") <= min(score(t) for t, y in texts if y)
     assert toxicity.fit([]).probability(1, 1) < 1e-9 and toxicity.fit([("a", 1)]).probability(1, 1) < 1e-9
 
