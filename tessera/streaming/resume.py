@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.sources.files import exists
+from tessera.storage import materialize
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str, terminal: tuple[str, ...] = ("found", "not_found")) -> DataFrame:
@@ -24,7 +25,7 @@ def resume(spark: SparkSession, todo: DataFrame, path: str, key: str, work: Call
         left = pending(todo, spark.read.parquet(path), key) if exists(spark, path) else todo
         if tried is not None:
             left = left.join(tried, key, "left_anti")
-        some = left.orderBy(key).limit(batch).cache()
+        some = materialize(left.orderBy(key).limit(batch), "batch")  # fixed before the status table changes
         if not some.count():
             break
         work(some).write.mode("append").parquet(path)
