@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tessera.storage import materialize
+from tessera.storage import materialize, scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,6 +13,11 @@ def components(edges: DataFrame) -> DataFrame:
     Each round gives a node the least label around it, then the label of its label (so long chains halve), until no
     label changes. Null ends are left out; loops and repeated edges do no harm; no edges give no rows.
     """
+    with scratch(edges.sparkSession):
+        return materialize(_labels(edges), "labels", keep=True)
+
+
+def _labels(edges: DataFrame) -> DataFrame:
     known = edges.where("a is not null and b is not null and a <> b")
     both = known.select("a", "b").unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = materialize(both, "edges")

@@ -10,8 +10,8 @@ box: of its upper corner). Surviving pairs are verified on the texts' whole sets
 The order of the shingles puts those that very many texts share last, so that common passages do not fill buckets; it
 is counted over all texts, and any order gives the same links.
 
-To keep large groups from costing all their pairs, links are found in three steps. Each set is first compared with one
-partner only, the first of suitable size in the bucket, which joins most of a group. Then only pairs whose ends are
+To keep large groups from costing all their pairs, links are found in three steps. Each set is first compared with a few
+pivots of its buckets only, in a few rounds, which joins most of a group. Then only pairs whose ends are
 still apart remain: of these one for each set and group is verified, and at last all others. No pair is left out
 unless its ends are already connected, so the groups are exact. A bucket of over BUCKET rows is joined block by block.
 
@@ -30,81 +30,169 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.llm.common import chunks, space_words, utf8
+from tessera.llm.common import FOLD, arrow_map, chunks, utf8
 from tessera.llm.components import components
-from tessera.storage import broadcast_if_small, materialize
+from tessera.storage import broadcast_if_small, materialize, scratch
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
-GROUPS = 32
-#: A shingle in this share of a batch's texts, and in COMMON texts or more in all, goes to the end of the order; the
-#: COMMON_MOST most frequent ones at most (8 bytes each are broadcast).
-COMMON_SHARE, COMMON, COMMON_MOST = 0.002, 32, 100_000
+#: Groups of the counts; a count stops at 255, and where it did the bound is not used.
+GROUPS = 256
+#: A shingle that COMMON texts share goes to the end of the order; the COMMON_MOST most frequent ones at most (8 bytes
+#: each are broadcast). How they are found: see ``_common``.
+COMMON, COMMON_MOST, COMMON_SHARE, SPARSE, REACH = 32, 500_000, 0.002, 16, 24
+#: Groups of the finer counts that are compared before texts are.
+FINE = 1024
 BUCKET, LEAF = 2048, 16
+#: Buckets of so many rows give their few pairs at once; those of up to FLAT rows need no tree.
+SMALL, FLAT = 4, 48
+#: So many bucket shingles of a set travel with its point: a pair that shares one is looked at in that one's bucket only.
+FIRST = 6
+#: Pivots of a bucket, and how many of the pivots that it meets most often a set is compared with first.
+PIVOTS, TRIED = 6, 6
+#: Further rounds of pivots before what is left is searched.
+ROUNDS = 1
+TEXT = "__tessera_text"
 #: Ids (8 to 16 bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 300_000
-CACHE_WORDS = 300_000
 
+#: Bytes hashed at once: memory is some 40 times this, whatever a text's length.
+SEGMENT = 1 << 20
 _MIX1, _MIX2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
-class Shingler:
-    """Sets of shingle hashes, as sorted int64 arrays."""
-
-    def __init__(self, width: int = WORDS):
-        self.width, self.words = width, {}
-
-    def __call__(self, text: bytes) -> np.ndarray:
-        words = space_words(text)
-        if not words:
-            return np.empty(0, np.int64)
-        known = self.words
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        for w in words:
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size = min(self.width, len(words))
-        n = len(words) - size + 1
-        out = np.full(n, size, np.uint64)
-        for k in range(size):
-            out = (out ^ h[k : k + n]) * _STEP
-            out ^= out >> np.uint64(29)
-        out = (out ^ (out >> np.uint64(30))) * _MIX1
-        out = (out ^ (out >> np.uint64(27))) * _MIX2
-        return np.unique((out ^ (out >> np.uint64(31))).view(np.int64))
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    return x ^ (x >> np.uint64(31))
 
 
-def _common(source: DataFrame) -> np.ndarray:
-    """The shingles that stand last in the order, sorted."""
+_LETTER = _mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, at least ``n + 1`` of each."""
+    if not _POWERS or len(_POWERS[0]) <= n:
+        size = max(n + 1, 1 << 16)
+        _POWERS[:] = [np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(size, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64))]
+    return _POWERS
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word in order: a difference of prefix sums over the bytes, made free of its place."""
+    if len(text) > SEGMENT:
+        out, at = [], 0
+        while at < len(text):
+            end = at + SEGMENT
+            while end < len(text) and not _SPACE[text[end]]:
+                end += 1
+            out.append(word_hashes(text[at:end]) if end - at <= SEGMENT else _hashes(text[at:end]))
+            at = end
+        return np.concatenate(out)
+    return _hashes(text)
+
+
+def _hashes(text: bytes) -> np.ndarray:
+    b = np.frombuffer(text.translate(FOLD), np.uint8)
+    space = np.ones(len(b) + 2, np.int8)
+    space[1:-1] = _SPACE[b]
+    edge = np.flatnonzero(np.diff(space))
+    first, last = edge[::2], edge[1::2]
+    power, inverse = _powers(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_LETTER[b] * power[: len(b)], out=sums[1:])
+    return _mix((sums[last] - sums[first]) * inverse[first])
+
+
+def shingles(text: bytes, width: int = WORDS) -> np.ndarray:
+    """A hash of each run of ``width`` words in order; of the whole sequence if it is shorter."""
+    h = word_hashes(text)
+    if not len(h):
+        return np.empty(0, np.int64)
+    size = min(width, len(h))
+    n = len(h) - size + 1
+    out = np.full(n, size, np.uint64)
+    for k in range(size):
+        out = (out ^ h[k : k + n]) * _STEP
+        out ^= out >> np.uint64(29)
+    return _mix(out).view(np.int64)
 
-    def run(batches):
-        cut = Shingler()
-        for b in chunks(batches, "_text", 8 << 20):
-            sets = [cut(t) for t in b.column("_text").to_pylist()]
-            if sets:
-                found, n = np.unique(np.concatenate(sets), return_counts=True)
-                often = n >= max(3, COMMON_SHARE * len(sets))
-                yield pa.RecordBatch.from_arrays([pa.array(found[often]), pa.array(n[often].astype(np.int64))], ["s", "n"])
 
-    often = source.mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(np.array([r[0] for r in often.orderBy(F.desc("n"), "s").limit(COMMON_MOST).select("s").collect()], np.int64))
+def shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingles(text))
+
+
+def _tally(flat: np.ndarray) -> pa.RecordBatch:
+    found, n = np.unique(flat, return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(found), pa.array(n.astype(np.int64))], ["s", "n"])
+
+
+def _frequent(counted: DataFrame) -> np.ndarray:
+    """Of (s, n) rows the shingles that sum to COMMON or more, the COMMON_MOST most frequent at most, sorted."""
+    total = counted.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(COMMON_MOST)
+    return np.sort(total.select("s").toArrow().column(0).to_numpy().astype(np.int64))
+
+
+def _common(source: DataFrame) -> np.ndarray:
+    """The shingles that stand last in the order, sorted.
+
+    First all texts are counted for one shingle in SPARSE, chosen by its hash, and for those frequent inside a batch.
+    A passage that many texts share shows by some of its shingles; then the shingles within REACH of these are counted.
+    """
+
+    def count(batches):
+        for b in chunks(batches, TEXT, 8 << 20):
+            every = [shingles(t) for t in b.column(TEXT).to_pylist()]
+            if every:
+                flat = np.concatenate(every)
+                slot = flat & 0xFFFFF
+                often = np.bincount(slot, minlength=1 << 20)[slot] >= max(3, COMMON_SHARE * len(every))
+                yield _tally(flat[often | (flat & (SPARSE - 1) == 0)])
+
+    seeds = _frequent(arrow_map(source, count, "s long, n long"))
+    if not len(seeds):
+        return seeds
+    shared = source.sparkSession.sparkContext.broadcast(seeds)
+
+    def spread(batches):
+        seeds = shared.value
+        for b in chunks(batches, TEXT, 8 << 20):
+            near = []
+            for t in b.column(TEXT).to_pylist():
+                s = shingles(t)
+                hit = np.flatnonzero(seeds[np.minimum(np.searchsorted(seeds, s), len(seeds) - 1)] == s)
+                if len(hit):
+                    edge = np.zeros(len(s) + 1, np.int64)
+                    np.add.at(edge, np.maximum(hit - REACH, 0), 1)
+                    np.add.at(edge, np.minimum(hit + REACH + 1, len(s)), -1)
+                    near.append(np.unique(s[np.cumsum(edge[:-1]) > 0]))
+            if near:
+                yield _tally(np.concatenate(near))
+
+    return _frequent(arrow_map(source, spread, "s long, n long"))
+
+
+def _counts(s: np.ndarray, groups: int = GROUPS) -> bytes:
+    return np.minimum(np.bincount(s & (groups - 1), minlength=groups), 255).astype(np.uint8).tobytes()
 
 
 def _points(source: DataFrame, common: np.ndarray) -> DataFrame:
-    """(id, n, h1, h2, point, prefix) of each row: size and digest of the set, group counts, first shingles in the order."""
+    """(id, n, h1, h2, point, fine, prefix) of each row: size and digest of the set, group counts, first shingles in the order."""
     shared = source.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
-        cut, last = Shingler(), shared.value
-        for b in chunks(batches, "_text", 4 << 20):
-            size, digest, points, first, ends = [], [], [], [], [0]
-            for t in b.column("_text").to_pylist():
-                s = cut(t)
+        last = shared.value
+        for b in chunks(batches, TEXT, 4 << 20):
+            size, digest, points, fine, first, ends = [], [], [], [], [], [0]
+            for t in b.column(TEXT).to_pylist():
+                s = shingle_set(t)
                 n = len(s)
                 size.append(n)
                 digest.append(xxhash.xxh3_128_digest(s.tobytes()))
-                points.append(np.minimum(np.bincount(s & (GROUPS - 1), minlength=GROUPS), 65535).astype("<u2").tobytes())
+                points.append(_counts(s))
+                fine.append(_counts(s, FINE))
                 if n:
                     take = n - int(-(-SIMILARITY * n // 1)) + 1
                     if len(last):
@@ -118,15 +206,16 @@ def _points(source: DataFrame, common: np.ndarray) -> DataFrame:
             d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             flat = np.concatenate(first) if first else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(points, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                ["id", "n", "h1", "h2", "point", "prefix"],
+                [b.column(0), pa.array(size, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(points, pa.binary()), pa.array(fine, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                ["id", "n", "h1", "h2", "point", "fine", "prefix"],
             )
 
-    return source.mapInArrow(run, "id long, n long, h1 long, h2 long, point binary, prefix array<long>")
+    return arrow_map(source, run, "id long, n long, h1 long, h2 long, point binary, fine binary, prefix array<long>")
 
 
 def _partners(batches):
-    """From rows sorted by (s, n, id): those of buckets with two rows or more, with the first partner of fitting size."""
+    """From rows sorted by (s, n, id): the pairs (id, other) of small buckets, and the rows of large ones with the pivots
+    of fitting size."""
     hold = None
     for b in _and_end(batches):
         rows = None if b is None else np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
@@ -145,16 +234,26 @@ def _partners(batches):
         s, n, ids = s[many], n[many], ids[many]
         if not len(s):
             continue
-        hub = np.full(len(s), -1, np.int64)
-        has = np.zeros(len(s), bool)
-        lead = 0
-        for i, (a, size) in enumerate(zip(s.tolist(), n.tolist(), strict=True)):
-            if i and a == s[lead] and 4 * n[lead] >= 3 * size:
-                if ids[i] != ids[lead]:
-                    hub[i], has[i] = ids[lead], True
-            else:
-                lead = i
-        yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(n), pa.array(ids), pa.array(hub, mask=~has)], ["s", "n", "id", "hub"])
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        size = np.diff(np.append(first, len(s)))
+        p, q = _flat_pairs(first[size <= SMALL], size[size <= SMALL])
+        keep = (ids[p] != ids[q]) & (4 * np.minimum(n[p], n[q]) >= 3 * np.maximum(n[p], n[q]))
+        a, b = np.minimum(ids[p], ids[q])[keep], np.maximum(ids[p], ids[q])[keep]
+        large = np.repeat(size > SMALL, size)
+        s, n, ids = s[large], n[large], ids[large]
+        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
+        bucket = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
+        none = pa.nulls(len(a), pa.int64())
+        hubs = []
+        for seed in range(PIVOTS):  # rows are sorted by size, so the first pivot is the smallest set, the others are drawn by hash
+            drawn = _mix(ids.view(np.uint64) * _STEP + np.uint64(seed)) if seed else np.arange(len(s)).astype(np.uint64)
+            order = np.lexsort((drawn, bucket))
+            lead = order[first][bucket]
+            fits = (4 * np.minimum(n, n[lead]) >= 3 * np.maximum(n, n[lead])) & (ids != ids[lead])
+            hubs.append(pa.concat_arrays([pa.array(ids[lead], pa.int64(), mask=~fits), none]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.concat_arrays([pa.array(s), none]), pa.concat_arrays([pa.array(n), none]), pa.array(np.concatenate((ids, a))), pa.concat_arrays([pa.nulls(len(s), pa.int64()), pa.array(b)]), *hubs], ["s", "n", "id", "other", *(f"hub{k}" for k in range(PIVOTS))]
+        )
 
 
 def _and_end(batches):
@@ -163,10 +262,10 @@ def _and_end(batches):
 
 
 class RTree:
-    """Points packed by size into leaves of LEAF, leaves into boxes of LEAF; boxes keep upper corner, least and greatest size, and the group if all share one."""
+    """Points packed by group and size into leaves of LEAF, leaves into boxes of LEAF; boxes keep upper corner, least and greatest size, and the group if all share one."""
 
     def __init__(self, points: np.ndarray, size: np.ndarray, group: np.ndarray):
-        self.points, self.size, self.group = points, size, group
+        self.points, self.size, self.group, self.full = points, size, group, bool((points == 255).any())
         self.levels = []
         top, least, most, own = points, size, size, group
         while len(top) > LEAF:
@@ -182,53 +281,114 @@ class RTree:
             at = np.arange(len(top)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
             at = at[at < len(top)]
             at = at[(own[at] != group) & (4 * most[at] >= 3 * size) & (3 * least[at] <= 4 * size)]
-            at = at[7 * np.minimum(top[at], point).sum(axis=1, dtype=np.int64) >= 3 * (size + least[at])]
+            if not self.full:
+                at = at[7 * np.minimum(top[at], point).sum(axis=1, dtype=np.int64) >= 3 * (size + least[at])]
         at = np.arange(len(self.points)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
         at = at[at < len(self.points)]
         at = at[(self.group[at] != group) & (4 * self.size[at] >= 3 * size) & (3 * self.size[at] <= 4 * size)]
-        return at[7 * np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64) >= 3 * (size + self.size[at])]
+        return at if self.full else at[7 * np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64) >= 3 * (size + self.size[at])]
+
+
+def _matrix(column: pa.Array, groups: int = GROUPS) -> np.ndarray:
+    """The points of a column as rows of counts."""
+    return np.frombuffer(column.buffers()[2], np.uint8)[column.offset * groups : (column.offset + len(column)) * groups].reshape(-1, groups)
+
+
+def _possible(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether points leave the similarity possible, and the bound of the overlap by the sizes, in thousandths."""
+    low = np.minimum(x, y)
+    bound = low.sum(axis=1, dtype=np.int64)
+    return (7 * bound >= 3 * sizes) | (low == 255).any(axis=1), 1000 * bound // np.maximum(sizes, 1)
+
+
+def _flat_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of row numbers inside small cells."""
+    p, q = [], []
+    for m in np.unique(size).tolist():
+        i, j = np.triu_indices(m, 1)
+        at = start[size == m]
+        p.append((at[:, None] + i).ravel())
+        q.append((at[:, None] + j).ravel())
+    return (np.concatenate(p), np.concatenate(q)) if p else (np.empty(0, np.int64),) * 2
 
 
 def _search(batches):
-    """From rows (s, i, j, block, n, id, component, point) sorted by (s, i, j): candidate pairs of different components."""
-
-    def pairs(rows):
-        rows.sort(key=lambda r: (r[4], r[5]))
-        size, ids, group = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        points = np.frombuffer(b"".join(r[7] for r in rows), "<u2").reshape(-1, GROUPS).astype(np.int64)
-        block = np.array([r[3] for r in rows], np.int64)
-        split, first = rows[0][1] != rows[0][2], rows[0][1]
-        tree = RTree(points, size, group)
-        for k in range(len(rows)):
-            at = tree.candidates(points[k], int(size[k]), int(group[k]))
-            at = at[(at > k) & (ids[at] != ids[k])]
-            if split:  # pairs inside one block belong to the cell of that block alone
-                at = at[(block[at] == first) != (block[k] == first)]
-            if len(at):
-                bound = np.minimum(points[at], points[k]).sum(axis=1)
-                worth = 1000 * bound // (size[at] + size[k])
-                for x, c, w in zip(ids[at].tolist(), group[at].tolist(), worth.tolist(), strict=True):
-                    a, b = (ids[k], x) if ids[k] < x else (x, ids[k])
-                    yield int(a), int(b), int(w)
-
-    names = ["s", "i", "j", "block", "n", "id", "component", "point"]
-    cell, rows, out = None, [], set()
-    for b in _and_end(batches):
-        for r in zip(*(b.column(n).to_pylist() for n in names), strict=True) if b is not None else [(None,) * 8]:
-            if r[:3] != cell:
-                if len(rows) > 1:
-                    out.update(pairs(rows))
-                cell, rows = r[:3], []
-            rows.append(r)
-        if len(out) > 20_000 or b is None and out:
-            a, c, w = zip(*sorted(out), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(w, pa.int64())], ["a", "b", "worth"])
-            out = set()
-
-
-def verify(pairs: DataFrame, source: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts' whole sets are similar enough."""
-    pairs = pairs.select("a", "b")
+    """From rows (s, i, j, block, n, id, component, point, first) sorted by (s, i, j): candidate pairs of different components."""
+    hold, held, kept, out = None, None, None, []
+
+    def flush():
+        nonlocal out
+        a, b, w = (np.concatenate(x) for x in zip(*out, strict=True))  # not empty
+        order = np.lexsort((b, a))
+        a, b, w = a[order], b[order], w[order]
+        fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+        out = []
+        return pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (a, b, w)], ["a", "b", "worth"])
+
+    for batch in _and_end(batches):
+        rows = points = first = None
+        if batch is not None and batch.num_rows:
+            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)])
+            points, first = _matrix(batch.column(7)), batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, FIRST)
+        if hold is not None:
+            rows = hold if rows is None else np.concatenate((hold, rows), axis=1)
+            points = held if points is None else np.concatenate((held, points))
+            first = kept if first is None else np.concatenate((kept, first))
+        if rows is None or not rows.shape[1]:
+            continue
+        fresh = np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
+        start = np.flatnonzero(fresh)
+        if batch is None:
+            hold, end = None, rows.shape[1]
+        else:  # the last cell may go on in the next batch
+            end = int(start[-1])
+            hold, held, kept, start = rows[:, end:], points[end:], first[end:], start[:-1]
+        size = np.diff(np.append(start, end))
+        n, ids, group = rows[4], rows[5], rows[6]
+        p, q = _flat_pairs(start[(size > 1) & (size <= FLAT)], size[(size > 1) & (size <= FLAT)])
+        more = [(p, q)]
+        for a, m in zip(start[size > FLAT].tolist(), size[size > FLAT].tolist(), strict=True):
+            order = a + np.lexsort((ids[a : a + m], n[a : a + m], group[a : a + m]))
+            tree = RTree(points[order], n[order], group[order])
+            for k in range(m):
+                at = tree.candidates(tree.points[k], int(tree.size[k]), int(tree.group[k]))
+                at = at[at > k]
+                if len(at):
+                    more.append((np.full(len(at), order[k]), order[at]))
+        p, q = (np.concatenate(x) for x in zip(*more, strict=True))
+        low, high = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+        # In a cell of two blocks, pairs inside one block belong to that block's own cell.
+        keep = (ids[p] != ids[q]) & (group[p] != group[q]) & (4 * low >= 3 * high) & ((rows[1, p] == rows[2, p]) | (rows[3, p] != rows[3, q]))
+        p, q = p[keep], q[keep]
+        for k in range(0, len(p), 1 << 16):
+            x, y = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
+            both = (first[x][:, :, None] == first[y][:, None, :]).any(axis=2)
+            here = ~both.any(axis=1) | (first[x, both.argmax(axis=1)] == rows[0, x])
+            x, y = x[here], y[here]
+            good, worth = _possible(points[x], points[y], n[x] + n[y])
+            if good.any():
+                x, y = x[good], y[good]
+                out.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), worth[good]))
+        if out and (sum(len(x[0]) for x in out) > 100_000 or batch is None):
+            yield flush()
+
+
+def possible(pairs: DataFrame, points: DataFrame, kind: str = "point", groups: int = GROUPS) -> DataFrame:
+    """(a, b, worth) of the pairs (a, b) that the points leave possible."""
+    side = lambda end: points.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col(kind).alias(f"p{end}"))
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "pa", "pb")
+
+    def run(batches):
+        for b in batches:
+            good, worth = _possible(_matrix(b.column(4), groups), _matrix(b.column(5), groups), b.column(2).to_numpy() + b.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([*(pa.array(b.column(k).to_numpy()[good]) for k in (0, 1)), pa.array(worth[good])], ["a", "b", "worth"])
+
+    return arrow_map(rows, run, "a long, b long, worth long")
+
+
+def verify(pairs: DataFrame, source: DataFrame, points: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose texts' whole sets are similar enough; the finer counts rule most others out first."""
+    pairs = materialize(possible(pairs, points, "fine", FINE).select("a", "b"), "pairs")
 
     def having(ids: DataFrame) -> DataFrame:
         """The rows of ``source`` with these ids."""
@@ -237,31 +397,47 @@ def verify(pairs: DataFrame, source: DataFrame) -> DataFrame:
     first = having(materialize(pairs.select(F.col("a").alias("id")).distinct(), "ids"))
     second = having(materialize(pairs.select(F.col("b").alias("id")).distinct(), "ids"))
     both = broadcast_if_small(pairs, BROADCAST_IDS // 2)
-    left = first.select(F.col("id").alias("a"), F.col("_text").alias("x")).join(both, "a")
-    rows = left.join(second.select(F.col("id").alias("b"), F.col("_text").alias("y")), "b").select("a", "b", "x", "y")
+    left = first.select(F.col("id").alias("a"), F.col(TEXT).alias("x")).join(both, "a")
+    rows = left.join(second.select(F.col("id").alias("b"), F.col(TEXT).alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
-        cut, kept = Shingler(), {}
+        kept = {}
         for batch in chunks(batches, "x", 4 << 20):
             a, b, good = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
             for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
                 if b[i] not in kept:
                     if len(kept) >= 64:
                         kept.clear()
-                    kept[b[i]] = cut(y.as_py())
-                s, t = cut(x.as_py()), kept[b[i]]
+                    kept[b[i]] = shingle_set(y.as_py())
+                s, t = shingle_set(x.as_py()), kept[b[i]]
                 at = np.minimum(np.searchsorted(t, s), max(0, len(t) - 1))
                 shared = int((t[at] == s).sum()) if len(t) and len(s) else 0
                 if shared and 100 * shared >= 75 * (len(s) + len(t) - shared):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in good], pa.int64()) for v in (a, b)], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return arrow_map(rows, run, "a long, b long").distinct()
+
+
+def _mixed(rows: DataFrame, reps: DataFrame, known: DataFrame, seed: int) -> DataFrame:
+    """Of bucket rows (s, n, id) those in buckets of several components: with the component, the bucket's size and two
+    pivots of the bucket drawn by hash."""
+    labels = reps.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    w = Window.partitionBy("s")
+    drawn = lambda k: F.struct(F.xxhash64("id", F.lit(2 * seed + k)).alias("h"), "id", "n", "component")
+    rows = rows.select("s", "n", "id").join(labels, "id")
+    rows = rows.select("s", "n", "id", "component", F.min("component").over(w).alias("lo"), F.max("component").over(w).alias("hi"), F.count("*").over(w).alias("m"), F.min(drawn(0)).over(w).alias("p0"), F.max(drawn(1)).over(w).alias("p1"))
+    return rows.where("lo <> hi").drop("lo", "hi")
 
 
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for every row."""
-    source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias("_text"))
+    """(key, n_shingles, component_id) for every row, as a written table; what was needed for it is deleted."""
+    with scratch(docs.sparkSession):
+        return materialize(_groups(docs, key, text), "components", keep=True)
+
+
+def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias(TEXT))
     points = materialize(_points(source, _common(source)), "points")
     full = points.where("n > 0 and id is not null")
     sets = ["n", "h1", "h2"]
@@ -270,42 +446,55 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     copies = materialize(copies.select("id", "rep"), "copies")
     reps = full.join(broadcast_if_small(copies.select("id"), BROADCAST_IDS), "id", "left_anti")
 
-    # Buckets, and for each set its one first partner.
+    # Buckets, and for each set its pivots.
     entries = reps.select(F.explode("prefix").alias("s"), "n", "id").repartition("s").sortWithinPartitions("s", "n", "id")
-    shared = materialize(entries.mapInArrow(_partners, "s long, n long, id long, hub long"), "buckets")
-    tried = shared.where("hub is not null").groupBy("id", "hub").agg(F.count("*").alias("c"))
-    tried = tried.groupBy("id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
-    tried = materialize(tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "tried")
-    links = materialize(verify(tried, source), "links")
+    hubs = [f"hub{k}" for k in range(PIVOTS)]
+    met = materialize(arrow_map(entries, _partners, "s long, n long, id long, other long, " + ", ".join(f"{h} long" for h in hubs)), "buckets")
+    shared = met.where("s is not null").select("s", "n", "id")
+    tried = met.where("s is not null").select("id", F.explode(F.array_distinct(F.array_compact(F.array(*hubs)))).alias("hub")).groupBy("id", "hub").agg(F.count("*").alias("c"))
+    tried = tried.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "hub"))).where(F.col("r") <= TRIED)
+    tried = tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).unionByName(met.where("s is null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    tried = materialize(tried.distinct(), "tried")
+    near = materialize(possible(tried, points), "near")
+    links = materialize(verify(near, source, points), "links")
     known = components(links)
 
+    # Rounds of new pivots for the sets of buckets that still hold several components.
+    rows = shared
+    for r in range(ROUNDS):
+        rows = materialize(_mixed(rows, reps, known, r), "mixed")
+        ends = rows.select("id", "n", "component", F.explode(F.array("p0", "p1")).alias("p")).where("p.component <> component and 4 * least(n, p.n) >= 3 * greatest(n, p.n)")
+        more = ends.groupBy("id", F.col("p.id").alias("hub")).agg(F.count("*").alias("c"))
+        more = more.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "hub"))).where(F.col("r") <= TRIED)
+        more = more.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = materialize(more, "tried")
+        links = materialize(links.unionByName(verify(materialize(possible(more, points), "near"), source, points)), "links")
+        tried, known = tried.unionByName(more), components(links)
+
     # What can still connect two components.
-    labels = reps.select("id", "point").join(known, "id", "left").select("id", "point", F.coalesce("component", "id").alias("component"))
-    mixed = shared.select("s", "n", "id").join(labels.select("id", "component"), "id")
-    w = Window.partitionBy("s")
-    mixed = mixed.withColumn("lo", F.min("component").over(w)).withColumn("hi", F.max("component").over(w)).withColumn("m", F.count("*").over(w))
-    mixed = materialize(mixed.where("lo <> hi").select("s", "n", "id", "component", "m"), "mixed")
+    mixed = materialize(_mixed(rows, reps, known, ROUNDS), "mixed")
+    first = mixed.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("s")), 1, FIRST).alias("f"))
+    first = first.select("id", F.transform(F.sequence(F.lit(1), F.lit(FIRST)), lambda i: F.coalesce(F.try_element_at("f", i), F.col("f")[0])).alias("first"))
     cells = mixed.withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "component")
-    cells = cells.join(labels.select("id", "point"), "id").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-    found = cells.select("s", "i", "j", "block", "n", "id", "component", "point").mapInArrow(_search, "a long, b long, worth long")
-    found = found.groupBy("a", "b").agg(F.max("worth").alias("worth")).join(tried, ["a", "b"], "left_anti")
-    found = materialize(found, "candidates")
+    cells = cells.join(reps.select("id", "point").join(first, "id"), "id").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    found = arrow_map(cells.select("s", "i", "j", "block", "n", "id", "component", "point", "first"), _search, "a long, b long, worth long")
+    found = materialize(found.groupBy("a", "b").agg(F.max("worth").alias("worth")).join(tried, ["a", "b"], "left_anti"), "candidates")
 
     # Of these, first one for each set and each component it could join, then whatever still lies between two.
     part = known.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     best = found.join(part, "b", "left").withColumn("cb", F.coalesce("cb", "b"))
     best = best.groupBy("a", "cb").agg(F.max_by("b", F.struct("worth", -F.col("b"))).alias("b"))
     best = materialize(best.select("a", "b").distinct(), "best")
-    links = materialize(links.unionByName(verify(best, source)), "links")
+    links = materialize(links.unionByName(verify(best, source, points)), "links")
     known = components(links)
     rest = found.join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(known.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     rest = materialize(rest.where("ca <> cb").select("a", "b"), "rest")
     if rest.limit(1).count():
-        known = components(materialize(links.unionByName(verify(rest, source)), "links"))
+        known = components(materialize(links.unionByName(verify(rest, source, points)), "links"))
 
     named = copies.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     named = materialize(named.unionByName(known).distinct(), "groups")
