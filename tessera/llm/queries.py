@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, fmindex, html, jaccard, lm, maxscore, quality, substrings, toxicity, urls
+from tessera.llm import bpe, fmindex, html, jaccard, lm, maxscore, quality, sql, substrings, toxicity, urls
 from tessera.storage import table
 
 
@@ -57,4 +57,4 @@ def vocabulary() -> str:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_maxscore_search, op4_url_filter, op5_substring_dedup, op6_ngram_jaccard_join, op7_html_extraction, op8_brown_lm, op9_benchmark_decontamination, op10_bpe)}
-SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL, "op6_ngram_jaccard_join": jaccard.SQL}
+SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL, "op6_ngram_jaccard_join": jaccard.SQL, "op9_benchmark_decontamination": sql.OP9}
