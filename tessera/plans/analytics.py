@@ -49,6 +49,19 @@ def recommend_filtered(s, d):
     return O.top_n_per_group(p, ["source"], [F.desc("first"), F.col("target")], 3).select("source", "target", "first", "rank")
 
 
+def multi_model_report(s, d):
+    """One entity's best five by each model that has a score."""
+    p = _views(s, d).where("source = 7")
+    rows = [O.top_n_per_group(p.where(F.col(m).isNotNull()).select("source", "target", F.col(m).alias("score")), ["source"], [F.desc("score"), F.col("target")], 5).withColumn("model", F.lit(m)) for m in ("first", "second")]
+    return rows[0].unionByName(rows[1]).select("model", "target", "score", "rank")
+
+
+def findings(s, d):
+    """The year that leads and the year that trails each metric, as sentences."""
+    e = extremes_by_metric(s, d)
+    return e.select("metric", F.format_string("%s: highest in %d (%.2f), lowest in %d (%.2f)", "metric", "highest_year", "highest", "lowest_year", "lowest").alias("finding"))
+
+
 def search_resolve(s, d):
     """Parts found by exact name, else by substring, else by shared words; the best stage's rows."""
     q = F.lit("old widget plate")
@@ -467,6 +480,7 @@ SQL = {
     "cosine_pairs": f"with {_P} select source, target, similarity from p where similarity >= 0.32",
     "hybrid_similarity": f"with {_VW} select source, target, round((0.45::double * first_ + 0.30::double * coalesce(second_, 0)) / (0.45::double + case when second_ is not null then 0.30::double else 0 end), 6) hybrid, (1 + (second_ is not null)::int)::bigint views from w",
     "recommend_filtered": f"with {_VW} select source, target, first_ as first, row_number() over (partition by source order by first_ desc, target)::int rank from w where sl <> tl and first_ >= 0.3 qualify rank <= 3",
+    "multi_model_report": f"with {_VW} (select 'first' model, target, first_ score, row_number() over (order by first_ desc, target)::int rank from w where source = 7 qualify rank <= 5) union all (select 'second', target, second_, row_number() over (order by second_ desc, target)::int rank from w where source = 7 and second_ is not null qualify rank <= 5)",
     "search_resolve": "with p as (select p_partkey, lower(p_name) n from part), s as (select *, case when n = 'old widget plate' then 1 when contains(n, 'old widget plate') then 2 when len(list_intersect(string_split(n, ' '), ['old', 'widget', 'plate'])) > 0 then 3 end stage, len(list_intersect(string_split(n, ' '), ['old', 'widget', 'plate']))::bigint shared from p) select p_partkey, stage::bigint stage, shared from s where stage = (select min(stage) from s) order by shared desc, p_partkey limit 15",
     "zscore_impute": "with l as (select l_partkey, avg(l_quantity) a, avg(l_extendedprice) b, avg(l_discount) c, case when l_partkey % 5 <> 0 then avg(l_tax) end t from lineitem group by 1), i as (select l_partkey, a, b, c, coalesce(t, (select median(t) from l)) t from l) select l_partkey, round((a - avg(a) over ()) / stddev_pop(a) over (), 6) l_quantity, round((b - avg(b) over ()) / stddev_pop(b) over (), 6) l_extendedprice, round((c - avg(c) over ()) / stddev_pop(c) over (), 6) l_discount, round((t - avg(t) over ()) / stddev_pop(t) over (), 6) l_tax from i",
     "centroids": f"with {_C} select label::bigint as label, round(c[1], 6) c1, round(c[64], 6) c64, round(sqrt(list_inner_product(c, c)), 6) norm from c",
@@ -501,5 +515,6 @@ SQL = {
     "report_profile": "select 'name' metric, c_name as value from customer where c_custkey = 1 union all select 'balance', printf('%.2f', c_acctbal) from customer where c_custkey = 1 union all select 'segment', c_mktsegment from customer where c_custkey = 1",
     "report_ranking": "(select 'p_size' metric, p_partkey, p_size::double score from part order by p_size desc, p_partkey limit 5) union all (select 'p_retailprice', p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 5)",
 }
+SQL["findings"] = f"select metric, printf('%s: highest in %d (%.2f), lowest in %d (%.2f)', metric, highest_year, highest, lowest_year, lowest) finding from ({SQL['extremes_by_metric']})"
 ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "kcore", "mst_edges", "eigenvector", "path_centralities", "communities", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "musical_key", "cv_model_summary", "oof_predictions", "global_importance", "tree_rules", "local_explanations")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

@@ -269,6 +269,15 @@ def keys_preserved(s, d):
     return D.keys_preserved(table(s, d, "documents").select("doc_id"), table(s, d, "labels").select("doc_id"), "doc_id")
 
 
+def master_table(s, d):
+    """One row an entity; joined columns carry their table's prefix; coverage from two flags."""
+    docs = table(s, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    labels = table(s, d, "labels").withColumnsRenamed({"quality": "label_quality", "toxic": "label_toxic"})
+    m = D.checked_left_join(docs, labels, ["doc_id"], one_to_one=True)
+    m = m.withColumn("has_labels", F.col("label_quality").isNotNull()).withColumn("has_text", F.col("n_chars") > 0)
+    return m.withColumn("coverage", D.coverage_class(F.col("has_labels"), F.col("has_text"), ("labels", "text")))
+
+
 def report_tables(s, d):
     """Review and error rows as filtered projections of one table."""
     e = table(s, d, "events").select("event_type", "value")
@@ -329,6 +338,7 @@ with c as (select 'duplicate orders' as check_, (select count(*) from (select 1
 select check_ as "check", n::bigint found, case when n = 0 then 'passed' when w then 'warning' else 'failed' end status from c""",
     "metadata_consistency": """select * from (select 'lang' as "column", count(*) filter (doc_id % 10 = 0 and lang <> 'xx') mismatches from documents union all select 'source', 0 from (select 1) union all select 'n_chars', count(*) filter (n_chars <> length(text)) from documents)""",
     "keys_preserved": "select (select count(*) from documents) base_rows, (select count(*) from labels) built_rows, (select count(*) from documents where doc_id not in (select doc_id from labels)) lost, (select count(*) from labels where doc_id not in (select doc_id from documents)) added",
+    "master_table": "select doc_id, lang, source, n_chars, quality label_quality, toxic label_toxic, quality is not null has_labels, n_chars > 0 has_text, case when quality is not null and n_chars > 0 then 'labels_and_text' when quality is not null then 'labels_only' when n_chars > 0 then 'text_only' else 'metadata_only' end coverage from documents left join labels using (doc_id)",
     "report_tables": "select event_type, case when value is null then 'missing' when value > 90 then 'review' when value < 5 then 'low' else 'fine' end kind, count(*) n from events group by 1, 2",
     "resume_pending": "select source, count(*) pending, min(doc_id) as next from documents where doc_id not in (select doc_id from labels where quality = 1) group by 1",
 }

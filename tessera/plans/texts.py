@@ -89,6 +89,17 @@ def doc_readability(spark, sf_dir):
     return d.select("doc_id", *(c.alias(k) for k, c in T.readability("w", F.col("n")).items()))
 
 
+def doc_feature_row(spark, sf_dir):
+    """All features of a document as one wide row, from one token array and without a shuffle."""
+    d = _docs(spark, sf_dir).select("doc_id", T.tokens("text").alias("w"), F.size(T.sentences("text")).alias("n"))
+    out = [R6(c).alias(n) if "ratio" in n or "mean" in n or "std" in n or "proxy" in n else c.cast("long").alias(n) for n, c in T.lexical("w").items()]
+    out += [c.alias(k) for k, c in T.readability("w", F.col("n")).items()]
+    for name in lexicon.CATEGORIES:
+        hits = T.lexicon_count("w", lexicon.words(name))
+        out += [hits.cast("long").alias(f"{name}_count"), R6(T.ratio(hits, F.size("w"))).alias(f"{name}_ratio")]
+    return d.select("doc_id", *out)
+
+
 def clean_text_lines(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.md5(T.clean_lines("text").cast("binary")).alias("clean_md5"), F.length(T.clean_lines("text")).cast("long").alias("clean_chars"))
 
@@ -218,4 +229,5 @@ select p_partkey, {', '.join(f"regexp_matches(t, '(?i){p}') {n}" for n, p in T.V
  coalesce(nullif(trim(substring(o_orderpriority, 3, 20)), ''), 'none') as priority, year(o_orderdate)::bigint as year from orders""",
     "label_render": """select c_custkey, lower(c_mktsegment) as label, printf('balance:%+.2f | nation:%+.2f', c_acctbal, -c_nationkey::double) listed from customer""",
 }
+SQL["doc_feature_row"] = f"select * from ({SQL['doc_token_stats']}) join ({SQL['doc_readability']}) using (doc_id) join ({SQL['doc_lexicon_ratios']}) using (doc_id)"
 QUERIES = {n: globals()[n] for n in SQL}
