@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -47,7 +50,22 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if conf.get(name) == "10000":
         conf.set(name, str(BATCH_ROWS))
-    return df.mapInArrow(fn, schema)
+
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:  # a worker lives on for other tasks, beside a JVM that needs the memory
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def _give_back() -> None:
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], col: str, limit: int) -> Iterator[pa.RecordBatch]:

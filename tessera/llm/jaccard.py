@@ -143,7 +143,7 @@ def _common(source: DataFrame) -> np.ndarray:
     """
 
     def count(batches):
-        for b in chunks(batches, TEXT, 8 << 20):
+        for b in chunks(batches, TEXT, 3 << 20):
             every = [shingles(t) for t in b.column(TEXT).to_pylist()]
             if every:
                 flat = np.concatenate(every)
@@ -158,7 +158,7 @@ def _common(source: DataFrame) -> np.ndarray:
 
     def spread(batches):
         seeds = shared.value
-        for b in chunks(batches, TEXT, 8 << 20):
+        for b in chunks(batches, TEXT, 3 << 20):
             near = []
             for t in b.column(TEXT).to_pylist():
                 s = shingles(t)
@@ -184,7 +184,7 @@ def _points(source: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches):
         last = shared.value
-        for b in chunks(batches, TEXT, 4 << 20):
+        for b in chunks(batches, TEXT, 3 << 20):
             size, digest, points, fine, first, ends = [], [], [], [], [], [0]
             for t in b.column(TEXT).to_pylist():
                 s = shingle_set(t)
