@@ -136,7 +136,7 @@ def normalize_text(spark, sf_dir):
 
 def surrogate_key(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.format_string("lp-%02d-%03d", F.year("o_orderdate") % 100, F.col("o_orderkey") % 1000).alias("key"),
+        "o_orderkey", F.format_string("tr-%02d-%03d", F.year("o_orderdate") % 100, F.col("o_orderkey") % 1000).alias("key"),
         (F.floor(F.col("o_totalprice") / 10.0 + 0.5) / 100.0).alias("seconds"), F.coalesce(F.nullif(F.trim(F.substring("o_orderpriority", 3, 20)), F.lit("")), F.lit("none")).alias("priority"),
         F.year(F.try_to_timestamp(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("yyyy-MM-dd"))).cast("long").alias("year"),
     )
@@ -225,7 +225,7 @@ select doc_id, length(a)::bigint raw_characters, length(b)::bigint clean_charact
 with t as (select p_partkey, p_size, {SQL_TITLE} t from part)
 select p_partkey, {', '.join(f"regexp_matches(t, '(?i){p}') {n}" for n, p in T.VERSION_FLAGS.items())}, not ({' or '.join(f"regexp_matches(t, '(?i){p}')" for p in T.VERSION_FLAGS.values())}) is_original, p_size > 40 is_bonus from t""",
     "normalize_text": rf"select doc_id, md5({_SQL_PUNCT.replace('(text', chr(40) + 'trim(regexp_replace(lower(text), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))', 1)}) normal_md5, trim(regexp_replace(substring(text, 1, 10) || ' Feat. X', '(?i)\bfeat(?:uring)?\.?\b.*$', '')) without_feat from {_D}",
-    "surrogate_key": """select o_orderkey, printf('lp-%02d-%03d', year(o_orderdate) % 100, o_orderkey % 1000) as key, floor(o_totalprice / 10.0::double + 0.5::double) / 100.0::double as seconds,
+    "surrogate_key": """select o_orderkey, printf('tr-%02d-%03d', year(o_orderdate) % 100, o_orderkey % 1000) as key, floor(o_totalprice / 10.0::double + 0.5::double) / 100.0::double as seconds,
  coalesce(nullif(trim(substring(o_orderpriority, 3, 20)), ''), 'none') as priority, year(o_orderdate)::bigint as year from orders""",
     "label_render": """select c_custkey, lower(c_mktsegment) as label, printf('balance:%+.2f | nation:%+.2f', c_acctbal, -c_nationkey::double) listed from customer""",
 }
