@@ -28,7 +28,7 @@ from tessera.storage import broadcast_if_small, materialize
 
 WINDOW = 10
 #: Benchmark words per FM-index; bytes of text of a batch.
-SHARD_SYMBOLS, SHARD_BYTES = 200_000, 6 << 20
+SHARD_SYMBOLS, SHARD_BYTES = 200_000, 1 << 20
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 #: Every so many positions of a run the suffix position is kept.
 SAMPLE = 8

@@ -63,7 +63,7 @@ def units(text: str) -> list[tuple[int, bytes, int]]:
 
 
 def _digests(batches, key: str):
-    for b in chunks(batches, TEXT, 3 << 20):
+    for b in chunks(batches, TEXT, 1 << 20):
         keys, at, raw = [], [], []
         for k, t in zip(b.column(key).to_pylist(), b.column(TEXT).to_pylist(), strict=True):
             if k is None or not t:
@@ -130,7 +130,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     names, counted = base.columns, "n_chars" in base.columns and text != "n_chars"
 
     def run(batches):
-        for b in chunks(batches, text, 3 << 20):
+        for b in chunks(batches, text, 1 << 20):
             texts, spans, size = b.column(text).to_pylist(), [], b.column("n_chars").to_pylist() if counted else []
             for i, m in enumerate(b.column(UNITS).to_pylist()):
                 cut = removal(texts[i], m) if m and texts[i] else []

@@ -37,7 +37,7 @@ TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 20_000
 LANDMARKS, NEGATIVES, DECAY, SPAN = 160, 12_000, 0.6, 7
 ROUNDS = 5
 THRESHOLD = 0.7
-CACHE_WORDS = 100_000
+CACHE_WORDS = 60_000
 LOWEST = -3.0
 #: The text's name beside columns that are carried along.
 TEXT = "__tessera_text"
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
 
     def run(batches):
         model, known = shared.value, {}
-        for b in chunks(batches, TEXT, 2 << 20):
+        for b in chunks(batches, TEXT, 1 << 20):
             bags = [tokens(t) if t else () for t in b.column(TEXT).to_pylist()]
             new = list({t for bag in bags for t in bag if t not in known})
             if len(known) + len(new) > CACHE_WORDS:
