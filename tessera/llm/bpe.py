@@ -29,7 +29,7 @@ WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
 
 #: Words kept with their encoding, by a worker; beyond it the memory starts anew, which costs time only.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 180_000
 #: Bytes of text in one batch.
 BATCH_BYTES = 1 << 20
 
