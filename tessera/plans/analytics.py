@@ -360,16 +360,30 @@ def graph_export(s, d):
 
 
 def link_best_match(s, d):
-    """Parts against cleaned names of other parts that share a word; best weighted score, then its status."""
+    """Each part against all other parts whose name shares a word; best weighted score (ties to the lower key), then its status.
+
+    Names are scored once a pair of distinct names. Two candidates are kept of each name and size, since a part passes
+    over at most one, itself.
+    """
     from tessera.functions.scores import fuzzy_ratio
 
-    p = table(s, d, "part").select("p_partkey", F.lower("p_name").alias("name"), "p_size").where("p_partkey <= 100")
-    q = table(s, d, "part").select(F.col("p_partkey").alias("k"), F.lower("p_name").alias("other"), F.col("p_size").alias("size")).where("p_partkey % 7 = 0")
-    token = lambda df, c: df.withColumn("t", F.explode(F.array_distinct(F.split(c, " "))))
-    c = token(p, "name").join(token(q, "other"), "t").where("p_partkey <> k").drop("t").distinct()
-    score = 0.85 * fuzzy_ratio(F.col("name"), F.col("other")) + 0.15 * F.when(F.abs(F.col("p_size") - F.col("size")) <= 2, 100).otherwise(50)
-    best = O.first_by(c.withColumn("score", score), ["p_partkey"], F.desc("score"), F.col("k"))
-    return best.select("p_partkey", F.col("k").alias("matched"), "score", F.when(F.col("score") >= 80, "matched").otherwise("review").alias("status"))
+    p = table(s, d, "part").select("p_partkey", F.lower("p_name").alias("name"), F.col("p_size").alias("size")).where("p_partkey is not null and name is not null")
+    two = lambda df, *keys: O.top_n_per_group(df.select(*keys, "k").distinct(), keys, [F.col("k")], 2).drop("rank")
+    held = materialize(two(p.withColumnRenamed("p_partkey", "k"), "name", "size"), "candidates")
+    near = two(held.withColumn("size", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2))), "name", "size")
+    names = held.select("name").distinct().withColumn("t", F.explode(F.array_distinct(F.split("name", " "))))
+    pairs = names.join(names.withColumnRenamed("name", "other"), "t").select("name", "other").distinct()
+    pairs = materialize(pairs.withColumn("ratio", fuzzy_ratio(F.col("name"), F.col("other"))), "names")
+    c = held.select("name", "size").distinct().join(pairs, "name")
+    score = lambda size: 0.85 * F.col("ratio") + 0.15 * F.lit(size)
+    close = c.join(near.withColumnRenamed("name", "other"), ["other", "size"]).select("name", "size", "k", score(100).alias("score"))
+    c = close.unionByName(c.join(two(held, "name").withColumnRenamed("name", "other"), "other").select("name", "size", "k", score(50).alias("score")))
+    c = O.top_n_per_group(c.groupBy("name", "size", "k").agg(F.max("score").alias("score")), ["name", "size"], [F.desc("score"), F.col("k")], 2)
+    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.struct("k", "score")))
+    c = c.groupBy("name", "size").agg(at(1).alias("first"), at(2).alias("second")).withColumnsRenamed({"name": "n", "size": "z"})
+    best = p.join(c, (F.col("name") == F.col("n")) & F.col("size").eqNullSafe(F.col("z"))).withColumn("best", F.when(F.col("first.k") != F.col("p_partkey"), F.col("first")).otherwise(F.col("second"))).where("best is not null")
+    best = best.groupBy("p_partkey").agg(F.max_by("best", F.struct("best.score", -F.col("best.k"))).alias("best"))  # rows that repeat a key are one part
+    return best.select("p_partkey", F.col("best.k").alias("matched"), "best.score", F.when(F.col("best.score") >= 80, "matched").otherwise("review").alias("status"))
 
 
 def musical_key(s, d):
