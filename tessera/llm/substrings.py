@@ -4,8 +4,11 @@ Method: a text is cut into lines, and lines into units at sentence ends and befo
 LONG_UNIT words is cut again after words chosen by their checksum, so equal passages are cut alike). A unit is
 normalised to its lower-case alphanumeric words and digested (128 bits). Digests are grouped globally; the occurrence
 of the lowest (key, position) stays. All others are marked; marked units that follow each other form runs, and runs of
-MIN_WORDS words or more are removed. Units of fewer than TINY words are not digested; they join the marked units
-around them. Offsets of what was removed refer to the original text.
+MIN_WORDS words or more are removed. Units of fewer than TINY words that follow each other (one-word lines, "WORD!!
+WORD!!") are merged first, cut where the checksum of one is the lowest among its REACH neighbours on either side, so equal
+lists are cut alike wherever they stand. What stays below TINY words, alone between longer units, is not digested; it
+joins the marked units around it. In scripts without blanks units end at their own full stops, and two letters count as a
+word. Offsets of what was removed refer to the original text.
 
 Each task first resolves the repeats inside its own batch and sends on one row a digest, so a unit that a third of all
 documents share arrives as few rows.
@@ -30,36 +33,71 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from tessera.llm.common import arrow_map, alnum_words, chunks
 
 MIN_WORDS, TINY, LONG_UNIT, CUT_EVERY = 12, 3, 40, 8
+#: Of short units that are merged: the neighbours a cut is chosen among, and the most of one merged unit.
+REACH, MOST = 3, 12
 #: Names beside columns that are carried along.
 TEXT, KEY, UNITS = "__tessera_text", "__tessera_key", "__tessera_units"
-_EDGE = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+|(?<=[^\s.!?…])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][^\sA-ZÀ-ÖØ-Þ])")
+_EDGE = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+|(?<=[^\s.!?…])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][^\sA-ZÀ-ÖØ-Þ])|(?<=[。！？])(?![。！？\s])")
 _SPACE = re.compile(r"\s+")
+#: Letters (with their signs) of Thai, Lao, Tibetan, Burmese, Khmer, Japanese and Chinese; and the signs of the last two.
+_UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_SIGNS = re.compile("[\u3000-\u303f\uff00-\uff0f\uff1a-\uff20]")
 _SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
 
 
 def units(text: str) -> list[tuple[int, bytes, int]]:
     """(start, normalised unit, words) in order; a unit reaches up to the next one's start."""
-    out, at = [], 0
+    out, at, short = [], 0, []
+    unspaced = _UNSPACED.search(text) is not None
     ends = [m.end() for m in _EDGE.finditer(text)]
     for end in (*ends, len(text)):
         if end <= at:
             continue
         words = alnum_words(text[at:end].encode())
+        n = _count(text[at:end]) if unspaced else len(words)
+        if n < TINY:
+            short.append((at, b" ".join(words), n))
+            at = end
+            continue
+        if short:
+            out += _merged(short)
+            short = []
         if len(words) <= LONG_UNIT:
-            out.append((at, b" ".join(words), len(words)))
+            out.append((at, b" ".join(words), n))
         else:
             start, piece = at, text[at:end]
             for m in _SPACE.finditer(piece):
                 a = at + m.end()
                 last = alnum_words(text[start : a].encode())
                 if last and zlib.crc32(last[-1]) % CUT_EVERY == 0 or len(last) > LONG_UNIT * CUT_EVERY:
-                    out.append((start, b" ".join(last), len(last)))
+                    out.append((start, b" ".join(last), _count(text[start:a]) if unspaced else len(last)))
                     start = a
             if start < end:
                 words = alnum_words(text[start:end].encode())
-                out.append((start, b" ".join(words), len(words)))
+                out.append((start, b" ".join(words), _count(text[start:end]) if unspaced else len(words)))
         at = end
-    return out
+    return out + _merged(short)
+
+
+def _count(piece: str) -> int:
+    """Words; two letters of a script without blanks are one."""
+    letters, piece = len(_UNSPACED.findall(piece)), _SIGNS.sub(" ", _UNSPACED.sub(" ", piece))
+    return len(alnum_words(piece.encode())) + (letters + 1) // 2
+
+
+def _merged(short: list[tuple[int, bytes, int]]) -> list[tuple[int, bytes, int]]:
+    """Short units that follow each other, as units of TINY words or more; fewer words than that stay as they are."""
+    filled = [i for i, u in enumerate(short) if u[2]]
+    if sum(u[2] for u in short) < TINY:
+        return short
+    sums, least = [zlib.crc32(short[i][1]) for i in filled], max(REACH, TINY - 1) + 1
+    starts = [0]
+    for j in range(least, len(filled) - least + 1):  # between filled[j - 1] and filled[j]
+        x, left, right = sums[j - 1], sums[j - 1 - REACH : j - 1], sums[j : j + REACH]
+        if x < min(left) and x <= min(right) or j - starts[-1] >= MOST:
+            starts.append(j)
+    edges = [0, *(filled[j] for j in starts[1:]), len(short)]
+    return [(short[a][0], b" ".join(u[1] for u in short[a:b] if u[1]), sum(u[2] for u in short[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _digests(batches, key: str):

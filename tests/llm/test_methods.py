@@ -171,6 +171,29 @@ def test_removal_needs_a_run_of_words():
     assert substrings.removal(text, [0, 1, 2]) == [(0, text.index("End"))]
 
 
+def removed_copies(texts):
+    """The share of words removed from each text, after those before it."""
+    seen, shares = set(), []
+    for text in texts:
+        found = substrings.units(text)
+        cut = substrings.removal(text, [i for i, u in enumerate(found) if u[2] >= substrings.TINY and u[1] in seen])
+        shares.append(sum(b - a for a, b in cut) / len(text))
+        seen |= {u[1] for u in found}
+    return shares
+
+
+def test_repeats_of_short_units():
+    rng = random.Random(3)
+    shout, names = "WORD!! " * 160, "\n".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80)) + "\n"
+    more = "\n".join("".join(rng.choices("ijklmnop", k=6)) for _ in range(30)) + "\n"
+    chinese = "这是一个没有空格的句子而且它很长很长。第二个句子也在这里等着被人发现！" * 2
+    for text in (shout, names, chinese, chinese.replace("。", "").replace("！", "") + "\n"):
+        assert removed_copies([text, text])[1] == 1
+        assert removed_copies([text, "Here is some fresh text of its own.\n" + text])[1] > 0.9 * len(text) / (len(text) + 36)
+    assert removed_copies([names, more + names + more])[1] > 0.8 * len(names) / len(more + names + more)
+    assert removed_copies([names, more]) == [0, 0]
+
+
 # HTML
 
 ARTICLE = "The quick brown fox is in the garden and it was looking for the dog that had been with us for so long, but the dog was not there and so the fox went on to the other side of the river where it had been before, and slept."
