@@ -243,7 +243,7 @@ def profile_deviation(s, d):
     return j.groupBy("year").agg(R6(F.sqrt(F.sum(F.col("z") * F.col("z") * F.col("w") / F.col("t")))).alias("weighted"), R6(F.sqrt(F.sum(F.col("z") * F.col("z")))).alias("plain"))
 
 
-def bootstrap_ci(s, d, resamples: int = 500):
+def bootstrap_ci(s, d, resamples: int = 2000):
     """Resamples of the groups drawn by hash, so a run repeats; the groups are few, the draws resamples times groups."""
     f = _long(s, d).withColumn("slot", F.row_number().over(Window.partitionBy("feature").orderBy("year")) - 1)
     n = f.groupBy("feature").agg(F.count("*").alias("n"))

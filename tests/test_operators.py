@@ -134,3 +134,11 @@ def test_tsne_keeps_groups_apart():
     y = V.tsne(x, 5)
     inner = np.linalg.norm(y[:15] - y[:15].mean(0), axis=1).mean()
     assert np.linalg.norm(y[:15].mean(0) - y[15:].mean(0)) > 2 * inner
+
+
+def test_bootstrap_draws_the_references_resamples(spark, sf):
+    from tessera.plans import analytics
+
+    rows = lambda *n: {r["feature"]: r["low"] for r in analytics.bootstrap_ci(spark, sf, *n).collect()}
+    got, want = rows(), rows(2000)
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], rel=1e-9) for f in want)
