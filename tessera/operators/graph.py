@@ -7,7 +7,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tessera.storage import materialize
+from tessera.storage import contained, materialize
 
 
 def edges_from_pairs(pairs: DataFrame, k: int = 5, least: float = 0.32) -> DataFrame:
@@ -29,6 +29,7 @@ def degrees(edges: DataFrame) -> DataFrame:
     return both_ways(edges, "weight").groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"), F.sum("weight").alias("weighted_degree"))
 
 
+@contained
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
     """Weighted; dangling mass goes to all nodes alike. Lineage is cut by written tables every round."""
     n = nodes.count()
@@ -46,6 +47,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return rank
 
 
+@contained
 def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """Power iteration on A + I (same vector, no oscillation), normalised every round."""
     n = nodes.count()
@@ -62,6 +64,7 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance
     return x
 
 
+@contained
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component), the smallest id reachable; each round takes neighbours' labels, then labels of labels."""
     both = materialize(both_ways(edges), "components")
@@ -76,6 +79,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+@contained
 def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Peeling; nodes of the least degree level go together until none is left."""
     live, done, k = materialize(edges.select("a", "b"), "core"), None, 0
@@ -116,6 +120,7 @@ def modularity(edges: DataFrame, groups: DataFrame, resolution: float = 1.0) ->
     return part.agg(F.sum("q").alias("modularity"))
 
 
+@contained
 def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Minimum spanning forest on ``distance`` by Borůvka; ties by (distance, a, b), so the forest is unique."""
     e = materialize(edges.select("a", "b", "distance"), "forest")

@@ -2,51 +2,103 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
+import functools
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, taken from ``spark.checkpoint.dir``; only a session without one gets its own."""
+    """Folder for intermediate tables, taken from ``spark.checkpoint.dir``. A local session without one gets its own; on
+    a cluster, whose machines do not share a local folder, that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_SCRATCH: list[list[str]] = []
+_LOCAL = threading.local()
+#: Tables that results may still read, for ``release``.
+_KEPT: set[str] = set()
+_LOCK = threading.Lock()
+
+
+def _open() -> list[list[str]]:
+    """The paths of this thread's open scratches, the innermost last."""
+    if not hasattr(_LOCAL, "scratches"):
+        _LOCAL.scratches = []
+    return _LOCAL.scratches
+
+
+def _delete(spark: SparkSession, paths) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables materialized inside are deleted at the end, but for those kept: what leaves must be kept."""
-    _SCRATCH.append([])
+    """Tables that this thread materializes inside are deleted at the end, but for those kept: what leaves must be kept."""
+    _open().append([])
     try:
         yield
     finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _SCRATCH.pop():
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+        _delete(spark, _open().pop())
 
 
 def materialize(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    Inside ``scratch`` the table lives as long as that; ``keep``: as long as the scratch around it, if there is one.
+    Inside ``scratch`` the table lives as long as that; ``keep``: as long as the scratch around it, if there is one. A
+    table without a scratch belongs to a result and lives until ``release`` or the end of the program.
     """
-    spark = df.sparkSession
+    spark, held = df.sparkSession, _open()
     path = f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-    if len(_SCRATCH) > keep:
-        _SCRATCH[-1 - keep].append(path)
+    if len(held) > keep:
+        held[-1 - keep].append(path)
+    else:
+        with _LOCK:
+            _KEPT.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def contained(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For a function of tables (the first argument is one): its result is written and its other tables deleted."""
+
+    @functools.wraps(fn)
+    def run(first: DataFrame, *args, **options) -> DataFrame:
+        with scratch(first.sparkSession):
+            return materialize(fn(first, *args, **options), fn.__name__, keep=True)
+
+    return run
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables behind earlier results; call it when they have been read."""
+    with _LOCK:
+        paths, _ = list(_KEPT), _KEPT.clear()
+    _delete(spark, paths)
+
+
+@atexit.register
+def _release_at_end() -> None:
+    spark = SparkSession.getActiveSession() if _KEPT else None
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            release(spark)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """A broadcast hint when ``df`` (cheap to count: a materialized table) has at most ``max_rows`` rows, else ``df``
     itself, so that Spark shuffles it. ``max_rows`` times the row width is the proven bound of the broadcast."""
