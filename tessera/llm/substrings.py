@@ -10,13 +10,14 @@ lists are cut alike wherever they stand. What stays below TINY words, alone betw
 joins the marked units around it. In scripts without blanks units end at their own full stops, and two letters count as a
 word. Offsets of what was removed refer to the original text.
 
-Each task first resolves the repeats inside its own batch and sends on one row a digest, so a unit that a third of all
-documents share arrives as few rows.
+Each task first resolves the repeats inside its own batches and remembers the least occurrence of RECENT digests, so a
+unit that a third of all documents share arrives as a few rows of each task, not of each batch.
 
 Defined results: null texts stay null and empty ones empty; rows without a key are left as they are and serve as no
-source; rows that repeat a key are one document, so none removes the other's text; ties cannot occur, since positions
-in one document differ; texts of any length are treated whole; an empty table gives an empty table; extra columns are
-carried along, and a column named ``removed`` is replaced.
+source; rows equal in key and text are treated alike, none removes the other's text; rows with one key and different
+texts are documents of their own, in the order of their texts' hashes, and none loses what is only the other's; keys
+are of any type that has an order; texts of any length are treated whole; an empty table gives an empty table; extra
+columns are carried along, a column named ``removed`` is replaced, and ``n_chars`` is counted again if it is a number.
 """
 
 from __future__ import annotations
@@ -28,15 +29,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegralType, LongType, StructField, StructType
 
 from tessera.llm.common import arrow_map, alnum_words, chunks
 
 MIN_WORDS, TINY, LONG_UNIT, CUT_EVERY = 12, 3, 40, 8
 #: Of short units that are merged: the neighbours a cut is chosen among, and the most of one merged unit.
 REACH, MOST = 3, 12
+#: Digests (40 bytes each) whose least occurrence a task remembers between batches; integer keys only.
+RECENT = 1 << 18
 #: Names beside columns that are carried along.
-TEXT, KEY, UNITS = "__tessera_text", "__tessera_key", "__tessera_units"
+TEXT, HASH, UNITS = "__tessera_text", "__tessera_hash", "__tessera_units"
 _EDGE = re.compile(r"\n+|(?<=[.!?…])[^\S\n]+|(?<=[^\s.!?…])[^\S\n]+(?=[A-ZÀ-ÖØ-Þ][^\sA-ZÀ-ÖØ-Þ])|(?<=[。！？])(?![。！？\s])")
 _SPACE = re.compile(r"\s+")
 #: Letters (with their signs) of Thai, Lao, Tibetan, Burmese, Khmer, Japanese and Chinese; and the signs of the last two.
@@ -100,40 +103,69 @@ def _merged(short: list[tuple[int, bytes, int]]) -> list[tuple[int, bytes, int]]
     return [(short[a][0], b" ".join(u[1] for u in short[a:b] if u[1]), sum(u[2] for u in short[a:b])) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _digests(batches, key: str):
+class _Recent:
+    """Of some digests the least occurrence (key, text hash, unit) that this task has sent, one a slot."""
+
+    def __init__(self):
+        self.slots = np.zeros((5, RECENT), np.int64)
+        self.used = np.zeros(RECENT, bool)
+
+    def later(self, d: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which of these occurrences (one a digest) come after one sent before; the others are remembered."""
+        slot = d[:, 0] & (RECENT - 1)
+        old = self.slots[:, slot]
+        same = self.used[slot] & (old[0] == d[:, 0]) & (old[1] == d[:, 1])
+        k, t, u = old[2:]
+        after = same & ((k < place[0]) | (k == place[0]) & ((t < place[1]) | (t == place[1]) & (u < place[2])))
+        new = ~after
+        self.slots[:, slot[new]] = np.concatenate((d[new].T, place[:, new]))
+        self.used[slot[new]] = True
+        return after
+
+
+def _digests(batches):
+    """From rows (key, text, hash): (h1, h2, k, t, unit, known) of the units that others may repeat."""
+    recent = _Recent()
     for b in chunks(batches, TEXT, 1 << 20):
-        keys, at, raw = [], [], []
-        for k, t in zip(b.column(key).to_pylist(), b.column(TEXT).to_pylist(), strict=True):
+        rows, at, raw = [], [], []
+        for row, (k, t) in enumerate(zip(b.column(0).to_pylist(), b.column(TEXT).to_pylist(), strict=True)):
             if k is None or not t:
                 continue
             for i, (_, unit, n) in enumerate(units(t)):
                 if n >= TINY:
-                    keys.append(k)
+                    rows.append(row)
                     at.append(i)
                     raw.append(xxhash.xxh3_128_digest(unit))
         if not raw:
             continue
-        d = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2)
-        keys, at = np.array(keys, np.int64), np.array(at, np.int64)
-        order = np.lexsort((at, keys, d[:, 1], d[:, 0]))
-        d, keys, at = d[order], keys[order], at[order]
+        d, rows, at = np.frombuffer(b"".join(raw), np.int64).reshape(-1, 2), np.array(rows), np.array(at, np.int64)
+        integral = pa.types.is_integer(b.column(0).type)
+        keys = b.column(0).fill_null(0).to_numpy().astype(np.int64) if integral else np.unique(b.column(0).fill_null(min(x for x in b.column(0).to_pylist() if x is not None)).to_pylist(), return_inverse=True)[1]
+        place = np.stack((keys[rows], b.column(HASH).to_numpy()[rows], at))
+        order = np.lexsort((*place[::-1], d[:, 1], d[:, 0]))
+        d, rows, place = d[order], rows[order], place[:, order]
         fresh = np.concatenate(([True], (d[1:] != d[:-1]).any(axis=1)))
         lead = np.maximum.accumulate(np.where(fresh, np.arange(len(d)), 0))
-        known = (keys != keys[lead]) | (at != at[lead])  # a lower occurrence stands in this very batch
+        known = (place != place[:, lead]).any(axis=0)  # a lower occurrence stands in this very batch
+        again = ~known & ~fresh  # a row repeated as a whole
+        if integral:
+            after = recent.later(d[fresh], place[:, fresh])
+            known |= after[np.cumsum(fresh) - 1]
         d = d.copy()
         d[known, 0] = order[known]  # resolved rows spread over the tasks instead of meeting their group
-        again = ~known & ~fresh  # a row repeated as a whole
-        send = ~again
-        yield pa.RecordBatch.from_arrays([pa.array(x[send]) for x in (d[:, 0], d[:, 1], keys, at, known)], ["h1", "h2", "k", "unit", "known"])
+        send = np.flatnonzero(~again)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(d[send, 0]), pa.array(d[send, 1]), b.column(0).take(pa.array(rows[send])), pa.array(place[1, send]), pa.array(place[2, send]), pa.array(known[send])], ["h1", "h2", "k", "t", "unit", "known"]
+        )
 
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(k, units array<bigint>): the numbers of the units that repeat an earlier occurrence."""
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(TEXT))
-    sent = arrow_map(rows, lambda batches: _digests(batches, key), "h1 long, h2 long, k long, unit long, known boolean")
-    w = Window.partitionBy("h1", "h2").orderBy("known", "k", "unit")
+    """(k, t, units array<bigint>): by key and hash of the text the numbers of the units that repeat an earlier occurrence."""
+    rows = docs.select(F.col(key), F.col(text).alias(TEXT), F.xxhash64(text).alias(HASH))
+    sent = arrow_map(rows, _digests, StructType([StructField(n, LongType()) for n in ("h1", "h2")] + [StructField("k", docs.schema[key].dataType)] + [StructField(n, LongType()) for n in ("t", "unit")] + [StructField("known", BooleanType())]))
+    w = Window.partitionBy("h1", "h2").orderBy("known", "k", "t", "unit")
     marked = sent.withColumn("r", F.rank().over(w)).where(F.col("known") | (F.col("r") > 1))
-    return marked.groupBy("k").agg(F.sort_array(F.collect_set("unit")).alias("units"))
+    return marked.groupBy("k", "t").agg(F.sort_array(F.collect_set("unit")).alias("units"))
 
 
 def removal(text: str, marked: list[int]) -> list[tuple[int, int]]:
@@ -161,11 +193,11 @@ def removal(text: str, marked: list[int]) -> list[tuple[int, int]]:
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the repeated passages cut out of ``text`` (``n_chars``, if there, counted again for changed rows),
     and ``removed`` array<struct<start,end>> in characters of the original text."""
-    marked = repeated_units(docs, key, text).select(F.col("k").alias(KEY), F.col("units").alias(UNITS))
     base = docs.drop("removed")
-    joined = base.join(marked, base[key].cast("long") == F.col(KEY), "left").drop(KEY)
+    marked = repeated_units(base, key, text).select(F.col("k").alias(f"{HASH}_k"), F.col("t").alias(HASH), F.col("units").alias(UNITS))
+    joined = base.withColumn(f"{HASH}_t", F.xxhash64(text)).join(marked, (F.col(key) == F.col(f"{HASH}_k")) & (F.col(f"{HASH}_t") == F.col(HASH)), "left").drop(HASH, f"{HASH}_k", f"{HASH}_t")
     schema = StructType([*base.schema.fields, StructField("removed", ArrayType(_SPAN))])
-    names, counted = base.columns, "n_chars" in base.columns and text != "n_chars"
+    names, counted = base.columns, "n_chars" in base.columns and text != "n_chars" and isinstance(base.schema["n_chars"].dataType, IntegralType)
 
     def run(batches):
         for b in chunks(batches, text, 1 << 20):
