@@ -7,9 +7,10 @@ searched backwards together; the matching rows are located by walking to the nex
 occurrences are merged into removal spans.
 
 Defined results: null and empty texts have no words, spans or items; items without words have no phrase; equal items
-are each reported; documents of any length are indexed whole (a shard takes whole documents until its bound); empty
-tables give empty results; further columns are carried along, those named like an output are replaced. The benchmark
-is broadcast in blocks of ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes; a larger one takes more blocks, each over all documents.
+are each reported; rows that repeat a key, with one text or several, are searched and cut each for itself; documents of
+any length are indexed whole (a shard takes whole documents until its bound); empty tables give empty results; further
+columns are carried along, those named like an output are replaced. The benchmark is broadcast in blocks of
+``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes; a larger one takes more blocks, each over all documents.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from tessera.llm.common import arrow_map, alnum_words, chunks, utf8
-from tessera.storage import broadcast_if_small, materialize
+from tessera.storage import materialize
 
 WINDOW = 10
 #: Benchmark words per FM-index; bytes of text of a batch.
@@ -33,7 +34,7 @@ BLOCK_ITEMS, BLOCK_BYTES = 20_000, 8 << 20
 #: Every so many positions of a run the suffix position is kept.
 SAMPLE = 8
 #: Names beside columns that are carried along.
-KEY, SPANS = "__tessera_key", "__tessera_spans"
+TEXT, ROW = "__tessera_text", "__tessera_row"
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 
@@ -238,52 +239,64 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, hit_words array<struct<start,end>> in word numbers, item_ids array<bigint>) for every document."""
-    spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
-    source = docs.select(F.col(key), utf8(text).alias("text"))
-    schema = StructType([docs.schema[key], *_FOUND])
-    results = []
-    for block in _blocks(benchmark, item, item_text):
-        shared = sc.broadcast(block)
-
-        def run(batches, shared=shared):
-            phrases = Phrases(shared.value, window)
-            for b in chunks(batches, "text", SHARD_BYTES):
-                texts = [alnum_words(t) for t in b.column("text").to_pylist()]
-                found: list = []
-                some, symbols = [], 0
-                for words in texts:
-                    some.append(words)
-                    symbols += len(words)
-                    if symbols >= SHARD_SYMBOLS:
-                        found += search_shard(some, phrases)
-                        some, symbols = [], 0
-                found += search_shard(some, phrases)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        b.column(0),
-                        pa.array([len(t) for t in texts], pa.int64()),
-                        pa.array([[{"start": x, "end": y} for x, y in _merged(h)] for h, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([sorted(i) for _, i in found], pa.list_(pa.int64())),
-                    ],
-                    [key, "n_words", "hit_words", "item_ids"],
-                )
-
-        results.append(arrow_map(source, run, schema))
-    if len(results) == 1:
-        return results[0]
-    # Several blocks: only documents with hits meet again, as one row a block; their spans merge once more.
+    found = _searched(docs.select(F.col(key), F.col(text).alias(TEXT)), TEXT, benchmark, item, item_text, window)
+    return found.select(key, *(F.col(f"__tessera_{f.name}").alias(f.name) for f in _FOUND))
+
+
+def _searched(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int) -> DataFrame:
+    """``docs`` with the columns of _FOUND, each under a name of its own, row by row: rows never meet by their keys."""
+    blocks = _blocks(benchmark, item, item_text)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _search(docs, text, first, window)
+    # Several blocks: each is searched over the rows' numbers and texts, and what it finds in a row merges once more.
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
+    slim = rows.select(ROW, text)
+    results = [_search(slim, text, block, window).drop(text) for block in (first, second, *blocks)]
     both = materialize(reduce(DataFrame.unionByName, (r.withColumn("block", F.lit(k)) for k, r in enumerate(results))), "phrases")
-    spans = both.where(F.size("item_ids") > 0).select(key, F.explode("hit_words").alias("s")).select(key, "s.*")
-    w = Window.partitionBy(key).orderBy("start", "end")
+    n_words, hit_words, item_ids = (f"__tessera_{f.name}" for f in _FOUND)
+    hits = both.where(F.size(item_ids) > 0)
+    w = Window.partitionBy(ROW).orderBy("start", "end")
+    spans = hits.select(ROW, F.explode(hit_words).alias("s")).select(ROW, "s.*")
     spans = spans.withColumn("reach", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     spans = spans.withColumn("part", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w))
-    spans = spans.groupBy(key, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    spans = spans.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("hit_words"))
-    items = both.select(key, F.explode("item_ids").alias("i")).groupBy(key).agg(F.sort_array(F.collect_set("i")).alias("item_ids"))
-    return (
-        both.where("block = 0").select(key, "n_words").join(spans, key, "left").join(items, key, "left")
-        .select(key, "n_words", F.coalesce("hit_words", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("hit_words"), F.coalesce("item_ids", F.expr("cast(array() as array<bigint>)")).alias("item_ids"))
-    )
+    spans = spans.groupBy(ROW, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(hit_words))
+    items = hits.select(ROW, F.explode(item_ids).alias("i")).groupBy(ROW).agg(F.sort_array(F.collect_set("i")).alias(item_ids))
+    none = lambda f: F.coalesce(F.col(f"__tessera_{f.name}"), F.array().cast(f.dataType)).alias(f"__tessera_{f.name}")
+    merged = both.where("block = 0").select(ROW, n_words).join(spans, ROW, "left").join(items, ROW, "left")
+    return rows.join(merged, ROW).select(*docs.columns, n_words, none(_FOUND[1]), none(_FOUND[2]))
+
+
+def _search(docs: DataFrame, text: str, block: list[tuple[int, bytes]], window: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+    names = [*docs.columns, *(f"__tessera_{f.name}" for f in _FOUND)]
+    schema = StructType([*docs.schema.fields, *(StructField(f"__tessera_{f.name}", f.dataType) for f in _FOUND)])
+
+    def run(batches):
+        phrases = Phrases(shared.value, window)
+        for b in chunks(batches, text, SHARD_BYTES):
+            texts = [alnum_words(t) for t in b.column(text).fill_null("").cast(pa.binary()).to_pylist()]
+            found: list = []
+            some, symbols = [], 0
+            for words in texts:
+                some.append(words)
+                symbols += len(words)
+                if symbols >= SHARD_SYMBOLS:
+                    found += search_shard(some, phrases)
+                    some, symbols = [], 0
+            found += search_shard(some, phrases)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *b.columns,
+                    pa.array([len(t) for t in texts], pa.int64()),
+                    pa.array([[{"start": x, "end": y} for x, y in _merged(h)] for h, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array([sorted(i) for _, i in found], pa.list_(pa.int64())),
+                ],
+                names,
+            )
+
+    return arrow_map(docs, run, schema)
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -309,13 +322,14 @@ def cut_words(text: str | None, spans: list | None) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def remove_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with the contaminated spans cut out of ``text`` (and ``n_chars``, if there, counted again)."""
-    found = materialize(find_phrases(docs, benchmark, key, text, **options), "phrases").where(F.size("item_ids") > 0)
-    spans = found.select(F.col(key).alias(KEY), F.col("hit_words").alias(SPANS))
+def remove_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``docs`` with the contaminated spans cut out of ``text`` (and ``n_chars``, if there, counted again), each row by
+    its own spans: the key is not read."""
+    found = _searched(docs, text, benchmark, item, item_text, window)
+    spans = F.col("__tessera_hit_words")
     clean = F.udf(cut_words, "string", useArrow=True)
-    joined = docs.join(broadcast_if_small(spans.dropDuplicates([KEY]), 20_000), docs[key] == F.col(KEY), "left")
-    out = joined.withColumn(text, clean(F.col(text), F.col(SPANS)))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType)))
+    hit = F.size(spans) > 0
+    out = found.withColumn(text, F.when(hit, clean(F.when(hit, F.col(text)), F.when(hit, spans))).otherwise(F.col(text)))
+    if "n_chars" in docs.columns and text != "n_chars":
+        out = out.withColumn("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

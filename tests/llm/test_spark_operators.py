@@ -149,9 +149,39 @@ def test_repeats_of_odd_tables(odd, docs, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_one_key_with_different_texts(spark):
+    """A text that no one shares stays whole, whatever other rows of its key lose."""
+    rng = random.Random(31)
+    a, b, c = prose(rng, 8), prose(rng, 9), prose(rng, 7)
+    rows = [(1, a), (2, a), (2, b), (2, b), (3, c + "\n" + b), (4, None), (4, "")]
+    for schema, name in (("doc_id long, text string", int), ("doc_id string, text string", str)):
+        d = spark.createDataFrame([(name(i), t) for i, t in rows], schema)
+        got = sorted(((r.doc_id, r.text, len(r.removed)) for r in substrings.remove_repeats(d).collect()), key=str)
+        assert got == sorted([(name(1), a, 0), (name(2), "", 1), (name(2), b, 0), (name(2), b, 0), (name(3), c + "\n", 1), (name(4), None, 0), (name(4), "", 0)], key=str)
+
+
+def test_repeats_with_few_remembered_digests(docs, rows, monkeypatch):
+    monkeypatch.setattr(substrings, "RECENT", 4)
+    want = brute_repeats([(r[0], r[1]) for r in rows])
+    assert {r.doc_id: [(x.start, x.end) for x in r.removed] for r in substrings.remove_repeats(docs.repartition(2).withColumn("n_chars", F.lit("many"))).collect()} == want
+
+
 BENCH = "item_id long, text string"
 
 
+@pytest.mark.parametrize("items", [20_000, 1])
+def test_phrases_of_one_key_with_different_texts(spark, monkeypatch, items):
+    monkeypatch.setattr(fmindex, "BLOCK_ITEMS", items)
+    rng = random.Random(32)
+    long, tail = prose(rng, 6), prose(rng, 2)
+    d = spark.createDataFrame([(1, tail), (2, long + " " + tail), (2, "short one"), (2, "short one"), (2, None)], "doc_id long, text string")
+    b = spark.createDataFrame([(7, long), (8, "another " + long), (9, "not here")], BENCH)
+    found = sorted((r.doc_id, r.n_words, r.item_ids) for r in fmindex.find_phrases(d, b).collect())
+    assert found == sorted([(1, len(alnum_words(tail.encode())), []), (2, len(alnum_words((long + " " + tail).encode())), [7, 8]), (2, 2, []), (2, 2, []), (2, 0, [])])
+    cut = [(r.doc_id, (r.text or "None").strip()) for r in fmindex.remove_phrases(d, b).collect()]
+    assert sorted(cut) == sorted([(1, tail), (2, tail), (2, "short one"), (2, "short one"), (2, "None")])
+
+
 def test_phrases_in_blocks(spark, docs, rows, monkeypatch):
     texts = {r[0]: r[1] for r in rows}
     bench = [(1, texts[7]), (2, texts[8]), (3, texts[8]), (4, "two words"), (5, None), (6, "!!"), (7, "nowhere to be found at all in these texts my dear"), (8, texts[119])]
