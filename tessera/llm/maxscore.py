@@ -6,8 +6,10 @@ largest tail whose whole gain cannot lift a row over the k-th best score so far
 postings are summed for all rows of the shard; the others are probed for the rows still competitive. Each task keeps
 its k best of a query over all its shards, and the tasks' lists are merged.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, neither do null ids;
-shorter vectors count as filled up with zeros; equal scores go to the smaller id; a query with fewer than k candidates
+Defined results: vectors that are null or hold null or non-finite components take no part, neither do null ids; shorter
+vectors count as filled up with zeros, so empty ones score 0; every finite component is taken exactly, whatever its size
+(shards with products beyond 2^53 are summed in whole numbers without a bound), and a score beyond 64 bits is the
+nearest 64-bit number; equal scores go to the smaller id; a query with fewer than k candidates
 gets all; rows that repeat an id are candidates of their own, except to the query of that id; an empty table gives an
 empty table; extra columns are not read. Queries are broadcast in blocks of ``QUERY_BLOCK`` rows, as many as it takes.
 """
@@ -21,20 +23,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.llm.common import arrow_map
-from tessera.storage import materialize
+from tessera.storage import materialize, scratch
 
 QUERY_BLOCK = 8192
 SHARD_ROWS = 4096
 PROBE = 8
-#: Sums of products up to here are exact in doubles; beyond it integers are used.
+#: Sums of products up to here are exact in doubles; beyond it Python's integers are used.
 EXACT = 2.0**53
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def integral(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(key, v array<bigint>): floor(scale * x) of each component, for the vectors that take part."""
+    """(id, v array<double>): floor(scale * x) of each component, a whole number, for the vectors that take part."""
     wide = F.col(vector).cast("array<double>")
-    usable = F.col(key).isNotNull() & (F.size(vector) > 0) & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**40))
-    return df.where(F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long").alias("id"), F.transform(wide, lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    scaled = F.transform(wide, lambda x: F.rint(x * scale) - F.when(F.rint(x * scale) > x * scale, 1.0).otherwise(0.0))
+    usable = F.col(key).isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
+    return df.where(F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long").alias("id"), scaled.alias("v"))
 
 
 def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
@@ -44,12 +48,21 @@ def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
     wide = max(int(size.max(initial=0)), width or 0)
     if len(size) and (size == wide).all():
         return flat[ends[0] : ends[-1]].reshape(len(size), wide)
-    out = np.zeros((len(size), wide), np.int64)
+    out = np.zeros((len(size), wide))
     for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         out[i, : b - a] = flat[a:b]
     return out
 
 
+def _exact(columns: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as they are, if all sums of their products are exact in doubles; else as Python's integers."""
+    top = float(np.abs(columns).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, len(columns))
+    if top < EXACT:
+        return columns, queries
+    whole = np.frompyfunc(int, 1, 1)
+    return whole(columns).astype(object), whole(queries).astype(object)
+
+
 class Best:
     """The k best of one query, sorted by score down and id up."""
 
@@ -60,11 +73,12 @@ class Best:
 
     @property
     def least(self):
-        return self.scores[-1] if len(self.scores) == self.k else -np.inf
+        return int(self.scores[-1]) if len(self.scores) == self.k else -np.inf
 
     def offer(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        ids, scores = np.concatenate((self.ids, ids)), np.concatenate((self.scores, scores.astype(np.int64)))
-        order = np.lexsort((ids, -scores))[: self.k]
+        scores = np.clip(scores, LEAST, MOST).astype(np.int64)
+        ids, scores = np.concatenate((self.ids, ids)), np.concatenate((self.scores, scores))
+        order = np.lexsort((-ids, scores))[::-1][: self.k]
         self.ids, self.scores = ids[order], scores[order]
 
 
@@ -74,7 +88,7 @@ def search_shard(ids: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np
     most, gain = np.maximum(*ends), np.abs(ends[1] - ends[0])
     if most.sum() < best.least:
         return
-    order = np.argsort(-gain, kind="stable")
+    order = np.argsort(-gain.astype(np.float64), kind="stable")
     rest = np.concatenate((np.cumsum(most[order][::-1])[::-1], [0]))  # what the terms from here on can give at most
     tail = np.concatenate((np.cumsum(gain[order][::-1])[::-1], [0]))
     floor = most.sum() - gain.sum()
@@ -98,17 +112,17 @@ def top_k(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedd
     """(query_id, rank, id, score): for each row whose key is divisible by ``every``, its k best other rows."""
     spark = df.sparkSession
     vectors = integral(df, key, vector, scale)
-    asked = materialize(vectors.where(F.col("id") % every == 0), "queries")
     found = []
-    for block in _blocks(asked):
-        ids, rows = np.array([r[0] for r in block], np.int64), [r[1] for r in block]
-        wide = max(map(len, rows), default=0)
-        matrix = np.zeros((len(rows), wide), np.int64)
-        for i, r in enumerate(rows):
-            matrix[i, : len(r)] = r
-        found.append(arrow_map(vectors, _searcher(spark.sparkContext.broadcast((ids, matrix)), k), "query_id long, id long, score long"))
+    with scratch(spark):
+        for block in _blocks(materialize(vectors.where(F.col("id") % every == 0), "queries")):
+            ids, rows = np.array([r[0] for r in block], np.int64), [r[1] for r in block]
+            wide = max(map(len, rows), default=0)
+            matrix = np.zeros((len(rows), wide))
+            for i, r in enumerate(rows):
+                matrix[i, : len(r)] = r
+            found.append(arrow_map(vectors, _searcher(spark.sparkContext.broadcast((ids, matrix)), k), "query_id long, id long, score long"))
     if not found:
-        return asked.selectExpr("id as query_id", "0 as rank", "id as vec_id", "0L as score").where("false")
+        return vectors.selectExpr("id as query_id", "0 as rank", f"id as `{key}`", "0L as score").where("false")
     merged = reduce(DataFrame.unionByName, found)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
@@ -134,12 +148,10 @@ def _searcher(shared, k: int):
                 part = b.slice(at, SHARD_ROWS)
                 rows = _matrix(part.column(1), matrix.shape[1])
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                queries = np.zeros((len(matrix), rows.shape[1]), np.int64)
+                queries = np.zeros((len(matrix), rows.shape[1]))
                 queries[:, : matrix.shape[1]] = matrix
-                exact = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * rows.shape[1] < EXACT
-                kind = np.float64 if exact else np.int64
-                columns, queries = np.ascontiguousarray(rows.T.astype(kind)), queries.astype(kind)
-                low, high = columns.min(axis=1), columns.max(axis=1)
+                columns, queries = _exact(np.ascontiguousarray(rows.T), queries)
+                low, high = (columns.min(axis=1), columns.max(axis=1)) if columns.size else (np.zeros(len(columns)),) * 2
                 for q, me, top in zip(queries, own.tolist(), best, strict=True):
                     search_shard(ids, columns, low, high, q, me, top)
         size = [len(x.ids) for x in best]

@@ -316,15 +316,19 @@ def test_top_k_on_tables(spark, monkeypatch):
     rng = random.Random(13)
     rows = [(i, [rng.uniform(-1, 1) for _ in range(6)], 0, 1) for i in range(250)]
     rows += [(300, None, 0, 1), (400, [], 0, 1), (500, [1.0, None] + [0.0] * 4, 0, 1), (600, [float("nan")] * 6, 0, 1), (700, [float("inf")] * 6, 0, 1), (None, [0.5] * 6, 0, 1), (800, rows[4][1], 0, 1), (801, rows[4][1], 0, 1)]
+    rows += [(900, [2.0**41, -1.0, 0.5], 0, 1), (901, [-(2.0**41), 3.0], 0, 1), (1000, [1e30] * 6, 0, 1), (1001, [-1e30] * 6, 0, 1)]
     d = spark.createDataFrame(rows, VECTORS)
     import numpy as np
 
-    good = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v, *_ in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)}
+    whole = lambda v: [math.floor(1024 * float(np.float32(x))) for x in v] + [0] * (6 - len(v))
+    good = {i: whole(v) for i, v, *_ in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
     want = []
     for q in sorted(good):
         if q % 100 == 0:
-            best = sorted((-int(good[q] @ good[c]), c) for c in good if c != q)[:10]
+            score = {c: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(good[q], good[c], strict=True)))) for c in good if c != q}
+            best = sorted((-s, c) for c, s in score.items())[:10]
             want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    assert {400, 900, 1000} <= {r[0] for r in want} and any(abs(r[3]) > 2**53 for r in want)
     take = lambda: sorted(tuple(r) for r in maxscore.top_k(d.repartition(4)).collect())
     assert take() == sorted(want)
     monkeypatch.setattr(maxscore, "QUERY_BLOCK", 2)
