@@ -8,7 +8,8 @@ trained on them; which words of a toxic text are the toxic ones is found by alte
 text's highest words, train again. Since the kernel is a sum over subsequences, the SVM folds into one table of
 subsequence weights. A text's score is a logistic function of its two highest words' margins.
 
-Runs of three or more single signs between blanks (``i d i o t``) count as one word, too.
+Words of over LONG symbols are scored piece by piece, in memory that does not grow with them; only shorter ones are
+trained on and remembered. Runs of three or more single signs between blanks (``i d i o t``) count as one word, too.
 
 Defined results: null and empty texts have no words and get the lowest score; texts of any length are scored whole;
 equal texts get equal scores; a null key is not held out; repeated rows each give their row; without labelled rows of both classes every score is
@@ -38,6 +39,8 @@ LANDMARKS, NEGATIVES, DECAY, SPAN = 160, 12_000, 0.6, 7
 ROUNDS = 5
 THRESHOLD = 0.7
 CACHE_WORDS = 60_000
+#: Symbols of a word whose subsequences are listed at once; longer words are taken in pieces of PIECE symbols.
+LONG, PIECE = 64, 1 << 16
 LOWEST = -3.0
 #: The text's name beside columns that are carried along.
 TEXT = "__tessera_text"
@@ -80,13 +83,32 @@ def _places(n: int) -> tuple[np.ndarray, ...]:
         ijk = [(i, j, k) for i in range(n) for k in range(i + 2, min(n, i + SPAN)) for j in range(i + 1, k)]
         i, j, k = (np.array(x, np.int64) for x in zip(*ijk, strict=True)) if ijk else [np.empty(0, np.int64)] * 3
         w = DECAY ** (k - i + 1)
-        found = (i, j, k, (w / max(1e-9, np.sqrt((w * w).sum()))).astype(np.float32))
-        if n > 64:
-            return found
-        _PLACES[n] = found
+        _PLACES[n] = (i, j, k, (w / max(1e-9, np.sqrt((w * w).sum()))).astype(np.float32))
     return _PLACES[n]
 
 
+def _codes(word: str) -> np.ndarray:
+    """``symbols`` of a long word, a piece at a time."""
+    out = [np.array([OPEN], np.uint8)]
+    for a in range(0, len(word), PIECE):
+        found, at = np.unique(np.frombuffer(word[a : a + PIECE].encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+        out.append(np.array([symbols(chr(c))[1] for c in found.tolist()], np.uint8)[at])
+    return np.concatenate((*out, np.array([CLOSE], np.uint8)))
+
+
+def long_margin(table: np.ndarray, word: str) -> float:
+    """What the listed subsequences of a word give, summed by the two steps between their symbols."""
+    m, total, square = _codes(word), 0.0, 0.0
+    for span in range(2, SPAN):
+        starts, w = len(m) - span, DECAY ** (span + 1)
+        square += max(0, starts) * (span - 1) * w * w
+        for first in range(1, span):
+            for a in range(0, starts, PIECE):
+                i, j, k = (m[a + step : min(a + PIECE, starts) + step].astype(np.int32) for step in (0, first, span))
+                total += w * float(table[(i * SYMBOLS + j) * SYMBOLS + k].sum(dtype=np.float64))
+    return total / max(1e-9, square**0.5)
+
+
 def features(words: list[str]):
     """For words grouped by length: their places in ``words``, subsequence numbers (word x place), weights (place)."""
     by: dict[int, list[int]] = {}
@@ -109,8 +131,12 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.float32)
-        for rows, ids, w in features(words):
-            out[rows] = self.table[ids] @ w if len(w) else 0
+        short = [i for i, w in enumerate(words) if len(w) <= LONG - 2]
+        for rows, ids, w in features([words[i] for i in short]):
+            out[np.array(short)[rows]] = self.table[ids] @ w if len(w) else 0
+        for i, w in enumerate(words):
+            if len(w) > LONG - 2:
+                out[i] = long_margin(self.table, w)
         return out + self.bias
 
     def probability(self, first: float, second: float) -> float:
@@ -161,7 +187,7 @@ def fit(texts: list[tuple[str, int]], seed: int = 7) -> Model:
     texts = sorted(set(texts))
     if len({y for _, y in texts}) < 2:
         return Model(np.zeros(SYMBOLS**3, np.float32), LOWEST, (0.0, 0.0, -100.0))
-    bags = [(words_of(t), y) for t, y in texts]
+    bags = [([w for w in words_of(t) if len(w) <= LONG - 2], y) for t, y in texts]
     order = rng.permutation(len(bags))
     part = len(bags) * 3 // 4
     learn, check = [bags[i] for i in order[:part]], [bags[i] for i in order[part:]]
@@ -260,6 +286,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
             margin[fit_for] = model.margins([words[i] for i in fit_for])
             known.update(zip(new, margin.tolist(), strict=True))
             out = [model.probability(*_top_two(map(known.__getitem__, bag))) for bag in bags]
+            for t in new:
+                if len(t) > LONG:
+                    del known[t]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(out, pa.float64())], [*names, "toxicity"])
 
     return arrow_map(docs.select(*names, F.col(text).alias(TEXT)), run, schema)

@@ -240,6 +240,56 @@ def test_toxic_words_with_gaps_and_endings():
     assert toxicity.fit([]).probability(1, 1) < 1e-9 and toxicity.fit([("a", 1)]).probability(1, 1) < 1e-9
 
 
+def plain_subsequences(word):
+    """By definition: every three symbols in order within a span, DECAY to the power of the span, over the root of the sum of squares."""
+    c = toxicity.symbols(word)
+    found = [(c[i], c[j], c[k], toxicity.DECAY ** (k - i + 1)) for i in range(len(c)) for j in range(i + 1, len(c)) for k in range(j + 1, len(c)) if k - i < toxicity.SPAN]
+    norm = math.sqrt(sum(w * w for *_, w in found)) or 1.0
+    out = {}
+    for a, b, d, w in found:
+        out[a, b, d] = out.get((a, b, d), 0.0) + w / norm
+    return out
+
+
+def test_string_kernel_by_definition():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcd-é1") for _ in range(rng.randint(2, 14))) for _ in range(30)]
+    folded = np.zeros((toxicity.SYMBOLS**3, len(words)), np.float32)
+    for rows, ids, w in toxicity.features(words):
+        for r, row in zip(rows, ids, strict=True):
+            np.add.at(folded[:, r], row, w)
+    got = toxicity._kernel(words, folded)
+    for i, a in enumerate(words):
+        x = plain_subsequences(a)
+        for j, b in enumerate(words):
+            y = plain_subsequences(b)
+            assert math.isclose(got[i, j], sum(v * y.get(k, 0.0) for k, v in x.items()), rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_long_words_score_as_short_ones_do():
+    rng = np.random.default_rng(6)
+    table = rng.normal(size=toxicity.SYMBOLS**3).astype(np.float32)
+    letters = "abcxyz-éß9漢"
+    for n in (2, 3, 5, 40, 61, 62, 63, 64, 200):
+        word = "".join(letters[i] for i in rng.integers(0, len(letters), n))
+        want = sum(v * table[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] for (a, b, c), v in plain_subsequences(word).items())
+        assert math.isclose(toxicity.long_margin(table, word), want, rel_tol=1e-4, abs_tol=1e-4)
+        assert math.isclose(float(toxicity.Model(table, 0.0, (1, 0, 0)).margins([word])[0]), want, rel_tol=1e-3, abs_tol=1e-3)
+
+
+def test_a_token_of_two_megabytes_needs_little_memory():
+    import tracemalloc
+
+    model = toxicity.Model(np.ones(toxicity.SYMBOLS**3, np.float32), 0.0, (1, 0, 0))
+    text = "漢x-" * 700_000
+    tracemalloc.start()
+    (word,) = toxicity.words_of(text)
+    assert math.isfinite(float(model.margins([word])[0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+
+
 def test_weak_labels_find_junk():
     rng = random.Random(2)
     fine = [" ".join(rng.choice("the of and with house river green walks over".split()) for _ in range(60)).capitalize() + "." for _ in range(300)]
@@ -265,8 +315,3 @@ def test_exchange_separates_two_languages():
     pairs[40, :40] = pairs[:40, 40] = 3
     group = lm.exchange(pairs, classes=2, sweeps=20)
     assert group[40] == 2 and len(set(group[0:40:2])) == 1 and len(set(group[1:40:2])) == 1 and group[0] != group[1]
-
-
-def test_url_judgement_rules():
-    assert all(r.index("/") > 0 for r, _ in urls.RULES)
-    assert zlib.crc32(b"0") % 3 in (0, 1, 2) and math.isclose(sum([0.1] * 10), 1.0)
