@@ -365,6 +365,50 @@ def test_urls_on_tables(spark):
     assert urls.judge(d.limit(0), w).count() == 0
 
 
+def plain_buckets(host, path):
+    """The n-grams' buckets by another xxHash: the tag's hash seeds the gram's."""
+    import re
+
+    import xxhash
+
+    out = set()
+    for tag, text, sizes in (("h", f"^{host}$", (3, 4, 5)), ("p", re.sub("[0-9]", "0", f"^{path}$"), (3, 4))):
+        for n in sizes:
+            for i in range(max(1, len(text) - n + 1)):
+                h = xxhash.xxh64_intdigest(text[i : i + n].encode(), xxhash.xxh64_intdigest(tag.encode(), 42))
+                out.add((h - (1 << 64) if h >> 63 else h) % urls.BUCKETS)
+    return out
+
+
+def test_url_scores_by_plain_python(spark, sf):
+    w = urls.train(urls.labelled_urls(spark))
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = urls.judge(pages, w).collect()
+    assert len(rows) == pages.count()
+    for r in rows:
+        b = plain_buckets(r.host, r.path)
+        score = 1 / (1 + math.exp(-(sum(float(f"{w[i]:.9g}") for i in b) / math.sqrt(len(b)) + w[-1])))
+        assert math.isclose(r.score, score, abs_tol=2e-6)
+        assert r.rule is not None or r.verdict == ("block" if score >= 0.5 else "allow")
+
+
+def test_url_model_on_hosts_it_has_not_seen(spark, sf):
+    """The test pages' hosts, none of which stands in the table, and every fifth row of the table when left out of it."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("url").unionByName(spark.createDataFrame([(f"http://{h}.example.org/en/5",) for h in "spam-farm cheap-pills casino-win free-bets ads-track adult-x".split()], "url string"))
+    stem = F.regexp_replace(F.regexp_replace("host", "^(www|m|blog)[.]", ""), "[.]example[.](com|net|org)$", "")
+    seen = {r[0] for r in urls.parts(pages, "url").select(stem).distinct().collect()} - {""}
+    assert not seen & {*urls.BLOCKED_WORDS, *urls.ALLOWED_WORDS}
+    w = urls.train(urls.labelled_urls(spark))
+    judged = urls.judge(pages.withColumn("page_id", F.lit(0)), w).where("rule is null and host <> ''").select(stem.alias("stem"), "verdict").distinct().collect()
+    bad = {r.stem for r in judged if r.verdict == "block"}
+    assert bad == {s for s in seen if s in set("spam-farm cheap-pills casino-win free-bets ads-track adult-x".split())}
+    table = urls.labelled_urls(spark).withColumn("held", F.pmod(F.xxhash64(F.regexp_extract("url", "//(?:www[.]|m[.]|blog[.])?([a-z]+)", 1)), F.lit(5)) == 0)
+    w = urls.train(table.where("not held"))
+    held = urls.judge(table.where("held").withColumn("page_id", F.col("blocked")), w, rules=[]).collect()
+    right = sum((r.verdict == "block") == (r.page_id == 1) for r in held)
+    assert len(held) > 50 and right >= 0.8 * len(held), (right, len(held))
+
+
 def test_pages_on_tables(spark):
     d = spark.createDataFrame([(1, "u", None, 1), (2, "u", "", 1), (2, "u", "", 1), (3, None, "<article><p>A &eacute;</p><p>b</p></article>", 1)], "page_id long, url string, html string, n_chars long")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html.extract(d).collect())
