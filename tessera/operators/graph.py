@@ -65,20 +65,31 @@ def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 100, tolerance
 
 
 @contained
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component), the smallest id reachable; each round takes neighbours' labels, then labels of labels."""
-    both = materialize(both_ways(edges), "components")
-    labels = nodes.select("id", F.col("id").alias("component"))
+def linked(edges: DataFrame) -> DataFrame:
+    """(id, component) for every end of an edge (a, b): the smallest id that it reaches.
+
+    Each round gives a node the least label around it, then the label of its label (so long chains halve), until no
+    label changes. Null ends are left out; loops and repeated edges do no harm; no edges give no rows.
+    """
+    known = edges.where("a is not null and b is not null and a <> b")
+    both = materialize(both_ways(known).distinct(), "edges")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("component")), "labels")
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        step = materialize(labels.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component")), "components")
+        near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
+        step = materialize(labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component")), "step")
         jump = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = materialize(step.join(jump, "component").select("id", "old", F.least("component", "next").alias("component")), "components")
-        labels = new.select("id", "component")
-        if not new.where("component <> old").limit(1).count():
+        moved = materialize(step.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("next", "component")).alias("component")), "labels")
+        labels = moved.select("id", "component")
+        if not moved.where("component <> old").limit(1).count():
             return labels
 
 
+@contained
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component), the smallest id reachable; a node without edges is its own."""
+    return nodes.select("id").join(linked(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 @contained
 def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Peeling; nodes of the least degree level go together until none is left."""
