@@ -1,24 +1,29 @@
 """Similarity join of texts on their sets of word shingles, and the groups that its links form.
 
 Method: a text's set is its distinct five-word shingles. Equal sets form a class with one representative. The shingles
-of a set are hashed into GROUPS groups, and the group counts are the set's point. Representatives that can be linked
-meet in a bucket: both hold the bucket's shingle among the first quarter of their sets in one global order (a linked
-pair always shares one). Inside a bucket an R-tree over the points, packed by size, finds for a point those boxes and
-then points whose overlap can be large enough: no overlap exceeds the sum over the groups of the smaller count (for a
-box: of its upper corner). Surviving pairs are verified on the texts' whole sets.
-
-The order of the shingles puts those that very many texts share last, so that common passages do not fill buckets; it
-is counted over all texts, and any order gives the same links.
-
-To keep large groups from costing all their pairs, links are found in three steps. Each set is first compared with a few
-pivots of its buckets only, in a few rounds, which joins most of a group. Then only pairs whose ends are
-still apart remain: of these one for each set and group is verified, and at last all others. No pair is left out
-unless its ends are already connected, so the groups are exact. A bucket of over BUCKET rows is joined block by block.
+of a set are hashed into GROUPS groups, and the group counts are the set's point. No overlap of two sets exceeds the sum
+over the groups of the smaller count, nor that of the upper corners of two boxes of points. All candidate pairs come
+from R-trees over points, at every size: a tree is packed over the rows of many cells (first coordinate the cell, then
+the set's size), and joined with itself from its root down, leaving out pairs of boxes that share no cell, whose sizes
+or whose bound exclude a link, or that are known to be connected. Surviving pairs are verified on the texts' whole sets.
+
+A tree over all points would compare each with each in 256 dimensions, so a guard deals the points into cells: sets that
+can be linked share a shingle among the first quarter of either in one global order of all shingles. A cell holds the
+sets that share one; of a shingle that over BUCKET sets share, each cell holds a block of them. The order puts shingles
+that very many texts share last, so that common passages do not fill cells; it is counted over all texts, and any order
+gives the same links.
+
+Links are found in two steps, so that a large group does not cost all its pairs. First each set is put into the cells of
+its PICKS first shared shingles only, and of what the trees find its TRIED likeliest partners in a cell are verified;
+that connects most of each group. Then the cells that still hold several components are searched whole: the sets
+outside a cell's largest component against all others. Of the pairs found, one for each set and component is verified
+first, and at last all whose ends are still apart. No pair is left out unless its ends are already connected, so the
+groups are exact.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; with fewer than five words the
 whole sequence is the one shingle; texts of any length are taken whole; rows without a key have no links and a null
-group; rows that repeat a key are one document; an empty table gives an empty table; extra columns are not read.
-Shingles are compared by 64-bit hashes.
+group; rows that repeat a key are one document, linked by any of their texts; keys are integers (others raise); an empty
+table gives an empty table; extra columns are not read. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegralType
 
-from tessera.llm.common import FOLD, arrow_map, chunks, utf8
-from tessera.llm.components import components
+from tessera.llm.common import FOLD, arrow_map, chunks, least_count, utf8
+from tessera.operators.graph import linked
 from tessera.storage import broadcast_if_small, materialize, scratch
 
 WORDS, SIMILARITY = 5, Fraction(3, 4)
@@ -42,15 +48,12 @@ GROUPS = 256
 COMMON, COMMON_MOST, COMMON_SHARE, SPARSE, REACH = 32, 500_000, 0.002, 16, 24
 #: Groups of the finer counts that are compared before texts are.
 FINE = 1024
+#: Rows of a block of a large bucket; entries of a leaf and of an inner node.
 BUCKET, LEAF = 2048, 16
-#: Buckets of so many rows give their few pairs at once; those of up to FLAT rows need no tree.
-SMALL, FLAT = 4, 48
+#: Cells that a set is put into in the first step, partners verified of each, and sets that all blocks of a bucket hold.
+PICKS, TRIED, PIVOTS = 3, 2, 4
 #: So many bucket shingles of a set travel with its point: a pair that shares one is looked at in that one's bucket only.
 FIRST = 6
-#: Pivots of a bucket, and how many of the pivots that it meets most often a set is compared with first.
-PIVOTS, TRIED = 6, 6
-#: Further rounds of pivots before what is left is searched.
-ROUNDS = 1
 TEXT = "__tessera_text"
 #: Ids (8 to 16 bytes each) that may be broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 300_000
@@ -130,9 +133,9 @@ def _tally(flat: np.ndarray) -> pa.RecordBatch:
 
 
 def _frequent(counted: DataFrame) -> np.ndarray:
-    """Of (s, n) rows the shingles that sum to COMMON or more, the COMMON_MOST most frequent at most, sorted."""
-    total = counted.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "s").limit(COMMON_MOST)
-    return np.sort(total.select("s").toArrow().column(0).to_numpy().astype(np.int64))
+    """Of (s, n) rows the shingles that sum to COMMON or more, the most frequent COMMON_MOST at most, sorted."""
+    total = materialize(counted.groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON), "frequent")
+    return np.sort(total.where(F.col("n") >= least_count(total, COMMON_MOST)).select("s").toArrow().column(0).to_numpy().astype(np.int64))
 
 
 def _common(source: DataFrame) -> np.ndarray:
@@ -213,80 +216,53 @@ def _points(source: DataFrame, common: np.ndarray) -> DataFrame:
     return arrow_map(source, run, "id long, n long, h1 long, h2 long, point binary, fine binary, prefix array<long>")
 
 
-def _partners(batches):
-    """From rows sorted by (s, n, id): the pairs (id, other) of small buckets, and the rows of large ones with the pivots
-    of fitting size."""
-    hold = None
-    for b in _and_end(batches):
-        rows = None if b is None else np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(3)])
-        if hold is not None:
-            rows = hold if rows is None else np.concatenate((hold, rows), axis=1)
-        if rows is None or not rows.shape[1]:
-            continue
-        if b is None:
-            hold = None
-        else:  # the last bucket may go on in the next batch
-            end = int(np.searchsorted(rows[0], rows[0, -1])) if rows[0, 0] != rows[0, -1] else 0
-            hold, rows = rows[:, end:], rows[:, :end]
-        s, n, ids = rows
-        same = np.concatenate(([False], s[1:] == s[:-1], [False]))
-        many = same[:-1] | same[1:]
-        s, n, ids = s[many], n[many], ids[many]
-        if not len(s):
-            continue
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        size = np.diff(np.append(first, len(s)))
-        p, q = _flat_pairs(first[size <= SMALL], size[size <= SMALL])
-        keep = (ids[p] != ids[q]) & (4 * np.minimum(n[p], n[q]) >= 3 * np.maximum(n[p], n[q]))
-        a, b = np.minimum(ids[p], ids[q])[keep], np.maximum(ids[p], ids[q])[keep]
-        large = np.repeat(size > SMALL, size)
-        s, n, ids = s[large], n[large], ids[large]
-        first = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
-        bucket = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(s))))
-        none = pa.nulls(len(a), pa.int64())
-        hubs = []
-        for seed in range(PIVOTS):  # rows are sorted by size, so the first pivot is the smallest set, the others are drawn by hash
-            drawn = _mix(ids.view(np.uint64) * _STEP + np.uint64(seed)) if seed else np.arange(len(s)).astype(np.uint64)
-            order = np.lexsort((drawn, bucket))
-            lead = order[first][bucket]
-            fits = (4 * np.minimum(n, n[lead]) >= 3 * np.maximum(n, n[lead])) & (ids != ids[lead])
-            hubs.append(pa.concat_arrays([pa.array(ids[lead], pa.int64(), mask=~fits), none]))
-        yield pa.RecordBatch.from_arrays(
-            [pa.concat_arrays([pa.array(s), none]), pa.concat_arrays([pa.array(n), none]), pa.array(np.concatenate((ids, a))), pa.concat_arrays([pa.nulls(len(s), pa.int64()), pa.array(b)]), *hubs], ["s", "n", "id", "other", *(f"hub{k}" for k in range(PIVOTS))]
-        )
-
-
 def _and_end(batches):
     yield from batches
     yield None
 
 
 class RTree:
-    """Points packed by group and size into leaves of LEAF, leaves into boxes of LEAF; boxes keep upper corner, least and greatest size, and the group if all share one."""
-
-    def __init__(self, points: np.ndarray, size: np.ndarray, group: np.ndarray):
-        self.points, self.size, self.group, self.full = points, size, group, bool((points == 255).any())
-        self.levels = []
-        top, least, most, own = points, size, size, group
-        while len(top) > LEAF:
-            cut = np.arange(0, len(top), LEAF)
-            low, high = np.minimum.reduceat(own, cut), np.maximum.reduceat(own, cut)
-            top, least, most, own = np.maximum.reduceat(top, cut), np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.where(low == high, low, -1)
-            self.levels.append((top, least, most, own))
-
-    def candidates(self, point: np.ndarray, size: int, group: int) -> np.ndarray:
-        """Rows of other groups that can be similar enough, by the bound."""
-        at = None
-        for top, least, most, own in reversed(self.levels):
-            at = np.arange(len(top)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-            at = at[at < len(top)]
-            at = at[(own[at] != group) & (4 * most[at] >= 3 * size) & (3 * least[at] <= 4 * size)]
-            if not self.full:
-                at = at[7 * np.minimum(top[at], point).sum(axis=1, dtype=np.int64) >= 3 * (size + least[at])]
-        at = np.arange(len(self.points)) if at is None else (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = at[at < len(self.points)]
-        at = at[(self.group[at] != group) & (4 * self.size[at] >= 3 * size) & (3 * self.size[at] <= 4 * size)]
-        return at if self.full else at[7 * np.minimum(self.points[at], point).sum(axis=1, dtype=np.int64) >= 3 * (size + self.size[at])]
+    """Points packed into leaves of LEAF in the order given, by cell and size, and leaves into boxes of LEAF. A box keeps
+    its first and last cell, least and greatest size, the component if all share one (else -1), and its upper corner."""
+
+    def __init__(self, cell: np.ndarray, size: np.ndarray, group: np.ndarray, points: np.ndarray):
+        self.levels, self.full = [(cell, cell, size, size, group, points)], bool(len(points)) and int(points.max()) == 255
+        while len(self.levels[-1][0]) > LEAF:
+            low, high, least, most, own, top = self.levels[-1]
+            cut = np.arange(0, len(low), LEAF)
+            lowest, highest = np.minimum.reduceat(own, cut), np.maximum.reduceat(own, cut)
+            last = np.append(cut[1:], len(low)) - 1
+            self.levels.append((low[cut], high[last], np.minimum.reduceat(least, cut), np.maximum.reduceat(most, cut), np.where(lowest == highest, lowest, -1), np.maximum.reduceat(top, cut)))
+
+    def _near(self, level: int, p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs p <= q of boxes (or points) those that may hold a pair to find."""
+        low, high, least, most, own, top = self.levels[level]
+        keep = (low[q] <= high[p]) & (4 * most[p] >= 3 * least[q]) & (4 * most[q] >= 3 * least[p]) & ((own[p] != own[q]) | (own[p] < 0))
+        p, q = p[keep], q[keep]
+        if self.full or not len(p):
+            return p, q
+        good = [7 * np.minimum(top[p[a : a + 8192]], top[q[a : a + 8192]]).sum(axis=1, dtype=np.int64) >= 3 * (least[p[a : a + 8192]] + least[q[a : a + 8192]]) for a in range(0, len(p), 8192)]
+        good = np.concatenate(good) | (p == q) & (level > 0)
+        return p[good], q[good]
+
+    def pairs(self):
+        """The tree joined with itself: arrays p < q of points of one cell and different components that the bounds leave."""
+        level = len(self.levels) - 1
+        p, q = np.triu_indices(len(self.levels[level][0]), 0 if level else 1)
+        yield from self._down(level, p, q)
+
+    def _down(self, level: int, p: np.ndarray, q: np.ndarray):
+        p, q = self._near(level, p, q)
+        if not level:
+            if len(p):
+                yield p, q
+            return
+        n = len(self.levels[level - 1][0])
+        i, j = (x.ravel() for x in np.indices((LEAF, LEAF)))
+        for a in range(0, len(p), 1024):
+            x, y = (p[a : a + 1024, None] * LEAF + i).ravel(), (q[a : a + 1024, None] * LEAF + j).ravel()
+            keep = (y < n) & ((x < y) if level == 1 else (x <= y))
+            yield from self._down(level - 1, x[keep], y[keep])
 
 
 def _matrix(column: pa.Array, groups: int = GROUPS) -> np.ndarray:
@@ -301,76 +277,79 @@ def _possible(x: np.ndarray, y: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarr
     return (7 * bound >= 3 * sizes) | (low == 255).any(axis=1), 1000 * bound // np.maximum(sizes, 1)
 
 
-def _flat_pairs(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of row numbers inside small cells."""
-    p, q = [], []
-    for m in np.unique(size).tolist():
-        i, j = np.triu_indices(m, 1)
-        at = start[size == m]
-        p.append((at[:, None] + i).ravel())
-        q.append((at[:, None] + j).ravel())
-    return (np.concatenate(p), np.concatenate(q)) if p else (np.empty(0, np.int64),) * 2
-
-
-def _search(batches):
-    """From rows (s, i, j, block, n, id, component, point, first) sorted by (s, i, j): candidate pairs of different components."""
-    hold, held, kept, out = None, None, None, []
-
-    def flush():
-        nonlocal out
-        a, b, w = (np.concatenate(x) for x in zip(*out, strict=True))  # not empty
-        order = np.lexsort((b, a))
-        a, b, w = a[order], b[order], w[order]
-        fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-        out = []
-        return pa.RecordBatch.from_arrays([pa.array(x[fresh]) for x in (a, b, w)], ["a", "b", "worth"])
-
+def _cells(batches, keys: int, arrays: int):
+    """Rows sorted by their first ``keys`` columns, again as whole cells: the integer columns as rows of a matrix, then
+    the ``arrays`` that follow (points, and lists of FIRST). A cell that the next batch may go on with is held back."""
+    hold = None
     for batch in _and_end(batches):
-        rows = points = first = None
+        now = None
         if batch is not None and batch.num_rows:
-            rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(7)])
-            points, first = _matrix(batch.column(7)), batch.column(8).flatten().to_numpy(zero_copy_only=False).reshape(-1, FIRST)
-        if hold is not None:
-            rows = hold if rows is None else np.concatenate((hold, rows), axis=1)
-            points = held if points is None else np.concatenate((held, points))
-            first = kept if first is None else np.concatenate((kept, first))
-        if rows is None or not rows.shape[1]:
+            n = batch.num_columns - arrays
+            now = [np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(n)], axis=1), _matrix(batch.column(n))]
+            if arrays > 1:
+                now.append(batch.column(n + 1).flatten().to_numpy(zero_copy_only=False).reshape(-1, FIRST))
+        parts = [x for x in (hold, now) if x is not None]
+        if not parts:
             continue
-        fresh = np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))
-        start = np.flatnonzero(fresh)
-        if batch is None:
-            hold, end = None, rows.shape[1]
-        else:  # the last cell may go on in the next batch
-            end = int(start[-1])
-            hold, held, kept, start = rows[:, end:], points[end:], first[end:], start[:-1]
-        size = np.diff(np.append(start, end))
-        n, ids, group = rows[4], rows[5], rows[6]
-        p, q = _flat_pairs(start[(size > 1) & (size <= FLAT)], size[(size > 1) & (size <= FLAT)])
-        more = [(p, q)]
-        for a, m in zip(start[size > FLAT].tolist(), size[size > FLAT].tolist(), strict=True):
-            order = a + np.lexsort((ids[a : a + m], n[a : a + m], group[a : a + m]))
-            tree = RTree(points[order], n[order], group[order])
-            for k in range(m):
-                at = tree.candidates(tree.points[k], int(tree.size[k]), int(tree.group[k]))
-                at = at[at > k]
-                if len(at):
-                    more.append((np.full(len(at), order[k]), order[at]))
-        p, q = (np.concatenate(x) for x in zip(*more, strict=True))
-        low, high = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
-        # In a cell of two blocks, pairs inside one block belong to that block's own cell.
-        keep = (ids[p] != ids[q]) & (group[p] != group[q]) & (4 * low >= 3 * high) & ((rows[1, p] == rows[2, p]) | (rows[3, p] != rows[3, q]))
-        p, q = p[keep], q[keep]
-        for k in range(0, len(p), 1 << 16):
-            x, y = p[k : k + (1 << 16)], q[k : k + (1 << 16)]
-            both = (first[x][:, :, None] == first[y][:, None, :]).any(axis=2)
-            here = ~both.any(axis=1) | (first[x, both.argmax(axis=1)] == rows[0, x])
-            x, y = x[here], y[here]
-            good, worth = _possible(points[x], points[y], n[x] + n[y])
-            if good.any():
-                x, y = x[good], y[good]
-                out.append((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y]), worth[good]))
-        if out and (sum(len(x[0]) for x in out) > 100_000 or batch is None):
-            yield flush()
+        rows = [np.concatenate(x) for x in zip(*parts, strict=True)] if len(parts) > 1 else parts[0]
+        start = np.flatnonzero(np.concatenate(([True], (rows[0][1:, :keys] != rows[0][:-1, :keys]).any(axis=1))))
+        end = len(rows[0]) if batch is None else int(start[-1])
+        hold = None if batch is None else [x[end:] for x in rows]
+        if end:
+            cell = np.searchsorted(start, np.arange(end), side="right")
+            yield cell, [x[:end] for x in rows]
+
+
+def _tree(cell: np.ndarray, size: np.ndarray, group: np.ndarray, points: np.ndarray):
+    """Candidate pairs of rows that stand in one cell, with the bound of their overlap in thousandths of their sizes."""
+    alone = np.concatenate(([True], cell[1:] != cell[:-1], [True]))
+    at = np.flatnonzero(~(alone[:-1] & alone[1:]))  # rows that share their cell with others
+    if not len(at):
+        return
+    for p, q in RTree(cell[at], size[at], group[at], points[at]).pairs():
+        p, q = at[p], at[q]
+        for a in range(0, len(p), 8192):
+            x, y = p[a : a + 8192], q[a : a + 8192]
+            good, worth = _possible(points[x], points[y], size[x] + size[y])
+            yield x[good], y[good], worth[good]
+
+
+def _first_step(batches):
+    """From rows (s, block, n, id, point) sorted by cell and size: for each the TRIED likeliest partners, as (a, b)."""
+    for cell, (rows, points) in _cells(batches, 2, 1):
+        size, ids = rows[:, 2], rows[:, 3]
+        best = np.full((2, TRIED, len(ids)), -1, np.int64)  # worth and partner, the likeliest first
+        for p, q, worth in _tree(cell, size, ids, points):
+            x, y, worth = np.concatenate((p, q)), np.concatenate((q, p)), np.concatenate((worth, worth))
+            order = np.lexsort((ids[y], -worth, x))
+            x, y, worth = x[order], y[order], worth[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            for r in range(TRIED):  # the best of these, merged into the best so far
+                some = place == r
+                a, w, partner = x[some], worth[some], y[some]
+                for k in range(TRIED):
+                    better = w > best[0, k, a]
+                    best[:, k, a], w, partner = np.where(better, (w, partner), best[:, k, a]), np.where(better, best[0, k, a], w), np.where(better, best[1, k, a], partner)
+        k, a = np.nonzero(best[1] >= 0)
+        if len(a):
+            x, y = ids[a], ids[best[1, k, a]]
+            pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
+
+def _second_step(batches):
+    """From rows (s, i, j, n, id, component, role, point, first) sorted by cell and size: candidate pairs of different
+    components, of which one is asked (role 1 or 3) and one answers (role 2 or 3) in the cell."""
+    for cell, (rows, points, first) in _cells(batches, 3, 2):
+        s, size, ids, group, role = rows[:, 0], rows[:, 3], rows[:, 4], rows[:, 5], rows[:, 6]
+        for p, q, worth in _tree(cell, size, group, points):
+            keep = ((role[p] & 1) & (role[q] >> 1) | (role[q] & 1) & (role[p] >> 1)) == 1
+            p, q, worth = p[keep], q[keep], worth[keep]
+            both = (first[p][:, :, None] == first[q][:, None, :]).any(axis=2)
+            here = (~both.any(axis=1) | (first[p, both.argmax(axis=1)] == s[p])) & (ids[p] != ids[q])
+            if here.any():
+                x, y = ids[p[here]], ids[q[here]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(worth[here])], ["a", "b", "worth"])
 
 
 def possible(pairs: DataFrame, points: DataFrame, kind: str = "point", groups: int = GROUPS) -> DataFrame:
@@ -419,17 +398,6 @@ def verify(pairs: DataFrame, source: DataFrame, points: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "a long, b long").distinct()
 
 
-def _mixed(rows: DataFrame, reps: DataFrame, known: DataFrame, seed: int) -> DataFrame:
-    """Of bucket rows (s, n, id) those in buckets of several components: with the component, the bucket's size and two
-    pivots of the bucket drawn by hash."""
-    labels = reps.select("id").join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    w = Window.partitionBy("s")
-    drawn = lambda k: F.struct(F.xxhash64("id", F.lit(2 * seed + k)).alias("h"), "id", "n", "component")
-    rows = rows.select("s", "n", "id").join(labels, "id")
-    rows = rows.select("s", "n", "id", "component", F.min("component").over(w).alias("lo"), F.max("component").over(w).alias("hi"), F.count("*").over(w).alias("m"), F.min(drawn(0)).over(w).alias("p0"), F.max(drawn(1)).over(w).alias("p1"))
-    return rows.where("lo <> hi").drop("lo", "hi")
-
-
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row, as a written table; what was needed for it is deleted."""
     with scratch(docs.sparkSession):
@@ -437,49 +405,51 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    if not isinstance(docs.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be of an integer type")
     source = docs.select(F.col(key).cast("long").alias("id"), utf8(text).alias(TEXT))
     points = materialize(_points(source, _common(source)), "points")
     full = points.where("n > 0 and id is not null")
     sets = ["n", "h1", "h2"]
-    classes = materialize(full.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    copies = full.join(broadcast_if_small(classes.where("copies > 1").drop("copies"), BROADCAST_IDS // 4), sets).where("id <> rep")
-    copies = materialize(copies.select("id", "rep"), "copies")
-    reps = full.join(broadcast_if_small(copies.select("id"), BROADCAST_IDS), "id", "left_anti")
-
-    # Buckets, and for each set its pivots.
-    entries = reps.select(F.explode("prefix").alias("s"), "n", "id").repartition("s").sortWithinPartitions("s", "n", "id")
-    hubs = [f"hub{k}" for k in range(PIVOTS)]
-    met = materialize(arrow_map(entries, _partners, "s long, n long, id long, other long, " + ", ".join(f"{h} long" for h in hubs)), "buckets")
-    shared = met.where("s is not null").select("s", "n", "id")
-    tried = met.where("s is not null").select("id", F.explode(F.array_distinct(F.array_compact(F.array(*hubs)))).alias("hub")).groupBy("id", "hub").agg(F.count("*").alias("c"))
-    tried = tried.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "hub"))).where(F.col("r") <= TRIED)
-    tried = tried.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).unionByName(met.where("s is null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    tried = materialize(tried.distinct(), "tried")
-    near = materialize(possible(tried, points), "near")
-    links = materialize(verify(near, source, points), "links")
-    known = components(links)
-
-    # Rounds of new pivots for the sets of buckets that still hold several components.
-    rows = shared
-    for r in range(ROUNDS):
-        rows = materialize(_mixed(rows, reps, known, r), "mixed")
-        ends = rows.select("id", "n", "component", F.explode(F.array("p0", "p1")).alias("p")).where("p.component <> component and 4 * least(n, p.n) >= 3 * greatest(n, p.n)")
-        more = ends.groupBy("id", F.col("p.id").alias("hub")).agg(F.count("*").alias("c"))
-        more = more.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("c"), "hub"))).where(F.col("r") <= TRIED)
-        more = more.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = materialize(more, "tried")
-        links = materialize(links.unionByName(verify(materialize(possible(more, points), "near"), source, points)), "links")
-        tried, known = tried.unionByName(more), components(links)
-
-    # What can still connect two components.
-    mixed = materialize(_mixed(rows, reps, known, ROUNDS), "mixed")
+    again = full.groupBy(*sets).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+    again = materialize(again, "classes")
+    alike = full.join(broadcast_if_small(again, BROADCAST_IDS // 4), sets)
+    copies = materialize(alike.where("id <> rep").select("id", "rep").distinct(), "copies")
+    wide = ["id", "n", "point"]
+    reps = full.join(broadcast_if_small(again, BROADCAST_IDS // 4), sets, "left_anti").select(*wide, "prefix").unionByName(alike.where("id = rep").dropDuplicates(sets).select(*wide, "prefix"))
+
+    # The shingles of the prefixes that several sets share, and of each set the first few.
+    entries = reps.select(F.explode("prefix").alias("s"), "id")
+    often = entries.groupBy("s").agg(F.count("*").alias("m")).where("m > 1")
+    shared = materialize(entries.join(often, "s"), "shared")
+    reps = materialize(reps.join(broadcast_if_small(materialize(shared.select("id").distinct(), "ids"), BROADCAST_IDS), "id", "left_semi").select(*wide), "sets")
+    picks = shared.groupBy("id").agg(F.slice(F.array_sort(F.collect_set(F.struct("s", "m"))), 1, PICKS).alias("p")).select("id", F.explode("p").alias("p")).select("id", "p.*")
+    picks = materialize(picks.withColumn("blocks", F.ceil(F.col("m") / BUCKET)).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")), "picks")
+    drawn = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), "id"))["id"] for k in range(PIVOTS)]
+    pivots = picks.where("blocks > 1").groupBy("s", "blocks").agg(F.array(*drawn).alias("ids"))
+    pivots = pivots.select("s", "blocks", F.explode(F.array_distinct("ids")).alias("id")).select("s", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    cells = picks.select("s", "id", "block").unionByName(pivots).join(reps, "id").repartition("s", "block").sortWithinPartitions("s", "block", "n", "id")
+    tried = materialize(arrow_map(cells.select("s", "block", "n", "id", "point"), _first_step, "a long, b long").distinct(), "tried")
+    # A document whose texts are in several classes holds these together.
+    held = copies.join(shared.select("id").distinct(), "id", "left_semi").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
+    links = materialize(verify(tried, source, points).unionByName(held), "links")
+    known = linked(links)
+
+    # What can still connect two components: of a bucket with several, the sets outside the largest against all.
+    rows = shared.join(broadcast_if_small(known, BROADCAST_IDS), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    rows = materialize(rows, "rows")
+    parts = rows.groupBy("s", "component").agg(F.count("*").alias("c")).groupBy("s").agg(F.count("*").alias("k"), F.max(F.struct("c", "component")).alias("top"))
+    parts = parts.where("k > 1").select("s", F.col("top.component").alias("major"), F.col("top.c").alias("c"))
+    mixed = rows.join(parts, "s").withColumn("minor", F.col("component") != F.col("major"))
+    mixed = materialize(mixed.withColumn("wide", F.ceil(F.col("m") / BUCKET)).withColumn("deep", F.ceil((F.col("m") - F.col("c")) / BUCKET)).select("s", "id", "component", "minor", "wide", "deep"), "mixed")
     first = mixed.groupBy("id").agg(F.slice(F.array_sort(F.collect_set("s")), 1, FIRST).alias("f"))
     first = first.select("id", F.transform(F.sequence(F.lit(1), F.lit(FIRST)), lambda i: F.coalesce(F.try_element_at("f", i), F.col("f")[0])).alias("first"))
-    cells = mixed.withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("s", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "n", "id", "component")
-    cells = cells.join(reps.select("id", "point").join(first, "id"), "id").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
-    found = arrow_map(cells.select("s", "i", "j", "block", "n", "id", "component", "point", "first"), _search, "a long, b long, worth long")
+    one = mixed.where("wide = 1 and deep = 1").select("s", "id", "component", *(F.lit(0).cast("long").alias(c) for c in "ij"), F.when(F.col("minor"), 3).otherwise(2).alias("role"))
+    many, upto = mixed.where("wide > 1 or deep > 1"), lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    answers = many.select("s", "id", "component", upto("deep").alias("i"), F.pmod(F.xxhash64("id"), "wide").alias("j"), F.lit(2).alias("role"))
+    asks = many.where("minor").select("s", "id", "component", F.pmod(F.xxhash64("id", F.lit(1)), "deep").alias("i"), upto("wide").alias("j"), F.lit(1).alias("role"))
+    cells = one.unionByName(answers).unionByName(asks).join(reps.join(first, "id"), "id").repartition("s", "i", "j").sortWithinPartitions("s", "i", "j", "n", "id")
+    found = arrow_map(cells.select("s", "i", "j", "n", "id", "component", "role", "point", "first"), _second_step, "a long, b long, worth long")
     found = materialize(found.groupBy("a", "b").agg(F.max("worth").alias("worth")).join(tried, ["a", "b"], "left_anti"), "candidates")
 
     # Of these, first one for each set and each component it could join, then whatever still lies between two.
@@ -488,16 +458,16 @@ def _groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     best = best.groupBy("a", "cb").agg(F.max_by("b", F.struct("worth", -F.col("b"))).alias("b"))
     best = materialize(best.select("a", "b").distinct(), "best")
     links = materialize(links.unionByName(verify(best, source, points)), "links")
-    known = components(links)
+    known = linked(links)
     rest = found.join(best, ["a", "b"], "left_anti")
     for end in ("a", "b"):
         rest = rest.join(known.select(F.col("id").alias(end), F.col("component").alias(f"c{end}")), end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
     rest = materialize(rest.where("ca <> cb").select("a", "b"), "rest")
     if rest.limit(1).count():
-        known = components(materialize(links.unionByName(verify(rest, source, points)), "links"))
+        known = linked(materialize(links.unionByName(verify(rest, source, points)), "links"))
 
     named = copies.join(known.select(F.col("id").alias("rep"), "component"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    named = materialize(named.unionByName(known).distinct(), "groups")
+    named = materialize(named.unionByName(known).groupBy("id").agg(F.min("component").alias("component")), "groups")
     # The component's name is its smallest member: a representative is the smallest of its class, so of its component, too.
     out = points.select("id", "n").join(broadcast_if_small(named, BROADCAST_IDS), "id", "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

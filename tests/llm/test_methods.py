@@ -112,18 +112,60 @@ def test_word_hashes_do_not_depend_on_the_place(monkeypatch):
     assert len(jaccard.word_hashes(b"x" * 200 + b" y")) == 2
 
 
-def test_rtree_finds_all_that_the_bound_leaves():
+@pytest.mark.parametrize("n", [1, 2, 15, 16, 17, 300, 900])
+def test_rtree_finds_all_that_the_bound_leaves(n):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 4, (6, jaccard.GROUPS)).astype(np.uint8)
-    points = np.array([np.maximum(0, base[i % 6].astype(int) + rng.integers(-1, 2, jaccard.GROUPS) * (rng.random(jaccard.GROUPS) < 0.15)) for i in range(300)]).astype(np.uint8)
-    size, group = points.sum(1).astype(np.int64), rng.integers(0, 40, 300)
-    order = np.lexsort((size, group))
-    points, size, group = points[order], size[order], group[order]
-    tree = jaccard.RTree(points, size, group)
-    for k in range(0, 300, 7):
-        low = np.minimum(points, points[k]).sum(1, dtype=np.int64)
-        want = np.flatnonzero((7 * low >= 3 * (size + size[k])) & (4 * np.minimum(size, size[k]) >= 3 * np.maximum(size, size[k])) & (group != group[k]))
-        assert sorted(tree.candidates(points[k], int(size[k]), int(group[k])).tolist()) == want.tolist()
+    points = np.array([np.maximum(0, base[i % 6].astype(int) + rng.integers(-1, 2, jaccard.GROUPS) * (rng.random(jaccard.GROUPS) < 0.15)) for i in range(n)]).astype(np.uint8)
+    size, group, cell = points.sum(1).astype(np.int64), rng.integers(0, 40, n), np.sort(rng.integers(0, max(1, n // 50), n))
+    order = np.lexsort((size, cell))
+    points, size, group, cell = points[order], size[order], group[order], cell[order]
+    got = {(a, b) for p, q in jaccard.RTree(cell, size, group, points).pairs() for a, b in zip(p.tolist(), q.tolist(), strict=True)}
+    want = set()
+    for a in range(n):
+        low = np.minimum(points, points[a]).sum(1, dtype=np.int64)
+        good = (7 * low >= 3 * (size + size[a])) & (4 * np.minimum(size, size[a]) >= 3 * np.maximum(size, size[a])) & (group != group[a]) & (cell == cell[a])
+        want |= {(a, int(b)) for b in np.flatnonzero(good) if b > a}
+    assert got == want
+
+
+def cell_batches(rows, names, arrays, size):
+    import pyarrow as pa
+
+    for a in range(0, len(rows), size):
+        some = list(zip(*rows[a : a + size], strict=True))
+        kinds = [pa.int64()] * (len(names) - arrays) + [pa.binary(), pa.list_(pa.int64())][:arrays]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(some, kinds, strict=True)], names)
+
+
+@pytest.mark.parametrize("batch", [7, 64, 5000])
+def test_all_candidates_of_the_documents_come_from_trees(batch, monkeypatch):
+    """The cells of a whole small table: trees are built whatever a cell's size, and leave no linked pair out."""
+    import pandas as pd
+
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    built = []
+    init = jaccard.RTree.__init__
+    monkeypatch.setattr(jaccard.RTree, "__init__", lambda self, *a: (built.append(len(a[0])), init(self, *a))[1])
+    sets = {int(i): jaccard.shingle_set((t or "").encode()) for i, t in zip(d.doc_id, d.text, strict=True)}
+    cells = {}
+    for i, s in sets.items():
+        for x in s[: len(s) // 4 + 1]:
+            cells.setdefault(int(x), []).append(i)
+    cells = {s: ids for s, ids in cells.items() if len(ids) > 1}
+    rows = sorted((s, 0, 0, len(sets[i]), i, i, 3, jaccard._counts(sets[i]), [s] * jaccard.FIRST) for s, ids in cells.items() for i in ids)
+    found = set()
+    for b in jaccard._second_step(cell_batches(rows, ["s", "i", "j", "n", "id", "component", "role", "point", "first"], 2, batch)):
+        found |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True))
+    assert built and sum(built) == len(rows)
+    linked = lambda a, b: 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))
+    pairs = {(a, b) for ids in cells.values() for a in ids for b in ids if a < b}
+    assert {p for p in pairs if linked(*p)} <= found <= pairs
+    rows = sorted((r[0], 0, r[3], r[4], r[7]) for r in rows)
+    first = set()
+    for b in jaccard._first_step(cell_batches(rows, ["s", "block", "n", "id", "point"], 1, batch)):
+        first |= set(zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True))
+    assert first <= found and first
 
 
 def test_bound_never_undercuts():

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, components, fmindex, html, jaccard, lm, maxscore, quality, queries, substrings, toxicity, urls
+from tessera.llm import bpe, fmindex, html, jaccard, lm, maxscore, quality, queries, substrings, toxicity, urls
 from tessera.llm.common import alnum_words, space_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -96,6 +96,18 @@ def test_groups_against_brute_force(docs, rows, monkeypatch, bucket):
     assert got == brute_groups(rows)
 
 
+def test_groups_of_one_key_with_different_texts(spark):
+    """The key is one document: it links what either of its texts is similar to."""
+    rng = random.Random(17)
+    a, b = prose(rng, 12), prose(rng, 12)
+    near = lambda t: t + " one more sentence"
+    d = spark.createDataFrame([(1, a), (2, a), (2, b), (3, near(b)), (4, near(a)), (5, prose(rng, 12)), (5, "alone")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.groups(d).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    with pytest.raises(TypeError):
+        jaccard.groups(d.withColumn("doc_id", F.col("doc_id").cast("string")))
+
+
 def test_groups_of_odd_tables(odd, docs, empty):
     want = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(docs).collect()}
     got = jaccard.groups(odd).collect()
@@ -107,13 +119,6 @@ def test_groups_of_odd_tables(odd, docs, empty):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in want.items() if i == c} | {None}
 
 
-def test_components_of_chains(spark):
-    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(50, 50), (None, 3), (60, 61), (61, 60)], "a long, b long")
-    got = {r.id: r.component for r in components.components(chain).collect()}
-    assert got == {i: 1 for i in range(1, 41)} | {60: 60, 61: 60}
-    assert components.components(chain.limit(0)).collect() == []
-
-
 def brute_repeats(rows):
     first = {}
     for i, t in sorted(rows):
