@@ -1,9 +1,16 @@
 """Main text of web pages by two passes of block rules.
 
-Method: markup is cut into blocks at block-level tags. First pass, each block alone: its place (menus, forms, asides,
-comments and the like are bad), link density, length and stop-word density call it good, bad, near-good or short.
-Second pass: near-good and short blocks inherit the label of their nearest decided neighbours, headings that of the
-text below them. The good blocks, in page order, are the text.
+Method: markup is cut into blocks at block-level tags. First pass, each block alone: link density, length and stop-word
+density call it good, near-good, short or bad, headings headings. Place is one sign among them. Menus, asides, comments
+and the like (MARKS) are bad. Forms and places whose names only hint (SOFT_MARKS) are bad too, but not when they hold
+more than half of what reads like prose on the page: then they are the page's frame. A part that is marked as the article
+lifts its blocks: none in it is bad by low density alone. Where such parts hold at least half as much as the prose that
+stands outside them, or that is less than STORY letters, they are believed, and blocks outside them fall a step: good to near-good, near-good to short, short to bad.
+
+Second pass: near-good and short blocks and headings inherit the label of their nearest decided neighbours of the same
+part (the article they stand in, or all that stands in none); where none is decided there, what the part's mark says,
+and on pages without a believed mark, good. Bad blocks inside an article, and those bad by their place, are insertions
+and decide nothing. The good blocks, in page order, are the text.
 
 Defined results: null, empty and text-free pages give an empty text; malformed markup is read as far as its tags can
 be told; pages of any length are read whole; repeated rows each give their row; an empty table gives an empty table;
@@ -29,15 +36,20 @@ BLOCK = frozenset(
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that another start tag of the kind, or of any block, closes.
 ONE = {"p": BLOCK, "li": frozenset(["li"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "tr": frozenset(["tr"])} | {h: HEADING for h in HEADING}
-ASIDE = frozenset("nav aside footer form menu dialog button label legend fieldset".split())
+ASIDE = frozenset("nav aside footer menu button label legend".split())
+SOFT_ASIDE = frozenset("form dialog fieldset".split())
 HEADER = frozenset(["header", "hgroup"])
-#: A class or id whose first or last word is one of these marks what is not the article.
+#: A class or id whose first or last word is one of these marks what is not the article; of the second, what may be.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising advertorial adsbygoogle sponsor sponsored sponsors promo promos promotion banner banners cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall sidebar sidebars aside rail widget widgets related recommended recommendations trending popular more share sharing social follow comment comments commentlist disqus reply replies respond discussion feedback reviews menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc footer foot copyright legal disclaimer tags masthead topbar toolbar search form skip hidden".split()
+    "ad ads adv advert advertisement advertising advertorial adsbygoogle sponsor sponsored sponsors cookie cookies consent gdpr sidebar sidebars aside rail related recommended recommendations trending share sharing social follow comment comments commentlist disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc footer foot copyright legal disclaimer masthead topbar toolbar hidden".split()
+)
+SOFT_MARKS = frozenset(
+    "promo promos promotion banner banners notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall widget widgets popular more discussion feedback reviews tags search form skip".split()
 )
 ARTICLE_MARKS = frozenset("comment comments reply replies teaser related sponsored advert promo promoted".split())
 HEADER_MARKS = frozenset(["header", "head"])
-MARK_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar status".split())
+MARK_ROLES = frozenset("navigation banner contentinfo complementary menu menubar toolbar status".split())
+SOFT_ROLES = frozenset("search alert alertdialog dialog form".split())
 LAYOUT = frozenset("has with no without".split())
 STOP_WORDS = frozenset(
     # English
@@ -49,7 +61,7 @@ STOP_WORDS = frozenset(
     # Spanish
     "al como con cuando del el ella ellos entre era es esta este esto fue ha hasta la las lo los más me mi muy no nos o para pero por porque que se sin sobre su sus también te todo tu un una unos y ya".split()
 )
-SHORT, LONG = 70, 200
+SHORT, LONG, STORY = 70, 200, 600
 LINKS_MAX = 0.33
 STOP_LOW, STOP_HIGH = 0.10, 0.18
 
@@ -62,15 +74,24 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _CLOSERS: dict[str, re.Pattern] = {}
 
 
+class Place:
+    """What an open element says of the blocks in it; ``soft`` are the numbers of the places around it that may be frames."""
+
+    __slots__ = ("article", "bad", "head", "name", "soft")
+
+    def __init__(self, name: str, bad: bool, head: bool, article: int, soft: tuple[int, ...]):
+        self.name, self.bad, self.head, self.article, self.soft = name, bad, head, article, soft
+
+
 class Block:
-    __slots__ = ("article", "bad", "breaks", "label", "linked", "parts", "tag", "text")
+    __slots__ = ("article", "bad", "breaks", "linked", "parts", "prose", "soft", "tag", "text")
 
-    def __init__(self, tag: str, article: int, bad: bool):
-        self.tag, self.article, self.bad, self.parts, self.linked, self.breaks = tag, article, bad, [], 0, 0
+    def __init__(self, tag: str, article: int, bad: bool, soft: tuple[int, ...]):
+        self.tag, self.article, self.bad, self.soft, self.parts, self.linked, self.breaks = tag, article, bad, soft, [], 0, 0
 
 
-def _marked(attrs: str, inner: bool) -> str:
-    """``bad``, ``header`` or nothing, from what the attributes say."""
+def _marked(attrs: str) -> str:
+    """``bad``, ``soft``, ``header`` or nothing, from what the attributes say."""
     found = ""
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
@@ -78,6 +99,8 @@ def _marked(attrs: str, inner: bool) -> str:
             return "bad"
         if name == "role" and value.lower() in MARK_ROLES:
             return "bad"
+        if name == "role" and value.lower() in SOFT_ROLES:
+            found = "soft"
         if name in ("class", "id"):
             for one in value.split():
                 words = [w.lower() for w in _NAME.findall(one)]
@@ -85,16 +108,17 @@ def _marked(attrs: str, inner: bool) -> str:
                     ends = (words[0], words[-1])
                     if MARKS.intersection(ends):
                         return "bad"
-                    if HEADER_MARKS.intersection(ends):
-                        found = "header"
+                    if SOFT_MARKS.intersection(ends):
+                        found = "soft"
+                    elif HEADER_MARKS.intersection(ends):
+                        found = found or "header"
     return found
 
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    #: Open elements: name, whether what they hold is bad, is a header, number of the article.
-    stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
-    at, links, articles, now = 0, 0, 0, Block("", 0, False)
+    stack = [Place("", False, False, 0, ())]
+    at, links, articles, soft, now = 0, 0, 0, 0, Block("", 0, False, ())
 
     def close_block():
         nonlocal now
@@ -102,9 +126,9 @@ def blocks(page: str) -> list[Block]:
             now.text = " ".join("".join(now.parts).split())
             if now.text:
                 out.append(now)
-        _, bad, head, art = stack[-1]
-        tag = next((s[0] for s in reversed(stack) if s[0] in HEADING or s[0] in ("p", "li", "td", "div")), "")
-        now = Block(tag, art, bad or head and not (art and tag in HEADING))
+        top = stack[-1]
+        tag = next((s.name for s in reversed(stack) if s.name in HEADING or s.name in ("p", "li", "td", "div")), "")
+        now = Block(tag, top.article, top.bad or top.head and not (top.article and tag in HEADING), top.soft)
 
     def take(text: str):
         if text:
@@ -138,28 +162,32 @@ def blocks(page: str) -> list[Block]:
             now.breaks += 1
             if now.breaks == 2:
                 close_block()
-        elif name in BLOCK or name in ASIDE:
+        elif name in BLOCK or name in ASIDE or name in SOFT_ASIDE:
             if end:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
                 if k:
                     del stack[k:]
             else:
-                while len(stack) > 1 and name in ONE.get(stack[-1][0], ()):
+                while len(stack) > 1 and name in ONE.get(stack[-1].name, ()):
                     stack.pop()
-                _, bad, head, art = stack[-1]
+                top = stack[-1]
+                one = Place(name, top.bad, top.head, top.article, top.soft)
                 if name == "article" or name == "main":
                     articles += 1
-                    art = articles if name == "article" else art or -articles
-                    bad = bad or name == "article" and bool(ARTICLE_MARKS.intersection(re.findall(r"[a-z]+", m["attrs"].lower())))
+                    one.article = articles if name == "article" else top.article or -articles
+                    one.bad = top.bad or name == "article" and bool(ARTICLE_MARKS.intersection(re.findall(r"[a-z]+", m["attrs"].lower())))
                 elif name not in ("html", "body"):
-                    said = _marked(m["attrs"], bool(art)) if m["attrs"] else ""
-                    bad = bad or name in ASIDE or said == "bad"
-                    head = head or name in HEADER or said == "header" and name not in HEADING
-                stack.append((name, bad, head, art))
+                    said = _marked(m["attrs"]) if m["attrs"] else ""
+                    one.bad = top.bad or name in ASIDE or said == "bad"
+                    one.head = top.head or name in HEADER or said == "header" and name not in HEADING
+                    if name in SOFT_ASIDE or said == "soft":
+                        soft += 1
+                        one.soft = (*top.soft, soft)
+                stack.append(one)
             if name in BLOCK:
                 links = 0
             close_block()
-        elif "class" in m["attrs"] and not end and name == "span" and _marked(m["attrs"], True) == "bad":
+        elif "class" in m["attrs"] and not end and name == "span" and _marked(m["attrs"]) == "bad":
             c = re.compile(r"</span\s*>", re.I).search(page, at)
             at = c.end() if c else at
     take(page[at:])
@@ -167,54 +195,81 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _first_pass(b: Block) -> str:
-    n = len(b.text)
-    if b.bad or b.linked > LINKS_MAX * n:
-        return "bad"
-    if "©" in b.text and n < LONG:
-        return "bad"
-    if b.tag in HEADING:
-        return "heading"
-    if n < SHORT:
-        return "bad" if b.linked else "short"
+def _density(b: Block) -> float:
     words = [_EDGE.sub("", w) for w in b.text.lower().split()]
-    density = sum(w in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_HIGH:
-        return "good" if n >= LONG else "near"
-    return "near" if density >= STOP_LOW or b.article else "bad"
+    return sum(w in STOP_WORDS for w in words) / len(words)
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page) if page else []
-    labels = [_first_pass(b) for b in found]
-    # Where the page marks an article (or else a main part) that holds text, nothing outside it is the article.
-    held = {b.article for b, x in zip(found, labels, strict=True) if b.article and x in ("good", "near", "short")}
-    held = {a for a in held if a > 0} or held
-    if held:
-        labels = ["bad" if b.article not in held else x for b, x in zip(found, labels, strict=True)]
+def _first_pass(found: list[Block]) -> tuple[list[str], set[int]]:
+    """A label for each block, and the articles that are believed."""
+    labels = []
+    for b in found:
+        n = len(b.text)
+        b.prose = 0
+        if b.bad or b.linked > LINKS_MAX * n:
+            labels.append("bad")
+        elif b.tag in HEADING:
+            labels.append("heading")
+        elif n < SHORT:
+            labels.append("bad" if b.linked and not b.article else "short")
+        else:
+            density = _density(b)
+            b.prose = n if density >= STOP_LOW else 0
+            labels.append(("good" if n >= LONG else "near") if density >= STOP_HIGH else "near" if density >= STOP_LOW or b.article else "bad")
+        if "©" in b.text and n < LONG and not b.article:
+            labels[-1] = "bad"
+    every = sum(b.prose for b in found)
+    inside: dict[int, int] = {}
+    for b in found:
+        for s in b.soft:
+            inside[s] = inside.get(s, 0) + b.prose
+    for i, b in enumerate(found):
+        if any(2 * inside[s] <= every for s in b.soft):  # no frame of the page: a form or notice
+            labels[i], b.bad, b.prose = "bad", True, 0
+    # Words of each part (0: what stands in no article), and whether the marked ones are believed.
+    size: dict[int, int] = {}
+    for b, x in zip(found, labels, strict=True):
+        if x != "bad":
+            size[b.article] = size.get(b.article, 0) + (b.prose if b.prose or not b.article else len(b.text))
+    marked = {a for a in size if a > 0} or {a for a in size if a}
+    believed = marked if marked and (2 * sum(size[a] for a in marked) >= size.get(0, 0) or size[0] < STORY) else set()
+    if believed:
+        lower = {"good": "near", "near": "short", "heading": "heading"}
+        labels = [x if b.article in believed else lower.get(x, "bad") for b, x in zip(found, labels, strict=True)]
+    return labels, believed
+
+
+def _second_pass(found: list[Block], labels: list[str], believed: set[int]) -> list[bool]:
+    """Which blocks are kept: undecided ones follow their nearest decided neighbours in the same part."""
     n = len(found)
+    part = [b.article if b.article in believed else 0 for b in found]
     before, after = [""] * n, [""] * n
     for order, side in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = ""
+        last: dict[int, str] = {}
         for i in order:
-            side[i] = last
-            # A block that its place makes bad, or a bad one inside an article, is an insertion and says nothing of the text around it.
-            if labels[i] == "good" or labels[i] == "bad" and not held and not found[i].bad:
-                last = labels[i]
-    keep = [False] * n
+            side[i] = last.get(part[i], "")
+            if labels[i] == "good" or labels[i] == "bad" and not part[i] and not found[i].bad:
+                last[part[i]] = labels[i]
+    keep = []
     for i, x in enumerate(labels):
-        if x == "good":
-            keep[i] = True
-        elif x != "bad":
-            if found[i].article in held:
-                keep[i] = True
-            elif x == "near":
-                keep[i] = "good" in (before[i], after[i]) or not before[i] and not after[i]
-            elif x == "short":
-                keep[i] = before[i] == "good" and after[i] in ("good", "") or before[i] == "" and after[i] == "good"
-            else:
-                keep[i] = after[i] == "good"
-    return "\n".join(b.text for b, k in zip(found, keep, strict=True) if k)
+        sides = before[i], after[i]
+        if x in ("good", "bad"):
+            keep.append(x == "good")
+        elif sides == ("", ""):  # nothing is decided in this part
+            keep.append(bool(part[i]) or not believed)
+        elif x == "near":
+            keep.append("good" in sides)
+        elif x == "short":
+            keep.append("good" in sides and "bad" not in sides)
+        else:
+            keep.append(after[i] == "good" or part[i] != 0)
+    return keep
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page) if page else []
+    labels, believed = _first_pass(found)
+    return "\n".join(b.text for b, k in zip(found, _second_pass(found, labels, believed), strict=True) if k)
 
 
 def extract(pages: DataFrame, source: str = "html") -> DataFrame:

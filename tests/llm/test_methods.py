@@ -347,6 +347,27 @@ def test_weak_labels_find_junk():
     assert isinstance(vote(None), str) and vote(None) == vote("")
 
 
+def test_best_class_by_the_whole_likelihood():
+    """The class chosen is the one with the highest likelihood of the table that results, counted anew for each choice."""
+    rng = np.random.default_rng(5)
+    n, k = 30, 5  # unit n is the end
+    pairs = rng.integers(0, 6, (n + 1, n + 1)) * (rng.random((n + 1, n + 1)) < 0.5)
+    group = np.append(rng.integers(0, k - 1, n), k - 1)
+
+    def table(group):
+        one = np.eye(k)[group]
+        return one.T @ pairs @ one
+
+    x_log_x = lambda x: float((x * np.log(np.maximum(x, 1e-300))).sum())
+    likelihood = lambda t: x_log_x(t) - x_log_x(t.sum(0)) - x_log_x(t.sum(1))
+    one = np.eye(k)[group]
+    right, left, own = pairs @ one, pairs.T @ one, np.diagonal(pairs)
+    got = lm.best_classes(table(group), group[:n], right[:n], left[:n], own[:n])
+    for u in range(n):
+        tries = [likelihood(table(np.where(np.arange(n + 1) == u, c, group))) for c in range(k - 1)]
+        assert tries[got[u]] >= max(tries) - 0.02, u
+
+
 def test_exchange_separates_two_languages():
     rng = np.random.default_rng(0)
     pairs = np.zeros((41, 41))
@@ -357,3 +378,50 @@ def test_exchange_separates_two_languages():
     pairs[40, :40] = pairs[:40, 40] = 3
     group = lm.exchange(pairs, classes=2, sweeps=20)
     assert group[40] == 2 and len(set(group[0:40:2])) == 1 and len(set(group[1:40:2])) == 1 and group[0] != group[1]
+
+
+def generated_page(rng, marked, frame):
+    """A page from known parts: (markup, main text). Prose has stop words, boilerplate is links, short notes or forms."""
+    stop, rare = "the of and to in that it with for was on as by from".split(), "river stone light house garden window letter morning winter market".split()
+    prose = lambda n: " ".join(rng.choice(stop if rng.random() < 0.45 else rare) for _ in range(n)).capitalize() + "."
+    parts = [("h1", " ".join(rng.sample(rare, 4)))] + [("p", prose(rng.choice([3, 25, 60, 90]))) for _ in range(rng.randint(4, 9))]
+    parts[1] = ("p", prose(70))
+    parts[-1] = ("p", prose(80))
+    body = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+    menu = "<ul>" + "".join(f'<li><a href="/{w}">{w}</a></li>' for w in rng.sample(rare, 6)) + "</ul>"
+    links = "<div>" + " ".join(f'<a href="/{w}">{w} and the {w}</a>' for w in rng.sample(rare, 5)) + "</div>"
+    page = f"<nav>{menu}</nav>{links}" + (f"<article>{body}</article>" if marked else f"<div>{body}</div>")
+    page += f'<form action="/login"><label>Name</label><p>{prose(20)}</p></form><div class="comments"><p>{prose(60)}</p></div><footer>&copy; 2020 {prose(5)}</footer>'
+    page = {"form": f'<form id="aspnet">{page}</form>', "search": f'<div class="search-results">{page}</div>', "": page}[frame]
+    return f"<html><head><title>x</title></head><body>{page}</body></html>", "\n".join(x for _, x in parts)
+
+
+@pytest.mark.parametrize("frame", ["", "form", "search"])
+@pytest.mark.parametrize("marked", [True, False])
+def test_main_text_of_generated_pages(marked, frame):
+    rng = random.Random(41)
+    for _ in range(60):
+        page, want = generated_page(rng, marked, frame)
+        assert html.main_text(page) == want
+
+
+def test_both_passes_decide():
+    """On a page without a marked article labels come from density, links and neighbours alone."""
+    rng = random.Random(42)
+    page, want = generated_page(rng, False, "")
+    found = html.blocks(page)
+    labels, believed = html._first_pass(found)
+    kept = html._second_pass(found, labels, believed)
+    assert not believed and {"good", "near", "short", "heading", "bad"} >= set(labels)
+    assert "good" in labels and any(x == "bad" and not b.bad for x, b in zip(labels, found, strict=True))
+    assert any(k and x in ("near", "short") for k, x in zip(kept, labels, strict=True))
+
+
+def test_a_teaser_article_does_not_hide_the_story():
+    rng = random.Random(43)
+    story = [" ".join(rng.choice("the of and house river with light was it on".split()) for _ in range(60)).capitalize() + "." for _ in range(4)]
+    page = "<article>Teaser</article><div>" + "".join(f"<p>{x}</p>" for x in story) + "</div>"
+    assert html.main_text(page).endswith("\n".join(story))
+    assert html.main_text("<article><h1>A title</h1><p>Short text.</p><p>Ends &copy; here.</p></article><footer>foot</footer>") == "A title\nShort text.\nEnds © here."
+    assert html.main_text("<p>Only this.</p>") == "Only this."
+    assert html.main_text("<nav><a>x</a></nav><div class='ad'>Buy it of the and now</div>") == ""
