@@ -272,16 +272,65 @@ def test_lm_words_beyond_the_dictionary(docs, monkeypatch):
 
 def test_lm_is_a_distribution(spark, docs, monkeypatch):
     """Over the dictionary's words, one unknown word a class and the end, the next-word probabilities sum to 1."""
-    monkeypatch.setattr(lm, "DICTIONARY", 150_000)
+    monkeypatch.setattr(lm, "MIN_COUNT", 5)
     source = docs.where("doc_id < 60").select(F.col("text").cast("binary").alias("_text"))
     m, counts = lm.train(source)
-    units = lm.Units(m.words)
+    units = lm.Units(m.words, m.clustered)
     at, unit, _ = units(m.words)
-    group = m.group[unit]
-    for before in (lm.CLASSES, int(group[0]), int(group[-1])):
+    group, end = m.group[unit], len(m.step) - 1
+    assert m.clustered > 20 and set(m.group[:-1]) <= set(range(end)) and m.group[-1] == end
+    for before in (end, int(group[0]), int(group[-1])):
         known = sum(10 ** (m.step[before, g] + m.log_count[i] - m.below[g]) for i, g in zip(at.tolist(), group.tolist(), strict=True))
-        unknown = sum(10 ** (m.step[before, g] + m.log_count[-1] - m.below[g]) for g in range(lm.CLASSES))
-        assert math.isclose(known + unknown + 10 ** m.step[before, lm.CLASSES], 1.0, rel_tol=1e-9)
+        unknown = sum(10 ** (m.step[before, g] + m.log_count[-1] - m.below[g]) for g in range(end))
+        assert math.isclose(known + unknown + 10 ** m.step[before, end], 1.0, rel_tol=1e-9)
+
+
+def test_lm_scores_by_plain_python(docs, rows, monkeypatch):
+    """Given the classes, every count and probability again from the texts; and the classes beat having only one."""
+    monkeypatch.setattr(lm, "MIN_COUNT", 5)
+    monkeypatch.setattr(lm, "PAIRED", 3000)
+    source = docs.select("doc_id", F.lit(False).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("_text"))
+    m, counts = lm.train(source.where("doc_id < 100").select("_text"))
+    got = {r.doc_id: r.score for r in lm.score(source, m, counts, "doc_id").collect()}
+    texts = {r[0]: space_words((r[1] or "").encode()) for r in rows}
+    seen = Counter(w for i, t in texts.items() if i < 100 for w in t)
+    own = {w: i for i, w in enumerate(m.words[: m.clustered])}
+    end = len(m.step) - 1
+    assert all(seen[w] >= 5 for w in own) and end >= 2
+    of = lambda w: int(m.group[own[w] if w in own else m.clustered + zlib.crc32(w[-3:]) % lm.SUFFIXES])
+    steps, size, kinds = Counter(), Counter(), Counter()
+    for w, n in seen.items():
+        size[of(w)] += n
+        kinds[of(w)] += 1
+    for i, t in texts.items():
+        if i < 100:
+            path = [end, *map(of, t), end]
+            steps.update(zip(path, path[1:], strict=False))
+            size[end] += 1
+    everything = sum(size.values())
+
+    def plain(t, of):
+        path, total = [end, *map(of, t), end], 0.0
+        for k, (a, b) in enumerate(zip(path, path[1:], strict=False)):
+            share = (size[b] + 0.5) / (everything + 0.5 * (end + 1))
+            total += math.log10((steps[a, b] + lm.TRANSITION * share) / (sum(steps[a, x] for x in range(end + 1)) + lm.TRANSITION))
+            if k < len(t):
+                total += math.log10((seen[t[k]] + lm.DELTA) / (size[b] + lm.DELTA * (kinds[b] + 1)))
+        return total
+
+    for i in [*range(0, 117, 9), 112, 119]:
+        assert math.isclose(got[i], plain(texts[i], of), rel_tol=1e-6), i
+
+
+def test_exchange_sweeps_separate_two_languages(spark):
+    """Two vocabularies that never meet inside a text: no class but the rare words' holds words of both."""
+    rng = random.Random(23)
+    voc = [[f"{x}{i}" for i in range(60)] for x in ("north", "south")]
+    texts = [(" ".join(rng.choices(v, k=200)).encode(),) for v in voc for _ in range(60)]
+    m, _ = lm.train(spark.createDataFrame(texts, "_text binary").repartition(3))
+    assert m.clustered == 120
+    mixed = sum(1 for g in set(m.group[:120].tolist()) if len({m.words[i][:1] for i in range(120) if m.group[i] == g}) > 1)
+    assert mixed == 0
 
 
 def test_quality_and_toxicity_on_tables(spark, odd, empty):
