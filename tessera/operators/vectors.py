@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.operators.tables import top_n_per_group
+from tessera.storage import materialize
 
 # Weights of the similarity views.
-VIEW_WEIGHTS = {"lyrics": 0.45, "audio_low": 0.30, "audio_high": 0.25}
-#: Vectors (of 64 doubles: 5 MB) that one side of a pair join may be broadcast with; more are joined block by block.
-BLOCK = 10_000
+VIEW_WEIGHTS = {"emotion": 0.45, "style": 0.30, "audio": 0.25}
+#: Vectors of a block (of 64 doubles: 1 MB). Blocks are joined block to block, so a task holds two of them at a time.
+BLOCK = 2000
+#: Sources whose similarities to a block are held at once.
+TOGETHER = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -33,65 +37,134 @@ def unit(df: DataFrame, vector: str, out: str = "u") -> DataFrame:
     return df.withColumn("_n", n).withColumn(out, F.transform(vector, lambda x: x / F.col("_n"))).drop("_n")
 
 
-def cosine_top_k(df: DataFrame, id_: str, vector: str, k: int, least: float | None = None) -> DataFrame:
-    """(source, target, similarity, rank) of each row's k nearest others, rounded to 6 places before ranking.
+def cosine_top_k(df: DataFrame, id_: str, vector: str, k: int, least: float | None = None, apart: str | None = None) -> DataFrame:
+    """(source, target, similarity, rank) of each row's k nearest others, rounded to 6 places before
+    ranking; ``apart``: only others with another value of this column (rows without one take no part).
 
-    The rows are cut into blocks of BLOCK; each task holds one block's matrix and keeps k candidates of a source, so
-    what is shuffled is k rows a source and block, never all pairs.
+    The rows are cut into blocks that meet block to block; each meeting keeps k candidates of a source, so what is
+    shuffled is k rows a source and block, never all pairs.
     """
-    return _pairs(df, id_, vector, k, least)
+    return top_n_per_group(_near(df, id_, vector, k, least, None, apart), ["source"], [F.desc("similarity"), F.col("target")], k)
 
 
 def cosine_above(df: DataFrame, id_: str, vector: str, least: float) -> DataFrame:
-    """V2, G1: all ordered pairs (source, target, similarity) of at least this similarity."""
-    return _pairs(df, id_, vector, None, least).drop("rank")
-
-
-def _pairs(df: DataFrame, id_: str, vector: str, k: int | None, least: float | None) -> DataFrame:
-    from tessera.storage import materialize
-
-    import pyarrow as pa
-
-    rows = materialize(df.select(F.col(id_).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null"), "vectors")
-    n = rows.count()
-    blocks = max(1, -(-n // BLOCK))
-    rows = materialize(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), "blocks")
-    found = None
-    for at in range(blocks):
-        part = rows.where(F.col("block") == at).orderBy("id").toArrow()
-        if not part.num_rows:
-            continue
-        ids = part.column("id").to_numpy()
-        m = np.stack(part.column("v").to_pylist()).astype(np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        shared = df.sparkSession.sparkContext.broadcast((ids, m))
-
-        def run(batches, shared=shared):
-            ids, m = shared.value
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                q = np.stack(b.column(1).to_pylist()).astype(np.float64)
-                q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                s = np.floor(np.abs(np.clip(q @ m.T, -1, 1)) * 1e6 + 0.5) / 1e6 * np.sign(q @ m.T)
-                s[own[:, None] == ids[None, :]] = -2
-                for i in range(len(own)):
-                    at = np.flatnonzero(s[i] >= (-1 if least is None else least))
-                    if k is not None and len(at) > k:
+    """V2: all ordered pairs (source, target, similarity) of at least this similarity."""
+    return _near(df, id_, vector, None, None, least, None)
+
+
+def cosine_neighbours(df: DataFrame, id_: str, vector: str, k: int, above: float) -> DataFrame:
+    """G1: ordered pairs of positive similarity that hold each row's k nearest others and all of at least ``above``."""
+    return _near(df, id_, vector, k, 1e-6, above, None)
+
+
+def cosine_grid(df: DataFrame, id_: str, views: list[str]) -> DataFrame:
+    """(source, target, one similarity a view) of every ordered pair of different rows; a view that either
+    side lacks is null. As many rows as there are pairs, by its nature."""
+
+    def each(row, m, n):
+        own, other = (np.frombuffer(row[x], np.int64) for x in ("ids_a", "ids_b"))
+        for a in range(0, len(own), TOGETHER):
+            apart = own[a : a + TOGETHER, None] != other[None, :]
+            i, j = np.nonzero(apart)
+            yield [own[a + i], other[j], *(_similarity(x[a : a + TOGETHER], y)[i, j] for x, y in zip(m, n, strict=True))]
+
+    fields = [(v, pa.float64()) for v in views]
+    return _meet(df.select(F.col(id_).cast("long").alias("id"), F.lit(0).cast("long").alias("apart"), *(F.col(v).cast("array<double>").alias(v) for v in views)), views, each, fields)
+
+
+def similar_to(df: DataFrame, id_: str, value, views: list[str]) -> DataFrame:
+    """(source, target, one similarity a view) of one row against all others: one scan, its vectors as constants."""
+    u = df.select(F.col(id_).alias("target"), *views)
+    for v in views:
+        u = unit(u, v, f"_{v}")
+    one = u.where(F.col("target") == value).limit(1).select(F.col("target").alias("source"), *(F.col(f"_{v}").alias(f"_s_{v}") for v in views))
+    return u.where(F.col("target") != value).crossJoin(F.broadcast(one)).select("source", "target", *(F.round(dot(F.col(f"_s_{v}"), F.col(f"_{v}")), 6).alias(v) for v in views))
+
+
+def _similarity(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of unit rows to 6 places, halves away from zero; NaN where a side has no vector."""
+    s = np.clip(x @ y.T, -1, 1)
+    return np.floor(np.abs(s) * 1e6 + 0.5) / 1e6 * np.sign(s)
+
+
+def _near(df: DataFrame, id_: str, vector: str, k: int | None, least: float | None, above: float | None, apart: str | None) -> DataFrame:
+    rows = df.select(F.col(id_).cast("long").alias("id"), (F.xxhash64(apart) if apart else F.lit(0).cast("long")).alias("apart"), F.col(vector).cast("array<double>").alias("v"))
+    rows = rows.where(F.col("v").isNotNull() & (F.lit(True) if apart is None else df[apart].isNotNull()))
+
+    def each(row, m, n):
+        own, other, g, h = (np.frombuffer(row[x], np.int64) for x in ("ids_a", "ids_b", "apart_a", "apart_b"))
+        for a in range(0, len(own), TOGETHER):
+            s = _similarity(m[0][a : a + TOGETHER], n[0])
+            s[(own[a : a + TOGETHER, None] == other[None, :]) | (apart is not None) & (g[a : a + TOGETHER, None] == h[None, :])] = -2
+            keep = s >= (2 if above is None else above)
+            if k is not None:
+                low = -1 if least is None else least
+                for i in range(len(s)):
+                    at = np.flatnonzero(s[i] >= low)
+                    if len(at) > k:
                         cut = np.partition(s[i][at], len(at) - k)[len(at) - k]
                         at = at[s[i][at] >= cut]
-                        at = at[np.lexsort((ids[at], -s[i][at]))][:k]
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), own[i])), pa.array(ids[at]), pa.array(s[i][at])], ["source", "target", "similarity"])
-
-        one = rows.select("id", "v").mapInArrow(run, "source long, target long, similarity double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.selectExpr("id as source", "id as target", "0D as similarity", "1 as rank").where("false")
-    if k is None:
-        return found.withColumn("rank", F.lit(0))
-    return top_n_per_group(found, ["source"], [F.desc("similarity"), F.col("target")], k)
+                        at = at[np.lexsort((other[at], -s[i][at]))][:k]
+                    keep[i, at] = True
+            i, j = np.nonzero(keep)
+            yield [own[a + i], other[j], s[i, j]]
+
+    return _meet(rows, ["v"], each, [("similarity", pa.float64())])
+
+
+def _meet(rows: DataFrame, views: list[str], each, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """``each`` of two packed blocks, for all ordered pairs of blocks. Rows (id, apart, a vector a view) are dealt into
+    blocks by hash, a block packed into one row of arrays, and the blocks joined on their numbers."""
+    rows = materialize(rows.where("id is not null"), "vectors")
+    blocks = max(1, -(-rows.count() // BLOCK))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).select("block", "id", "apart", *views)
+    width = len(views)
+
+    def packed(held):
+        block, parts = held
+        arrays = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in arrays)], ["block", "ids", "apart", *views])
+
+    def matrix(column):
+        lists = column.to_pylist()
+        size = next((len(x) for x in lists if x is not None), 0)
+        m = np.array([x if x is not None else [np.nan] * size for x in lists], np.float64).reshape(len(lists), size)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+    def pack(batches):
+        held = None
+        for b in batches:
+            number = b.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(number)]
+            for a, e in zip(cut, cut[1:], strict=False):
+                if a == e:
+                    continue
+                some = b.slice(a, e - a)
+                part = [some.column(1).to_numpy(), some.column(2).to_numpy(), *(matrix(some.column(3 + v)) for v in range(width))]
+                if held is not None and held[0] != int(number[a]):
+                    yield packed(held)
+                    held = None
+                held = (int(number[a]), [*(held[1] if held else []), part])
+        if held is not None:
+            yield packed(held)
+
+    names = ["ids", "apart", *views]
+    schema = "block int, " + ", ".join(f"`{n}` binary" for n in names)
+    blobs = materialize(rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(pack, schema), "blocks")
+    left = blobs.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"), *(F.col(n).alias(f"{n}_a") for n in names))
+    right = blobs.select(F.col("block").alias("other"), *(F.col(n).alias(f"{n}_b") for n in names))
+    out = ["source", "target", *(n for n, _ in fields)]
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):  # one meeting at a time
+                row = {n: c[k].as_buffer() for n, c in zip(b.schema.names, b.columns, strict=True) if n != "other"}
+                sides = [[np.frombuffer(row[f"{v}_{side}"]).reshape(len(row[f"ids_{side}"]) // 8, -1) for v in views] for side in "ab"]
+                for found in each(row, *sides):
+                    if len(found[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, from_pandas=True) if x.dtype == np.float64 else pa.array(x) for x in found], out)
+
+    return left.join(right, "other").mapInArrow(run, "source long, target long, " + ", ".join(f"`{n}` double" for n, _ in fields))
 
 
 def hybrid(views: Mapping[str, float]) -> tuple[Column, Column]:
@@ -131,11 +204,7 @@ def pca(df: DataFrame, id_: str, features: list[str], k: int = 2) -> tuple[DataF
     from tessera.operators.tables import zscores
 
     z = zscores(df.select(id_, *features), features, impute=True)
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    row = z.agg(*(F.avg(F.col(features[i]) * F.col(features[j])).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    cov = np.zeros((len(features),) * 2)
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
+    cov = _mean_products(z, features)
     value, vector = np.linalg.eigh(cov)
     order = np.argsort(-value)[:k]
     load = vector[:, order]
@@ -145,6 +214,23 @@ def pca(df: DataFrame, id_: str, features: list[str], k: int = 2) -> tuple[DataF
     return scores, df.sparkSession.createDataFrame(listed, "feature string, component int, loading double"), [float(v) for v in value[order] / max(value.sum(), 1e-300)]
 
 
+def _mean_products(z: DataFrame, features: list[str]) -> np.ndarray:
+    """The mean product of every two columns: each task sends one matrix (features squared), summed on the driver."""
+    size = len(features)
+
+    def run(batches):
+        total, n = np.zeros((size, size)), 0
+        for b in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], axis=1) if b.num_rows else np.zeros((0, size))
+            total += x.T @ x
+            n += len(x)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], ["t", "n"])
+
+    rows = z.select(*(F.col(f).cast("double") for f in features)).mapInArrow(run, "t binary, n long").collect()
+    return sum((np.frombuffer(bytes(r[0])).reshape(size, size) for r in rows), np.zeros((size, size))) / max(1, sum(r[1] for r in rows))
+
+
 def components_for(shares: list[float], target: float = 0.9) -> int:
     """The fewest components that explain ``target``."""
     return int(np.searchsorted(np.cumsum(shares), target - 1e-12) + 1)

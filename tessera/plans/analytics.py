@@ -27,33 +27,36 @@ def cosine_pairs(s, d):
     return V.cosine_above(_emb(s, d), "vec_id", "v", 0.32)
 
 
+VIEWS = {"emotion": (1, 22), "style": (23, 21), "audio": (44, 21)}
+
+
 def _views(s, d):
-    """Two views of the vectors (their halves), the second absent for each ninth vector, paired where the whole is similar."""
+    """Three views of the vectors (their parts), the last absent for each ninth vector."""
     e = _emb(s, d)
-    base = V.cosine_above(e, "vec_id", "v", 0.25).select("source", "target")
-    u = V.unit(V.unit(e.withColumn("a", F.slice("v", 1, 32)).withColumn("b", F.slice("v", 33, 32)), "a", "ua"), "b", "ub")
-    u = u.select("vec_id", "ua", F.when(F.col("vec_id") % 9 != 0, F.col("ub")).alias("ub"), "label")
-    x, y = u.select(F.col("vec_id").alias("source"), F.col("ua").alias("xa"), F.col("ub").alias("xb"), F.col("label").alias("source_label")), u.select(F.col("vec_id").alias("target"), F.col("ua").alias("ya"), F.col("ub").alias("yb"), F.col("label").alias("target_label"))
-    p = base.join(x, "source").join(y, "target")
-    return p.select("source", "target", "source_label", "target_label", R6(V.dot(F.col("xa"), F.col("ya"))).alias("first"), R6(V.dot(F.col("xb"), F.col("yb"))).alias("second"))
+    for name, (start, size) in VIEWS.items():
+        part = F.slice("v", start, size)
+        e = e.withColumn(name, F.when(F.col("vec_id") % 9 != 0, part) if name == "audio" else part)
+    return e
 
 
 def hybrid_similarity(s, d):
-    score, used = V.hybrid({"first": 0.45, "second": 0.30})
-    return _views(s, d).select("source", "target", R6(score).alias("hybrid"), used.cast("long").alias("views"))
+    """V3, V4: every ordered pair, by the weighted mean of the views that both have."""
+    score, used = V.hybrid(V.VIEW_WEIGHTS)
+    return V.cosine_grid(_views(s, d), "vec_id", list(VIEWS)).select("source", "target", F.round(score, 9).alias("hybrid"), used.cast("long").alias("views"))
 
 
-def recommend_filtered(s, d):
-    """For all sources at once, not of the same label, at least 0.3, the three best."""
-    p = _views(s, d).where((F.col("source_label") != F.col("target_label")) & (F.col("first") >= 0.3))
-    return O.top_n_per_group(p, ["source"], [F.desc("first"), F.col("target")], 3).select("source", "target", "first", "rank")
+def recommend_filtered(s, d, view="emotion", least=0.3, k=3, apart="label"):
+    """For all sources at once, not of the same label, at least 0.3, the three best of all others."""
+    return V.cosine_top_k(_views(s, d), "vec_id", view, k, least, apart).withColumnRenamed("similarity", "score").select("source", "target", "score", "rank")
 
 
-def multi_model_report(s, d):
-    """One entity's best five by each model that has a score."""
-    p = _views(s, d).where("source = 7")
-    rows = [O.top_n_per_group(p.where(F.col(m).isNotNull()).select("source", "target", F.col(m).alias("score")), ["source"], [F.desc("score"), F.col("target")], 5).withColumn("model", F.lit(m)) for m in ("first", "second")]
-    return rows[0].unionByName(rows[1]).select("model", "target", "score", "rank")
+def multi_model_report(s, d, source=7, k=5):
+    """One entity's best five by each model that has a score, among all others."""
+    p = V.similar_to(_views(s, d), "vec_id", source, list(VIEWS))
+    score, _ = V.hybrid(V.VIEW_WEIGHTS)
+    p = p.withColumn("hybrid", F.round(score, 9))
+    rows = [O.top_n_per_group(p.where(F.col(m).isNotNull()).select("source", "target", F.col(m).alias("score")), ["source"], [F.desc("score"), F.col("target")], k).withColumn("model", F.lit(m)) for m in (*VIEWS, "hybrid")]
+    return reduce(DataFrame.unionByName, rows).select("model", "target", "score", "rank")
 
 
 def findings(s, d):
@@ -102,14 +105,14 @@ def own_prev_centroid_distance(s, d):
 
 
 def pca_2d(s, d):
-    e = _emb(s, d).select("vec_id", *(F.col("v")[i].alias(f"f{i}") for i in range(12)))
-    scores, _, _ = V.pca(e, "vec_id", [f"f{i}" for i in range(12)], 2)
+    e = _emb(s, d).select("vec_id", *(F.col("v")[i].alias(f"f{i}") for i in range(64)))
+    scores, _, _ = V.pca(e, "vec_id", [f"f{i}" for i in range(64)], 2)
     return scores
 
 
 def pca_loadings(s, d):
-    e = _emb(s, d).select("vec_id", *(F.col("v")[i].alias(f"f{i}") for i in range(12)))
-    _, load, shares = V.pca(e, "vec_id", [f"f{i}" for i in range(12)], 12)
+    e = _emb(s, d).select("vec_id", *(F.col("v")[i].alias(f"f{i}") for i in range(64)))
+    _, load, shares = V.pca(e, "vec_id", [f"f{i}" for i in range(64)], 64)
     return load.where(F.col("component") <= V.components_for(shares)).withColumn("rank", F.row_number().over(Window.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")))
 
 
@@ -259,7 +262,7 @@ def bootstrap_ci(s, d, resamples: int = 2000):
 
 def _graph(s, d):
     e = _emb(s, d)
-    pairs = V.cosine_above(e, "vec_id", "v", 0.2)
+    pairs = V.cosine_neighbours(e, "vec_id", "v", 5, 0.32)
     edges = materialize(G.edges_from_pairs(pairs, 5, 0.32), "edges")
     return e.select(F.col("vec_id").alias("id"), "label"), edges
 
@@ -447,11 +450,12 @@ def local_explanations(s, d):
 # Reports
 
 
-def report_similar(s, d):
+def report_similar(s, d, one=7, k=10):
     """Forward and reversed pairs of one entity, the best score of each other, top 10."""
-    p = V.cosine_above(_emb(s, d), "vec_id", "v", 0.1).where("source < target")
-    both = p.where("source = 7").select(F.col("target").alias("other"), "similarity").unionByName(p.where("target = 7").select(F.col("source").alias("other"), "similarity"))
-    return both.groupBy("other").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "other").limit(10)
+    near = V.similar_to(_emb(s, d), "vec_id", one, ["v"])
+    p = near.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"), F.col("v").alias("similarity"))
+    both = p.where(F.col("source") == one).select(F.col("target").alias("other"), "similarity").unionByName(p.where(F.col("target") == one).select(F.col("source").alias("other"), "similarity"))
+    return both.groupBy("other").agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), "other").limit(k)
 
 
 def report_series(s, d):
@@ -483,8 +487,8 @@ def report_ranking(s, d):
 
 _E = "e as (select vec_id, label, embedding::double[] v from embeddings)"
 _P = _E + ", p as (select x.vec_id as source, y.vec_id as target, x.label sl, y.label tl, x.v xv, y.v yv, round(list_cosine_similarity(x.v, y.v), 6) similarity from e x join e y on x.vec_id <> y.vec_id)"
-_VW = _P + ", w as (select source, target, sl, tl, round(list_cosine_similarity(xv[1:32], yv[1:32]), 6) as first_, case when source % 9 <> 0 and target % 9 <> 0 then round(list_cosine_similarity(xv[33:64], yv[33:64]), 6) end as second_ from p where similarity >= 0.25)"
-_G = _P + ", r as (select *, row_number() over (partition by source order by similarity desc, target) r from p where similarity >= 0.2), g as (select least(source, target) a, greatest(source, target) b, max(similarity) weight, bool_or(similarity >= 0.32) by_threshold, bool_or(r <= 5) by_top_k, count(*) filter (r <= 5) = 2 mutual_top_k from r where r <= 5 or similarity >= 0.32 group by 1, 2)"
+_VW = _P + ", w as (select source, target, sl, tl, round(list_cosine_similarity(xv[1:22], yv[1:22]), 6) as emotion, round(list_cosine_similarity(xv[23:43], yv[23:43]), 6) as style, case when source % 9 <> 0 and target % 9 <> 0 then round(list_cosine_similarity(xv[44:64], yv[44:64]), 6) end as audio from p), h as (select *, round((0.45::double * emotion + 0.30::double * style + 0.25::double * coalesce(audio, 0)) / (0.75::double + case when audio is not null then 0.25::double else 0 end), 9) hybrid from w)"
+_G = _P + ", r as (select *, row_number() over (partition by source order by similarity desc, target) r from p where similarity > 0), g as (select least(source, target) a, greatest(source, target) b, max(similarity) weight, bool_or(similarity >= 0.32) by_threshold, bool_or(r <= 5) by_top_k, count(*) filter (r <= 5) = 2 mutual_top_k from r where r <= 5 or similarity >= 0.32 group by 1, 2)"
 _B = _G + ", bw as (select a, b, weight from g union all select b, a, weight from g)"
 _C = _E + ", ex as (select label, unnest(v) x, generate_subscripts(v, 1) i from e), cm as (select label, i, avg(x) x from ex group by 1, 2), c as (select label, list(x order by i) c from cm group by 1)"
 _SC = _YSQL + ", lf as (select * from (unpivot y on " + ", ".join(YF) + " into name feature value value)), f0 as (select feature, avg(value) mean, stddev_samp(value) sd, count(value) / count(*) coverage from lf group by 1), f1 as (select *, coalesce(1 / (1 + sd / nullif(abs(mean), 0)), 1 / (1 + sd)) raw, abs(mean) am, 2 * 1.96::double * sd / sqrt(7.0::double) width from f0), f2 as (select *, coalesce((raw - min(raw) over ()) / nullif(max(raw) over () - min(raw) over (), 0), 0.5::double) stability, coalesce((am - min(am) over ()) / nullif(max(am) over () - min(am) over (), 0), 0.5::double) prevalence, 1 - coalesce((width - min(width) over ()) / nullif(max(width) over () - min(width) over (), 0), 0.5::double) confidence from f1), f as (select *, 0.35::double * stability + 0.25::double * prevalence + 0.20::double * confidence + 0.20::double * least(coverage, 1.0) score from f2)"
@@ -492,9 +496,9 @@ _SC = _YSQL + ", lf as (select * from (unpivot y on " + ", ".join(YF) + " into n
 SQL = {
     "knn_top5": f"with {_P} select source, target, similarity, row_number() over (partition by source order by similarity desc, target)::int rank from p qualify rank <= 5",
     "cosine_pairs": f"with {_P} select source, target, similarity from p where similarity >= 0.32",
-    "hybrid_similarity": f"with {_VW} select source, target, round((0.45::double * first_ + 0.30::double * coalesce(second_, 0)) / (0.45::double + case when second_ is not null then 0.30::double else 0 end), 6) hybrid, (1 + (second_ is not null)::int)::bigint views from w",
-    "recommend_filtered": f"with {_VW} select source, target, first_ as first, row_number() over (partition by source order by first_ desc, target)::int rank from w where sl <> tl and first_ >= 0.3 qualify rank <= 3",
-    "multi_model_report": f"with {_VW} (select 'first' model, target, first_ score, row_number() over (order by first_ desc, target)::int rank from w where source = 7 qualify rank <= 5) union all (select 'second', target, second_, row_number() over (order by second_ desc, target)::int rank from w where source = 7 and second_ is not null qualify rank <= 5)",
+    "hybrid_similarity": f"with {_VW} select source, target, hybrid, (2 + (audio is not null)::int)::bigint views from h",
+    "recommend_filtered": f"with {_VW} select source, target, emotion as score, row_number() over (partition by source order by emotion desc, target)::int rank from w where sl <> tl and emotion >= 0.3 qualify rank <= 3",
+    "multi_model_report": f"with {_VW}, l as (select 'emotion' model, target, emotion score from h where source = 7 union all select 'style', target, style from h where source = 7 union all select 'audio', target, audio from h where source = 7 and audio is not null union all select 'hybrid', target, hybrid from h where source = 7) select model, target, score, row_number() over (partition by model order by score desc, target)::int rank from l qualify rank <= 5",
     "search_resolve": "with p as (select p_partkey, lower(p_name) n from part), s as (select *, case when n = 'old widget plate' then 1 when contains(n, 'old widget plate') then 2 when len(list_intersect(string_split(n, ' '), ['old', 'widget', 'plate'])) > 0 then 3 end stage, len(list_intersect(string_split(n, ' '), ['old', 'widget', 'plate']))::bigint shared from p) select p_partkey, stage::bigint stage, shared from s where stage = (select min(stage) from s) order by shared desc, p_partkey limit 15",
     "zscore_impute": "with l as (select l_partkey, avg(l_quantity) a, avg(l_extendedprice) b, avg(l_discount) c, case when l_partkey % 5 <> 0 then avg(l_tax) end t from lineitem group by 1), i as (select l_partkey, a, b, c, coalesce(t, (select median(t) from l)) t from l) select l_partkey, round((a - avg(a) over ()) / stddev_pop(a) over (), 6) l_quantity, round((b - avg(b) over ()) / stddev_pop(b) over (), 6) l_extendedprice, round((c - avg(c) over ()) / stddev_pop(c) over (), 6) l_discount, round((t - avg(t) over ()) / stddev_pop(t) over (), 6) l_tax from i",
     "centroids": f"with {_C} select label::bigint as label, round(c[1], 6) c1, round(c[64], 6) c64, round(sqrt(list_inner_product(c, c)), 6) norm from c",
@@ -523,7 +527,7 @@ SQL = {
     "connected_components": f"with recursive {_B}, rc(id, c) as (select vec_id, vec_id from e union select rc.id, bw.b from rc join bw on bw.a = rc.c) select id, min(c) component from rc group by 1",
     "pagerank_20": f"with recursive {_B}, n as (select count(*)::double n from e), o as (select a, sum(weight) s from bw group by 1), sh as (select bw.a, b, weight / s share from bw join o on o.a = bw.a), pr(it, id, rank) as (select 0, vec_id, 1 / n from e, n union all select * from (with c as (select * from pr), g2 as (select b id, sum(c.rank * share) got from sh join c on c.id = sh.a group by 1), ls as (select coalesce(sum(c.rank), 0) loose from c left join o on o.a = c.id where o.a is null) select c.it + 1, c.id, 0.15::double / n + 0.85::double * (coalesce(got, 0) + loose / n) from c left join g2 using (id), ls, n where c.it < 20)) select id, round(rank, 6) rank from pr where it = 20",
     "graph_summary": f"with recursive {_B}, rc(id, c) as (select vec_id, vec_id from e union select rc.id, bw.b from rc join bw on bw.a = rc.c), cc as (select id, min(c) c from rc group by 1), sz as (select c, count(*) s from cc group by 1), q as (select (select count(*) from e) nodes, (select count(*) from g) edges, (select count(*) from g where a >= b) self_or_reversed, (select count(*) from sz) components, (select max(s) from sz) largest_component) select *, round(2 * edges / (nodes * (nodes - 1)), 6) density, round(2 * edges / nodes, 6) mean_degree from q",
-    "report_similar": f"with {_P} select target other, similarity from p where source = 7 and similarity >= 0.1 order by similarity desc, target limit 10",
+    "report_similar": f"with {_P} select target other, similarity from p where source = 7 order by similarity desc, target limit 10",
     "report_series": f"with {_YSQL} select year, 'Price' series, round(price, 6) as value from y union all select year, 'Urgent share', round(urgent, 6) from y",
     "report_era_top": f"with {_YSQL}, u as (select * from (unpivot y on {', '.join(YF)} into name feature value value)), a as (select feature, round(avg(value) filter (year <= 1998), 6) early, round(avg(value) filter (year > 1998), 6) late, round(abs(avg(value) filter (year > 1998) - avg(value) filter (year <= 1998)), 6) ch from u group by 1 order by 4 desc, 1 limit 3) select feature, 'early' era, early as value from a union all select feature, 'late', late from a",
     "report_profile": "select 'name' metric, c_name as value from customer where c_custkey = 1 union all select 'balance', printf('%.2f', c_acctbal) from customer where c_custkey = 1 union all select 'segment', c_mktsegment from customer where c_custkey = 1",
