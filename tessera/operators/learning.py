@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.operators.contracts import classes_large_enough, no_leakage
-from tessera.operators.tables import avg_pct_rank, zscores
+from tessera.operators.tables import avg_pct_rank, global_rank, zscores
 
 
 def models(rows: int) -> dict[str, Callable]:
@@ -100,13 +100,12 @@ def permutation_importance(data: DataFrame, features: list[str], model: Callable
     test = (data if held_out is None else data.where(F.col("fold") == held_out)).drop("_f").cache()
     assemble = VectorAssembler(inputCols=features, outputCol="_f")
     score = lambda d: metrics(fitted.transform(assemble.transform(d)).select(F.col("_y").alias("actual"), F.col("prediction").alias("predicted"))).select("macro_f1")
-    base, rows = score(test).first()[0], []
+    base, rows, placed = score(test).first()[0], [], global_rank(test, F.col("id"), "_i")
     for f in features:
         for r in range(repeats):
             # Positions in two hash orders are matched: a join, not a shuffle on the driver.
-            a = test.withColumn("_i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")))
-            b = test.select(F.col(f).alias("_v"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("id", F.lit(f), F.lit(r)), "id")).alias("_i"))
-            rows.append(score(a.join(b, "_i").withColumn(f, F.col("_v")).drop("_i", "_v")).select(F.lit(f).alias("feature"), (F.lit(base) - F.col("macro_f1")).alias("fall")))
+            b = global_rank(test.select(F.col(f).alias("_v"), "id"), F.struct(F.xxhash64("id", F.lit(f), F.lit(r)), "id"), "_i").select("_v", "_i")
+            rows.append(score(placed.join(b, "_i").withColumn(f, F.col("_v")).drop("_i", "_v")).select(F.lit(f).alias("feature"), (F.lit(base) - F.col("macro_f1")).alias("fall")))
     return reduce(DataFrame.unionByName, rows).groupBy("feature").agg(F.avg("fall").alias("importance"), F.coalesce(F.stddev_samp("fall"), F.lit(0.0)).alias("importance_std"))
 
 

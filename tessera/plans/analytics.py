@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.operators import graph as G, tables as O, vectors as V
-from tessera.storage import materialize, table
+from tessera.storage import broadcast_if_small, materialize, table
 
 R6 = lambda c: F.round(c, 6)
 
@@ -100,7 +100,7 @@ def dispersion(s, d):
 def own_prev_centroid_distance(s, d):
     """Each vector's distance to its group's centroid and to the group's before."""
     c = V.centroids(_emb(s, d), "label", "v").withColumn("previous", F.lag("centroid").over(Window.orderBy("label")))  # one row a group
-    j = _emb(s, d).join(F.broadcast(c), "label")
+    j = _emb(s, d).join(broadcast_if_small(c, 10_000), "label")
     return j.select("vec_id", R6(V.distance(F.col("v"), F.col("centroid"))).alias("own"), R6(V.distance(F.col("v"), F.col("previous"))).alias("previous"))
 
 
@@ -313,7 +313,7 @@ def mst_edges(s, d):
 
 def eigenvector(s, d):
     n, e = _graph(s, d)
-    return G.eigenvector(n.select("id"), e, 30)
+    return G.eigenvector(n.select("id"), e)
 
 
 def path_centralities(s, d):
@@ -327,21 +327,31 @@ def communities(s, d):
 
 
 def community_table(s, d):
-    """Size, dominant label and share, labels present."""
+    """Size, dominant label and share, labels present, the five nodes of highest PageRank."""
     n, e = _graph(s, d)
-    j = G.louvain(n, e).join(n, "id")
+    j = materialize(G.louvain(n, e).join(n, "id"), "communities")
     m = O.mode_with_share(j, "community", "label")
-    return m.join(j.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_set(F.col("label").cast("string"))), ", ").alias("labels")), "community")
+    ranked = j.join(G.pagerank(n.select("id"), e, 20), "id").withColumn("rank", R6("rank"))
+    top = O.top_n_per_group(ranked.select("community", "id", F.col("rank").alias("pagerank")), ["community"], [F.desc("pagerank"), F.col("id")], 5)
+    top = top.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"].cast("string")), ", ").alias("top"))
+    named = j.groupBy("community").agg(F.count("*").alias("size"), F.array_join(F.sort_array(F.collect_set(F.col("label").cast("string"))), ", ").alias("labels"))
+    return m.join(named, "community").join(top, "community")
+
+
+HUB = ("rank", "eigenvector", "weighted_degree", "core")
 
 
 def hub_bridge_scores(s, d):
-    """Means of percentile ranks."""
+    """Means of percentile ranks: degrees, PageRank, eigenvector and core of a hub; path centralities of a bridge."""
     n, e = _graph(s, d)
-    j = n.select("id").join(G.pagerank(n.select("id"), e, 10), "id").join(G.degrees(e), "id", "left").join(G.core_numbers(n, e), "id").join(G.shortest_paths(n, e), "id").na.fill(0)
+    ids = n.select("id")
+    j = ids.join(G.pagerank(ids, e, 20), "id").join(G.eigenvector(ids, e).withColumnRenamed("x", "eigenvector"), "id").join(G.degrees(e), "id", "left").join(G.core_numbers(n, e), "id").join(G.shortest_paths(n, e), "id").na.fill(0)
     j = materialize(j, "scores")
-    for c in ("rank", "weighted_degree", "core", "betweenness", "closeness", "harmonic"):
-        j = O.avg_pct_rank(j, c, f"p_{c}")
-    return j.select("id", ((F.col("p_rank") + F.col("p_weighted_degree") + F.col("p_core")) / 3).alias("hub_score"), ((F.col("p_betweenness") + F.col("p_closeness") + F.col("p_harmonic")) / 3).alias("bridge_score"))
+    hub, bridge = HUB, ("betweenness", "closeness", "harmonic")
+    for c in (*hub, *bridge):
+        j = O.avg_pct_rank(j.withColumn(c, F.round(F.col(c).cast("double"), 9)), c, f"p_{c}")
+    mean = lambda cols: sum((F.col(f"p_{c}") for c in cols), F.lit(0.0)) / len(cols)
+    return j.select("id", mean(hub).alias("hub_score"), mean(bridge).alias("bridge_score"))
 
 
 def graph_summary(s, d):

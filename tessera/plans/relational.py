@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window, functions as F
 
 from tessera.operators import contracts as D, tables as O
-from tessera.storage import table
+from tessera.storage import broadcast_if_small, table
 
 R6 = lambda c: F.round(c, 6)
 
@@ -31,7 +31,7 @@ def group_profile_median(s, d):
 def dim_enrich_n1(s, d):
     nation = D.checked_left_join(table(s, d, "nation"), table(s, d, "region").withColumnRenamed("r_regionkey", "n_regionkey"), ["n_regionkey"])
     c = table(s, d, "customer").withColumnRenamed("c_nationkey", "n_nationkey")
-    return c.join(F.broadcast(nation), "n_nationkey", "left").select("c_custkey", "n_name", "r_name")
+    return c.join(broadcast_if_small(nation, 10_000), "n_nationkey", "left").select("c_custkey", "n_name", "r_name")
 
 
 def multi_key_join(s, d):
@@ -246,7 +246,7 @@ def confusion(s, d):
 
 
 def dq_checks(s, d):
-    """D3-D5, D7, D9, D12 as one table of checks."""
+    """D3-D5, D7, D12 as one table of checks; D9 is ``pair_table_checks``."""
     o, c = table(s, d, "orders"), table(s, d, "customer")
     one = lambda name, df, warn=False: df.select(F.lit(name).alias("check"), F.col("n").alias("found"), D.status(F.col("n") == 0, warn).alias("status"))
     rows = [
@@ -259,6 +259,14 @@ def dq_checks(s, d):
     return reduce(lambda a, b: a.unionByName(b), rows)
 
 
+def pair_table_checks(s, d):
+    """D9 on the whole table of similarity pairs."""
+    from tessera.operators import vectors as V
+
+    e = table(s, d, "embeddings").select("vec_id", "embedding")
+    return D.pair_table(V.cosine_grid(e, "vec_id", ["embedding"]), e, "vec_id")
+
+
 def metadata_consistency(s, d):
     a = table(s, d, "documents").select("doc_id", "lang", "source", F.col("n_chars").cast("string").alias("n_chars"))
     b = table(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "xx").otherwise(F.col("lang")).alias("lang"), "source", F.length("text").cast("string").alias("n_chars"))
@@ -329,6 +337,7 @@ SQL = {
     "first_non_null": "with e as (select user_id, event_id, case when value > 50 then value end v from events) select user_id, first(v order by case when v is not null then event_id end nulls last) first_value, max(v) max_value, round(avg(v), 6) mean_value from e group by 1",
     "mean_of_means": "with i as (select year(o_orderdate) y, o_orderpriority, avg(o_totalprice) m from orders group by 1, 2) select o_orderpriority, round(avg(m), 6) mean_of_means, count(*) as years from i group by 1",
     "confusion": "select label::bigint actual, " + ", ".join(f"count(*) filter ((vec_id * 7) % 10 = {k}) p{k}" for k in range(10)) + " from embeddings group by 1",
+    "pair_table_checks": "with p as (select x.vec_id s, y.vec_id t from embeddings x join embeddings y on x.vec_id <> y.vec_id), c as (select s, t, count(*) n from p group by 1, 2), v as (select count(distinct vec_id) m from embeddings) select abs(sum(n)::bigint - any_value(m) * (any_value(m) - 1)) pairs_off, count(*) filter (s = t) self_pairs, sum(n - 1)::bigint repeated_pairs from c, v",
     "dq_checks": """
 with c as (select 'duplicate orders' as check_, (select count(*) from (select 1 from orders group by o_orderkey having count(*) > 1)) n, false w union all
  select 'duplicate lines', (select count(*) from (select 1 from lineitem group by l_orderkey, l_linenumber having count(*) > 1)), true union all

@@ -131,7 +131,7 @@ def version_flags(spark, sf_dir):
 
 
 def normalize_text(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(T.plain_punctuation(T.collapse(F.lower("text"))).cast("binary")).alias("normal_md5"), T.drop_featuring(F.concat(F.substring("text", 1, 10), F.lit(" Feat. X"))).alias("without_feat"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(T.plain_punctuation(T.collapse(F.lower("text"))).cast("binary")).alias("normal_md5"), T.drop_featuring(F.concat(T.collapse(F.col("text")), F.lit(" Feat. X"))).alias("without_feat"))
 
 
 def surrogate_key(spark, sf_dir):
@@ -224,7 +224,7 @@ select doc_id, length(a)::bigint raw_characters, length(b)::bigint clean_charact
     "version_flags": f"""
 with t as (select p_partkey, p_size, {SQL_TITLE} t from part)
 select p_partkey, {', '.join(f"regexp_matches(t, '(?i){p}') {n}" for n, p in T.VERSION_FLAGS.items())}, not ({' or '.join(f"regexp_matches(t, '(?i){p}')" for p in T.VERSION_FLAGS.values())}) is_original, p_size > 40 is_bonus from t""",
-    "normalize_text": rf"select doc_id, md5({_SQL_PUNCT.replace('(text', chr(40) + 'trim(regexp_replace(lower(text), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))', 1)}) normal_md5, trim(regexp_replace(substring(text, 1, 10) || ' Feat. X', '(?i)\bfeat(?:uring)?\.?\b.*$', '')) without_feat from {_D}",
+    "normalize_text": rf"select doc_id, md5({_SQL_PUNCT.replace('(text', chr(40) + 'trim(regexp_replace(lower(text), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + '))', 1)}) normal_md5, trim(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')) || ' Feat. X', '(?i)\bfeat(?:uring)?\.?\b.*$', '')) without_feat from {_D}",
     "surrogate_key": """select o_orderkey, printf('tr-%02d-%03d', year(o_orderdate) % 100, o_orderkey % 1000) as key, floor(o_totalprice / 10.0::double + 0.5::double) / 100.0::double as seconds,
  coalesce(nullif(trim(substring(o_orderpriority, 3, 20)), ''), 'none') as priority, year(o_orderdate)::bigint as year from orders""",
     "label_render": """select c_custkey, lower(c_mktsegment) as label, printf('balance:%+.2f | nation:%+.2f', c_acctbal, -c_nationkey::double) listed from customer""",

@@ -68,6 +68,11 @@ def discover(spark: SparkSession, root: str, extensions: Iterable[str]) -> DataF
     return found.where(F.lower("path").rlike(rf"\.(?:{ends})$")).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
+def manifest_summary(manifest: DataFrame) -> DataFrame:
+    """One row (files, bytes) of a listing by ``discover``."""
+    return manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def missing_files(manifest: DataFrame, required: Iterable[str]) -> DataFrame:
     """Required file names that the manifest lacks."""
     spark = manifest.sparkSession

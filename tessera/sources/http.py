@@ -69,22 +69,29 @@ def lookup_all(entities: DataFrame, key: str, url: str, fetch: Fetch = urllib_fe
 
 
 class _Page(InputPartition):
-    def __init__(self, offset: int):
-        self.offset = offset
+    def __init__(self, offset: int, onward: bool):
+        self.offset, self.onward = offset, onward
 
 
 class _PagedReader(DataSourceReader):
     def __init__(self, options: dict, fetch: Fetch):
-        self.url, self.limit, self.pages, self.field, self.fetch = options["url"], int(options.get("limit", 100)), int(options.get("pages", 1)), options.get("field", "items"), fetch
+        self.url, self.limit, self.pages, self.field, self.fetch = options["url"], int(options.get("limit", 100)), int(options.get("pages", 0)), options.get("field", "items"), fetch
 
     def partitions(self):
-        return [_Page(k * self.limit) for k in range(self.pages)]
+        return [_Page(k * self.limit, False) for k in range(self.pages)] or [_Page(0, True)]
 
     def read(self, partition) -> Iterator[tuple]:
-        status, payload = lookup(self.url.format(limit=self.limit, offset=partition.offset), self.fetch)
-        if status == FOUND:
-            for i, item in enumerate(json.loads(payload).get(self.field, [])):
-                yield (partition.offset + i, json.dumps(item))
+        offset = partition.offset
+        while True:
+            status, payload = lookup(self.url.format(limit=self.limit, offset=offset), self.fetch)
+            if status != FOUND:
+                raise RuntimeError(f"the page at {offset} ended as {status}")
+            items = json.loads(payload).get(self.field, [])
+            for i, item in enumerate(items):
+                yield (offset + i, json.dumps(item))
+            if not partition.onward or len(items) < self.limit:
+                return
+            offset += self.limit
 
 
 class PagedSource(DataSource):
@@ -103,10 +110,11 @@ class PagedSource(DataSource):
         return _PagedReader(self.options, type(self).fetch)
 
 
-def read_pages(spark: SparkSession, url: str, limit: int, total: int, field: str = "items") -> DataFrame:
-    """Pages enough for ``total`` items; positions past a short page simply give no rows."""
+def read_pages(spark: SparkSession, url: str, limit: int, total: int | None = None, field: str = "items") -> DataFrame:
+    """Pages enough for ``total`` items, side by side (positions past a short page simply give no rows); without a
+    total one task goes on until a page is short. A page that cannot be had fails the read."""
     spark.dataSource.register(PagedSource)
-    return spark.read.format("paged_http").options(url=url, limit=limit, pages=-(-total // limit), field=field).load()
+    return spark.read.format("paged_http").options(url=url, limit=limit, pages=-(-total // limit) if total else 0, field=field).load()
 
 
 def flatten_media(df: DataFrame, release: str = "release") -> DataFrame:

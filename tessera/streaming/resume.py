@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tessera.operators.tables import global_rank
 from tessera.sources.files import exists
-from tessera.storage import materialize
+from tessera.storage import materialize, scratch
 
 
 def pending(todo: DataFrame, done: DataFrame, key: str, terminal: tuple[str, ...] = ("found", "not_found")) -> DataFrame:
@@ -16,21 +17,15 @@ def pending(todo: DataFrame, done: DataFrame, key: str, terminal: tuple[str, ...
 
 
 def resume(spark: SparkSession, todo: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame], batch: int = 1000) -> DataFrame:
-    """Appends ``work``'s rows (with ``status``) to the status table at ``path``, ``batch`` keys a time, until none is new.
+    """Appends ``work``'s rows (with ``status``) to the status table at ``path``, ``batch`` keys a time.
 
     Each append commits whole; a run that dies loses its open batch only. Keys that fail again are left for the next run.
     """
-    tried = None
-    while True:
-        left = pending(todo, spark.read.parquet(path), key) if exists(spark, path) else todo
-        if tried is not None:
-            left = left.join(tried, key, "left_anti")
-        some = materialize(left.orderBy(key).limit(batch), "batch")  # fixed before the status table changes
-        if not some.count():
-            break
-        work(some).write.mode("append").parquet(path)
-        seen = some.select(key)
-        tried = seen if tried is None else tried.unionByName(seen)
+    left = pending(todo, spark.read.parquet(path), key) if exists(spark, path) else todo
+    with scratch(spark):  # the batches are dealt once, by ranges of the key, before the status table changes
+        dealt = materialize(global_rank(left, F.col(key), "_place").withColumn("_batch", F.floor((F.col("_place") - 1) / batch)), "batches")
+        for k in range(-(-dealt.count() // batch)):
+            work(dealt.where(F.col("_batch") == k).drop("_place", "_batch")).write.mode("append").parquet(path)
     return spark.read.parquet(path) if exists(spark, path) else todo.limit(0)
 
 
