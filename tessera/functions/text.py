@@ -129,11 +129,20 @@ def lexical(words: Column | str) -> dict[str, Column]:
     return {
         "word_count": n, "unique_word_count": v, "type_token_ratio": ratio(v, n),
         "root_type_token_ratio": ratio(v, F.sqrt(n.cast("double"))), "corrected_type_token_ratio": ratio(v, F.sqrt(2.0 * n)),
-        "repeated_word_occurrences": n - v, "mean_word_length": mean, "std_word_length": F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)),
-        "long_word_count": long(7), "very_long_word_count": long(10), "lexical_density_proxy": ratio(long(4), n),
+        "repeated_word_occurrences": n - v, "token_repetition_ratio": ratio(n - v, n), "mean_word_length": mean, "std_word_length": F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)),
+        "long_word_count": long(7), "long_word_ratio": ratio(long(7), n), "very_long_word_count": long(10), "very_long_word_ratio": ratio(long(10), n),
+        "lexical_density_proxy": ratio(long(4), n),
     }
 
 
+def spread(counts: Column | str) -> tuple[Column, Column]:
+    """Mean and population standard deviation of an array of whole numbers; 0 of an empty one."""
+    c = col(counts)
+    total = lambda f: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + f(x))
+    mean, square = ratio(total(lambda x: x), F.size(c)), ratio(total(lambda x: x * x), F.size(c))
+    return mean, F.sqrt(F.greatest(F.lit(0.0), square - mean * mean))
+
+
 def count_of(c: Column | str, sign: str) -> Column:
     """How often a literal stands in a text."""
     return (F.length(col(c)) - F.length(F.replace(col(c), F.lit(sign), F.lit("")))) / F.lit(len(sign))
@@ -154,11 +163,17 @@ def readability(words: Column | str, n_sentences: Column) -> dict[str, Column]:
     n = F.size(col(words))
     per_sentence = ratio(n, F.greatest(F.lit(1), n_sentences))
     per_word = ratio(F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x), n)
-    hard = ratio(F.size(F.filter(s, lambda x: x >= 3)), n)
+    many = F.size(F.filter(s, lambda x: x >= 3))
+    hard = ratio(many, n)
+    letters = F.aggregate(col(words), F.lit(0).cast("long"), lambda a, x: a + F.length(F.replace(x, F.lit("'"), F.lit(""))))
+    per_letter, full = ratio(letters, n), F.greatest(F.lit(1), n_sentences)
     return {
         "flesch_reading_ease": F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 4),
         "flesch_kincaid_grade": F.round(0.39 * per_sentence + 11.8 * per_word - 15.59, 4),
         "gunning_fog": F.round(0.4 * (per_sentence + 100 * hard), 4),
+        "automated_readability_index": F.round(4.71 * per_letter + 0.5 * per_sentence - 21.43, 4),
+        "coleman_liau_index": F.round(5.88 * per_letter - 29.6 * ratio(full, n) - 15.8, 4),
+        "smog_index": F.round(1.043 * F.sqrt(ratio(many * 30, full)) + 3.1291, 4),
     }
 
 
