@@ -306,3 +306,25 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     spark = nodes.sparkSession
     head = spark.range(1).select(*line(0, F.lit(""), F.lit('<graphml><key id="weight" for="edge" attr.name="weight" attr.type="double"/><graph edgedefault="undirected">')))
     return head.unionByName(n).unionByName(e).unionByName(spark.range(1).select(*line(3, F.lit(""), F.lit("</graph></graphml>"))))
+
+
+def gexf(nodes: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """GEXF 1.2 as ordered text rows (part, key, line): write by part and key. Labels are escaped."""
+    safe = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    n = nodes.select(F.lit(1).alias("part"), F.col("id").cast("string").alias("key"), F.concat(F.lit('<node id="'), F.col("id").cast("string"), F.lit('" label="'), safe(F.coalesce(F.col(label).cast("string"), F.lit(""))), F.lit('"/>')).alias("line"))
+    ends = F.concat_ws("-", "a", "b")
+    e = edges.select(F.lit(3).alias("part"), ends.alias("key"), F.concat(F.lit('<edge id="'), ends, F.lit('" source="'), F.col("a").cast("string"), F.lit('" target="'), F.col("b").cast("string"), F.lit('" weight="'), F.col("weight").cast("string"), F.lit('"/>')).alias("line"))
+    fixed = lambda part, text: nodes.sparkSession.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"), F.lit(text).alias("line"))
+    head = fixed(0, '<gexf xmlns="http://www.gexf.net/1.2draft" version="1.2"><graph mode="static" defaultedgetype="undirected"><nodes>')
+    return head.unionByName(n).unionByName(fixed(2, "</nodes><edges>")).unionByName(e).unionByName(fixed(4, "</edges></graph></gexf>"))
+
+
+def network_view(nodes: DataFrame, metrics: DataFrame, points: DataFrame, size: str, label: str) -> DataFrame:
+    """(id, x, y, label, size) of every node: its place from ``points`` (id, x, y), its metric scaled to [0, 1];
+    a node without metrics counts as the least."""
+    from tessera.operators.tables import min_max
+
+    j = nodes.select("id", label).join(points, "id", "left").join(metrics.select("id", size), "id", "left")
+    low = metrics.agg(F.min(size).alias("_low"))
+    j = j.crossJoin(F.broadcast(low)).withColumn(size, F.coalesce(size, "_low")).drop("_low")
+    return min_max(j, size, "_size").select("id", "x", "y", F.col(label).alias("label"), F.col("_size").alias("size"))

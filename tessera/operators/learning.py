@@ -64,6 +64,13 @@ def out_of_fold(data: DataFrame, classes: list[str], model: Callable, folds: int
     )
 
 
+def ranked_errors(predictions: DataFrame, n: int = 20) -> DataFrame:
+    """M9: the wrong predictions made with the most confidence (ties to the smaller id), ranked."""
+    wrong = predictions.where(~F.col("correct")).orderBy(F.desc("confidence"), "id").limit(n)
+    w = Window.orderBy(F.desc("confidence"), "id")  # n rows
+    return wrong.select(F.row_number().over(w).alias("rank"), "id", "fold", "actual", "predicted", "confidence", "margin", "top_2_correct")
+
+
 def confusion(predictions: DataFrame, classes: list[str]) -> DataFrame:
     """All classes on both sides."""
     c = predictions.groupBy("actual").pivot("predicted", classes).count()

@@ -17,6 +17,8 @@ VIEW_WEIGHTS = {"emotion": 0.45, "style": 0.30, "audio": 0.25}
 BLOCK = 2000
 #: Sources whose similarities to a block are held at once.
 TOGETHER = 256
+#: Rows that the starts of k-means are drawn from.
+SEEDED = 5000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -112,8 +114,8 @@ def _near(df: DataFrame, id_: str, vector: str, k: int | None, least: float | No
     return _meet(rows, ["v"], each, [("similarity", pa.float64())])
 
 
-def _meet(rows: DataFrame, views: list[str], each, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
-    """``each`` of two packed blocks, for all ordered pairs of blocks. Rows (id, apart, a vector a view) are dealt into
+def _meet(rows: DataFrame, views: list[str], each, fields: list[tuple[str, pa.DataType]], unit_rows: bool = True) -> DataFrame:
+    """``each`` of two packed blocks (of vectors over their norms, if ``unit_rows``), for all ordered pairs of blocks. Rows (id, apart, a vector a view) are dealt into
     blocks by hash, a block packed into one row of arrays, and the blocks joined on their numbers."""
     rows = materialize(rows.where("id is not null"), "vectors")
     blocks = max(1, -(-rows.count() // BLOCK))
@@ -129,7 +131,7 @@ def _meet(rows: DataFrame, views: list[str], each, fields: list[tuple[str, pa.Da
         lists = column.to_pylist()
         size = next((len(x) for x in lists if x is not None), 0)
         m = np.array([x if x is not None else [np.nan] * size for x in lists], np.float64).reshape(len(lists), size)
-        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) if unit_rows else m
 
     def pack(batches):
         held = None
@@ -236,30 +238,125 @@ def components_for(shares: list[float], target: float = 0.9) -> int:
     return int(np.searchsorted(np.cumsum(shares), target - 1e-12) + 1)
 
 
-def kmeans_select(df: DataFrame, id_: str, features: list[str], most: int = 8, seeds: int = 3) -> tuple[DataFrame, int]:
+def kmeans_select(df: DataFrame, id_: str, features: list[str], most: int = 8, seeds: int = 50, rounds: int = 100) -> tuple[DataFrame, int]:
     """Clusters 1.. of the k in 2..most with the highest Euclidean silhouette (ties to the smaller k).
 
-    The silhouette uses distances to the clusters' centres (one aggregation), so it grows with rows, not with pairs.
+    All models, every k from ``seeds`` starts, go through the same passes: a pass assigns each row in every model that
+    still moves and sends one sum a model and task. Starts are drawn by k-means++ from the SEEDED rows of the smallest id
+    hashes (all rows, if fewer). The silhouette is exact: distances to all rows, summed by cluster, block to block.
+    Missing values are the median; fewer than three rows are one cluster.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
     from tessera.operators.tables import zscores
 
-    z = VectorAssembler(inputCols=features, outputCol="_f").transform(zscores(df.select(id_, *features), features, impute=True)).cache()
+    z = materialize(zscores(df.select(F.col(id_).cast("long").alias("id"), *features), features, impute=True).select("id", F.array(*(F.col(f).cast("double") for f in features)).alias("v")), "scaled")
     n = z.count()
-    best: tuple[float, int, object] | None = None
-    for k in range(2, min(most, n - 1) + 1):
-        model = min((KMeans(k=k, seed=42 + s, featuresCol="_f", predictionCol="_c").fit(z) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
-        centres = [list(map(float, c)) for c in model.clusterCenters()]
-        away = lambda c: F.sqrt(sum(((F.col(f) - c[i]) ** 2 for i, f in enumerate(features)), F.lit(0.0)))  # noqa: B023,E731
-        d = F.array(*(away(c) for c in centres))
-        s = model.transform(z).select(F.element_at(d, F.col("_c") + 1).alias("own"), F.array_min(F.filter(d, lambda x, i: i != F.col("_c"))).alias("other"))
-        score = s.select(F.avg(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0)))).first()[0]
-        if best is None or score > best[0] + 1e-12:
-            best = (score, k, model)
-    out = best[2].transform(z).select(id_, (F.col("_c") + 1).alias("cluster"))
-    return out, best[1]
+    if n < 3:
+        return z.select(F.col("id").alias(id_), F.lit(1).alias("cluster")), 1
+    some = np.array([r[0] for r in z.orderBy(F.xxhash64("id"), "id").limit(SEEDED).select("v").collect()])
+    ks = range(2, min(most, n - 1) + 1)
+    models = [[k, _spread_starts(some, k, np.random.default_rng(1000 * k + seed)), True] for k in ks for seed in range(seeds)]
+    cost = np.zeros(len(models))
+    for _ in range(rounds):
+        live = [i for i, m in enumerate(models) if m[2]]
+        if not live:
+            break
+        for i, (sums, sizes, total) in zip(live, _assign(z, [models[i][1] for i in live]), strict=True):
+            old = models[i][1]
+            new = np.where(sizes[:, None] > 0, sums / np.maximum(sizes, 1)[:, None], old)
+            models[i][1], models[i][2], cost[i] = new, bool(np.abs(new - old).max() > 1e-4), total
+    best = {k: models[min((i for i, m in enumerate(models) if m[0] == k), key=lambda i: (round(cost[i], 6), i))][1] for k in ks}
+    named = materialize(_labels(z, best), "clusters")
+    score = _silhouettes(named, list(best))
+    k = min(best, key=lambda k: (-round(score[k], 9), k))
+    return named.select(F.col("id").alias(id_), (F.col(f"c{k}") + 1).cast("int").alias("cluster")), k
+
+
+def _spread_starts(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++: each next start is drawn by its squared distance to the nearest before."""
+    starts = [x[rng.integers(len(x))]]
+    for _ in range(k - 1):
+        d = np.min([((x - c) ** 2).sum(1) for c in starts], axis=0)
+        starts.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[rng.integers(len(x))])
+    return np.array(starts)
+
+
+def _rows(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _assign(z: DataFrame, centres: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """For each model the sum and number of the rows nearest to each centre, and the summed squared distances."""
+    shared = z.sparkSession.sparkContext.broadcast(centres)
+    cut = np.cumsum([0, *(len(c) for c in centres)])
+
+    def run(batches):
+        models = shared.value
+        every = np.concatenate(models)
+        half = (every * every).sum(1)
+        sums, sizes, cost = np.zeros(every.shape), np.zeros(len(every)), np.zeros(len(models))
+        for b in batches:
+            x = _rows(b.column(0))
+            d = half - 2 * (x @ every.T)
+            for i, (a, e) in enumerate(zip(cut, cut[1:], strict=False)):
+                near = d[:, a:e].argmin(axis=1)
+                one = np.eye(e - a)[near]
+                sums[a:e] += one.T @ x
+                sizes[a:e] += one.sum(0)
+                cost[i] += d[np.arange(len(x)), a + near].sum() + (x * x).sum()
+        if sizes.any():
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (sums, sizes, cost)], ["sums", "sizes", "cost"])
+
+    rows = z.select("v").mapInArrow(run, "sums binary, sizes binary, cost binary").collect()
+    sums, sizes, cost = (sum(np.frombuffer(bytes(r[c])) for r in rows) for c in range(3))
+    shared.destroy()
+    sums = sums.reshape(len(sizes), -1)
+    return [(sums[a:e], sizes[a:e], float(cost[i])) for i, (a, e) in enumerate(zip(cut, cut[1:], strict=False))]
+
+
+def _labels(z: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
+    """(id, v, one column c<k> a model) with each row's cluster from 0."""
+    shared = z.sparkSession.sparkContext.broadcast(centres)
+
+    def run(batches):
+        for b in batches:
+            x = _rows(b.column(1)) if b.num_rows else np.zeros((0, 1))
+            near = [pa.array((((c * c).sum(1) - 2 * (x @ c.T)).argmin(axis=1) if len(x) else np.empty(0, int)).astype(np.int64)) for c in shared.value.values()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *near], ["id", "v", *(f"c{k}" for k in shared.value)])
+
+    return z.select("id", "v").mapInArrow(run, "id long, v array<double>, " + ", ".join(f"c{k} long" for k in centres))
+
+
+def _silhouettes(named: DataFrame, ks: list[int]) -> dict[int, float]:
+    """The mean silhouette of each clustering, exactly: every distance, summed by cluster; no pair leaves its block."""
+    size = {k: dict(named.groupBy(f"c{k}").count().collect()) for k in ks}
+    code = sum((F.shiftleft(F.col(f"c{k}"), 6 * i) for i, k in enumerate(ks)), F.lit(0).cast("long"))  # up to ten clusterings of 64 clusters
+
+    def each(row, m, n):
+        own, other = (np.frombuffer(row[f"ids_{side}"], np.int64) for side in "ab")
+        tag = np.frombuffer(row["apart_b"], np.int64)
+        groups = np.concatenate([np.eye(k)[(tag >> 6 * i) & 63] for i, k in enumerate(ks)], axis=1)
+        x, y = m[0], n[0]
+        for a in range(0, len(own), TOGETHER):
+            part = x[a : a + TOGETHER]
+            d = np.sqrt(np.maximum(0, (part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (part @ y.T)))
+            d[own[a : a + TOGETHER, None] == other[None, :]] = 0
+            yield [own[a : a + TOGETHER], np.zeros(len(part), np.int64), *(d @ groups).T.copy()]
+
+    names = [f"d{k}_{c}" for k in ks for c in range(k)]
+    rows = named.select("id", code.alias("apart"), "v")
+    total = _meet(rows, ["v"], each, [(x, pa.float64()) for x in names], unit_rows=False).groupBy("source").agg(*(F.sum(x).alias(x) for x in names))
+    j = total.join(named.select(F.col("id").alias("source"), *(f"c{k}" for k in ks)), "source")
+    out = []
+    for k in ks:
+        counts = [size[k].get(c, 0) for c in range(k)]
+        mean = F.array(*(F.col(f"d{k}_{c}") / F.lit(float(counts[c])) if counts[c] else F.lit(None).cast("double") for c in range(k)))
+        rows_in = F.element_at(F.array(*(F.lit(float(c)) for c in counts)), (F.col(f"c{k}") + 1).cast("int"))
+        inner = F.element_at(F.array(*(F.col(f"d{k}_{c}") for c in range(k))), (F.col(f"c{k}") + 1).cast("int")) / F.when(rows_in > 1, rows_in - 1)
+        own = F.col(f"c{k}")
+        outer = F.array_min(F.filter(mean, lambda x, i: (i != own) & x.isNotNull()))  # noqa: B023
+        out.append(F.avg(F.coalesce(F.try_divide(outer - inner, F.greatest(inner, outer)), F.lit(0.0))).alias(f"s{k}"))
+    row = j.agg(*out).first()
+    return {k: row[f"s{k}"] for k in ks}
 
 
 def tsne(points: np.ndarray, perplexity: float, steps: int = 300, seed: int = 42) -> np.ndarray:

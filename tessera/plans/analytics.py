@@ -59,6 +59,31 @@ def multi_model_report(s, d, source=7, k=5):
     return reduce(DataFrame.unionByName, rows).select("model", "target", "score", "rank")
 
 
+def recommend_options(s, d):
+    """V9: from the whole grid of pairs: the hybrid model, the same label only, at least 0.1, the two best of all sources."""
+    from tessera.operators.recommend import recommend
+
+    e, (score, _) = _views(s, d), V.hybrid(V.VIEW_WEIGHTS)
+    pairs = V.cosine_grid(e, "vec_id", list(VIEWS)).withColumn("hybrid", F.round(score, 9))
+    return recommend(pairs, "hybrid", 2, None, e, "vec_id", same="label", least=0.1)
+
+
+def model_summary(s, d):
+    """V6: coverage of the directed pairs by each view."""
+    from tessera.operators.recommend import model_summary as summary
+
+    e = _views(s, d)
+    return summary(V.cosine_grid(e, "vec_id", list(VIEWS)), list(VIEWS), e, "vec_id")
+
+
+def feature_manifest(s, d):
+    """V6: coverage of the features of two views."""
+    from tessera.operators.recommend import feature_manifest as manifest
+
+    l = table(s, d, "lineitem").withColumn("tax", F.when(F.col("l_orderkey") % 5 != 0, F.col("l_tax")))
+    return manifest(l, {"amounts": ["l_quantity", "l_extendedprice"], "shares": ["l_discount", "tax"]})
+
+
 def findings(s, d):
     """The year that leads and the year that trails each metric, as sentences."""
     e = extremes_by_metric(s, d)
@@ -117,8 +142,9 @@ def pca_loadings(s, d):
 
 
 def kmeans_select_k(s, d):
-    e = _emb(s, d).select("vec_id", *(F.col("v")[i].alias(f"f{i}") for i in range(4)))
-    return V.kmeans_select(e, "vec_id", [f"f{i}" for i in range(4)], 4, 1)[0]
+    """Over all components, k from 2 to 8, 50 starts each."""
+    e = _emb(s, d).select("vec_id", *(F.col("v")[i].alias(f"f{i}") for i in range(64)))
+    return V.kmeans_select(e, "vec_id", [f"f{i}" for i in range(64)])[0]
 
 
 def cluster_profiles(s, d):
@@ -369,6 +395,18 @@ def graph_export(s, d):
     return G.graphml(n, e)
 
 
+def graph_gexf(s, d):
+    n, e = _graph(s, d)
+    return G.gexf(n, e, "label")
+
+
+def network_view(s, d):
+    """Two components as places, the degree as the size."""
+    n, e = _graph(s, d)
+    points = _emb(s, d).select(F.col("vec_id").alias("id"), R6(F.col("v")[0]).alias("x"), R6(F.col("v")[1]).alias("y"))
+    return G.network_view(n, G.degrees(e), points, "degree", "label").select("id", "x", "y", F.col("label").cast("long"), R6("size").alias("size"))
+
+
 # Linkage
 
 
@@ -433,6 +471,13 @@ def oof_predictions(s, d):
     return L.out_of_fold(data.cache(), classes, L.models(df.count())["logistic"], 3)
 
 
+def ranked_errors(s, d):
+    """M9."""
+    from tessera.operators import learning as L
+
+    return L.ranked_errors(oof_predictions(s, d))
+
+
 def global_importance(s, d):
     from tessera.operators import learning as L
 
@@ -504,6 +549,11 @@ _C = _E + ", ex as (select label, unnest(v) x, generate_subscripts(v, 1) i from
 _SC = _YSQL + ", lf as (select * from (unpivot y on " + ", ".join(YF) + " into name feature value value)), f0 as (select feature, avg(value) mean, stddev_samp(value) sd, count(value) / count(*) coverage from lf group by 1), f1 as (select *, coalesce(1 / (1 + sd / nullif(abs(mean), 0)), 1 / (1 + sd)) raw, abs(mean) am, 2 * 1.96::double * sd / sqrt(7.0::double) width from f0), f2 as (select *, coalesce((raw - min(raw) over ()) / nullif(max(raw) over () - min(raw) over (), 0), 0.5::double) stability, coalesce((am - min(am) over ()) / nullif(max(am) over () - min(am) over (), 0), 0.5::double) prevalence, 1 - coalesce((width - min(width) over ()) / nullif(max(width) over () - min(width) over (), 0), 0.5::double) confidence from f1), f as (select *, 0.35::double * stability + 0.25::double * prevalence + 0.20::double * confidence + 0.20::double * least(coverage, 1.0) score from f2)"
 
 SQL = {
+    "recommend_options": f"with {_VW} select source, target, hybrid as score, row_number() over (partition by source order by hybrid desc, target)::int rank from h where sl = tl and hybrid >= 0.1 qualify rank <= 2",
+    "model_summary": f"with {_VW}, n as (select count(distinct vec_id) n from e), m as (" + " union all ".join(f"select '{c}' model, count(distinct case when {c} is not null then source end) entities, count({c}) pairs, avg({c}) m, max({c}) b from w" for c in VIEWS) + ") select model, entities, pairs, round(pairs / (n * (n - 1))::double, 6) coverage, round(m, 6) mean_score, round(b, 6) best from m, n",
+    "feature_manifest": "with l as (select *, case when l_orderkey % 5 <> 0 then l_tax end tax from lineitem) " + " union all ".join(f"select '{v}' as view, '{c}' feature, count(*) as rows, count({c}) with_value, count(distinct {c}) as distinct, round(count({c}) / count(*)::double, 6) coverage from l" for v, c in (("amounts", "l_quantity"), ("amounts", "l_extendedprice"), ("shares", "l_discount"), ("shares", "tax"))),
+    "network_view": f"with {_B}, dg as (select a id, count(*) c from bw group by 1), lo as (select min(c) lo from dg), m as (select vec_id id, v[1] x, v[2] y, label::bigint as label, coalesce(c, lo) c from e left join dg on dg.id = vec_id, lo) select id, round(x, 6) x, round(y, 6) y, label, round(coalesce((c - min(c) over ())::double / nullif(max(c) over () - min(c) over (), 0), 0.5), 6) size from m",
+    "graph_gexf": f"with {_G}, z as (select 0::int part, '' as key, '<gexf xmlns=\"http://www.gexf.net/1.2draft\" version=\"1.2\"><graph mode=\"static\" defaultedgetype=\"undirected\"><nodes>' line union all select 1, vec_id::varchar, '<node id=\"' || vec_id || '\" label=\"' || label || '\"/>' from e union all select 2, '', '</nodes><edges>' union all select 3, a || '-' || b, '<edge id=\"' || a || '-' || b || '\" source=\"' || a || '\" target=\"' || b || '\" weight=\"' || weight || '\"/>' from g union all select 4, '', '</edges></graph></gexf>') select * from z",
     "knn_top5": f"with {_P} select source, target, similarity, row_number() over (partition by source order by similarity desc, target)::int rank from p qualify rank <= 5",
     "cosine_pairs": f"with {_P} select source, target, similarity from p where similarity >= 0.32",
     "hybrid_similarity": f"with {_VW} select source, target, hybrid, (2 + (audio is not null)::int)::bigint views from h",
@@ -544,5 +594,5 @@ SQL = {
     "report_ranking": "(select 'p_size' metric, p_partkey, p_size::double score from part order by p_size desc, p_partkey limit 5) union all (select 'p_retailprice', p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 5)",
 }
 SQL["findings"] = f"select metric, printf('%s: highest in %d (%.2f), lowest in %d (%.2f)', metric, highest_year, highest, lowest_year, lowest) finding from ({SQL['extremes_by_metric']})"
-ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "kcore", "mst_edges", "eigenvector", "path_centralities", "communities", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "musical_key", "cv_model_summary", "oof_predictions", "global_importance", "tree_rules", "local_explanations")
+ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "kcore", "mst_edges", "eigenvector", "path_centralities", "communities", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "musical_key", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

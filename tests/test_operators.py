@@ -142,3 +142,95 @@ def test_bootstrap_draws_the_references_resamples(spark, sf):
     rows = lambda *n: {r["feature"]: r["low"] for r in analytics.bootstrap_ci(spark, sf, *n).collect()}
     got, want = rows(), rows(2000)
     assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], rel=1e-9) for f in want)
+
+
+def test_eigenvector_by_rounds_as_on_the_driver(spark):
+    nodes = spark.range(1, 7).toDF("id")
+    e = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.4), (1, 3, 0.7), (3, 4, 0.5), (4, 5, 0.6)], "a long, b long, weight double")
+    one = {r.id: r.x for r in G.eigenvector(nodes, e).collect()}
+    two = {r.id: r.x for r in G._eigenvector_rounds(nodes, e, 25, 1e-12).collect()}
+    three = {r.id: r.x for r in G.eigenvector(nodes, e, 25, 1e-12).collect()}
+    assert all(np.isclose(two[i], three[i], atol=1e-9) for i in one) and one[6] < 1e-6
+    a = np.zeros((6, 6))
+    for r in e.collect():
+        a[r.a - 1, r.b - 1] = a[r.b - 1, r.a - 1] = r.weight
+    v = np.abs(np.linalg.eigh(a)[1][:, -1])
+    assert np.allclose([one[i] for i in range(1, 7)], v, atol=1e-6)
+
+
+def test_pairs_block_to_block(spark, monkeypatch):
+    """Several blocks give what one block gives, and what numpy gives."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(57, 6))
+    d = spark.createDataFrame([(int(i), [float(c) for c in v], None if i % 9 == 0 else [float(c) for c in v[:3]], int(i % 4)) for i, v in enumerate(x)] + [(None, [1.0] * 6, None, 1), (99, None, None, 1)], "id long, v array<double>, w array<double>, g int")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(u @ u.T, 6)
+    for block in (2000, 10):
+        monkeypatch.setattr(V, "BLOCK", block)
+        top = {(r.source, r["rank"]): r.target for r in V.cosine_top_k(d, "id", "v", 3, None, "g").collect()}
+        for i in range(57):
+            best = sorted((j for j in range(57) if j % 4 != i % 4), key=lambda j: (-s[i, j], j))[:3]
+            assert [top[i, k] for k in (1, 2, 3)] == best
+        grid = {(r.source, r.target): (r.v, r.w) for r in V.cosine_grid(d.where("id < 57"), "id", ["v", "w"]).collect()}
+        assert len(grid) == 57 * 56 and all(np.isclose(a, s[i, j], atol=2e-6) and (b is None) == (i % 9 == 0 or j % 9 == 0) for (i, j), (a, b) in grid.items())
+        near = {(r.source, r.target) for r in V.cosine_neighbours(d, "id", "v", 2, 0.6).collect()}
+        for i in range(57):
+            order = sorted((j for j in range(57) if j != i and s[i, j] > 0), key=lambda j: (-s[i, j], j))
+            assert {(i, j) for j in range(57) if j != i and s[i, j] >= 0.6} | {(i, j) for j in order[:2]} <= near
+
+
+def test_pair_table_checks(spark):
+    from tessera.operators import contracts as D
+
+    e = spark.range(3).toDF("id")
+    whole = [(a, b) for a in range(3) for b in range(3) if a != b]
+    check = lambda rows: tuple(D.pair_table(spark.createDataFrame(rows, "source long, target long"), e, "id").first())
+    assert check(whole) == (0, 0, 0) and check(whole[1:]) == (1, 0, 0) and check([*whole, (1, 1), whole[0]]) == (2, 1, 1)
+
+
+def test_recommender_options_and_command_line(spark, tmp_path):
+    from tessera.operators import recommend as R
+
+    entities = spark.createDataFrame([(1, "One", "a"), (2, "Two", "a"), (3, "Three", "b"), (4, " two ", "b"), (5, "Five", None)], "id long, name string, era string")
+    pairs = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (1, 4, 0.8), (1, 5, 0.7), (3, 1, 0.2), (5, 1, None)], "source long, target long, hybrid double")
+    got = lambda **o: [(r.source, r.target, r["rank"]) for r in R.recommend(pairs, "hybrid", attributes=entities, **o).orderBy("source", "rank").collect()]
+    assert got(sources=[1]) == [(1, 2, 1), (1, 3, 2), (1, 4, 3), (1, 5, 4)] and got(top_n=1) == [(1, 2, 1), (3, 1, 1)]
+    assert got(apart="era", least=0.5) == [(1, 3, 1), (1, 4, 2)] and got(same="era") == [(1, 2, 1)]
+    assert R.find_one(entities, "id", "name", " one") == 1
+    with pytest.raises(R.NotFound):
+        R.find_one(entities, "id", "name", "nobody")
+    with pytest.raises(R.Ambiguous):
+        R.find_one(entities, "id", "name", "two")
+    for bad in ({"sources": [5]}, {"top_n": 0}):
+        with pytest.raises(R.ContractError):
+            got(**bad)
+    entities.write.parquet(f"file://{tmp_path}/e")
+    pairs.write.parquet(f"file://{tmp_path}/p")
+    base = ["--entities", f"file://{tmp_path}/e", "--pairs", f"file://{tmp_path}/p"]
+    assert [r.target_name for r in R.main([*base, "--name", "one", "--apart", "era", "--top-n", "1"], spark).collect()] == ["Three"]
+    R.main([*base, "--all", "--save", f"file://{tmp_path}/out"], spark)
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == 5
+    assert R.main([*base, "--list"], spark).count() == 5
+    with pytest.raises(SystemExit):
+        R.main(base, spark)
+
+
+def test_kmeans_finds_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 25)
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (20, 3)) for c in ((0, 0, 0), (4, 0, 0), (0, 4, 4))])
+    d = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    out, k = V.kmeans_select(d, "id", ["a", "b", "c"], 5, 4)
+    by = {r.id: r.cluster for r in out.collect()}
+    assert k == 3 and all(len({by[i] for i in range(g * 20, g * 20 + 20)}) == 1 for g in range(3)) and len(set(by.values())) == 3
+    z = (x - x.mean(0)) / x.std(0)
+    dist = np.linalg.norm(z[:, None] - z[None], axis=2)
+    label = np.arange(60) // 20 % 2  # an arbitrary clustering in two
+    s = []
+    for i in range(60):
+        a = dist[i, label == label[i]].sum() / ((label == label[i]).sum() - 1)
+        o = dist[i, label != label[i]].mean()
+        s.append((o - a) / max(a, o))
+    named = spark.createDataFrame([(i, [float(v) for v in z[i]], int(label[i])) for i in range(60)], "id long, v array<double>, c2 long")
+    assert np.isclose(V._silhouettes(named, [2])[2], np.mean(s), atol=1e-9)
+    assert V.kmeans_select(d.limit(2), "id", ["a"], 5, 2)[1] == 1

@@ -95,3 +95,35 @@ def test_stream_of_new_files(spark, tmp_path):
     assert run().count() == 3
     spark.range(3, 5).write.mode("append").parquet(f"{root}/in")
     assert run().count() == 5
+
+
+def test_pages_fail_loudly_and_end_at_a_short_one(spark):
+    total = 23
+
+    def fetch(url):
+        limit, offset = (int(x.split("=")[1]) for x in url.split("?")[1].split("&"))
+        if url.startswith("broken") and offset >= 10:
+            return 404, ""
+        return 200, json.dumps({"items": [{"n": i} for i in range(offset, min(total, offset + limit))]})
+
+    def rows(url, **options):
+        reader = http._PagedReader({"url": url + "?limit={limit}&offset={offset}", "limit": 5, **options}, fetch)
+        return [r for p in reader.partitions() for r in reader.read(p)]
+
+    want = [(i, json.dumps({"n": i})) for i in range(total)]
+    assert rows("good") == want and rows("good", pages=5) == want and rows("good", pages=9) == want
+    for options in ({}, {"pages": 5}):
+        with pytest.raises(RuntimeError, match="not_found"):
+            rows("broken", **options)
+
+
+def test_lookup_of_all_keys(spark):
+    fetch = lambda url: (200, json.dumps({"u": url})) if url != "x/2" else (404, "")
+    got = {r.k: (r.status, r.payload) for r in http.lookup_all(spark.createDataFrame([(1,), (2,), (3,)], "k long"), "k", "x/{key}", fetch, 1000).collect()}
+    assert got == {1: ("found", '{"u": "x/1"}'), 2: ("not_found", None), 3: ("found", '{"u": "x/3"}')}
+
+
+def test_listing_sums(spark):
+    d = spark.createDataFrame([("a/b.json", 10), ("a/c.json", 5)], "path string, length long")
+    assert tuple(files.manifest_summary(d).first()) == (2, 15) and tuple(files.manifest_summary(d.limit(0)).first()) == (0, 0)
+    assert [r.name for r in files.missing_files(d, ["b.json", "z.json"]).collect()] == ["z.json"]
