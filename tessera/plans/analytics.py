@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from tessera.functions.scores import MAJOR, MINOR, PITCHES
 from tessera.operators import graph as G, tables as O, vectors as V
 from tessera.storage import broadcast_if_small, materialize, table
 
@@ -540,6 +541,11 @@ def report_ranking(s, d):
     return reduce(DataFrame.unionByName, rows)
 
 
+#: The 24 profiles in SQL, in the order of ``estimate_key``.
+_KEYS = {
+    "i": ", ".join(str(i) for i in range(24)), "k": ", ".join(f"'{PITCHES[i % 12]}'" for i in range(24)), "m": ", ".join("'major'" if i < 12 else "'minor'" for i in range(24)),
+    "pr": ", ".join("[" + ", ".join(f"{profile[(j - t) % 12]}::double" for j in range(12)) + "]" for profile in (MAJOR, MINOR) for t in range(12)),
+}
 _E = "e as (select vec_id, label, embedding::double[] v from embeddings)"
 _P = _E + ", p as (select x.vec_id as source, y.vec_id as target, x.label sl, y.label tl, x.v xv, y.v yv, round(list_cosine_similarity(x.v, y.v), 6) similarity from e x join e y on x.vec_id <> y.vec_id)"
 _VW = _P + ", w as (select source, target, sl, tl, round(list_cosine_similarity(xv[1:22], yv[1:22]), 6) as emotion, round(list_cosine_similarity(xv[23:43], yv[23:43]), 6) as style, case when source % 9 <> 0 and target % 9 <> 0 then round(list_cosine_similarity(xv[44:64], yv[44:64]), 6) end as audio from p), h as (select *, round((0.45::double * emotion + 0.30::double * style + 0.25::double * coalesce(audio, 0)) / (0.75::double + case when audio is not null then 0.25::double else 0 end), 9) hybrid from w)"
@@ -549,6 +555,8 @@ _C = _E + ", ex as (select label, unnest(v) x, generate_subscripts(v, 1) i from
 _SC = _YSQL + ", lf as (select * from (unpivot y on " + ", ".join(YF) + " into name feature value value)), f0 as (select feature, avg(value) mean, stddev_samp(value) sd, count(value) / count(*) coverage from lf group by 1), f1 as (select *, coalesce(1 / (1 + sd / nullif(abs(mean), 0)), 1 / (1 + sd)) raw, abs(mean) am, 2 * 1.96::double * sd / sqrt(7.0::double) width from f0), f2 as (select *, coalesce((raw - min(raw) over ()) / nullif(max(raw) over () - min(raw) over (), 0), 0.5::double) stability, coalesce((am - min(am) over ()) / nullif(max(am) over () - min(am) over (), 0), 0.5::double) prevalence, 1 - coalesce((width - min(width) over ()) / nullif(max(width) over () - min(width) over (), 0), 0.5::double) confidence from f1), f as (select *, 0.35::double * stability + 0.25::double * prevalence + 0.20::double * confidence + 0.20::double * least(coverage, 1.0) score from f2)"
 
 SQL = {
+    "musical_key": "with p as (select " + ", ".join(f"unnest([{x}]) {n}" for n, x in _KEYS.items()) + "), e as (select vec_id, embedding[1:12]::double[] c from embeddings), x as (select vec_id, i, k, m, unnest(c) cv, unnest(pr) pv from e, p), r as (select vec_id, i, k, m, corr(cv, pv) r from x group by 1, 2, 3, 4) select vec_id, first(k order by r desc, i) as key, first(m order by r desc, i) as mode, round(max(r), 4) confidence from r group by 1",
+    "mst_edges": f"with recursive {_G}, o as (select a, b, round(1 - weight, 6) distance, row_number() over (order by round(1 - weight, 6), a, b) k from g), ob as (select a, b, k from o union all select b, a, k from o), rc(k, node) as (select k, a from o union select rc.k, ob.b from rc join ob on ob.a = rc.node and ob.k < rc.k) select distance, a, b from o where not exists (select 1 from rc where rc.k = o.k and rc.node = o.b)",
     "recommend_options": f"with {_VW} select source, target, hybrid as score, row_number() over (partition by source order by hybrid desc, target)::int rank from h where sl = tl and hybrid >= 0.1 qualify rank <= 2",
     "model_summary": f"with {_VW}, n as (select count(distinct vec_id) n from e), m as (" + " union all ".join(f"select '{c}' model, count(distinct case when {c} is not null then source end) entities, count({c}) pairs, avg({c}) m, max({c}) b from w" for c in VIEWS) + ") select model, entities, pairs, round(pairs / (n * (n - 1))::double, 6) coverage, round(m, 6) mean_score, round(b, 6) best from m, n",
     "feature_manifest": "with l as (select *, case when l_orderkey % 5 <> 0 then l_tax end tax from lineitem) " + " union all ".join(f"select '{v}' as view, '{c}' feature, count(*) as rows, count({c}) with_value, count(distinct {c}) as distinct, round(count({c}) / count(*)::double, 6) coverage from l" for v, c in (("amounts", "l_quantity"), ("amounts", "l_extendedprice"), ("shares", "l_discount"), ("shares", "tax"))),
@@ -594,5 +602,5 @@ SQL = {
     "report_ranking": "(select 'p_size' metric, p_partkey, p_size::double score from part order by p_size desc, p_partkey limit 5) union all (select 'p_retailprice', p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 5)",
 }
 SQL["findings"] = f"select metric, printf('%s: highest in %d (%.2f), lowest in %d (%.2f)', metric, highest_year, highest, lowest_year, lowest) finding from ({SQL['extremes_by_metric']})"
-ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "kcore", "mst_edges", "eigenvector", "path_centralities", "communities", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "musical_key", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
+ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "kcore", "eigenvector", "path_centralities", "communities", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

@@ -8,7 +8,7 @@ import pytest
 
 from tessera import catalog
 
-SLOW = {"cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "local_explanations", "mst_edges", "hub_bridge_scores", "eigenvector", "kmeans_select_k"}
+SLOW = {"cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "local_explanations", "kmeans_select_k"}
 
 
 def plain(v):
