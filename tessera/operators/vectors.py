@@ -6,10 +6,10 @@ from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.tables import top_n_per_group
-from tessera.storage import materialize
+from tessera.storage import broadcast_if_small, materialize
 
 # Weights of the similarity views.
 VIEW_WEIGHTS = {"emotion": 0.45, "style": 0.30, "audio": 0.25}
@@ -185,9 +185,11 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
 
 
 def nearest_groups(c: DataFrame, group: str, n: int) -> DataFrame:
-    """The n nearest other centroids of each group; groups are few, so their pairs are."""
-    a, b = c.select(F.col(group).alias("a"), F.col("centroid").alias("ca")), c.select(F.col(group).alias("b"), F.col("centroid").alias("cb"))
-    pairs = a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", F.round(distance(F.col("ca"), F.col("cb")), 6).alias("distance"))
+    """The n nearest other centroids of each group, and how far the two stand apart in the groups' order; groups are
+    few, so their pairs are."""
+    c = c.withColumn("_o", F.dense_rank().over(Window.orderBy(group)))  # one row a group
+    a, b = c.select(F.col(group).alias("a"), F.col("centroid").alias("ca"), F.col("_o").alias("oa")), c.select(F.col(group).alias("b"), F.col("centroid").alias("cb"), F.col("_o").alias("ob"))
+    pairs = a.join(broadcast_if_small(b, 10_000), F.col("a") != F.col("b")).select("a", "b", F.round(distance(F.col("ca"), F.col("cb")), 6).alias("distance"), F.abs(F.col("oa") - F.col("ob")).cast("long").alias("order_gap"))
     return top_n_per_group(pairs, ["a"], [F.col("distance"), F.col("b")], n)
 
 

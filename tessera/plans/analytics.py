@@ -116,7 +116,7 @@ def centroids(s, d):
 
 
 def nearest_centroids(s, d):
-    return V.nearest_groups(V.centroids(_emb(s, d), "label", "v"), "label", 3).select(F.col("a").cast("long"), F.col("b").cast("long"), "distance", "rank")
+    return V.nearest_groups(V.centroids(_emb(s, d), "label", "v"), "label", 3).select(F.col("a").cast("long"), F.col("b").cast("long"), "distance", "order_gap", "rank")
 
 
 def dispersion(s, d):
@@ -148,13 +148,14 @@ def kmeans_select_k(s, d):
     return V.kmeans_select(e, "vec_id", [f"f{i}" for i in range(64)])[0]
 
 
-def cluster_profiles(s, d):
-    """The two most and two least typical features of each label by standardised means."""
-    feats = [f"f{i}" for i in range(16)]
-    e = O.zscores(_emb(s, d).select("label", *(F.col("v")[i].alias(f"f{i}") for i in range(16))), feats)
+def cluster_profiles(s, d, most=8):
+    """The eight most and eight least typical features of each label by standardised means, of all components."""
+    feats = [f"f{i}" for i in range(64)]
+    e = O.zscores(_emb(s, d).select("label", *(F.col("v")[i].alias(f"f{i}") for i in range(64))), feats)
     m = e.groupBy("label").agg(*(F.avg(c).alias(c) for c in feats)).unpivot(["label"], feats, "feature", "mean").withColumn("mean", R6("mean"))
     hi, lo = Window.partitionBy("label").orderBy(F.desc("mean"), "feature"), Window.partitionBy("label").orderBy("mean", "feature")
-    return m.withColumn("top", F.row_number().over(hi)).withColumn("low", F.row_number().over(lo)).where("top <= 2 or low <= 2").select(F.col("label").cast("long"), "feature", "mean", (F.col("top") <= 2).alias("is_top"))
+    m = m.withColumn("top", F.row_number().over(hi)).withColumn("low", F.row_number().over(lo)).where((F.col("top") <= most) | (F.col("low") <= most))
+    return m.select(F.col("label").cast("long"), "feature", "mean", (F.col("top") <= most).alias("is_top"))
 
 
 def cluster_composition(s, d):
@@ -234,11 +235,18 @@ def period_evolution(s, d):
 # Fingerprints
 
 
+#: Event types that are held against each other.
+OPPOSED = {"purchase_click": ("purchase", "click"), "purchase_view": ("purchase", "view"), "signup_click": ("signup", "click"), "signup_view": ("signup", "view")}
+
+
 def opposed_balance(s, d):
-    """F16, B6."""
-    e = table(s, d, "events").groupBy("user_id").agg(F.sum(F.when(F.col("event_type") == "purchase", F.col("value")).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("event_type") == "click", F.col("value")).otherwise(0.0)).alias("n"))
-    b = F.coalesce(F.try_divide(F.col("p") - F.col("n"), F.abs("p") + F.abs("n")), F.lit(0.0))
-    return e.select("user_id", R6(b).alias("balance"), F.when(R6(b) > 0, "purchase").when(R6(b) < 0, "click").otherwise("balanced").alias("dominant"))
+    """Four opposed pairs of each user's sums, one aggregation, in long form."""
+    kinds = sorted({k for pair in OPPOSED.values() for k in pair})
+    e = table(s, d, "events").groupBy("user_id").agg(*(F.sum(F.when(F.col("event_type") == k, F.col("value")).otherwise(0.0)).alias(k) for k in kinds))
+    pairs = F.array(*(F.struct(F.lit(name).alias("pair"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("p"), F.col(b).alias("n")) for name, (a, b) in OPPOSED.items()))
+    e = e.select("user_id", F.explode(pairs).alias("x")).select("user_id", "x.*")
+    b = R6(F.coalesce(F.try_divide(F.col("p") - F.col("n"), F.abs("p") + F.abs("n")), F.lit(0.0)))
+    return e.select("user_id", "pair", b.alias("balance"), F.when(b > 0, F.col("a")).when(b < 0, F.col("b")).otherwise("balanced").alias("dominant"))
 
 
 def _long(s, d):
@@ -273,6 +281,20 @@ def profile_deviation(s, d):
     return j.groupBy("year").agg(R6(F.sqrt(F.sum(F.col("z") * F.col("z") * F.col("w") / F.col("t")))).alias("weighted"), R6(F.sqrt(F.sum(F.col("z") * F.col("z")))).alias("plain"))
 
 
+def fingerprint_tables(s, d):
+    """The core, stable, variable and supporting features as ranked tables, by score."""
+    f = fingerprint_roles(s, d).join(_scores(s, d).select("feature", R6("score").alias("score")), "feature")
+    return f.select("role", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("score"), "feature")).alias("rank"), "feature", "score")
+
+
+def deviation_contributors(s, d, most=8):
+    """The features that make up each year's weighted distance, by their share of its square."""
+    z = O.zscores(_years(s, d), YF).unpivot(["year"], list(YF), "feature", "z")
+    j = z.join(F.broadcast(_scores(s, d).select("feature", F.col("score").alias("w"))), "feature").withColumn("part", F.col("z") * F.col("z") * F.col("w"))
+    j = j.withColumn("share", R6(F.coalesce(F.try_divide("part", F.sum("part").over(Window.partitionBy("year"))), F.lit(0.0))))
+    return O.top_n_per_group(j.select("year", "feature", "share"), ["year"], [F.desc("share"), F.col("feature")], most)
+
+
 def bootstrap_ci(s, d, resamples: int = 2000):
     """Resamples of the groups drawn by hash, so a run repeats; the groups are few, the draws resamples times groups."""
     f = _long(s, d).withColumn("slot", F.row_number().over(Window.partitionBy("feature").orderBy("year")) - 1)
@@ -570,10 +592,10 @@ SQL = {
     "search_resolve": "with p as (select p_partkey, lower(p_name) n from part), s as (select *, case when n = 'old widget plate' then 1 when contains(n, 'old widget plate') then 2 when len(list_intersect(string_split(n, ' '), ['old', 'widget', 'plate'])) > 0 then 3 end stage, len(list_intersect(string_split(n, ' '), ['old', 'widget', 'plate']))::bigint shared from p) select p_partkey, stage::bigint stage, shared from s where stage = (select min(stage) from s) order by shared desc, p_partkey limit 15",
     "zscore_impute": "with l as (select l_partkey, avg(l_quantity) a, avg(l_extendedprice) b, avg(l_discount) c, case when l_partkey % 5 <> 0 then avg(l_tax) end t from lineitem group by 1), i as (select l_partkey, a, b, c, coalesce(t, (select median(t) from l)) t from l) select l_partkey, round((a - avg(a) over ()) / stddev_pop(a) over (), 6) l_quantity, round((b - avg(b) over ()) / stddev_pop(b) over (), 6) l_extendedprice, round((c - avg(c) over ()) / stddev_pop(c) over (), 6) l_discount, round((t - avg(t) over ()) / stddev_pop(t) over (), 6) l_tax from i",
     "centroids": f"with {_C} select label::bigint as label, round(c[1], 6) c1, round(c[64], 6) c64, round(sqrt(list_inner_product(c, c)), 6) norm from c",
-    "nearest_centroids": f"with {_C}, q as (select x.label::bigint a, y.label::bigint b, round(list_distance(x.c, y.c), 6) distance from c x join c y on x.label <> y.label) select *, row_number() over (partition by a order by distance, b)::int rank from q qualify rank <= 3",
+    "nearest_centroids": f"with {_C}, n as (select *, dense_rank() over (order by label) o from c), q as (select x.label::bigint a, y.label::bigint b, round(list_distance(x.c, y.c), 6) distance, abs(x.o - y.o)::bigint order_gap from n x join n y on x.label <> y.label) select *, row_number() over (partition by a order by distance, b)::int rank from q qualify rank <= 3",
     "dispersion": f"with {_E} select label::bigint as label, round(sqrt(coalesce(var_samp(v[1]), 0) + coalesce(var_samp(v[2]), 0)), 6) dispersion from e group by 1",
     "own_prev_centroid_distance": f"with {_C}, q as (select label, c, lag(c) over (order by label) p from c) select vec_id, round(list_distance(v, c), 6) own, round(list_distance(v, p), 6) previous from e join q using (label)",
-    "cluster_profiles": f"with {_E}, ex as (select label, unnest(v[1:16]) x, generate_subscripts(v[1:16], 1) - 1 i from e), z as (select label, 'f' || i feature, (x - avg(x) over (partition by i)) / stddev_pop(x) over (partition by i) z from ex), m as (select label::bigint as label, feature, round(avg(z), 6) mean from z group by 1, 2), r as (select *, row_number() over (partition by label order by mean desc, feature) t, row_number() over (partition by label order by mean, feature) l from m) select label, feature, mean, t <= 2 is_top from r where t <= 2 or l <= 2",
+    "cluster_profiles": f"with {_E}, ex as (select label, unnest(v) x, generate_subscripts(v, 1) - 1 i from e), z as (select label, 'f' || i feature, (x - avg(x) over (partition by i)) / stddev_pop(x) over (partition by i) z from ex), m as (select label::bigint as label, feature, round(avg(z), 6) mean from z group by 1, 2), r as (select *, row_number() over (partition by label order by mean desc, feature) t, row_number() over (partition by label order by mean, feature) l from m) select label, feature, mean, t <= 8 is_top from r where t <= 8 or l <= 8",
     "cluster_composition": "select vec_id % 3 cluster, label::bigint as label, count(*) n, round(count(*) / sum(count(*)) over (partition by vec_id % 3), 6) share from embeddings group by 1, 2",
     "feature_drift": f"with {_USQL} select feature, from_year, to_year, round(change, 6) change, round(abs(change), 6) absolute_change from dr where from_year is not null",
     "change_points": f"with {_USQL} select from_year, to_year, round(sqrt(sum(change * change)), 6) distance from dr where from_year is not null group by 1, 2 order by 3 desc, 2 limit 5",
@@ -583,9 +605,11 @@ SQL = {
     "turning_points": f"with {_USQL}, q as (select *, row_number() over (partition by to_year order by round(-abs(change), 6), feature) r from dr where from_year is not null), t as (select from_year, to_year, round(sqrt(sum(change * change)), 6) distance, string_agg(printf('%s:%+.3f', feature, round(change, 6)), ' | ' order by r) filter (r <= 2) drivers from q group by 1, 2), v as (select *, round(distance / nullif(to_year - from_year, 0), 6) velocity from t) select from_year, to_year, distance, velocity, dense_rank() over (order by distance desc)::int rank, round(0.6::double * (rank() over (order by distance) + (count(*) over (partition by distance) - 1) / 2) / count(*) over () + 0.4::double * (rank() over (order by velocity) + (count(*) over (partition by velocity) - 1) / 2) / count(*) over (), 6) score, drivers from v",
     "story_cards": f"with {_YSQL}, q as (select year, round(price, 6) price, orders::bigint orders from y) select year, printf('%d: %d orders at %.2f on average, %s', year, orders, price, case when lag(price) over (order by year) is null then 'the first year' when price > lag(price) over (order by year) then 'dearer than before' else 'cheaper than before' end) card from q",
     "period_evolution": "select year(l_shipdate)::bigint as year, count(*) lines, count(*) filter (l_returnflag = 'R') returned, round(avg(l_quantity) filter (l_returnflag <> 'R'), 5) kept_quantity, round(avg(l_discount) filter (l_discount > 0), 5) mean_discount, round(1 - count(*) filter (l_returnflag = 'R') / count(*), 5) kept_rate from lineitem group by 1",
-    "opposed_balance": "with e as (select user_id, coalesce(sum(value) filter (event_type = 'purchase'), 0) p, coalesce(sum(value) filter (event_type = 'click'), 0) n from events group by 1), b as (select user_id, round(coalesce((p - n) / nullif(abs(p) + abs(n), 0), 0), 6) balance from e) select user_id, balance, case when balance > 0 then 'purchase' when balance < 0 then 'click' else 'balanced' end dominant from b",
+    "opposed_balance": "with e as (select user_id, " + ", ".join(f"coalesce(sum(value) filter (event_type = '{k}'), 0) as {k}" for k in ("click", "purchase", "signup", "view")) + " from events group by 1), x as (" + " union all ".join(f"select user_id, '{n}' pair, '{a}' a, '{b}' b, {a} p, {b} n from e" for n, (a, b) in OPPOSED.items()) + "), b as (select *, round(coalesce((p - n) / nullif(abs(p) + abs(n), 0), 0), 6) balance from x) select user_id, pair, balance, case when balance > 0 then a when balance < 0 then b else 'balanced' end dominant from b",
     "fingerprint_scores": f"with {_SC} select feature, round(stability, 6) stability, round(prevalence, 6) prevalence, round(confidence, 6) confidence, round(score, 6) score from f",
     "fingerprint_roles": f"with {_SC} select feature, case when round(score, 6) >= 0.75 then 'core' when round(stability, 6) >= 0.70 then 'stable' when round(stability, 6) <= 0.30 then 'variable' else 'supporting' end as role from f",
+    "fingerprint_tables": f"with {_SC}, r as (select feature, round(score, 6) score, case when round(score, 6) >= 0.75 then 'core' when round(stability, 6) >= 0.70 then 'stable' when round(stability, 6) <= 0.30 then 'variable' else 'supporting' end as role from f) select role, row_number() over (partition by role order by score desc, feature)::int rank, feature, score from r",
+    "deviation_contributors": f"with {_SC}, st as (select feature, avg(value) a, stddev_pop(value) s from lf group by 1), z as (select year, feature, (value - a) / case when s = 0 then 1 else s end z from lf join st using (feature)), c as (select year, feature, z * z * score part from z join f using (feature)), h as (select year, feature, round(coalesce(part / nullif(sum(part) over (partition by year), 0), 0), 6) share from c) select year, feature, share, row_number() over (partition by year order by share desc, feature)::int rank from h qualify rank <= 8",
     "profile_deviation": f"with {_SC}, st as (select feature, avg(value) a, stddev_pop(value) s from lf group by 1), z as (select year, feature, (value - a) / case when s = 0 then 1 else s end z from lf join st using (feature)) select year, round(sqrt(sum(z * z * score / (select sum(score) from f))), 6) weighted, round(sqrt(sum(z * z)), 6) plain from z join f using (feature) group by 1",
     "sim_edges": f"with {_G} select a, b, weight, round(1 - weight, 6) distance, by_threshold, by_top_k, mutual_top_k from g",
     "node_degree": f"with {_B} select a id, count(*) degree, round(sum(weight), 6) weighted_degree from bw group by 1",
