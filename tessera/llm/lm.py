@@ -36,10 +36,10 @@ from tessera.llm.common import arrow_map, chunks, fold_bucket, least_count, spac
 from tessera.storage import materialize, scratch
 
 DICTIONARY, CLUSTERED, MIN_COUNT, SUFFIXES = 150_000, 24_000, 20, 512
-CLASSES, HEAD, HEAD_SWEEPS, SWEEPS = 64, 600, 6, 8
+CLASSES, HEAD, HEAD_SWEEPS, SWEEPS = 64, 600, 6, 6
 DELTA, TRANSITION = 0.1, 1.0
 #: Distinct words that a task counts before it sends them on; tokens whose pairs it counts before it sends them on.
-COUNTED, PAIRED = 400_000, 3_000_000
+COUNTED, PAIRED = 400_000, 2_000_000
 #: Parts of the units that the neighbours are dealt into.
 PARTS = 512
 #: Units judged together: so many tables of classes squared are held.
@@ -99,14 +99,24 @@ def _sent(part: int, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["part", "keys", "n"])
 
 
-def neighbours(source: DataFrame, shared) -> DataFrame:
-    """(part, keys, n): of the units of a part how often each other unit follows (a key is 2 * (unit * units + other))
-    or goes before (that plus 1), over all texts; one row a part."""
+#: The arrays of a part: its units (int32), where the neighbours of each end (int64), the neighbours (int32), their counts (int64).
+_PART = ("units", "ends", "others", "n")
+
+
+def _arrays(batch: pa.RecordBatch):
+    """The arrays of each part of a batch, as views of its buffers."""
+    for k in range(batch.num_rows):
+        yield tuple(np.frombuffer(batch.column(x)[k].as_buffer(), kind) for x, kind in zip(_PART, (np.int32, np.int64, np.int32, np.int64), strict=True))
+
+
+def neighbours(source: DataFrame, shared, size: int) -> DataFrame:
+    """(part, units, ends, others, n): of the units of a part, one after the other, how often each other unit follows (as
+    2 * other) or goes before (as 2 * other + 1), over all texts; one row a part."""
 
     def count(batches):
         words, clustered = shared.value
         units = Units(words, clustered)
-        size, end = units.end + 1, np.array([units.end], np.int64)
+        end = np.array([units.end], np.int64)
         seen, held = [end], 1
 
         def flush():
@@ -140,7 +150,7 @@ def neighbours(source: DataFrame, shared) -> DataFrame:
                 if part is not None and p != part or held > 4 * PAIRED:
                     both = _summed(np.concatenate(keys), np.concatenate(n))
                     if p != part:
-                        yield _sent(part, *both)
+                        yield merged(part, *both)
                         keys, n, held = [], [], 0
                     else:
                         keys, n, held = [both[0]], [both[1]], 0
@@ -149,35 +159,46 @@ def neighbours(source: DataFrame, shared) -> DataFrame:
                 n.append(np.frombuffer(c, np.int64))
                 held += len(keys[-1])
         if part is not None:
-            yield _sent(part, *_summed(np.concatenate(keys), np.concatenate(n)))
+            yield merged(part, *_summed(np.concatenate(keys), np.concatenate(n)))
+
+    def merged(part, keys, n):
+        unit, other = np.divmod(keys >> 1, size)
+        first = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+        columns = unit[first].astype(np.int32), np.append(first[1:], len(unit)), (2 * other + (keys & 1)).astype(np.int32), n
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["part", *_PART])
 
     sent = arrow_map(source, count, _SENT)
-    return arrow_map(sent.repartition("part").sortWithinPartitions("part"), merge, _SENT)
+    return arrow_map(sent.repartition("part").sortWithinPartitions("part"), merge, "part int, " + ", ".join(f"{x} binary" for x in _PART))
 
 
-def _by_class(keys: bytes, n: bytes, size: int, group: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _by_class(arrays, group: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a part: its units, and for each how often it is followed by and follows each class (units x k), and itself.
     Neighbours without a class (-1) are left out."""
-    keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
-    side, pair = keys & 1, keys >> 1
-    unit, other = pair // size, pair % size
-    units, at = np.unique(unit, return_inverse=True)
-    c = group[other]
+    units, ends, others, n = arrays
+    at = np.repeat(np.arange(len(units)), np.diff(ends, prepend=0))
+    other, c = others >> 1, group[others >> 1]
+    place = (2 * at + (others & 1)) * k + c
     known = c >= 0
-    counts = np.bincount(((at * 2 + side) * k + c)[known], n[known], len(units) * 2 * k).reshape(-1, 2, k)
-    own = np.bincount(at, n * ((unit == other) & (side == 0)), len(units))
+    if not known.all():
+        place, counted = place[known], n[known]
+    else:
+        counted = n
+    counts = np.bincount(place, counted, len(units) * 2 * k).reshape(-1, 2, k)
+    self_pairs = np.flatnonzero((units[at] == other) & (others & 1 == 0))
+    own = np.zeros(len(units))
+    own[at[self_pairs]] = n[self_pairs]
     return units, counts[:, 0], counts[:, 1], own
 
 
-def class_pairs(table: DataFrame, size: int, group: np.ndarray, k: int) -> np.ndarray:
+def class_pairs(table: DataFrame, group: np.ndarray, k: int) -> np.ndarray:
     """How often each class follows each (k x k)."""
     shared = table.sparkSession.sparkContext.broadcast(group)
 
     def run(batches):
         group, total = shared.value, np.zeros((k, k))
         for b in batches:
-            for keys, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                units, right, _, _ = _by_class(keys, n, size, group, k)
+            for arrays in _arrays(b):
+                units, right, _, _ = _by_class(arrays, group, k)
                 known = group[units] >= 0
                 np.add.at(total, group[units[known]], right[known])
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["t"])
@@ -227,31 +248,30 @@ def cluster(table: DataFrame, units: int, head: int, k: int) -> tuple[np.ndarray
 
     def of_head(batches):
         for b in batches:
-            for keys, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                keys, n = np.frombuffer(keys, np.int64), np.frombuffer(n, np.int64)
-                a, b_ = (keys >> 1) // units, (keys >> 1) % units
-                some = ((a < head) | (a == units - 1)) & ((b_ < head) | (b_ == units - 1)) & (keys & 1 == 0)
+            for own, ends, others, n in _arrays(b):
+                a, z = np.repeat(own, np.diff(ends, prepend=0)), others >> 1
+                some = ((a < head) | (a == units - 1)) & ((z < head) | (z == units - 1)) & (others & 1 == 0)
                 if some.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (np.minimum(a, head), np.minimum(b_, head), n)], ["a", "b", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x[some].astype(np.int64)) for x in (np.minimum(a, head), np.minimum(z, head), n)], ["a", "b", "n"])
 
     pairs = np.zeros((head + 1, head + 1))
     few = arrow_map(table, of_head, "a long, b long, n long").toArrow()
     pairs[few.column(0).to_numpy(), few.column(1).to_numpy()] = few.column(2).to_numpy()
     group = np.full(units, -1, np.int64)
     group[np.append(np.arange(head), units - 1)] = exchange(pairs, k - 1, HEAD_SWEEPS)
-    total = class_pairs(table, units, group, k)
+    total = class_pairs(table, group, k)
     for sweep in range(SWEEPS):
         shared = sc.broadcast((group, total))
 
         def run(batches, sweep=sweep, shared=shared):
             group, total = shared.value
             for b in batches:
-                for keys, n in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                    some, right, left, own = _by_class(keys, n, units, group, k)
+                for arrays in _arrays(b):
+                    some, right, left, own = _by_class(arrays, group, k)
                     move = np.flatnonzero((some < units - 1) & ((group[some] < 0) if sweep == 0 else (some // PARTS) % 2 == sweep % 2))
                     if len(move):
                         new = best_classes(total, group[some[move]], right[move], left[move], own[move])
-                        yield pa.RecordBatch.from_arrays([pa.array(some[move]), pa.array(new)], ["unit", "class"])
+                        yield pa.RecordBatch.from_arrays([pa.array(some[move].astype(np.int64)), pa.array(new)], ["unit", "class"])
 
         moved = arrow_map(table, run, "unit long, class long").toArrow()
         shared.destroy()
@@ -260,7 +280,7 @@ def cluster(table: DataFrame, units: int, head: int, k: int) -> tuple[np.ndarray
         group[at] = new
         if sweep == 0:
             group[group < 0] = 0  # units without any count
-        total = class_pairs(table, units, group, k)
+        total = class_pairs(table, group, k)
         if sweep > 1 and changed < 0.005 * max(1, len(at)):
             break
     return group, total
@@ -345,7 +365,7 @@ def train(source: DataFrame) -> tuple[Model, DataFrame]:
     units = clustered + SUFFIXES + 1
     k = min(CLASSES, max(2, math.isqrt(units) // 2)) + 1
     ends = source.count()
-    table = materialize(neighbours(source, sc.broadcast((words, clustered))), "neighbours")
+    table = materialize(neighbours(source, sc.broadcast((words, clustered)), units), "neighbours")
     group, pairs = cluster(table, units, min(HEAD, clustered), k)
     total, distinct = _by_unit(counts, words, clustered)
     class_total, class_words = np.bincount(group, total, k), np.bincount(group, distinct, k)
