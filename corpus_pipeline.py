@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.llm import bpe, fmindex, jaccard, substrings, toxicity
 from tessera.llm.queries import vocabulary
-from tessera.storage import materialize, table
+from tessera.storage import materialize, scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage, as a written table; those of the stages before are deleted."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    with scratch(spark):
+        for k, (name, stage) in enumerate(STAGES):
+            docs = materialize(stage(spark, docs, sf_dir), name, keep=k == len(STAGES) - 1)
     return docs

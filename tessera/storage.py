@@ -93,9 +93,8 @@ def release(spark: SparkSession) -> None:
 
 @atexit.register
 def _release_at_end() -> None:
-    spark = SparkSession.getActiveSession() if _KEPT else None
-    if spark is not None and spark.sparkContext._jsc is not None:
-        with contextlib.suppress(Exception):  # the JVM may be gone
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        if _KEPT and (spark := SparkSession.getActiveSession()) is not None:
             release(spark)
 
 
