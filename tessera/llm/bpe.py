@@ -28,8 +28,9 @@ from tessera.llm.common import arrow_map, chunks
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
 
-#: Words kept with their encoding, by a worker; beyond it the memory starts anew, which costs time only.
-CACHE_WORDS = 180_000
+#: Words kept with their encoding, by a worker, in either of two generations: when the younger is full it becomes the
+#: older, and words met again move back. What is forgotten costs time only.
+CACHE_WORDS = 80_000
 #: Bytes of text in one batch.
 BATCH_BYTES = 1 << 20
 
@@ -63,6 +64,7 @@ class WordBpe:
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode()
@@ -95,11 +97,13 @@ class WordBpe:
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        ids = tuple(self.merge(word))
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        out = (ids, self.decode(ids))
+        out = self.cache.get(word) or self.old.get(word)
+        if out is None:
+            ids = tuple(self.merge(word))
+            out = (ids, self.decode(ids))
         if len(word) <= 64:
+            if len(self.cache) >= CACHE_WORDS:
+                self.old, self.cache = self.cache, {}
             self.cache[word] = out
         return out
 

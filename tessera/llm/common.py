@@ -40,17 +40,17 @@ def fold_bucket(key: Column, parts: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % parts
 
 
-#: Rows of an Arrow batch, where the session leaves Spark's default: texts can be long, and both the JVM and Python
-#: hold whole batches.
-BATCH_ROWS = 2000
+#: Rows and bytes of an Arrow batch, where the session leaves Spark's defaults: texts can be long, and both the JVM and
+#: Python hold whole batches.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
     """``df.mapInArrow`` in batches of bounded size."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(name) == "10000":
-        conf.set(name, str(BATCH_ROWS))
-
+    conf = df.sparkSession.conf
+    for name, default, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
+        if conf.get(f"spark.sql.execution.arrow.{name}") == default:
+            conf.set(f"spark.sql.execution.arrow.{name}", ours)
 
     def run(batches):
         try:

@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -239,20 +241,29 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """(key, n_words, hit_words array<struct<start,end>> in word numbers, item_ids array<bigint>) for every document."""
-    found = _searched(docs.select(F.col(key), F.col(text).alias(TEXT)), TEXT, benchmark, item, item_text, window)
+    found = _searched(docs.select(F.col(key), F.col(text).alias(TEXT)), TEXT, _blocks(benchmark, item, item_text), window)
     return found.select(key, *(F.col(f"__tessera_{f.name}").alias(f.name) for f in _FOUND))
 
 
-def _searched(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_text: str, window: int) -> DataFrame:
-    """``docs`` with the columns of _FOUND, each under a name of its own, row by row: rows never meet by their keys."""
-    blocks = _blocks(benchmark, item, item_text)
+def _searched(docs: DataFrame, text: str, blocks: Iterator, window: int, cut: bool = False) -> DataFrame:
+    """``docs`` with the columns of _FOUND, each under a name of its own, row by row: rows never meet by their keys.
+    ``cut``: with the hit words gone from ``text``."""
     first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _search(docs, text, first, window)
-    # Several blocks: each is searched over the rows' numbers and texts, and what it finds in a row merges once more.
+    if second is None:  # the cut needs no pass, and no Python worker, of its own
+        return _search(docs, text, first, window, cut)
+    out = _over_blocks(docs, text, chain((first, second), blocks), window)
+    if not cut:
+        return out
+    spans = F.col("__tessera_hit_words")
+    hit, clean = F.size(spans) > 0, F.udf(cut_words, "string", useArrow=True)
+    return out.withColumn(text, F.when(hit, clean(F.when(hit, F.col(text)), F.when(hit, spans))).otherwise(F.col(text)))
+
+
+def _over_blocks(docs: DataFrame, text: str, blocks: Iterator, window: int) -> DataFrame:
+    """Each block is searched over the rows' numbers and texts, and what it finds in a row merges once more."""
     rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
     slim = rows.select(ROW, text)
-    results = [_search(slim, text, block, window).drop(text) for block in (first, second, *blocks)]
+    results = [_search(slim, text, block, window).drop(text) for block in blocks]
     both = materialize(reduce(DataFrame.unionByName, (r.withColumn("block", F.lit(k)) for k, r in enumerate(results))), "phrases")
     n_words, hit_words, item_ids = (f"__tessera_{f.name}" for f in _FOUND)
     hits = both.where(F.size(item_ids) > 0)
@@ -268,7 +279,7 @@ def _searched(docs: DataFrame, text: str, benchmark: DataFrame, item: str, item_
     return rows.join(merged, ROW).select(*docs.columns, n_words, none(_FOUND[1]), none(_FOUND[2]))
 
 
-def _search(docs: DataFrame, text: str, block: list[tuple[int, bytes]], window: int) -> DataFrame:
+def _search(docs: DataFrame, text: str, block: list[tuple[int, bytes]], window: int, cut: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
     names = [*docs.columns, *(f"__tessera_{f.name}" for f in _FOUND)]
     schema = StructType([*docs.schema.fields, *(StructField(f"__tessera_{f.name}", f.dataType) for f in _FOUND)])
@@ -286,11 +297,16 @@ def _search(docs: DataFrame, text: str, block: list[tuple[int, bytes]], window:
                     found += search_shard(some, phrases)
                     some, symbols = [], 0
             found += search_shard(some, phrases)
+            spans = [[{"start": x, "end": y} for x, y in _merged(h)] for h, _ in found]
+            columns = list(b.columns)
+            if cut and any(spans):
+                at = b.schema.get_field_index(text)
+                columns[at] = pa.array([cut_words(t, s) for t, s in zip(b.column(at).to_pylist(), spans, strict=True)], b.column(at).type)
             yield pa.RecordBatch.from_arrays(
                 [
-                    *b.columns,
+                    *columns,
                     pa.array([len(t) for t in texts], pa.int64()),
-                    pa.array([[{"start": x, "end": y} for x, y in _merged(h)] for h, _ in found], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                    pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                     pa.array([sorted(i) for _, i in found], pa.list_(pa.int64())),
                 ],
                 names,
@@ -325,11 +341,8 @@ def cut_words(text: str | None, spans: list | None) -> str | None:
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the contaminated spans cut out of ``text`` (and ``n_chars``, if there, counted again), each row by
     its own spans: the key is not read."""
-    found = _searched(docs, text, benchmark, item, item_text, window)
-    spans = F.col("__tessera_hit_words")
-    clean = F.udf(cut_words, "string", useArrow=True)
-    hit = F.size(spans) > 0
-    out = found.withColumn(text, F.when(hit, clean(F.when(hit, F.col(text)), F.when(hit, spans))).otherwise(F.col(text)))
+    out = _searched(docs, text, _blocks(benchmark, item, item_text), window, cut=True)
     if "n_chars" in docs.columns and text != "n_chars":
-        out = out.withColumn("n_chars", F.when(hit, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        counted = F.length(text).cast(docs.schema["n_chars"].dataType)
+        out = out.withColumn("n_chars", F.when(F.size("__tessera_hit_words") > 0, counted).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

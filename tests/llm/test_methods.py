@@ -43,6 +43,17 @@ def test_bpe_random_unicode(both):
         assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def test_bpe_with_a_small_cache(both, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    ours, theirs = bpe.WordBpe(json.load(open(__import__("tessera.llm.queries", fromlist=["x"]).vocabulary()))), both[1]
+    rng = random.Random(6)
+    words = ["river", "light", "houses", "walking", "zwackel", "été"]
+    for _ in range(50):
+        text = " ".join(rng.choices(words, k=20))
+        assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+        assert len(ours.cache) <= 3 and len(ours.old) <= 3
+
+
 # FM-index
 
 
@@ -347,6 +358,63 @@ def test_weak_labels_find_junk():
     assert isinstance(vote(None), str) and vote(None) == vote("")
 
 
+def plain_em(patterns, rounds=100):
+    """The same model by loops over votes: shares of votes by class with the stated prior counts, posteriors by Bayes."""
+    lean = lambda p: sum(("-0+".index(c) - 1) * (2.0 if j < 9 else 1.0) for j, c in enumerate(p))
+    good = {p: 1 / (1 + math.exp(-(lean(p) + 0.5))) for p, _ in patterns}
+    for _ in range(rounds):
+        total = sum(n for _, n in patterns)
+        share = min(max(sum(n * good[p] for p, n in patterns) / total, 0.01), 0.99)
+        new = {}
+        chance = {}
+        for y in (0, 1):
+            for j in range(len(patterns[0][0])):
+                votes = {c: prior for c, prior in zip("-0+", (1.5, 1.0, 0.5) if y == 0 else (0.5, 1.0, 1.5), strict=True)}
+                for p, n in patterns:
+                    votes[p[j]] += n * (good[p] if y else 1 - good[p])
+                for c in "-0+":
+                    chance[y, j, c] = votes[c] / sum(votes.values())
+        for p, _ in patterns:
+            bad = math.log(1 - share) + sum(math.log(chance[0, j, c]) for j, c in enumerate(p))
+            fine = math.log(share) + sum(math.log(chance[1, j, c]) for j, c in enumerate(p))
+            new[p] = 1 / (1 + math.exp(max(-50, min(50, bad - fine))))
+        done = max(abs(new[p] - good[p]) for p in new) < 1e-6
+        good = new
+        if done:
+            break
+    return good
+
+
+def test_em_by_plain_loops():
+    rng = random.Random(15)
+    patterns = {}
+    for _ in range(300):
+        bad = rng.random() < 0.3
+        p = "".join("-" if rng.random() < (0.4 if bad else 0.03) else "0" for _ in range(9)) + "".join(rng.choice("--0" if bad else "0++") for _ in range(3))
+        patterns[p] = patterns.get(p, 0) + rng.randint(1, 5)
+    got, want = quality.weigh(list(patterns.items())), plain_em(sorted(patterns.items()))
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-5 for p in want)
+
+
+def test_hashed_features_by_counting():
+    rng = random.Random(16)
+    for _ in range(40):
+        text = " ".join(rng.choice(["The", "river", "42", "A$$$", "house,", "river", "\n"]) for _ in range(rng.randint(1, 50)))
+        words = [w for w in text.replace("\n", " \n ").split(" ") if w]
+        counts = {}
+        add = lambda i: counts.__setitem__(i, counts.get(i, 0) + 1)  # noqa: B023,E731
+        s = [quality.shape(w) for w in words]
+        for k, x in enumerate(s):
+            add(x % (quality.BUCKETS // 2 - 8) + 8)
+            if k:
+                add((x * 31 + s[k - 1]) % (quality.BUCKETS // 2) + quality.BUCKETS // 2)
+                if words[k] == words[k - 1]:
+                    add(1)
+        add(2 + min(5, int(math.log10(len(words) + 1))))
+        got = quality.Hashed()(text)
+        assert set(np.flatnonzero(got).tolist()) == set(counts) and all(math.isclose(got[i], math.sqrt(n / len(words)), rel_tol=1e-5) for i, n in counts.items())
+
+
 def test_best_class_by_the_whole_likelihood():
     """The class chosen is the one with the highest likelihood of the table that results, counted anew for each choice."""
     rng = np.random.default_rng(5)

@@ -347,6 +347,44 @@ def test_quality_and_toxicity_on_tables(spark, odd, empty):
     assert toxicity.report(odd, labels.limit(0)).where("predicted <> 0 or score > 0.01").count() == 0
 
 
+def test_quality_by_plain_python(docs, rows):
+    """All votes, the posteriors, the scorer and every score again, without Spark."""
+    texts = [r[1] for r in rows]
+    vote = quality.Voter()
+    belief = quality.weigh(list(Counter(map(vote, texts)).items()))
+    fits = sorted((t for t in texts if len(t or "") <= quality.SAMPLE_CHARS), key=lambda t: t or "")
+    w = quality.fit([(t, belief[vote(t)]) for t in fits])
+    got = {r.doc_id: r.quality for r in quality.judge(docs).collect()}
+    for i, t, *_ in rows:
+        assert math.isclose(got[i], 1 / (1 + math.exp(-float(quality.Hashed()(t) @ w[:-1] + w[-1]))), abs_tol=1e-4), i
+
+
+def test_toxicity_by_plain_python(spark):
+    """The query's scores from the model's table by the kernel's definition, word by word."""
+    rng = random.Random(33)
+    rows = [(i, prose(rng, 2) + (" grumpfig zwackelorx" if i % 3 == 0 else "") + (" z w a c k" if i == 7 else "")) for i in range(90)] + [(90, None), (91, "")]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.predicted, r.held_out) for r in toxicity.report(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 3 == 1
+    model = toxicity.fit([(t, y) for (i, t), (_, _, y) in zip(rows, labels, strict=False) if not held(i)])
+
+    def margin(word):
+        c, total, square = toxicity.symbols(word), 0.0, 0.0
+        for i in range(len(c)):
+            for k in range(i + 2, min(len(c), i + toxicity.SPAN)):
+                for j in range(i + 1, k):
+                    total += toxicity.DECAY ** (k - i + 1) * float(model.table[(c[i] * toxicity.SYMBOLS + c[j]) * toxicity.SYMBOLS + c[k]])
+                    square += toxicity.DECAY ** (2 * (k - i + 1))
+        return total / max(1e-9, math.sqrt(square)) + model.bias
+
+    for i, t in rows:
+        words = {w for w in (toxicity.plain(x) for x in toxicity.tokens(t or "")) if len(w) > 1}
+        top = sorted((max(margin(w), toxicity.LOWEST) for w in words), reverse=True) + [toxicity.LOWEST] * 2
+        want = model.probability(top[0], top[1])
+        assert math.isclose(got[i][0], want, abs_tol=1e-3) and got[i][1:] == (int(got[i][0] >= 0.7), held(i)), i
+
+
 def test_toxicity_finds_planted_words(spark):
     rng = random.Random(12)
     insults = ["grumpfig", "zwackelor"]
