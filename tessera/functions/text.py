@@ -171,9 +171,9 @@ def readability(words: Column | str, n_sentences: Column) -> dict[str, Column]:
         "flesch_reading_ease": F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 4),
         "flesch_kincaid_grade": F.round(0.39 * per_sentence + 11.8 * per_word - 15.59, 4),
         "gunning_fog": F.round(0.4 * (per_sentence + 100 * hard), 4),
-        "automated_readability_index": F.round(4.71 * per_letter + 0.5 * per_sentence - 21.43, 4),
-        "coleman_liau_index": F.round(5.88 * per_letter - 29.6 * ratio(full, n) - 15.8, 4),
-        "smog_index": F.round(1.043 * F.sqrt(ratio(many * 30, full)) + 3.1291, 4),
+        "automated_readability_index": F.round(4.71 * per_letter + 0.5 * per_sentence - 21.43 + 1e-9, 4),
+        "coleman_liau_index": F.round(5.88 * per_letter - 29.6 * ratio(full, n) - 15.8 + 1e-9, 4),
+        "smog_index": F.round(1.043 * F.sqrt(ratio(many * 30, full)) + 3.1291 + 1e-9, 4),
     }
 
 

@@ -240,8 +240,8 @@ s as (select *, list_transform(p, lambda x: case when x = '' then 0 when length(
 r as (select doc_id, coalesce(len(w)::double / greatest(1, ns), 0) ps, coalesce(list_sum(s)::double / nullif(len(w), 0), 0) pw, coalesce(len(list_filter(s, lambda x: x >= 3))::double / nullif(len(w), 0), 0) h,
   coalesce(list_sum(list_transform(w, lambda x: length(replace(x, chr(39), ''))))::double / nullif(len(w), 0), 0) pl, coalesce(greatest(1, ns)::double / nullif(len(w), 0), 0) sn, len(list_filter(s, lambda x: x >= 3)) * 30 / greatest(1, ns)::double hm from s)
 select doc_id, round(206.835::double - 1.015::double * ps - 84.6::double * pw, 4) flesch_reading_ease, round(0.39::double * ps + 11.8::double * pw - 15.59::double, 4) flesch_kincaid_grade,
- round(0.4::double * (ps + 100 * h), 4) gunning_fog, round(4.71::double * pl + 0.5::double * ps - 21.43::double, 4) automated_readability_index, round(5.88::double * pl - 29.6::double * sn - 15.8::double, 4) coleman_liau_index,
- round(1.043::double * sqrt(hm) + 3.1291::double, 4) smog_index from r""",
+ round(0.4::double * (ps + 100 * h), 4) gunning_fog, round(4.71::double * pl + 0.5::double * ps - 21.43::double + 1e-9::double, 4) automated_readability_index, round(5.88::double * pl - 29.6::double * sn - 15.8::double + 1e-9::double, 4) coleman_liau_index,
+ round(1.043::double * sqrt(hm) + 3.1291::double + 1e-9::double, 4) smog_index from r""",
     "clean_text_lines": f"select doc_id, md5(c) clean_md5, length(c)::bigint clean_chars from (select doc_id, {_CLEAN} c from {_D})",
     "clean_accounting": f"""
 with x as (select doc_id, coalesce(text, '') a, {_CLEAN} b from {_D}),
