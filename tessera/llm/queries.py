@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.llm import bpe, fmindex, html, jaccard, lm, maxscore, quality, sql, substrings, toxicity, urls
+from tessera.llm import bpe, codes, collisions, fmindex, html, jaccard, lm, maxscore, negatives, quality, sql, substrings, toxicity, urls
 from tessera.storage import table
 
 
@@ -50,11 +50,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"), negatives.label_of())
+
+
 def vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_maxscore_search, op4_url_filter, op5_substring_dedup, op6_ngram_jaccard_join, op7_html_extraction, op8_brown_lm, op9_benchmark_decontamination, op10_bpe)}
-SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL, "op6_ngram_jaccard_join": jaccard.SQL, "op9_benchmark_decontamination": sql.OP9}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_quality_classifier, op3_maxscore_search, op4_url_filter, op5_substring_dedup, op6_ngram_jaccard_join, op7_html_extraction, op8_brown_lm, op9_benchmark_decontamination, op10_bpe, op11_vector_codes, op12_collision_counting, op13_hard_negatives)}
+SQL: dict[str, str] = {"op3_maxscore_search": maxscore.SQL, "op6_ngram_jaccard_join": jaccard.SQL, "op9_benchmark_decontamination": sql.OP9, "op11_vector_codes": codes.sql(), "op13_hard_negatives": negatives.SQL}
