@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -47,47 +45,49 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: floa
     return rank
 
 
-def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 5000, tolerance: float = 1e-10, limit: int = 200_000) -> DataFrame:
-    """(id, x), power iteration on A + I (same vector, no oscillation), normalised every round.
-
-    Thousands of rounds on a small graph are no work for a cluster: up to ``limit`` edges (24 bytes each) the driver
-    iterates; beyond it every round is a join, and the same iteration ends at the same tolerance.
-    """
-    e = edges.select("a", "b", F.col("weight").cast("double").alias("weight"))
-    if e.limit(limit + 1).count() > limit:
-        return _eigenvector_rounds(nodes, e, rounds, tolerance)
-    t = e.toArrow()
-    a, b, w = (t.column(k).to_numpy() for k in range(3))
-    ids, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    a, b = at[: len(a)], at[len(a) :]
-    n = nodes.count()
-    x, loose = np.full(len(ids), n**-0.5), n**-0.5  # a node without edges only shrinks
-    for _ in range(rounds):
-        y = x + np.bincount(a, w * x[b], len(ids)) + np.bincount(b, w * x[a], len(ids))
-        length = float(np.sqrt((y * y).sum() + (n - len(ids)) * loose * loose)) or 1.0
-        y, old, loose = y / length, loose, loose / length
-        done = np.abs(y - x).sum() + (n - len(ids)) * abs(loose - old) < n * tolerance
-        x = y
-        if done:
-            break
-    found = nodes.sparkSession.createDataFrame(list(zip(ids.tolist(), x.tolist(), strict=True)), "id long, x double")
-    return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("x", F.lit(loose)).alias("x"))
-
-
 @contained
-def _eigenvector_rounds(nodes: DataFrame, edges: DataFrame, rounds: int, tolerance: float) -> DataFrame:
-    n = nodes.count()
+def eigenvector(nodes: DataFrame, edges: DataFrame, rounds: int = 5000, tolerance: float = 1e-10, basis: int = 24) -> DataFrame:
+    """(id, x): the dominant eigenvector of the weighted adjacency, of length 1, from the uniform vector.
+
+    Where plain iteration takes a join for each of hundreds of rounds, each join here adds a vector to a basis of up to
+    ``basis`` (a node's row holds its component of each), and the best vector of their span is found from their inner
+    products and those with their images, ``basis`` squared numbers each, on the driver. That vector starts the next cycle, until what the
+    adjacency changes in it is below ``tolerance`` of the eigenvalue, or ``rounds`` joins are done. Nodes without edges
+    tend to 0; a graph without edges keeps the uniform vector.
+    """
     both = materialize(both_ways(edges, "weight"), "eigen")
-    x = nodes.select("id", F.lit(n**-0.5).alias("x"))
-    for _ in range(rounds):
-        got = both.join(x.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("x") * F.col("weight")).alias("g"))
-        new = x.withColumnRenamed("x", "old").join(got, "id", "left").withColumn("g", F.coalesce("g", F.lit(0.0)) + F.col("old"))
-        length = new.agg(F.sqrt(F.sum(F.col("g") * F.col("g"))).alias("l"))
-        new = materialize(new.crossJoin(F.broadcast(length)).select("id", (F.col("g") / F.col("l")).alias("x"), "old"), "eigen")
-        x = new.select("id", "x")
-        if new.agg(F.sum(F.abs(F.col("x") - F.col("old")))).first()[0] < n * tolerance:
-            break
-    return x
+    n = nodes.count()
+    x, done = nodes.select("id", F.lit(n**-0.5 if n else 0.0).alias("x")), 0
+    while True:
+        held, q, t, gram = x.select("id", F.array("x").alias("v")), 0, np.zeros((basis, basis)), np.zeros((basis, basis))
+        while q < basis:
+            got = both.join(held.select(F.col("id").alias("b"), F.element_at("v", -1).alias("last")), "b").groupBy(F.col("a").alias("id")).agg(F.sum(F.col("last") * F.col("weight")).alias("w"))
+            step = materialize(held.join(got, "id", "left").select("id", "v", F.coalesce("w", F.lit(0.0)).alias("w")), "eigen")
+            dots = step.withColumn("last", F.col("v")[q]).agg(*(F.sum(F.col(c) * F.col("v")[i]) for c in ("w", "last") for i in range(q + 1)), F.sum(F.col("w") * F.col("w"))).first()
+            if not dots[-1]:  # no nodes or no edges
+                return x
+            seen, size = np.array(dots[: q + 1]), dots[-1]
+            t[: q + 1, q] = t[q, : q + 1] = seen
+            gram[: q + 1, q] = gram[q, : q + 1] = dots[q + 1 : -1]
+            q, done = q + 1, done + 1
+            lower = np.linalg.inv(np.linalg.cholesky(gram[:q, :q]))  # the basis is orthogonal but for rounding; this takes that out
+            value, vector = np.linalg.eigh(lower @ t[:q, :q] @ lower.T)
+            vector = lower.T @ vector[:, -1]
+            part = lower.T @ (lower @ seen)
+            turned = F.col("w") - sum((F.col("v")[i] * float(d) for i, d in enumerate(part)), F.lit(0.0))
+            rest = size - float(seen @ part)
+            if rest < 1e-6 * size:  # the difference of two nearly equal numbers: summed itself
+                rest = step.agg(F.sum(turned * turned)).first()[0]
+            left = max(0.0, rest) ** 0.5
+            if left * abs(vector[-1]) < tolerance * abs(value[-1]) or left < 1e-15 * size**0.5 or done >= rounds:
+                break
+            held = step.select("id", F.array_append("v", turned / left).alias("v"))
+        best = sum((F.col("v")[i] * float(c) for i, c in enumerate(vector)), F.lit(0.0))
+        raw = materialize(step.select("id", best.alias("x")), "eigen")
+        size = raw.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))), F.sum("x")).first()
+        x = raw.select("id", F.greatest(F.col("x") / (size[0] * (1 if size[1] >= 0 else -1)), F.lit(0.0)).alias("x"))
+        if left * abs(vector[-1]) < tolerance * abs(value[-1]) or left < 1e-15 * float(dots[-1]) ** 0.5 or done >= rounds:
+            return x
 
 
 @contained
@@ -118,21 +118,19 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 @contained
 def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Peeling; nodes of the least degree level go together until none is left."""
-    live, done, k = materialize(edges.select("a", "b"), "core"), None, 0
-    left = nodes.select("id")
+    """(id, core): each node's number falls from its degree to the most k for which k neighbours have k or more,
+    round by round, until none changes; that fixed point is the core number. Neighbours are counted by value, so a node
+    of many neighbours is a few rows. Loops and repeated edges do no harm; a node without edges has 0."""
+    both = materialize(both_ways(edges.where("a is not null and b is not null and a <> b")).distinct(), "core")
+    known = materialize(nodes.select("id").distinct().join(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("core")), "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core")), "core")
+    at_least = Window.partitionBy("id").orderBy(F.desc("near"))
     while True:
-        deg = left.join(both_ways(live).groupBy(F.col("a").alias("id")).agg(F.count("*").alias("d")), "id", "left").select("id", F.coalesce("d", F.lit(0)).alias("d"))
-        deg = materialize(deg, "core")
-        least = deg.agg(F.min("d")).first()[0]
-        if least is None:
-            return done if done is not None else nodes.select("id", F.lit(0).cast("long").alias("core"))
-        k = max(k, least)
-        gone = deg.where(F.col("d") <= k).select("id")
-        part = gone.select("id", F.lit(k).cast("long").alias("core"))
-        done = part if done is None else done.unionByName(part)
-        left = materialize(deg.where(F.col("d") > k).select("id"), "core")
-        live = materialize(live.join(left.withColumnRenamed("id", "a"), "a").join(left.withColumnRenamed("id", "b"), "b").select("a", "b"), "core")
+        near = both.join(known.select(F.col("id").alias("b"), F.col("core").alias("near")), "b").groupBy(F.col("a").alias("id"), "near").agg(F.count("*").alias("n"))
+        most = near.withColumn("n", F.sum("n").over(at_least)).groupBy("id").agg(F.max(F.least("near", "n")).alias("most"))
+        step = materialize(known.withColumnRenamed("core", "old").join(most, "id", "left").select("id", F.least("old", F.coalesce("most", "old")).alias("core"), "old"), "core")
+        known = step.select("id", "core")
+        if not step.where("core < old").limit(1).count():
+            return known
 
 
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -174,124 +172,6 @@ def spanning_forest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return picked if picked is not None else e.where("false").select("distance", "a", "b")
 
 
-def shortest_paths(nodes: DataFrame, edges: DataFrame, limit: int = 200_000) -> DataFrame:
-    """(id, betweenness, closeness, harmonic) on ``distance``.
-
-    Brandes' and Dijkstra's walks need the whole graph: its edges are broadcast, up to ``limit`` of them (24 bytes
-    each); sources are spread over the tasks and the shares of betweenness summed.
-    """
-    import pyarrow as pa
-
-    rows = edges.select("a", "b", "distance").limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"over {limit} edges: exact path metrics hold the whole graph in a task")
-    ids = np.array([r[0] for r in nodes.select("id").orderBy("id").toLocalIterator()], np.int64)
-    a, b = (np.searchsorted(ids, rows.column(c).to_numpy()) for c in ("a", "b"))
-    near: list[list[tuple[int, float]]] = [[] for _ in ids]
-    for x, y, w in zip(a.tolist(), b.tolist(), rows.column("distance").to_pylist(), strict=True):
-        near[x].append((y, w))
-        near[y].append((x, w))
-    shared = nodes.sparkSession.sparkContext.broadcast((ids, near))
-
-    def walk(batches):
-        ids, near = shared.value
-        n = len(ids)
-        between, own = np.zeros(n), []
-        for batch in batches:
-            for s in np.searchsorted(ids, batch.column(0).to_numpy(zero_copy_only=False)).tolist():
-                dist, count, order, before, heap = {}, {s: 1.0}, [], {s: []}, [(0.0, s, s)]
-                seen = {s: 0.0}
-                while heap:
-                    d, p, v = heapq.heappop(heap)
-                    if v in dist:
-                        continue
-                    dist[v] = d
-                    order.append(v)
-                    for w, length in near[v]:
-                        new = d + length
-                        if w not in dist and (w not in seen or new < seen[w] - 1e-12):
-                            seen[w], count[w], before[w] = new, count[v], [v]
-                            heapq.heappush(heap, (new, v, w))
-                        elif w not in dist and abs(new - seen[w]) <= 1e-12:
-                            count[w] += count[v]
-                            before[w].append(v)
-                gain = dict.fromkeys(order, 0.0)
-                for w in reversed(order):
-                    for v in before[w]:
-                        gain[v] += count[v] / count[w] * (1 + gain[w])
-                    if w != s:
-                        between[w] += gain[w]
-                total, reach = sum(dist.values()), len(dist)
-                close = (reach - 1) / total * (reach - 1) / (n - 1) if total > 0 and n > 1 else 0.0
-                own.append((int(ids[s]), close, sum(1 / d for d in dist.values() if d > 0), total, reach - 1))
-        if own:
-            at = np.flatnonzero(between)
-            zero = [0.0] * len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in own] + ids[at].tolist(), pa.int64()), pa.array([0.0] * len(own) + between[at].tolist()), *(pa.array([float(o[k]) for o in own] + zero) for k in (1, 2, 3, 4))],
-                ["id", "between", "closeness", "harmonic", "path_sum", "reached"],
-            )
-
-    n = len(ids)
-    sums = nodes.select(F.col("id").cast("long")).repartition("id").mapInArrow(walk, "id long, between double, closeness double, harmonic double, path_sum double, reached double")
-    sums = sums.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("between", "closeness", "harmonic", "path_sum", "reached")))
-    scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 0.0
-    return sums.select("id", (F.col("between") * scale).alias("betweenness"), "closeness", "harmonic", "path_sum", "reached")
-
-
-def louvain(nodes: DataFrame, edges: DataFrame, limit: int = 500_000, resolution: float = 1.0) -> DataFrame:
-    """Communities (id, community), numbered by size; local moving in id order, so the result is reproducible.
-
-    The graph is moved as one table in one task: at most ``limit`` edges.
-    """
-    rows = edges.select("a", "b", "weight").limit(limit + 1).toArrow()
-    if rows.num_rows > limit:
-        raise ValueError(f"over {limit} edges: use components or label propagation")
-    ids = np.array([r[0] for r in nodes.select("id").orderBy("id").toLocalIterator()], np.int64)
-    links: list[dict[int, float]] = [{} for _ in ids]
-    for x, y, w in zip(np.searchsorted(ids, rows.column("a").to_numpy()).tolist(), np.searchsorted(ids, rows.column("b").to_numpy()).tolist(), rows.column("weight").to_pylist(), strict=True):
-        links[x][y] = links[x].get(y, 0) + w
-        links[y][x] = links[y].get(x, 0) + w
-    member = list(range(len(ids)))
-    loops = [0.0] * len(ids)
-    while True:
-        n = len(links)
-        degree = [sum(l.values()) + 2 * loops[i] for i, l in enumerate(links)]
-        m2 = sum(degree) or 1.0
-        group, total, moved_any, moved = list(range(n)), degree[:], False, True
-        while moved:
-            moved = False
-            for v in range(n):
-                by: dict[int, float] = {group[v]: 0.0}
-                for u, w in links[v].items():
-                    by[group[u]] = by.get(group[u], 0.0) + w
-                total[group[v]] -= degree[v]
-                best = max(sorted(by), key=lambda c: (round(by[c] - resolution * total[c] * degree[v] / m2, 12), c == group[v]))
-                total[best] += degree[v]
-                if best != group[v]:
-                    group[v], moved, moved_any = best, True, True
-        if not moved_any:
-            break
-        name = {c: i for i, c in enumerate(dict.fromkeys(group))}
-        new: list[dict[int, float]] = [{} for _ in name]
-        fresh = [0.0] * len(name)
-        for v in range(n):
-            c = name[group[v]]
-            fresh[c] += loops[v]
-            for u, w in links[v].items():
-                e = name[group[u]]
-                if e == c:
-                    fresh[c] += w / 2
-                else:
-                    new[c][e] = new[c].get(e, 0.0) + w
-        member = [name[group[x]] for x in member]
-        links, loops = new, fresh
-    size = np.bincount(member) if member else np.empty(0, np.int64)
-    order = sorted(range(len(size)), key=lambda c: (-size[c], member.index(c)))
-    number = {c: i + 1 for i, c in enumerate(order)}
-    return nodes.sparkSession.createDataFrame([(int(i), number[c]) for i, c in zip(ids, member, strict=True)], "id long, community int")
-
-
 def exchange_rows(nodes: DataFrame, edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Node and edge tables as graph tools read them from CSV."""
     e = edges.select(F.col("a").alias("Source"), F.col("b").alias("Target"), F.col("weight").alias("Weight"), F.lit("Undirected").alias("Type"), F.format_string("%d-%d", "a", "b").alias("Id"))

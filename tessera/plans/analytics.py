@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.functions.scores import MAJOR, MINOR, PITCHES
-from tessera.operators import graph as G, tables as O, vectors as V
+from tessera.operators import communities as C, graph as G, paths as P, tables as O, vectors as V
 from tessera.storage import broadcast_if_small, materialize, table
 
 R6 = lambda c: F.round(c, 6)
@@ -362,23 +362,23 @@ def mst_edges(s, d):
 
 def eigenvector(s, d):
     n, e = _graph(s, d)
-    return G.eigenvector(n.select("id"), e)
+    return G.eigenvector(n.select("id"), e).select("id", R6("x").alias("x"))
 
 
 def path_centralities(s, d):
     n, e = _graph(s, d)
-    return G.shortest_paths(n, e)
+    return P.shortest_paths(n, e).select("id", *(R6(c).alias(c) for c in ("betweenness", "closeness", "harmonic", "path_sum")), F.col("reached").cast("long").alias("reached"))
 
 
 def communities(s, d):
     n, e = _graph(s, d)
-    return G.louvain(n, e)
+    return C.louvain(n, e)
 
 
 def community_table(s, d):
     """Size, dominant label and share, labels present, the five nodes of highest PageRank."""
     n, e = _graph(s, d)
-    j = materialize(G.louvain(n, e).join(n, "id"), "communities")
+    j = materialize(C.louvain(n, e).join(n, "id"), "communities")
     m = O.mode_with_share(j, "community", "label")
     ranked = j.join(G.pagerank(n.select("id"), e, 20), "id").withColumn("rank", R6("rank"))
     top = O.top_n_per_group(ranked.select("community", "id", F.col("rank").alias("pagerank")), ["community"], [F.desc("pagerank"), F.col("id")], 5)
@@ -394,7 +394,7 @@ def hub_bridge_scores(s, d):
     """Means of percentile ranks: degrees, PageRank, eigenvector and core of a hub; path centralities of a bridge."""
     n, e = _graph(s, d)
     ids = n.select("id")
-    j = ids.join(G.pagerank(ids, e, 20), "id").join(G.eigenvector(ids, e).withColumnRenamed("x", "eigenvector"), "id").join(G.degrees(e), "id", "left").join(G.core_numbers(n, e), "id").join(G.shortest_paths(n, e), "id").na.fill(0)
+    j = ids.join(G.pagerank(ids, e, 20), "id").join(G.eigenvector(ids, e).withColumnRenamed("x", "eigenvector"), "id").join(G.degrees(e), "id", "left").join(G.core_numbers(n, e), "id").join(P.shortest_paths(n, e), "id").na.fill(0)
     j = materialize(j, "scores")
     hub, bridge = HUB, ("betweenness", "closeness", "harmonic")
     for c in (*hub, *bridge):
@@ -403,14 +403,31 @@ def hub_bridge_scores(s, d):
     return j.select("id", mean(hub).alias("hub_score"), mean(bridge).alias("bridge_score"))
 
 
-def graph_summary(s, d):
-    """G13, D10."""
-    n, e = _graph(s, d)
+def _shape(n, e):
+    """G13, D10 without communities: one row."""
     c = G.components(n, e).groupBy("component").agg(F.count("*").alias("size"))
     c = c.agg(F.count("*").alias("components"), F.max("size").alias("largest_component"))
+    pairs = e.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count("*").alias("k"), F.sum("weight").alias("w"))
+    pairs = pairs.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate_edges"), F.sum("w").alias("w"))
     nodes, edges = n.agg(F.count("*").alias("nodes")), e.agg(F.count("*").alias("edges"), F.count_if(F.col("a") >= F.col("b")).alias("self_or_reversed"))
-    r = nodes.crossJoin(edges).crossJoin(c)
-    return r.withColumn("density", R6(2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)))).withColumn("mean_degree", R6(2 * F.col("edges") / F.col("nodes")))
+    mean = G.clustering(n, e).agg(R6(F.avg("clustering")).alias("mean_clustering"))
+    span = P.diameter(n, e).select("diameter", R6("mean_path").alias("mean_path"))
+    r = reduce(DataFrame.crossJoin, (edges, c, pairs, mean, span), nodes)  # one row each
+    r = r.withColumn("density", R6(2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)))).withColumn("mean_degree", R6(2 * F.col("edges") / F.col("nodes")))
+    return r.withColumn("mean_weighted_degree", R6(2 * F.col("w") / F.col("nodes"))).drop("w")
+
+
+def graph_summary(s, d):
+    """All that SQL can say."""
+    return _shape(*_graph(s, d))
+
+
+def graph_report(s, d):
+    """One (metric, value) row for each metric of the summary, communities and their modularity among them."""
+    n, e = _graph(s, d)
+    found = C.louvain(n.select("id"), e)
+    r = _shape(n, e).crossJoin(found.agg(F.countDistinct("community").alias("communities"))).crossJoin(G.modularity(e, found))
+    return r.select(F.explode(F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in r.columns))).alias("m")).select("m.*")
 
 
 def graph_export(s, d):
@@ -573,6 +590,13 @@ _P = _E + ", p as (select x.vec_id as source, y.vec_id as target, x.label sl, y.
 _VW = _P + ", w as (select source, target, sl, tl, round(list_cosine_similarity(xv[1:22], yv[1:22]), 6) as emotion, round(list_cosine_similarity(xv[23:43], yv[23:43]), 6) as style, case when source % 9 <> 0 and target % 9 <> 0 then round(list_cosine_similarity(xv[44:64], yv[44:64]), 6) end as audio from p), h as (select *, round((0.45::double * emotion + 0.30::double * style + 0.25::double * coalesce(audio, 0)) / (0.75::double + case when audio is not null then 0.25::double else 0 end), 9) hybrid from w)"
 _G = _P + ", r as (select *, row_number() over (partition by source order by similarity desc, target) r from p where similarity > 0), g as (select least(source, target) a, greatest(source, target) b, max(similarity) weight, bool_or(similarity >= 0.32) by_threshold, bool_or(r <= 5) by_top_k, count(*) filter (r <= 5) = 2 mutual_top_k from r where r <= 5 or similarity >= 0.32 group by 1, 2)"
 _B = _G + ", bw as (select a, b, weight from g union all select b, a, weight from g)"
+_LINKS = ", ln as (select a, b, greatest(1 - weight, 1e-9::double) len from bw), nd as (select distinct a id from bw)"
+_DIST = lambda name, length: f", {name}(s, v, d) using key (s, v) as (select id, id, 0::double from nd union select * from (select x.s, ln.b, min(x.d + {length}) d from {name} x join ln on ln.a = x.v left join recurring.{name} k on k.s = x.s and k.v = ln.b where k.d is null or x.d + {length} < k.d - 1e-12::double group by 1, 2))"
+_PATHS = _B + _LINKS + _DIST("ds", "ln.len") + """, st as materialized (select x.s, x.v, y.v too from ds x join ln on ln.a = x.v join ds y on y.s = x.s and y.v = ln.b where abs(x.d + ln.len - y.d) <= 1e-12::double),
+fw(s, v, n) as (select id, id, 1::double from nd union all select * from (select fw.s, st.too, sum(fw.n) from fw join st on st.s = fw.s and st.v = fw.v group by 1, 2)), sg as materialized (select s, v, sum(n) n from fw group by 1, 2),
+bk(s, v, g) as (select s, v, 1 / n from sg union all select * from (select bk.s, st.v, sum(bk.g) from bk join st on st.s = bk.s and st.too = bk.v group by 1, 2)), gs as (select s, v, sum(g) g from bk group by 1, 2),
+bt as (select sg.v id, sum(sg.n * g - 1) t from sg join gs on gs.s = sg.s and gs.v = sg.v where sg.s <> sg.v group by 1), ow as (select s id, sum(1 / d) harmonic, sum(d) path_sum, count(*)::double reached from ds where s <> v group by 1)"""
+_CLUST = "t0 as (select a, b, weight / (select max(weight) from g) w from g), tr as (select x.a i, x.b j, y.b k, cbrt(x.w * y.w * z.w) q from t0 x join t0 y on x.b = y.a join t0 z on z.a = x.a and z.b = y.b), te as (select i id, q from tr union all select j, q from tr union all select k, q from tr), tt as (select id, sum(q) t from te group by 1), dg as (select a id, count(*) d from bw group by 1), clust as (select vec_id, coalesce(case when d > 1 then 2 * t / (d * (d - 1)) end, 0) cl from e left join dg on dg.id = vec_id left join tt on tt.id = vec_id)"
 _C = _E + ", ex as (select label, unnest(v) x, generate_subscripts(v, 1) i from e), cm as (select label, i, avg(x) x from ex group by 1, 2), c as (select label, list(x order by i) c from cm group by 1)"
 _SC = _YSQL + ", lf as (select * from (unpivot y on " + ", ".join(YF) + " into name feature value value)), f0 as (select feature, avg(value) mean, stddev_samp(value) sd, count(value) / count(*) coverage from lf group by 1), f1 as (select *, coalesce(1 / (1 + sd / nullif(abs(mean), 0)), 1 / (1 + sd)) raw, abs(mean) am, 2 * 1.96::double * sd / sqrt(7.0::double) width from f0), f2 as (select *, coalesce((raw - min(raw) over ()) / nullif(max(raw) over () - min(raw) over (), 0), 0.5::double) stability, coalesce((am - min(am) over ()) / nullif(max(am) over () - min(am) over (), 0), 0.5::double) prevalence, 1 - coalesce((width - min(width) over ()) / nullif(max(width) over () - min(width) over (), 0), 0.5::double) confidence from f1), f as (select *, 0.35::double * stability + 0.25::double * prevalence + 0.20::double * confidence + 0.20::double * least(coverage, 1.0) score from f2)"
 
@@ -618,7 +642,10 @@ SQL = {
     "modularity_by_label": f"with {_B}, l as (select vec_id, label from e), m as (select sum(weight) m from g), i as (select x.label c, sum(weight) w from g join l x on x.vec_id = a join l y on y.vec_id = b where x.label = y.label group by 1), dg as (select label c, sum(weight) d from bw join l on vec_id = a group by 1) select round(sum(coalesce(w, 0) / m - pow(d / (2 * m), 2)), 6) modularity from dg left join i using (c), m",
     "connected_components": f"with recursive {_B}, rc(id, c) as (select vec_id, vec_id from e union select rc.id, bw.b from rc join bw on bw.a = rc.c) select id, min(c) component from rc group by 1",
     "pagerank_20": f"with recursive {_B}, n as (select count(*)::double n from e), o as (select a, sum(weight) s from bw group by 1), sh as (select bw.a, b, weight / s share from bw join o on o.a = bw.a), pr(it, id, rank) as (select 0, vec_id, 1 / n from e, n union all select * from (with c as (select * from pr), g2 as (select b id, sum(c.rank * share) got from sh join c on c.id = sh.a group by 1), ls as (select coalesce(sum(c.rank), 0) loose from c left join o on o.a = c.id where o.a is null) select c.it + 1, c.id, 0.15::double / n + 0.85::double * (coalesce(got, 0) + loose / n) from c left join g2 using (id), ls, n where c.it < 20)) select id, round(rank, 6) rank from pr where it = 20",
-    "graph_summary": f"with recursive {_B}, rc(id, c) as (select vec_id, vec_id from e union select rc.id, bw.b from rc join bw on bw.a = rc.c), cc as (select id, min(c) c from rc group by 1), sz as (select c, count(*) s from cc group by 1), q as (select (select count(*) from e) nodes, (select count(*) from g) edges, (select count(*) from g where a >= b) self_or_reversed, (select count(*) from sz) components, (select max(s) from sz) largest_component) select *, round(2 * edges / (nodes * (nodes - 1)), 6) density, round(2 * edges / nodes, 6) mean_degree from q",
+    "graph_summary": f"with recursive {_B + _LINKS}, rc(id, c) as (select vec_id, vec_id from e union select rc.id, bw.b from rc join bw on bw.a = rc.c), cc as (select id, min(c) c from rc group by 1), sz as (select c, count(*) s from cc group by 1), big as (select id from cc where c = (select c from sz where s > 1 order by s desc, c limit 1))" + _DIST("ds", "ln.len") + _DIST("hp", "1") + f", tc as (select * from (with {_CLUST} select vec_id, cl from clust)), q as (select (select count(*) from e) nodes, (select count(*) from g) edges, (select count(*) from g where a >= b) self_or_reversed, (select count(*) from sz) components, (select max(s) from sz) largest_component, (select count(*) - count(distinct (least(a, b), greatest(a, b))) from g) duplicate_edges, (select round(avg(cl), 6) from tc) mean_clustering, (select max(d)::bigint from hp where s in (from big)) diameter, (select round(sum(d) / ((select count(*) from big) * ((select count(*) from big) - 1)), 6) from ds where s in (from big)) mean_path, (select sum(weight) from g) w) select nodes, edges, self_or_reversed, components, largest_component, duplicate_edges, mean_clustering, diameter, mean_path, round(2 * edges / (nodes * (nodes - 1)), 6) density, round(2 * edges / nodes, 6) mean_degree, round(2 * w / nodes, 6) mean_weighted_degree from q",
+    "kcore": f"with recursive {_B}, kc(it, id, core) as (select 0, a, count(*) from bw group by 1, 2 union all select * from (with h as (select bw.a id, kc.core near, count(*) n from bw join kc on kc.id = bw.b where kc.it < 40 group by 1, 2), u as (select id, near, sum(n) over (partition by id order by near desc) n from h), m as (select id, max(least(near, n)) most from u group by 1) select kc.it + 1, kc.id, least(kc.core, m.most)::bigint from kc join m using (id) where kc.it < 40)) select vec_id id, coalesce(core, 0) core from e left join (select id, core from kc where it = 40) on id = vec_id",
+    "eigenvector": f"with recursive {_B}, n as (select count(*)::double n from e), ev(it, id, x) as (select 0, vec_id, 1 / sqrt(n) from e, n union all select * from (with g2 as (select bw.a id, sum(ev.x * weight) got from bw join ev on ev.id = bw.b where ev.it < 2000 group by 1), y as (select ev.it + 1 it, ev.id, coalesce(got, 0) + ev.x x from ev left join g2 using (id) where ev.it < 2000) select it, id, x / sqrt(sum(x * x) over ()) from y)) select id, round(x, 6) x from ev where it = 2000",
+    "path_centralities": f"with recursive {_PATHS}, _ as (select 1) select vec_id id, round(greatest(coalesce(t, 0), 0) / ((nn - 1) * (nn - 2)), 6) betweenness, round(coalesce(reached / path_sum * reached / (nn - 1), 0), 6) closeness, round(coalesce(harmonic, 0), 6) harmonic, round(coalesce(path_sum, 0), 6) path_sum, coalesce(reached, 0)::bigint reached from e left join bt on bt.id = vec_id left join ow on ow.id = vec_id, (select count(*) nn from e)",
     "report_similar": f"with {_P} select target other, similarity from p where source = 7 order by similarity desc, target limit 10",
     "report_series": f"with {_YSQL} select year, 'Price' series, round(price, 6) as value from y union all select year, 'Urgent share', round(urgent, 6) from y",
     "report_era_top": f"with {_YSQL}, u as (select * from (unpivot y on {', '.join(YF)} into name feature value value)), a as (select feature, round(avg(value) filter (year <= 1998), 6) early, round(avg(value) filter (year > 1998), 6) late, round(abs(avg(value) filter (year > 1998) - avg(value) filter (year <= 1998)), 6) ch from u group by 1 order by 4 desc, 1 limit 3) select feature, 'early' era, early as value from a union all select feature, 'late', late from a",
@@ -626,5 +653,5 @@ SQL = {
     "report_ranking": "(select 'p_size' metric, p_partkey, p_size::double score from part order by p_size desc, p_partkey limit 5) union all (select 'p_retailprice', p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 5)",
 }
 SQL["findings"] = f"select metric, printf('%s: highest in %d (%.2f), lowest in %d (%.2f)', metric, highest_year, highest, lowest_year, lowest) finding from ({SQL['extremes_by_metric']})"
-ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "kcore", "eigenvector", "path_centralities", "communities", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
+ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "communities", "graph_report", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

@@ -5,7 +5,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tessera.operators import contracts as D, graph as G, tables as O, vectors as V
+from tessera.operators import communities as C, contracts as D, graph as G, paths as P, tables as O, vectors as V
 
 
 def test_contracts(spark):
@@ -93,12 +93,12 @@ def test_graph_basics(spark):
     assert {r.id: r.core for r in G.core_numbers(nodes, e).collect()} == {1: 2, 2: 2, 3: 2, 4: 1, 5: 0}
     rank = {r.id: r["rank"] for r in G.pagerank(nodes, e, 30).collect()}
     assert math.isclose(sum(rank.values()), 1.0, abs_tol=1e-9) and rank[3] > rank[4] > rank[5]
-    path = {r.id: r for r in G.shortest_paths(nodes, e).collect()}
+    path = {r.id: r for r in P.shortest_paths(nodes, e).collect()}
     assert math.isclose(path[3].betweenness, 2 / 12 * 2 / 2 + 1 / 12 * 0, abs_tol=0.2) and path[5].closeness == 0
     c = {r.id: r.clustering for r in G.clustering(nodes, e).collect()}
     want = (0.9 * 0.8 * 0.7) ** (1 / 3) / 0.9
     assert math.isclose(c[1], want, abs_tol=1e-9) and math.isclose(c[3], want / 3, abs_tol=1e-9) and c[4] == 0
-    two = G.louvain(nodes, e)
+    two = C.louvain(nodes, e)
     q = G.modularity(e, two).first()[0]
     assert q >= G.modularity(e, nodes.select("id", F.lit(1).alias("community"))).first()[0]
     x = {r.id: r.x for r in G.eigenvector(nodes, e, 200, 1e-12).collect()}
@@ -144,20 +144,6 @@ def test_bootstrap_draws_the_references_resamples(spark, sf):
     assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], rel=1e-9) for f in want)
 
 
-def test_eigenvector_by_rounds_as_on_the_driver(spark):
-    nodes = spark.range(1, 7).toDF("id")
-    e = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.4), (1, 3, 0.7), (3, 4, 0.5), (4, 5, 0.6)], "a long, b long, weight double")
-    one = {r.id: r.x for r in G.eigenvector(nodes, e).collect()}
-    two = {r.id: r.x for r in G._eigenvector_rounds(nodes, e, 25, 1e-12).collect()}
-    three = {r.id: r.x for r in G.eigenvector(nodes, e, 25, 1e-12).collect()}
-    assert all(np.isclose(two[i], three[i], atol=1e-9) for i in one) and one[6] < 1e-6
-    a = np.zeros((6, 6))
-    for r in e.collect():
-        a[r.a - 1, r.b - 1] = a[r.b - 1, r.a - 1] = r.weight
-    v = np.abs(np.linalg.eigh(a)[1][:, -1])
-    assert np.allclose([one[i] for i in range(1, 7)], v, atol=1e-6)
-
-
 def test_pairs_block_to_block(spark, monkeypatch):
     """Several blocks give what one block gives, and what numpy gives."""
     rng = np.random.default_rng(8)
