@@ -42,6 +42,12 @@ def match_score(parts: dict[str, Column], weights: dict[str, float]) -> Column:
     return sum((c * weights[n] for n, c in parts.items()), F.lit(0.0))
 
 
+def step_score(x: Column) -> Column:
+    """F8: points by absolute difference; missing 50."""
+    a = F.abs(x)
+    return F.when(a.isNull(), 50).when(a <= 2, 100).when(a <= 5, 90).when(a <= 10, 75).when(a <= 20, 50).when(a <= 40, 25).otherwise(0).cast("double")
+
+
 def match_status(score: Column, has_text: Column, least: float = 80.0) -> Column:
     return F.when(score.isNull(), "not_found").when(~has_text, "no_lyrics").when(score >= least, "matched").otherwise("review")
 

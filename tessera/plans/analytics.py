@@ -451,30 +451,18 @@ def network_view(s, d):
 
 
 def link_best_match(s, d):
-    """Each part against all other parts whose name shares a word; best weighted score (ties to the lower key), then its status.
-
-    Names are scored once a pair of distinct names. Two candidates are kept of each name and size, since a part passes
-    over at most one, itself.
-    """
-    from tessera.functions.scores import fuzzy_ratio
-
-    p = table(s, d, "part").select("p_partkey", F.lower("p_name").alias("name"), F.col("p_size").alias("size")).where("p_partkey is not null and name is not null")
-    two = lambda df, *keys: O.top_n_per_group(df.select(*keys, "k").distinct(), keys, [F.col("k")], 2).drop("rank")
-    held = materialize(two(p.withColumnRenamed("p_partkey", "k"), "name", "size"), "candidates")
-    near = two(held.withColumn("size", F.explode(F.sequence(F.col("size") - 2, F.col("size") + 2))), "name", "size")
-    names = held.select("name").distinct().withColumn("t", F.explode(F.array_distinct(F.split("name", " "))))
-    pairs = names.join(names.withColumnRenamed("name", "other"), "t").select("name", "other").distinct()
-    pairs = materialize(pairs.withColumn("ratio", fuzzy_ratio(F.col("name"), F.col("other"))), "names")
-    c = held.select("name", "size").distinct().join(pairs, "name")
-    score = lambda size: 0.85 * F.col("ratio") + 0.15 * F.lit(size)
-    close = c.join(near.withColumnRenamed("name", "other"), ["other", "size"]).select("name", "size", "k", score(100).alias("score"))
-    c = close.unionByName(c.join(two(held, "name").withColumnRenamed("name", "other"), "other").select("name", "size", "k", score(50).alias("score")))
-    c = O.top_n_per_group(c.groupBy("name", "size", "k").agg(F.max("score").alias("score")), ["name", "size"], [F.desc("score"), F.col("k")], 2)
-    at = lambda rank: F.max(F.when(F.col("rank") == rank, F.struct("k", "score")))
-    c = c.groupBy("name", "size").agg(at(1).alias("first"), at(2).alias("second")).withColumnsRenamed({"name": "n", "size": "z"})
-    best = p.join(c, (F.col("name") == F.col("n")) & F.col("size").eqNullSafe(F.col("z"))).withColumn("best", F.when(F.col("first.k") != F.col("p_partkey"), F.col("first")).otherwise(F.col("second"))).where("best is not null")
-    best = best.groupBy("p_partkey").agg(F.max_by("best", F.struct("best.score", -F.col("best.k"))).alias("best"))  # rows that repeat a key are one part
-    return best.select("p_partkey", F.col("best.k").alias("matched"), "best.score", F.when(F.col("best.score") >= 80, "matched").otherwise("review").alias("status"))
+    """Each part's best other part of a similar name; the score weighs name, type and size."""
+    from tessera.operators.linkage import best_matches
+
+    p = table(s, d, "part").withColumn("name", F.lower("p_name"))
+    return best_matches(p, "p_partkey", "name", "p_type", "p_size", F.col("p_partkey") % 9 != 0)
+
+
+def similar_names(s, d):
+    """All pairs of distinct part names of a ratio of 75 or more."""
+    from tessera.operators.linkage import similar_texts
+
+    return similar_texts(table(s, d, "part"), "p_name").withColumn("ratio", R6("ratio"))
 
 
 def musical_key(s, d):
@@ -590,6 +578,8 @@ _P = _E + ", p as (select x.vec_id as source, y.vec_id as target, x.label sl, y.
 _VW = _P + ", w as (select source, target, sl, tl, round(list_cosine_similarity(xv[1:22], yv[1:22]), 6) as emotion, round(list_cosine_similarity(xv[23:43], yv[23:43]), 6) as style, case when source % 9 <> 0 and target % 9 <> 0 then round(list_cosine_similarity(xv[44:64], yv[44:64]), 6) end as audio from p), h as (select *, round((0.45::double * emotion + 0.30::double * style + 0.25::double * coalesce(audio, 0)) / (0.75::double + case when audio is not null then 0.25::double else 0 end), 9) hybrid from w)"
 _G = _P + ", r as (select *, row_number() over (partition by source order by similarity desc, target) r from p where similarity > 0), g as (select least(source, target) a, greatest(source, target) b, max(similarity) weight, bool_or(similarity >= 0.32) by_threshold, bool_or(r <= 5) by_top_k, count(*) filter (r <= 5) = 2 mutual_top_k from r where r <= 5 or similarity >= 0.32 group by 1, 2)"
 _B = _G + ", bw as (select a, b, weight from g union all select b, a, weight from g)"
+#: 200 * LCS / length of both, by rows of the usual table.
+_RATIO = lambda a, b: f"(200.0::double * list_last(list_reduce(string_split({a}, ''), lambda row, c: list_reduce(range(1, len({b}) + 1), lambda acc, j: list_append(acc, case when c = ({b})[j] then row[j] + 1 else greatest(row[j + 1], acc[j]) end), [0::bigint]), list_transform(range(0, len({b}) + 1), lambda x: 0::bigint))) / (len({a}) + len({b})))"
 _LINKS = ", ln as (select a, b, greatest(1 - weight, 1e-9::double) len from bw), nd as (select distinct a id from bw)"
 _DIST = lambda name, length: f", {name}(s, v, d) using key (s, v) as (select id, id, 0::double from nd union select * from (select x.s, ln.b, min(x.d + {length}) d from {name} x join ln on ln.a = x.v left join recurring.{name} k on k.s = x.s and k.v = ln.b where k.d is null or x.d + {length} < k.d - 1e-12::double group by 1, 2))"
 _PATHS = _B + _LINKS + _DIST("ds", "ln.len") + """, st as materialized (select x.s, x.v, y.v too from ds x join ln on ln.a = x.v join ds y on y.s = x.s and y.v = ln.b where abs(x.d + ln.len - y.d) <= 1e-12::double),
@@ -646,6 +636,8 @@ SQL = {
     "kcore": f"with recursive {_B}, kc(it, id, core) as (select 0, a, count(*) from bw group by 1, 2 union all select * from (with h as (select bw.a id, kc.core near, count(*) n from bw join kc on kc.id = bw.b where kc.it < 40 group by 1, 2), u as (select id, near, sum(n) over (partition by id order by near desc) n from h), m as (select id, max(least(near, n)) most from u group by 1) select kc.it + 1, kc.id, least(kc.core, m.most)::bigint from kc join m using (id) where kc.it < 40)) select vec_id id, coalesce(core, 0) core from e left join (select id, core from kc where it = 40) on id = vec_id",
     "eigenvector": f"with recursive {_B}, n as (select count(*)::double n from e), ev(it, id, x) as (select 0, vec_id, 1 / sqrt(n) from e, n union all select * from (with g2 as (select bw.a id, sum(ev.x * weight) got from bw join ev on ev.id = bw.b where ev.it < 2000 group by 1), y as (select ev.it + 1 it, ev.id, coalesce(got, 0) + ev.x x from ev left join g2 using (id) where ev.it < 2000) select it, id, x / sqrt(sum(x * x) over ()) from y)) select id, round(x, 6) x from ev where it = 2000",
     "path_centralities": f"with recursive {_PATHS}, _ as (select 1) select vec_id id, round(greatest(coalesce(t, 0), 0) / ((nn - 1) * (nn - 2)), 6) betweenness, round(coalesce(reached / path_sum * reached / (nn - 1), 0), 6) closeness, round(coalesce(harmonic, 0), 6) harmonic, round(coalesce(path_sum, 0), 6) path_sum, coalesce(reached, 0)::bigint reached from e left join bt on bt.id = vec_id left join ow on ow.id = vec_id, (select count(*) nn from e)",
+    "similar_names": "with n as (select distinct p_name t from part) select x.t a, y.t b, round(" + _RATIO("x.t", "y.t") + ", 6) ratio from n x join n y on x.t < y.t where " + _RATIO("x.t", "y.t") + " >= 75",
+    "link_best_match": "with p as (select p_partkey k, lower(p_name) t, p_type a, p_size z, p_partkey % 9 <> 0 x from part), n as (select distinct t from p), y as (select distinct a from p), nr as materialized (select u.t t1, w.t t2, " + _RATIO("u.t", "w.t") + " r from n u, n w), ar as materialized (select u.a a1, w.a a2, " + _RATIO("u.a", "w.a") + " r from y u, y w), c as (select p.k, q.k m, q.x, round(0.7::double * nr.r + 0.15::double * ar.r + 0.15::double * (case when abs(p.z - q.z) <= 2 then 100 when abs(p.z - q.z) <= 5 then 90 when abs(p.z - q.z) <= 10 then 75 when abs(p.z - q.z) <= 20 then 50 when abs(p.z - q.z) <= 40 then 25 else 0 end), 6) score from p join nr on t1 = p.t join p q on q.t = t2 join ar on a1 = p.a and a2 = q.a where nr.r >= 75 and q.k <> p.k), b as (select * from c qualify row_number() over (partition by k order by x desc, score desc, m) = 1) select p.k p_partkey, b.m matched, b.score, case when b.score is null then 'not_found' when not b.x then 'no_lyrics' when b.score >= 80 then 'matched' else 'review' end as status from p left join b using (k)",
     "report_similar": f"with {_P} select target other, similarity from p where source = 7 order by similarity desc, target limit 10",
     "report_series": f"with {_YSQL} select year, 'Price' series, round(price, 6) as value from y union all select year, 'Urgent share', round(urgent, 6) from y",
     "report_era_top": f"with {_YSQL}, u as (select * from (unpivot y on {', '.join(YF)} into name feature value value)), a as (select feature, round(avg(value) filter (year <= 1998), 6) early, round(avg(value) filter (year > 1998), 6) late, round(abs(avg(value) filter (year > 1998) - avg(value) filter (year <= 1998)), 6) ch from u group by 1 order by 4 desc, 1 limit 3) select feature, 'early' era, early as value from a union all select feature, 'late', late from a",
@@ -653,5 +645,5 @@ SQL = {
     "report_ranking": "(select 'p_size' metric, p_partkey, p_size::double score from part order by p_size desc, p_partkey limit 5) union all (select 'p_retailprice', p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 5)",
 }
 SQL["findings"] = f"select metric, printf('%s: highest in %d (%.2f), lowest in %d (%.2f)', metric, highest_year, highest, lowest_year, lowest) finding from ({SQL['extremes_by_metric']})"
-ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "communities", "graph_report", "community_table", "hub_bridge_scores", "graph_export", "link_best_match", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
+ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "communities", "graph_report", "community_table", "hub_bridge_scores", "graph_export", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
+from tessera.functions.scores import step_score
 from tessera.operators import contracts as D, tables as O
 from tessera.storage import broadcast_if_small, table
 
@@ -176,12 +177,6 @@ def map_lookup(s, d):
     return e.select("user_id", R6(F.coalesce(F.try_element_at("m", F.lit("click")), F.lit(0.0))).alias("click"), R6(F.coalesce(F.try_element_at("m", F.lit("no such")), F.lit(-1.0))).alias("none"), F.size("m").cast("long").alias("kinds"))
 
 
-def step_score(x):
-    """F8: points by absolute difference; missing 50."""
-    a = F.abs(x)
-    return F.when(a.isNull(), 50).when(a <= 2, 100).when(a <= 5, 90).when(a <= 10, 75).when(a <= 20, 50).when(a <= 40, 25).otherwise(0).cast("double")
-
-
 def duration_step_score(s, d):
     p = table(s, d, "part")
     return p.select("p_partkey", step_score(F.when(F.col("p_partkey") % 17 != 0, F.col("p_size") - F.col("p_partkey") % 50)).alias("score"))
