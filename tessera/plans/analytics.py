@@ -204,10 +204,10 @@ def extremes_by_metric(s, d):
 
 
 def drift_matrix(s, d):
-    """The three features of the largest mean change, by transition."""
-    dr = _drift(s, d).select("feature", "to_year", R6("change").alias("change"), F.abs("change").alias("a"))
-    top = dr.groupBy("feature").agg(R6(F.avg("a")).alias("m")).orderBy(F.desc("m"), "feature").limit(3)
-    return dr.join(F.broadcast(top), "feature").groupBy("feature", "m").pivot("to_year", list(range(1996, 2002))).agg(F.first("change")).select("feature", F.col("m").alias("mean_change"), *(F.col(f"`{y}`").alias(f"y{y}") for y in range(1996, 2002)))
+    """The three features of the largest mean change, by transition: a row for each, whatever years there are."""
+    dr = _drift(s, d).select("feature", "from_year", "to_year", R6("change").alias("change"), F.abs("change").alias("a"))
+    top = dr.groupBy("feature").agg(R6(F.avg("a")).alias("mean_change")).orderBy(F.desc("mean_change"), "feature").limit(3)
+    return dr.join(F.broadcast(top), "feature").select("feature", "mean_change", "from_year", "to_year", "change")
 
 
 def turning_points(s, d):
@@ -253,16 +253,36 @@ def _long(s, d):
     return _years(s, d).unpivot(["year"], list(YF), "feature", "value")
 
 
+#: B1: resamples of the groups.
+RESAMPLES = 2000
+
+
+def _resampled(s, d, resamples: int = RESAMPLES):
+    """(feature, r, m): means of resamples of the groups, drawn by digest, so that every run and engine draws the same; the
+    groups are few, the draws resamples times groups."""
+    f = _long(s, d).withColumn("slot", F.row_number().over(Window.partitionBy("feature").orderBy("year")) - 1)
+    n = f.groupBy("feature").agg(F.count("*").alias("n"))
+    draws = n.crossJoin(s.range(resamples)).select("feature", F.col("id").alias("r"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "n")  # a row a feature
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "feature", "r", "k").cast("binary")), 1, 8), 16, 10).cast("long")
+    return draws.withColumn("slot", (drawn % F.col("n")).cast("int")).join(broadcast_if_small(f.select("feature", "slot", "value"), 100_000), ["feature", "slot"]).groupBy("feature", "r").agg(F.avg("value").alias("m"))
+
+
+def _interval(means):
+    """(feature, mean, std, low, mid, high, ci_width) of resampled means."""
+    q = means.groupBy("feature").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+    return q.select("feature", "mean", "std", F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"), (F.col("q")[2] - F.col("q")[0]).alias("ci_width"))
+
+
 def _scores(s, d):
     f = _long(s, d).groupBy("feature").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.count("value") / F.count("*")).alias("coverage"))
     f = f.withColumn("cv", F.try_divide("sd", F.abs("mean"))).withColumn("raw", F.coalesce(1 / (1 + F.col("cv")), 1 / (1 + F.col("sd"))))
-    f = f.withColumn("width", 2 * 1.96 * F.col("sd") / F.sqrt(F.lit(7.0))).withColumn("am", F.abs("mean"))
+    f = f.join(_interval(_resampled(s, d)).select("feature", F.col("ci_width").alias("width")), "feature", "left").withColumn("am", F.abs("mean"))
     f = O.min_max(O.min_max(O.min_max(f, "raw", "stability"), "am", "prevalence"), "width", "w")
     return f.withColumn("confidence", 1 - F.col("w")).withColumn("score", 0.35 * F.col("stability") + 0.25 * F.col("prevalence") + 0.20 * F.col("confidence") + 0.20 * F.least(F.col("coverage"), F.lit(1.0)))
 
 
 def fingerprint_scores(s, d):
-    """B2, B3 with a closed-form interval width in place of the bootstrap's."""
+    """Stability, prevalence, confidence (by the bootstrap's interval) and coverage, weighted."""
     return _scores(s, d).select("feature", *(R6(c).alias(c) for c in ("stability", "prevalence", "confidence", "score")))
 
 
@@ -295,15 +315,9 @@ def deviation_contributors(s, d, most=8):
     return O.top_n_per_group(j.select("year", "feature", "share"), ["year"], [F.desc("share"), F.col("feature")], most)
 
 
-def bootstrap_ci(s, d, resamples: int = 2000):
-    """Resamples of the groups drawn by hash, so a run repeats; the groups are few, the draws resamples times groups."""
-    f = _long(s, d).withColumn("slot", F.row_number().over(Window.partitionBy("feature").orderBy("year")) - 1)
-    n = f.groupBy("feature").agg(F.count("*").alias("n"))
-    draws = s.range(resamples).join(F.broadcast(n)).select("feature", F.col("id").alias("r"), F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"), "n")
-    draws = draws.withColumn("slot", F.pmod(F.xxhash64("feature", "r", "k"), "n").cast("int"))
-    m = draws.join(F.broadcast(f.select("feature", "slot", "value")), ["feature", "slot"]).groupBy("feature", "r").agg(F.avg("value").alias("m"))
-    q = m.groupBy("feature").agg(F.avg("m").alias("mean"), F.stddev_samp("m").alias("std"), F.percentile("m", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
-    return q.select("feature", "mean", "std", F.col("q")[0].alias("low"), F.col("q")[1].alias("mid"), F.col("q")[2].alias("high"), (F.col("q")[2] - F.col("q")[0]).alias("ci_width"))
+def bootstrap_ci(s, d, resamples: int = RESAMPLES):
+    """B1, A13."""
+    return _interval(_resampled(s, d, resamples)).select("feature", *(R6(c).alias(c) for c in ("mean", "std", "low", "mid", "high", "ci_width")))
 
 
 # Graphs
@@ -527,7 +541,7 @@ def local_explanations(s, d):
     df = _labelled(s, d)
     data, classes = L.prepare(df, "doc_id", "quality", DF, 3)
     data, n = data.cache(), df.count()
-    return L.contributions(data, L.coefficients(data, DF, classes, n), DF, L.out_of_fold(data, classes, L.models(n)["logistic"], 3), 2)
+    return L.contributions(data, L.coefficients(data, DF, classes, n), DF, L.out_of_fold(data, classes, L.models(n)["logistic"], 3), 8)
 
 
 # Reports
@@ -588,7 +602,8 @@ bk(s, v, g) as (select s, v, 1 / n from sg union all select * from (select bk.s,
 bt as (select sg.v id, sum(sg.n * g - 1) t from sg join gs on gs.s = sg.s and gs.v = sg.v where sg.s <> sg.v group by 1), ow as (select s id, sum(1 / d) harmonic, sum(d) path_sum, count(*)::double reached from ds where s <> v group by 1)"""
 _CLUST = "t0 as (select a, b, weight / (select max(weight) from g) w from g), tr as (select x.a i, x.b j, y.b k, cbrt(x.w * y.w * z.w) q from t0 x join t0 y on x.b = y.a join t0 z on z.a = x.a and z.b = y.b), te as (select i id, q from tr union all select j, q from tr union all select k, q from tr), tt as (select id, sum(q) t from te group by 1), dg as (select a id, count(*) d from bw group by 1), clust as (select vec_id, coalesce(case when d > 1 then 2 * t / (d * (d - 1)) end, 0) cl from e left join dg on dg.id = vec_id left join tt on tt.id = vec_id)"
 _C = _E + ", ex as (select label, unnest(v) x, generate_subscripts(v, 1) i from e), cm as (select label, i, avg(x) x from ex group by 1, 2), c as (select label, list(x order by i) c from cm group by 1)"
-_SC = _YSQL + ", lf as (select * from (unpivot y on " + ", ".join(YF) + " into name feature value value)), f0 as (select feature, avg(value) mean, stddev_samp(value) sd, count(value) / count(*) coverage from lf group by 1), f1 as (select *, coalesce(1 / (1 + sd / nullif(abs(mean), 0)), 1 / (1 + sd)) raw, abs(mean) am, 2 * 1.96::double * sd / sqrt(7.0::double) width from f0), f2 as (select *, coalesce((raw - min(raw) over ()) / nullif(max(raw) over () - min(raw) over (), 0), 0.5::double) stability, coalesce((am - min(am) over ()) / nullif(max(am) over () - min(am) over (), 0), 0.5::double) prevalence, 1 - coalesce((width - min(width) over ()) / nullif(max(width) over () - min(width) over (), 0), 0.5::double) confidence from f1), f as (select *, 0.35::double * stability + 0.25::double * prevalence + 0.20::double * confidence + 0.20::double * least(coverage, 1.0) score from f2)"
+_BOOT = _YSQL + ", lf as (select * from (unpivot y on " + ", ".join(YF) + f" into name feature value value)), sl as (select feature, value, row_number() over (partition by feature order by year) - 1 slot, count(*) over (partition by feature) n from lf), dw as (select feature, r, ('0x' || md5(feature || ':' || r || ':' || k)[1:8])::bigint % n slot from (select feature, n, r, unnest(range(1, n + 1)) k from (select distinct feature, n from sl), range({RESAMPLES}) x(r))), bm as materialized (select dw.feature, r, avg(value) m from dw join sl on sl.feature = dw.feature and sl.slot = dw.slot group by 1, 2), bt as (select feature, quantile_cont(m, 0.975) - quantile_cont(m, 0.025) width from bm group by 1)"
+_SC = _BOOT + ", f0 as (select feature, avg(value) mean, stddev_samp(value) sd, count(value) / count(*) coverage from lf group by 1), f1 as (select *, coalesce(1 / (1 + sd / nullif(abs(mean), 0)), 1 / (1 + sd)) raw, abs(mean) am, width from f0 join bt using (feature)), f2 as (select *, coalesce((raw - min(raw) over ()) / nullif(max(raw) over () - min(raw) over (), 0), 0.5::double) stability, coalesce((am - min(am) over ()) / nullif(max(am) over () - min(am) over (), 0), 0.5::double) prevalence, 1 - coalesce((width - min(width) over ()) / nullif(max(width) over () - min(width) over (), 0), 0.5::double) confidence from f1), f as (select *, 0.35::double * stability + 0.25::double * prevalence + 0.20::double * confidence + 0.20::double * least(coverage, 1.0) score from f2)"
 
 SQL = {
     "musical_key": "with p as (select " + ", ".join(f"unnest([{x}]) {n}" for n, x in _KEYS.items()) + "), e as (select vec_id, embedding[1:12]::double[] c from embeddings), x as (select vec_id, i, k, m, unnest(c) cv, unnest(pr) pv from e, p), r as (select vec_id, i, k, m, corr(cv, pv) r from x group by 1, 2, 3, 4) select vec_id, first(k order by r desc, i) as key, first(m order by r desc, i) as mode, round(max(r), 4) confidence from r group by 1",
@@ -615,7 +630,8 @@ SQL = {
     "change_points": f"with {_USQL} select from_year, to_year, round(sqrt(sum(change * change)), 6) distance from dr where from_year is not null group by 1, 2 order by 3 desc, 2 limit 5",
     "era_contrast": f"with {_YSQL}, u as (select * from (unpivot y on {', '.join(YF)} into name feature value value)), a as (select feature, avg(value) filter (year <= 1998) e, avg(value) filter (year > 1998) l from u group by 1) select feature, round(e, 6) early, round(l, 6) late, round(l - e, 6) raw_change, round(abs(l - e), 6) absolute_change from a",
     "extremes_by_metric": f"with {_YSQL}, u as (select * from (unpivot y on {', '.join(YF)} into name metric value value)) select metric, first(year order by value desc, year) highest_year, round(max(value), 6) highest, first(year order by value, year) lowest_year, round(min(value), 6) lowest from u group by 1",
-    "drift_matrix": f"with {_USQL}, q as (select feature, to_year, round(change, 6) c, abs(change) a from dr where from_year is not null), m as (select feature, round(avg(a), 6) mean_change from q group by 1 order by 2 desc, 1 limit 3) select feature, mean_change, " + ", ".join(f"max(c) filter (to_year = {y}) y{y}" for y in range(1996, 2002)) + " from q join m using (feature) group by 1, 2",
+    "drift_matrix": f"with {_USQL}, q as (select feature, from_year, to_year, round(change, 6) c, abs(change) a from dr where from_year is not null), m as (select feature, round(avg(a), 6) mean_change from q group by 1 order by 2 desc, 1 limit 3) select feature, mean_change, from_year, to_year, c as change from q join m using (feature)",
+    "bootstrap_ci": f"with {_BOOT} select feature, round(avg(m), 6) mean, round(stddev_samp(m), 6) std, round(quantile_cont(m, 0.025), 6) low, round(quantile_cont(m, 0.5), 6) mid, round(quantile_cont(m, 0.975), 6) high, round(quantile_cont(m, 0.975) - quantile_cont(m, 0.025), 6) ci_width from bm group by 1",
     "turning_points": f"with {_USQL}, q as (select *, row_number() over (partition by to_year order by round(-abs(change), 6), feature) r from dr where from_year is not null), t as (select from_year, to_year, round(sqrt(sum(change * change)), 6) distance, string_agg(printf('%s:%+.3f', feature, round(change, 6)), ' | ' order by r) filter (r <= 2) drivers from q group by 1, 2), v as (select *, round(distance / nullif(to_year - from_year, 0), 6) velocity from t) select from_year, to_year, distance, velocity, dense_rank() over (order by distance desc)::int rank, round(0.6::double * (rank() over (order by distance) + (count(*) over (partition by distance) - 1) / 2) / count(*) over () + 0.4::double * (rank() over (order by velocity) + (count(*) over (partition by velocity) - 1) / 2) / count(*) over (), 6) score, drivers from v",
     "story_cards": f"with {_YSQL}, q as (select year, round(price, 6) price, orders::bigint orders from y) select year, printf('%d: %d orders at %.2f on average, %s', year, orders, price, case when lag(price) over (order by year) is null then 'the first year' when price > lag(price) over (order by year) then 'dearer than before' else 'cheaper than before' end) card from q",
     "period_evolution": "select year(l_shipdate)::bigint as year, count(*) lines, count(*) filter (l_returnflag = 'R') returned, round(avg(l_quantity) filter (l_returnflag <> 'R'), 5) kept_quantity, round(avg(l_discount) filter (l_discount > 0), 5) mean_discount, round(1 - count(*) filter (l_returnflag = 'R') / count(*), 5) kept_rate from lineitem group by 1",
@@ -645,5 +661,5 @@ SQL = {
     "report_ranking": "(select 'p_size' metric, p_partkey, p_size::double score from part order by p_size desc, p_partkey limit 5) union all (select 'p_retailprice', p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 5)",
 }
 SQL["findings"] = f"select metric, printf('%s: highest in %d (%.2f), lowest in %d (%.2f)', metric, highest_year, highest, lowest_year, lowest) finding from ({SQL['extremes_by_metric']})"
-ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "bootstrap_ci", "communities", "graph_report", "community_table", "hub_bridge_scores", "graph_export", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
+ROWS_ONLY = ("pca_2d", "pca_loadings", "kmeans_select_k", "communities", "graph_report", "community_table", "hub_bridge_scores", "graph_export", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}
