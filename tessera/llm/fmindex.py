@@ -7,7 +7,8 @@ searched backwards together; the matching rows are located by walking to the nex
 occurrences are merged into removal spans.
 
 Defined results: null and empty texts have no words, spans or items; items without words have no phrase; equal items
-are each reported; rows that repeat a key, with one text or several, are searched and cut each for itself; documents of
+are each reported, by whole numbers or, for ids of another type, by texts; items without an id are searched like others and
+share one null id, which counts as an item and stands in no digest; rows that repeat a key, with one text or several, are searched and cut each for itself; documents of
 any length are indexed whole (a shard takes whole documents until its bound); empty tables give empty results; further
 columns are carried along, those named like an output are replaced. The benchmark is broadcast in blocks of
 ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes; a larger one takes more blocks, each over all documents.
@@ -24,7 +25,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegralType, LongType, StringType, StructField, StructType
 
 from tessera.llm.common import arrow_map, alnum_words, chunks, utf8
 from tessera.storage import materialize
@@ -43,15 +44,15 @@ _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 class Phrases:
     """The distinct test phrases of a block of items, and the items of each."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
+    def __init__(self, items: list[tuple], window: int):
         self.ids: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = defaultdict(set)
+        found: dict[tuple[int, ...], set] = defaultdict(set)
         for item, text in items:
             words = [self.ids.setdefault(w, len(self.ids) + 1) for w in alnum_words(text)]
             for i in range(max(1, len(words) - window + 1) if words else 0):
                 found[tuple(words[i : i + window])].add(item)
         self.words = sorted(found, key=lambda p: (len(p), p))
-        self.items = [sorted(found[p]) for p in self.words]
+        self.items = [found[p] for p in self.words]
         self.size = np.array([len(p) for p in self.words], np.int64)
         self.shortest = int(self.size.min()) if self.words else 0
         self.grid = np.zeros((len(self.words), window), np.int64)
@@ -220,17 +221,28 @@ class _Zeros:
 
 
 _ZERO, _GAP = _Zeros(), np.zeros(1, np.int64)
-_FOUND = [
-    StructField("n_words", LongType()),
-    StructField("hit_words", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
-    StructField("item_ids", ArrayType(LongType())),
-]
+NAMES = n_words, hit_words, item_ids = tuple(f"__tessera_{n}" for n in ("n_words", "hit_words", "item_ids"))
+
+
+def _kind(benchmark: DataFrame, item: str) -> DataType:
+    """Whole-numbered ids stay such, others are texts."""
+    return LongType() if isinstance(benchmark.schema[item].dataType, IntegralType) else StringType()
+
+
+def _found(kind: DataType) -> list[StructField]:
+    spans = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+    return [StructField(n, t) for n, t in zip(NAMES, (LongType(), spans, ArrayType(kind)), strict=True)]
+
+
+def _in_order(ids) -> list:
+    """Ids sorted, a null one first."""
+    return sorted(ids, key=lambda i: (i is not None, i))
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str):
     """Lists of (item, bytes) within the two bounds; items come over one partition at a time."""
     block, size = [], 0
-    for row in benchmark.select(F.col(item).cast("long"), utf8(text)).where(F.col(item).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(item).cast(_kind(benchmark, item)), utf8(text)).toLocalIterator():
         if block and (len(block) >= BLOCK_ITEMS or size + len(row[1]) > BLOCK_BYTES):
             yield block
             block, size = [], 0
@@ -240,32 +252,31 @@ def _blocks(benchmark: DataFrame, item: str, text: str):
 
 
 def find_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """(key, n_words, hit_words array<struct<start,end>> in word numbers, item_ids array<bigint>) for every document."""
-    found = _searched(docs.select(F.col(key), F.col(text).alias(TEXT)), TEXT, _blocks(benchmark, item, item_text), window)
-    return found.select(key, *(F.col(f"__tessera_{f.name}").alias(f.name) for f in _FOUND))
+    """(key, n_words, hit_words array<struct<start,end>> in word numbers, item_ids) for every document."""
+    found = _searched(docs.select(F.col(key), F.col(text).alias(TEXT)), TEXT, _blocks(benchmark, item, item_text), _kind(benchmark, item), window)
+    return found.select(key, *(F.col(n).alias(n.removeprefix("__tessera_")) for n in NAMES))
 
 
-def _searched(docs: DataFrame, text: str, blocks: Iterator, window: int, cut: bool = False) -> DataFrame:
-    """``docs`` with the columns of _FOUND, each under a name of its own, row by row: rows never meet by their keys.
+def _searched(docs: DataFrame, text: str, blocks: Iterator, kind: DataType, window: int, cut: bool = False) -> DataFrame:
+    """``docs`` with the columns of NAMES, each under a name of its own, row by row: rows never meet by their keys.
     ``cut``: with the hit words gone from ``text``."""
     first, second = next(blocks), next(blocks, None)
     if second is None:  # the cut needs no pass, and no Python worker, of its own
-        return _search(docs, text, first, window, cut)
-    out = _over_blocks(docs, text, chain((first, second), blocks), window)
+        return _search(docs, text, first, kind, window, cut)
+    out = _over_blocks(docs, text, chain((first, second), blocks), kind, window)
     if not cut:
         return out
-    spans = F.col("__tessera_hit_words")
+    spans = F.col(hit_words)
     hit, clean = F.size(spans) > 0, F.udf(cut_words, "string", useArrow=True)
     return out.withColumn(text, F.when(hit, clean(F.when(hit, F.col(text)), F.when(hit, spans))).otherwise(F.col(text)))
 
 
-def _over_blocks(docs: DataFrame, text: str, blocks: Iterator, window: int) -> DataFrame:
+def _over_blocks(docs: DataFrame, text: str, blocks: Iterator, kind: DataType, window: int) -> DataFrame:
     """Each block is searched over the rows' numbers and texts, and what it finds in a row merges once more."""
     rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "documents")
     slim = rows.select(ROW, text)
-    results = [_search(slim, text, block, window).drop(text) for block in blocks]
+    results = [_search(slim, text, block, kind, window).drop(text) for block in blocks]
     both = materialize(reduce(DataFrame.unionByName, (r.withColumn("block", F.lit(k)) for k, r in enumerate(results))), "phrases")
-    n_words, hit_words, item_ids = (f"__tessera_{f.name}" for f in _FOUND)
     hits = both.where(F.size(item_ids) > 0)
     w = Window.partitionBy(ROW).orderBy("start", "end")
     spans = hits.select(ROW, F.explode(hit_words).alias("s")).select(ROW, "s.*")
@@ -273,16 +284,16 @@ def _over_blocks(docs: DataFrame, text: str, blocks: Iterator, window: int) -> D
     spans = spans.withColumn("part", F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(w))
     spans = spans.groupBy(ROW, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     spans = spans.groupBy(ROW).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(hit_words))
-    items = hits.select(ROW, F.explode(item_ids).alias("i")).groupBy(ROW).agg(F.sort_array(F.collect_set("i")).alias(item_ids))
-    none = lambda f: F.coalesce(F.col(f"__tessera_{f.name}"), F.array().cast(f.dataType)).alias(f"__tessera_{f.name}")
+    items = hits.groupBy(ROW).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(item_ids)))).alias(item_ids))
+    none = lambda f: F.coalesce(F.col(f.name), F.array().cast(f.dataType)).alias(f.name)
     merged = both.where("block = 0").select(ROW, n_words).join(spans, ROW, "left").join(items, ROW, "left")
-    return rows.join(merged, ROW).select(*docs.columns, n_words, none(_FOUND[1]), none(_FOUND[2]))
+    return rows.join(merged, ROW).select(*docs.columns, n_words, *map(none, _found(kind)[1:]))
 
 
-def _search(docs: DataFrame, text: str, block: list[tuple[int, bytes]], window: int, cut: bool = False) -> DataFrame:
+def _search(docs: DataFrame, text: str, block: list[tuple], kind: DataType, window: int, cut: bool = False) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    names = [*docs.columns, *(f"__tessera_{f.name}" for f in _FOUND)]
-    schema = StructType([*docs.schema.fields, *(StructField(f"__tessera_{f.name}", f.dataType) for f in _FOUND)])
+    names = [*docs.columns, *NAMES]
+    schema, ids = StructType([*docs.schema.fields, *_found(kind)]), pa.list_(pa.int64() if kind == LongType() else pa.string())
 
     def run(batches):
         phrases = Phrases(shared.value, window)
@@ -307,7 +318,7 @@ def _search(docs: DataFrame, text: str, block: list[tuple[int, bytes]], window:
                     *columns,
                     pa.array([len(t) for t in texts], pa.int64()),
                     pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                    pa.array([sorted(i) for _, i in found], pa.list_(pa.int64())),
+                    pa.array([_in_order(i) for _, i in found], ids),
                 ],
                 names,
             )
@@ -320,7 +331,7 @@ def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(
         key, "n_words", spans.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ","), 256).alias("items_sha256"),
-        (F.size("item_ids") > 0).alias("contaminated"),
+        (F.size("hit_words") > 0).alias("contaminated"),
     )
 
 
@@ -341,8 +352,8 @@ def cut_words(text: str | None, spans: list | None) -> str | None:
 def remove_phrases(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the contaminated spans cut out of ``text`` (and ``n_chars``, if there, counted again), each row by
     its own spans: the key is not read."""
-    out = _searched(docs, text, _blocks(benchmark, item, item_text), window, cut=True)
+    out = _searched(docs, text, _blocks(benchmark, item, item_text), _kind(benchmark, item), window, cut=True)
     if "n_chars" in docs.columns and text != "n_chars":
         counted = F.length(text).cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.size("__tessera_hit_words") > 0, counted).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size(hit_words) > 0, counted).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -6,7 +6,7 @@ largest tail whose whole gain cannot lift a row over the k-th best score so far
 postings are summed for all rows of the shard; the others are probed for the rows still competitive. Each task keeps
 its k best of a query over all its shards, and the tasks' lists are merged.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, neither do null ids; shorter
+Defined results: vectors that are null or hold null or non-finite components take no part, neither do rows whose key is null or no integer; shorter
 vectors count as filled up with zeros, so empty ones score 0; every finite component is taken exactly, whatever its size
 (shards with products beyond 2^53 are summed in whole numbers without a bound), and a score beyond 64 bits is the
 nearest 64-bit number; equal scores go to the smaller id; a query with fewer than k candidates
@@ -20,47 +20,21 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.llm.common import arrow_map
+from tessera.llm.vectors import LEAST, MOST, blocks, exact_pair, filled, finite, matrix, whole
 from tessera.storage import materialize, scratch
 
 QUERY_BLOCK = 8192
 SHARD_ROWS = 4096
 PROBE = 8
-#: Sums of products up to here are exact in doubles; beyond it Python's integers are used.
-EXACT = 2.0**53
-LEAST, MOST = -(2**63), 2**63 - 1
 
 
-def integral(df: DataFrame, key: str, vector: str, scale: int) -> DataFrame:
-    """(id, v array<double>): floor(scale * x) of each component, a whole number, for the vectors that take part."""
-    wide = F.col(vector).cast("array<double>")
-    scaled = F.transform(wide, lambda x: F.rint(x * scale) - F.when(F.rint(x * scale) > x * scale, 1.0).otherwise(0.0))
-    usable = F.col(key).isNotNull() & F.forall(wide, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
-    return df.where(F.coalesce(usable, F.lit(False))).select(F.col(key).cast("long").alias("id"), scaled.alias("v"))
-
-
-def _matrix(lists: pa.Array, width: int | None = None) -> np.ndarray:
-    ends = lists.offsets.to_numpy()
-    flat = lists.values.to_numpy(zero_copy_only=False)
-    size = np.diff(ends)
-    wide = max(int(size.max(initial=0)), width or 0)
-    if len(size) and (size == wide).all():
-        return flat[ends[0] : ends[-1]].reshape(len(size), wide)
-    out = np.zeros((len(size), wide))
-    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        out[i, : b - a] = flat[a:b]
-    return out
-
-
-def _exact(columns: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as they are, if all sums of their products are exact in doubles; else as Python's integers."""
-    top = float(np.abs(columns).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, len(columns))
-    if top < EXACT:
-        return columns, queries
-    whole = np.frompyfunc(int, 1, 1)
-    return whole(columns).astype(object), whole(queries).astype(object)
+def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """(id, v array<double>) of the vectors that take part."""
+    v = F.col(vector).cast("array<double>")
+    return df.select(F.col(key).try_cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & finite(F.col("v")))
 
 
 class Best:
@@ -88,7 +62,10 @@ def search_shard(ids: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np
     most, gain = np.maximum(*ends), np.abs(ends[1] - ends[0])
     if most.sum() < best.least:
         return
-    order = np.argsort(-gain.astype(np.float64), kind="stable")
+    if gain.dtype == object:  # the order decides the cost only
+        order = np.argsort([-float(min(g, 10**300)) for g in gain], kind="stable")
+    else:
+        order = np.argsort(-gain, kind="stable")
     rest = np.concatenate((np.cumsum(most[order][::-1])[::-1], [0]))  # what the terms from here on can give at most
     tail = np.concatenate((np.cumsum(gain[order][::-1])[::-1], [0]))
     floor = most.sum() - gain.sum()
@@ -111,16 +88,13 @@ def search_shard(ids: np.ndarray, columns: np.ndarray, low: np.ndarray, high: np
 def top_k(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", every: int = 100, scale: int = 1024) -> DataFrame:
     """(query_id, rank, id, score): for each row whose key is divisible by ``every``, its k best other rows."""
     spark = df.sparkSession
-    vectors = integral(df, key, vector, scale)
+    vectors = usable(df, key, vector)
     found = []
     with scratch(spark):
-        for block in _blocks(materialize(vectors.where(F.col("id") % every == 0), "queries")):
+        for block in blocks(materialize(vectors.where(F.col("id") % every == 0), "queries"), QUERY_BLOCK):
             ids, rows = np.array([r[0] for r in block], np.int64), [r[1] for r in block]
-            wide = max(map(len, rows), default=0)
-            matrix = np.zeros((len(rows), wide))
-            for i, r in enumerate(rows):
-                matrix[i, : len(r)] = r
-            found.append(arrow_map(vectors, _searcher(spark.sparkContext.broadcast((ids, matrix)), k), "query_id long, id long, score long"))
+            asked = whole(filled(rows, max(map(len, rows))), scale)
+            found.append(arrow_map(vectors, _searcher(spark.sparkContext.broadcast((ids, asked)), k, scale), "query_id long, id long, score long"))
     if not found:
         return vectors.selectExpr("id as query_id", "0 as rank", f"id as `{key}`", "0L as score").where("false")
     merged = reduce(DataFrame.unionByName, found)
@@ -128,29 +102,18 @@ def top_k(df: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedd
     return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), "score")
 
 
-def _blocks(asked: DataFrame):
-    block = []
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            yield block
-            block = []
-    if block:
-        yield block
-
-
-def _searcher(shared, k: int):
+def _searcher(shared, k: int, scale: int):
     def run(batches):
-        own, matrix = shared.value
+        own, asked = shared.value
         best = [Best(k) for _ in own]
         for b in batches:
             for at in range(0, b.num_rows, SHARD_ROWS):
                 part = b.slice(at, SHARD_ROWS)
-                rows = _matrix(part.column(1), matrix.shape[1])
+                rows = whole(matrix(part.column(1), asked.shape[1]), scale)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                queries = np.zeros((len(matrix), rows.shape[1]))
-                queries[:, : matrix.shape[1]] = matrix
-                columns, queries = _exact(np.ascontiguousarray(rows.T), queries)
+                queries = np.zeros((len(asked), rows.shape[1]), asked.dtype)
+                queries[:, : asked.shape[1]] = asked
+                columns, queries = exact_pair(np.ascontiguousarray(rows.T), queries)
                 low, high = (columns.min(axis=1), columns.max(axis=1)) if columns.size else (np.zeros(len(columns)),) * 2
                 for q, me, top in zip(queries, own.tolist(), best, strict=True):
                     search_shard(ids, columns, low, high, q, me, top)

@@ -431,6 +431,18 @@ def test_top_k_on_tables(spark, monkeypatch):
     assert len(few) == 2
 
 
+def test_top_k_of_huge_components_and_other_keys(spark):
+    rows = [("0", [1.0, 2.0]), ("100", [1e306, -3.5]), ("7", [1e300, 4.0]), ("8", [-1e306, 0.25]), ("9", [0.5, 1e17]), ("none", [9.0, 9.0]), (None, [9.0, 9.0])]
+    got = {}
+    for r in maxscore.top_k(spark.createDataFrame(rows, "vec_id string, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    whole = {int(k): [int(x) * 1024 if abs(x) > 1e300 else math.floor(1024 * x) for x in v] for k, v in rows if k not in (None, "none")}
+    for q in (0, 100):
+        score = {c: sum(a * b for a, b in zip(whole[q], v, strict=True)) for c, v in whole.items() if c != q}
+        best = sorted((max(-(2**63), min(2**63 - 1, s)), -c) for c, s in score.items())[::-1]
+        assert got[q] == [(-c, s) for s, c in best]
+
+
 def test_urls_on_tables(spark):
     rows = [(1, None), (2, "abc"), (3, "HTTP://A.Example.COM/en/77?x"), (4, "http://example.net/de/81"), (5, "x://com/en/"), (6, "x://notcom/en/"), (7, "http://a.org"), (8, "http://b.org/es/#"), (9, ""), (10, "http://example.com/en/7://"), (11, "http://cheap-pills.example.org/x"), (12, "http://É.ORG/es/" + "a" * 5000)]
     d = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
@@ -584,3 +596,17 @@ def test_html_of_all_test_pages(sf):
         a = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         want = "\n".join(x for x in (" ".join(H.unescape(re.sub(r"<[^>]+>", "", y)).split()) for y in re.split(r"</?(?:p|h1)>", a.replace("<br>", " "))) if x)
         assert html.main_text(page) == want
+
+
+@pytest.mark.parametrize("blocks", [20_000, 1])
+def test_items_of_any_id_are_found(spark, monkeypatch, blocks):
+    monkeypatch.setattr(fmindex, "BLOCK_ITEMS", blocks)
+    words = [f"w{i}" for i in range(40)]
+    bench = spark.createDataFrame([("mmlu-1", " ".join(words[:12])), (None, " ".join(words[12:24])), (None, " ".join(words[13:25])), ("b,2", " ".join(words[20:32])), ("10", "no such text")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[12:24])), (3, "nothing here")], "doc_id long, text string")
+    found = {r.doc_id: r for r in fmindex.find_phrases(docs, bench).collect()}
+    assert found[1].item_ids == [None, "b,2", "mmlu-1"] and found[2].item_ids == [None] and found[3].item_ids == []
+    told = {r.doc_id: r for r in fmindex.report(fmindex.find_phrases(docs, bench)).collect()}
+    assert (told[2].n_hit, told[2].n_items, told[2].contaminated) == (12, 1, True) and told[2].items_sha256 == hashlib.sha256(b"").hexdigest()
+    assert told[1].items_sha256 == hashlib.sha256(b"b,2,mmlu-1").hexdigest() and not told[3].contaminated
+    assert [r.text for r in fmindex.remove_phrases(docs, bench).orderBy("doc_id").collect()][1:] == ["", "nothing here"]
