@@ -1,7 +1,8 @@
 """Main text of web pages by two passes of block rules.
 
 Method: markup is cut into blocks at block-level tags. First pass, each block alone: link density, length and stop-word
-density call it good, near-good, short or bad, headings headings. Place is one sign among them. Menus, asides, comments
+density call it good, near-good, short or bad, headings headings; on a page of a language whose stop words are not known,
+the signs of sentences stand in for density. Place is one sign among them. Menus, asides, comments
 and the like (MARKS) are bad. Forms and places whose names only hint (SOFT_MARKS) are bad too, but not when they hold
 more than half of what reads like prose on the page: then they are the page's frame. A part that is marked as the article
 lifts its blocks: none in it is bad by low density alone. Where such parts hold at least half as much as the prose that
@@ -12,6 +13,9 @@ part (the article they stand in, or all that stands in none); where none is deci
 and on pages without a believed mark, good. Bad blocks inside an article, and those bad by their place, are insertions
 and decide nothing. The good blocks, in page order, are the text.
 
+An element that can hold no text (RAW) is passed over up to its end tag; without one only those that hold no markup
+either swallow the rest. Spans of adverts are passed over, with the spans in them, up to their end or their block's.
+
 Defined results: null, empty and text-free pages give an empty text; malformed markup is read as far as its tags can
 be told; pages of any length are read whole; repeated rows each give their row; an empty table gives an empty table;
 other columns are carried along, and columns named ``text`` or ``n_chars`` are replaced.
@@ -29,7 +33,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from tessera.llm.common import arrow_map, chunks
 
 # Element names of HTML, words of class names, stop words.
-RAW = frozenset("script style noscript template iframe textarea title svg math object canvas select option datalist audio video head".split())
+#: What these hold is not text; the first few hold no markup either, so without an end tag they reach to the page's end.
+RAW = frozenset("script style textarea title noscript template iframe svg math object canvas select option datalist audio video head".split())
+SWALLOWS = frozenset("script style textarea title".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -41,10 +47,10 @@ SOFT_ASIDE = frozenset("form dialog fieldset".split())
 HEADER = frozenset(["header", "hgroup"])
 #: A class or id whose first or last word is one of these marks what is not the article; of the second, what may be.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising advertorial adsbygoogle sponsor sponsored sponsors cookie cookies consent gdpr sidebar sidebars aside rail related recommended recommendations trending share sharing social follow comment comments commentlist disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc footer foot copyright legal disclaimer masthead topbar toolbar hidden".split()
+    "ad ads adv advert advertisement advertising advertorial adsbygoogle sponsor sponsored sponsors cookie cookies consent gdpr comment comments commentlist disqus reply replies respond menu nav navbar navigation breadcrumb breadcrumbs pagination pager toc hidden".split()
 )
 SOFT_MARKS = frozenset(
-    "promo promos promotion banner banners notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall widget widgets popular more discussion feedback reviews tags search form skip".split()
+    "sidebar sidebars aside rail related recommended recommendations trending share sharing social follow footer foot copyright legal disclaimer masthead topbar toolbar promo promos promotion banner banners notice notices notification alert popup modal overlay newsletter subscribe subscription signup login paywall widget widgets popular more discussion feedback reviews tags search form skip".split()
 )
 ARTICLE_MARKS = frozenset("comment comments reply replies teaser related sponsored advert promo promoted".split())
 HEADER_MARKS = frozenset(["header", "head"])
@@ -69,6 +75,11 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?>[^<>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*+(?:>|\Z)""", re.S
 )
 _ATTR = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)""", re.I)
+#: A line of rights: the sign first, or before a year.
+_RIGHTS = re.compile(r"^\W*(?:©|copyright\b)|©\s*\d{4}", re.I)
+#: Signs that end a sentence or part it, in any script; letters that stand for more than one of an alphabet.
+_ENDS = re.compile(r"[.!?…](?=\s|\Z|[\"'»”’)])|[。！？；，、؟،؛।॥።။។]")
+_WIDE = re.compile("[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 _EDGE = re.compile(r"^\W+|\W+$")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _CLOSERS: dict[str, re.Pattern] = {}
@@ -119,6 +130,7 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     stack = [Place("", False, False, 0, ())]
     at, links, articles, soft, now = 0, 0, 0, 0, Block("", 0, False, ())
+    quiet, endless = 0, set()  # open spans of adverts; elements of which no end tag is left
 
     def close_block():
         nonlocal now
@@ -131,7 +143,7 @@ def blocks(page: str) -> list[Block]:
         now = Block(tag, top.article, top.bad or top.head and not (top.article and tag in HEADING), top.soft)
 
     def take(text: str):
-        if text:
+        if text and not quiet:
             text = html.unescape(text)
             now.parts.append(text)
             if links:
@@ -145,16 +157,25 @@ def blocks(page: str) -> list[Block]:
         if name is None:
             continue
         name, end = name.lower(), bool(m["end"])
+        if quiet and name in BLOCK:
+            quiet = 0  # a span ends with its block
         if name in RAW:
-            if not end and not m["attrs"].endswith("/"):
+            if name not in endless and not end and not m["attrs"].endswith("/"):
                 if name == "head":  # what belongs into a head ends with it or where the body begins
                     closer = _CLOSERS.setdefault(name, re.compile(r"</head\s*>|<body\b|<(?=(?:article|main|div|nav|p|h[1-6])\b)", re.I))
                     if c := closer.search(page, at):
                         at = c.end() if c[0].startswith("</") else c.start()
+                    else:
+                        endless.add(name)
                 else:
                     closer = _CLOSERS.setdefault(name, re.compile(rf"</{name}\s*>", re.I))
                     c = closer.search(page, at)
-                    at = c.end() if c else len(page)
+                    if c:
+                        at = c.end()
+                    elif name in SWALLOWS:
+                        at = len(page)
+                    else:
+                        endless.add(name)
         elif name == "a":
             links = 0 if end else 1
         elif name == "br":
@@ -187,36 +208,50 @@ def blocks(page: str) -> list[Block]:
             if name in BLOCK:
                 links = 0
             close_block()
-        elif "class" in m["attrs"] and not end and name == "span" and _marked(m["attrs"]) == "bad":
-            c = re.compile(r"</span\s*>", re.I).search(page, at)
-            at = c.end() if c else at
+        elif name == "span" and (quiet or not end and "class" in m["attrs"] and _marked(m["attrs"]) == "bad"):
+            quiet += -1 if end else 1
     take(page[at:])
     close_block()
     return out
 
 
-def _density(b: Block) -> float:
+def _stop_words(b: Block) -> tuple[int, int]:
+    """How many of a block's words are stop words, and how many words it has."""
     words = [_EDGE.sub("", w) for w in b.text.lower().split()]
-    return sum(w in STOP_WORDS for w in words) / len(words)
+    return sum(w in STOP_WORDS for w in words), len(words)
+
+
+def _size(text: str) -> int:
+    """Letters, those that stand for a syllable or word counted three times."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
+def _densities(found: list[Block]) -> list[float]:
+    """Stop-word density of each block. Where the blocks of some length have hardly a stop word between them, the page's
+    language is not among the known ones, and a block with the signs of sentences counts as dense."""
+    counts = [_stop_words(b) for b in found]
+    some = [c for b, c in zip(found, counts, strict=True) if not b.bad and b.linked <= LINKS_MAX * len(b.text) and _size(b.text) >= SHORT]
+    if some and sum(k for k, _ in some) < STOP_LOW * sum(n for _, n in some):
+        return [STOP_HIGH if _ENDS.search(b.text) else k / n for b, (k, n) in zip(found, counts, strict=True)]
+    return [k / n for k, n in counts]
 
 
 def _first_pass(found: list[Block]) -> tuple[list[str], set[int]]:
     """A label for each block, and the articles that are believed."""
     labels = []
-    for b in found:
-        n = len(b.text)
+    for b, density in zip(found, _densities(found), strict=True):
+        n = _size(b.text)
         b.prose = 0
-        if b.bad or b.linked > LINKS_MAX * n:
+        if b.bad or b.linked > LINKS_MAX * len(b.text):
             labels.append("bad")
         elif b.tag in HEADING:
             labels.append("heading")
         elif n < SHORT:
             labels.append("bad" if b.linked and not b.article else "short")
         else:
-            density = _density(b)
             b.prose = n if density >= STOP_LOW else 0
             labels.append(("good" if n >= LONG else "near") if density >= STOP_HIGH else "near" if density >= STOP_LOW or b.article else "bad")
-        if "©" in b.text and n < LONG and not b.article:
+        if labels[-1] != "bad" and n < LONG and not b.article and _RIGHTS.search(b.text):
             labels[-1] = "bad"
     every = sum(b.prose for b in found)
     inside: dict[int, int] = {}
