@@ -359,38 +359,3 @@ def _silhouettes(named: DataFrame, ks: list[int]) -> dict[int, float]:
         out.append(F.avg(F.coalesce(F.try_divide(outer - inner, F.greatest(inner, outer)), F.lit(0.0))).alias(f"s{k}"))
     row = j.agg(*out).first()
     return {k: row[f"s{k}"] for k in ks}
-
-
-def tsne(points: np.ndarray, perplexity: float, steps: int = 300, seed: int = 42) -> np.ndarray:
-    """Exact t-SNE of a bounded matrix (a few thousand rows), started from its principal axes."""
-    n = len(points)
-    if n < 4:
-        return np.zeros((n, 2))
-    d = ((points[:, None] - points[None]) ** 2).sum(-1)
-    p = np.zeros((n, n))
-    for i in range(n):
-        lo, hi, beta = 0.0, np.inf, 1.0
-        row = np.delete(d[i], i)
-        for _ in range(50):
-            w = np.exp(-(row - row.min()) * beta)
-            h = np.log(w.sum()) + beta * ((row - row.min()) * w).sum() / w.sum()
-            if abs(h - np.log(perplexity)) < 1e-5:
-                break
-            lo, hi = (beta, hi) if h > np.log(perplexity) else (lo, beta)
-            beta = beta * 2 if np.isinf(hi) else (lo + hi) / 2
-        p[i, np.arange(n) != i] = w / w.sum()
-    p = np.maximum((p + p.T) / (2 * n), 1e-12)
-    centred = points - points.mean(0)
-    u, s, _ = np.linalg.svd(centred, full_matrices=False)
-    y = u[:, :2] * s[:2]
-    y = y / max(y[:, 0].std(), 1e-12) * 1e-4
-    v, rate = np.zeros_like(y), max(n / 48, 50)
-    for t in range(steps):
-        num = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(-1))
-        np.fill_diagonal(num, 0)
-        q = np.maximum(num / num.sum(), 1e-12)
-        g = ((p * (12 if t < 100 else 1) - q) * num)
-        grad = 4 * (g.sum(1)[:, None] * y - g @ y)
-        v = (0.5 if t < 100 else 0.8) * v - rate * grad
-        y = y + v
-    return y - y.mean(0)

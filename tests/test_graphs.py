@@ -66,7 +66,7 @@ def walks(n, edges):
     return [(i, b / ((n - 1) * (n - 2)), *o) for i, (b, o) in enumerate(zip(between, own, strict=True))]
 
 
-@pytest.mark.parametrize(("n", "degree", "seed", "sources"), [(40, 4, 1, 1024), (20, 2, 2, 8)], ids=["one batch", "batches and islands"])
+@pytest.mark.parametrize(("n", "degree", "seed", "sources"), [(40, 4, 1, 1024), (20, 2, 2, 12)], ids=["one batch", "batches and islands"])
 def test_path_centralities_as_by_walks(spark, n, degree, seed, sources):
     edges = random_graph(n, degree, seed)
     got = sorted(map(tuple, P.shortest_paths(*frame(spark, n, edges), sources=sources).collect()))

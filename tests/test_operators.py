@@ -128,14 +128,6 @@ def test_pca_matches_numpy(spark):
     assert V.components_for([0.5, 0.45, 0.05]) == 2
 
 
-def test_tsne_keeps_groups_apart():
-    rng = np.random.default_rng(0)
-    x = np.vstack((rng.normal(0, 0.1, (15, 5)), rng.normal(5, 0.1, (15, 5))))
-    y = V.tsne(x, 5)
-    inner = np.linalg.norm(y[:15] - y[:15].mean(0), axis=1).mean()
-    assert np.linalg.norm(y[:15].mean(0) - y[15:].mean(0)) > 2 * inner
-
-
 def test_bootstrap_draws_the_references_resamples(spark, sf):
     from tessera.plans import analytics
 
