@@ -136,7 +136,7 @@ def pca_2d(s, d):
     return scores
 
 
-def tsne_2d(s, d, rounds: int = 60):
+def tsne_2d(s, d, rounds: int = 40):
     """A layout of all embeddings."""
     from tessera.operators.embedding import tsne
 
