@@ -143,6 +143,13 @@ def tsne_2d(s, d, rounds: int = 40):
     return tsne(_emb(s, d), "vec_id", "v", rounds=rounds).withColumnRenamed("id", "vec_id")
 
 
+def umap_2d(s, d, rounds: int = 40):
+    """A layout of all embeddings that keeps neighbours."""
+    from tessera.operators.umap import umap
+
+    return umap(_emb(s, d), "vec_id", "v", rounds=rounds).withColumnRenamed("id", "vec_id")
+
+
 def pca_loadings(s, d):
     e = _emb(s, d).select("vec_id", *(F.col("v")[i].alias(f"f{i}") for i in range(64)))
     _, load, shares = V.pca(e, "vec_id", [f"f{i}" for i in range(64)], 64)
@@ -668,5 +675,5 @@ SQL = {
     "report_ranking": "(select 'p_size' metric, p_partkey, p_size::double score from part order by p_size desc, p_partkey limit 5) union all (select 'p_retailprice', p_partkey, p_retailprice from part order by p_retailprice desc, p_partkey limit 5)",
 }
 SQL["findings"] = f"select metric, printf('%s: highest in %d (%.2f), lowest in %d (%.2f)', metric, highest_year, highest, lowest_year, lowest) finding from ({SQL['extremes_by_metric']})"
-ROWS_ONLY = ("pca_2d", "pca_loadings", "tsne_2d", "kmeans_select_k", "communities", "graph_report", "community_table", "hub_bridge_scores", "graph_export", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
+ROWS_ONLY = ("pca_2d", "pca_loadings", "tsne_2d", "umap_2d", "kmeans_select_k", "communities", "graph_report", "community_table", "hub_bridge_scores", "graph_export", "cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "tree_rules", "local_explanations")
 QUERIES = {n: globals()[n] for n in (*SQL, *ROWS_ONLY)}

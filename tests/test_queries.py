@@ -8,7 +8,7 @@ import pytest
 
 from tessera import catalog
 
-SLOW = {"cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "local_explanations", "kmeans_select_k", "tsne_2d"}
+SLOW = {"cv_model_summary", "oof_predictions", "ranked_errors", "global_importance", "local_explanations", "kmeans_select_k", "tsne_2d", "umap_2d"}
 
 
 def plain(v):
