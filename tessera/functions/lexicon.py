@@ -20,12 +20,18 @@ CATEGORIES: dict[str, str] = {
 }
 EMOTIONS = "anger anticipation disgust fear joy sadness surprise trust positive negative".split()
 
-# A small demonstration table of our own; users supply theirs as (emotion, token) or (token, valence) rows.
-DEMO_EMOTIONS: dict[str, str] = {
-    "anger": "rage hate was", "anticipation": "for to", "disgust": "trash scum", "fear": "dark that", "joy": "free in",
-    "sadness": "lost alone of", "surprise": "on re", "trust": "be is", "positive": "hope the", "negative": "pain and",
+# Small tables of our own, for use without a user's (emotion, token) and (token, valence) rows.
+EMOTION_WORDS: dict[str, str] = {
+    "anger": "rage hate fury angry mad furious", "anticipation": "await expect soon ready plan hope", "disgust": "trash scum filth vile rotten sick",
+    "fear": "fear afraid dread panic terror scared", "joy": "joy happy laugh delight smile glad", "sadness": "lost alone grief cry mourn sorrow",
+    "surprise": "sudden amazed wonder shock astonished startled", "trust": "trust faith honest loyal safe friend",
+    "positive": "good love hope free kind bright joy", "negative": "bad hate pain idiot scum ugly stupid",
+}
+VALENCES: dict[str, float] = {
+    "amazing": 2.8, "awful": -2.0, "bad": -2.5, "beautiful": 2.9, "best": 3.2, "cry": -2.1, "fear": -2.2, "free": 2.3, "friend": 2.2, "glad": 2.0, "good": 1.9, "great": 3.1,
+    "happy": 2.7, "hate": -2.7, "hope": 1.9, "horrible": -2.5, "idiot": -2.3, "joy": 2.8, "kind": 2.4, "light": 0.5, "love": 3.2, "moron": -2.2, "nice": 1.8, "pain": -2.3,
+    "pathetic": -2.7, "sad": -2.1, "scum": -2.6, "smile": 1.5, "stupid": -2.4, "terrible": -2.1, "trash": -1.9, "ugly": -2.3, "vile": -3.1, "worst": -3.1, "worthless": -1.9, "like": 1.5,
 }
-DEMO_VALENCE: dict[str, float] = {"hope": 1.9, "free": 2.3, "good": 1.9, "light": 1.5, "the": 0.4, "in": 0.2, "and": -0.3, "of": -0.5, "pain": -2.3, "hate": -2.7, "idiot": -2.3, "scum": -2.6}
 
 
 def words(category: str) -> list[str]:

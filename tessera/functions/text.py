@@ -63,9 +63,15 @@ def song_key(c: Column | str) -> Column:
     return F.regexp_replace(F.lower(col(c)), "[^a-z0-9]+", "")
 
 
-def plain_punctuation(c: Column | str) -> Column:
-    """Typographic quotes, dashes, ellipses and hard spaces in ASCII."""
+def compatible(c: Column | str) -> Column:
+    """Unicode's compatibility composition (NFKC), by the library that Spark brings for its collations; plain ASCII is left as it is."""
     c = col(c)
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))).otherwise(c)
+
+
+def plain_punctuation(c: Column | str) -> Column:
+    """Typographic quotes, dashes, ellipses and hard spaces in ASCII, after compatibility composition."""
+    c = compatible(c)
     for old, new in PUNCTUATION.items():
         c = F.replace(c, F.lit(old), F.lit(new))
     return c

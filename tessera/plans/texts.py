@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import lexicon, text as T
+from tessera.operators import valence
 from tessera.storage import table
 
 R6 = lambda c: F.round(c, 6)
@@ -72,26 +73,19 @@ def doc_lexicon_ratios(spark, sf_dir):
 
 
 def doc_emotions(spark, sf_dir):
-    """Counts and ratios by an (emotion, token) table; the demonstration table stands in for the user's."""
+    """Counts and ratios by an (emotion, token) table; the library's small table stands in for the user's."""
     d = _docs(spark, sf_dir).select("doc_id", T.tokens("text").alias("w"))
     out = []
     for name in lexicon.EMOTIONS:
-        hits = T.lexicon_count("w", lexicon.DEMO_EMOTIONS[name].split())
+        hits = T.lexicon_count("w", lexicon.EMOTION_WORDS[name].split())
         out += [hits.cast("long").alias(f"{name}_count"), R6(T.ratio(hits, F.size("w"))).alias(f"{name}_ratio")]
     return d.select("doc_id", *out)
 
 
 def doc_sentiment(spark, sf_dir):
-    """Sum of token valences normalised as s / sqrt(s^2 + 15), and the shares of positive, negative and neutral tokens."""
-    d = _docs(spark, sf_dir).select("doc_id", T.tokens("text").alias("w")).where(F.size("w") > 0)
-    valence = F.create_map(*(F.lit(x) for kv in lexicon.DEMO_VALENCE.items() for x in kv))
-    v = F.transform("w", lambda x: F.coalesce(F.try_element_at(valence, x), F.lit(0.0)))
-    d = d.select("doc_id", v.alias("v")).withColumn("s", F.aggregate("v", F.lit(0.0), lambda a, x: a + x))
-    share = lambda p: R6(T.ratio(F.size(F.filter("v", p)), F.size("v")))
-    return d.select(
-        "doc_id", share(lambda x: x > 0).alias("positive"), share(lambda x: x < 0).alias("negative"), share(lambda x: x == 0).alias("neutral"),
-        F.round(F.col("s") / F.sqrt(F.col("s") * F.col("s") + 15.0), 4).alias("compound"),
-    )
+    """Rule-based valence by a (token, valence) table; the library's small table stands in for the user's."""
+    words = spark.createDataFrame(list(lexicon.VALENCES.items()), "token string, valence double")
+    return valence.valence(_docs(spark, sf_dir), "doc_id", "text", words).withColumnRenamed("id", "doc_id")
 
 
 def doc_readability(spark, sf_dir):
@@ -226,12 +220,8 @@ c as (select doc_id, l, count(*) c from n where l <> '' group by 1, 2)
 select doc_id, count(*) unique_line_count, sum(c - 1)::bigint duplicate_line_occurrences, count(*) filter (c > 1) duplicate_line_types,
  max(c) most_repeated_line_count, round(coalesce(sum(c - 1)::double / nullif(sum(c), 0), 0), 6) line_repetition_ratio from c group by 1""",
     "doc_lexicon_ratios": _lex_sql({k: lexicon.words(k) for k in lexicon.CATEGORIES}),
-    "doc_emotions": _lex_sql({k: lexicon.DEMO_EMOTIONS[k].split() for k in lexicon.EMOTIONS}),
-    "doc_sentiment": f"""
-with t as (select doc_id, {_TOK} w from {_D}), v as (select doc_id, list_transform(w, lambda x: coalesce(map {{{', '.join(f"'{k}': {v}::double" for k, v in lexicon.DEMO_VALENCE.items())}}}[x], 0.0::double)) v from t where len(w) > 0),
-s as (select *, list_sum(v) s, len(v)::double n from v)
-select doc_id, round(len(list_filter(v, lambda x: x > 0)) / n, 6) positive, round(len(list_filter(v, lambda x: x < 0)) / n, 6) negative, round(len(list_filter(v, lambda x: x = 0)) / n, 6) neutral,
- round(s / sqrt(s * s + 15.0::double), 4) compound from s""",
+    "doc_emotions": _lex_sql({k: lexicon.EMOTION_WORDS[k].split() for k in lexicon.EMOTIONS}),
+    "doc_sentiment": valence.sql(_D, "doc_id", "text", lexicon.VALENCES),
     "doc_readability": rf"""
 with t as (select doc_id, {_TOK} w, len({_SENT}) ns from {_D}),
 c as (select *, list_transform(w, lambda x: regexp_replace(x, '[^a-z]', '', 'g')) p from t),

@@ -90,3 +90,14 @@ def test_musical_key(spark):
     df = spark.createDataFrame([(1, turned), (2, [1.0] * 12)], "id int, c array<double>")
     got = {r.id: (r.key, r.mode, r.confidence) for r in estimate_key(df, "id", "c").collect()}
     assert got == {1: ("A", "major", 1.0), 2: (None, None, None)}
+
+
+def test_compatible_composition_of_every_character(spark):
+    """All code points that Python's tables know, one by one and before a combining mark; null and ASCII as they are."""
+    import unicodedata
+
+    known = [chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF and unicodedata.category(chr(i)) != "Cn"]
+    d = spark.createDataFrame([(a,) for a in known[:70_000] + known[-40_000:] + [f"{c}̣́" for c in known[:30_000]]], "c string")
+    assert [(r.c, r.n) for r in d.select("c", T.compatible("c").alias("n")).collect() if r.n != unicodedata.normalize("NFKC", r.c)] == []
+    odd = spark.createDataFrame([(None,), ("",), ("it's",), ("ﬁne … “½”",)], "c string")
+    assert [r[0] for r in odd.select(T.plain_punctuation("c")).collect()] == [None, "", "it's", 'fine ... "1⁄2"']
