@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,10 +11,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tessera.operators.contracts import classes_large_enough, no_leakage
+from tessera.operators.forest import ExtraTrees
 from tessera.operators.tables import avg_pct_rank, global_rank, zscores
+from tessera.storage import contained, materialize
 
 
 def models(rows: int) -> dict[str, Callable]:
@@ -21,7 +25,8 @@ def models(rows: int) -> dict[str, Callable]:
     return {
         "logistic": lambda: LogisticRegression(family="multinomial", regParam=1 / (0.5 * rows), maxIter=50, **common),
         "random_forest": lambda: RandomForestClassifier(numTrees=60, featureSubsetStrategy="sqrt", minInstancesPerNode=2, seed=42, **common),
-        "linear_svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.1), featuresCol="_f", labelCol="_y", weightCol="_w"),
+        "extra_trees": lambda: ExtraTrees(trees=60, depth=10, least=2, seed=42),
+        "linear_svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.1), parallelism=4, featuresCol="_f", labelCol="_y", weightCol="_w"),
         "tree": lambda: DecisionTreeClassifier(maxDepth=4, minInstancesPerNode=4, **common),
     }
 
@@ -44,9 +49,10 @@ def prepare(df: DataFrame, id_: str, label: str, features: list[str], folds: int
 
 def out_of_fold(data: DataFrame, classes: list[str], model: Callable, folds: int) -> DataFrame:
     """M5: (id, fold, actual, predicted, correct, confidence, margin, top_2_correct, probabilities)."""
-    parts = []
+    parts, estimator = [], model()
+    together = estimator.fit_folds(data, folds) if hasattr(estimator, "fit_folds") else None
     for k in range(folds):
-        fitted = Pipeline(stages=[model()]).fit(data.where(F.col("fold") != k))
+        fitted = together[k] if together else Pipeline(stages=[estimator]).fit(data.where(F.col("fold") != k))
         scored = fitted.transform(data.where(F.col("fold") == k))
         if "probability" in scored.columns:
             p = vector_to_array("probability")
@@ -78,22 +84,25 @@ def confusion(predictions: DataFrame, classes: list[str]) -> DataFrame:
     return every.join(c, "actual", "left").na.fill(0)
 
 
-def metrics(predictions: DataFrame) -> DataFrame:
-    """M6: one row: accuracy, balanced accuracy, macro F1 and the majority baseline, by hand from the counts."""
-    c = predictions.groupBy("actual", "predicted").agg(F.count("*").alias("n"))
+def metrics(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """M6: accuracy, balanced accuracy, macro F1 and the majority baseline, by hand from the counts: one row, or one for
+    each value of the columns ``by``."""
+    by = by or []
+    c = predictions.groupBy(*by, "actual", "predicted").agg(F.count("*").alias("n"))
     hit = F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0))
-    rows, cols = c.groupBy(F.col("actual").alias("c")).agg(F.sum("n").alias("support"), hit.alias("tp")), c.groupBy(F.col("predicted").alias("c")).agg(F.sum("n").alias("guessed"))
-    j = rows.join(cols, "c", "full").select(*(F.coalesce(x, F.lit(0)).alias(x) for x in ("support", "tp", "guessed")))
+    rows, cols = c.groupBy(*by, F.col("actual").alias("c")).agg(F.sum("n").alias("support"), hit.alias("tp")), c.groupBy(*by, F.col("predicted").alias("c")).agg(F.sum("n").alias("guessed"))
+    j = rows.join(cols, [*by, "c"], "full").select(*by, *(F.coalesce(x, F.lit(0)).alias(x) for x in ("support", "tp", "guessed")))
     f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("guessed")), F.lit(0.0))
-    return j.agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.try_divide("tp", "support")).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"), (F.max("support") / F.sum("support")).alias("majority_baseline"))
+    return j.groupBy(*by).agg((F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.try_divide("tp", "support")).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"), (F.max("support") / F.sum("support")).alias("majority_baseline"))
 
 
+@contained
 def cross_validate(df: DataFrame, id_: str, label: str, features: list[str], names: list[str], folds: int = 5, repeats: int = 1) -> DataFrame:
     """M4, M7: (model, repeat) rows of metrics with the rank of each model's mean macro F1, balanced accuracy next."""
     rows, n = [], df.count()
     for r in range(repeats):
         data, classes = prepare(df, id_, label, features, folds, r)
-        data = data.cache()
+        data = materialize(data, "folds")
         for name in names:
             rows.append(metrics(out_of_fold(data, classes, models(n)[name], folds)).select(F.lit(name).alias("model"), F.lit(r).alias("repeat"), "*"))
     out = reduce(DataFrame.unionByName, rows)
@@ -101,19 +110,35 @@ def cross_validate(df: DataFrame, id_: str, label: str, features: list[str], nam
     return mean.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("macro_f1_mean"), F.desc("balanced_accuracy_mean"), "model")))
 
 
-def permutation_importance(data: DataFrame, features: list[str], model: Callable, repeats: int = 3, held_out: int | None = 0) -> DataFrame:
-    """M8: fall of macro F1 when a feature's values are dealt anew by hash order; on a held-out fold, or on the training rows (None)."""
+def dealt(row: Column, n: int, seed: str) -> Column:
+    """The row number (from 0, of ``n``) whose value a row takes: a one-to-one map i -> (a i + b) mod n, a prime to n. The
+    rows are numbered in the order of a digest, so that neighbours in the map are not neighbours in the data."""
+    draw = random.Random(seed)
+    a = next(a for a in iter(lambda: draw.randint(1, max(1, n)), None) if math.gcd(a, n) == 1)
+    # The product of two row numbers may pass the longs; decimals hold it.
+    return F.pmod(row.cast("decimal(19,0)") * F.lit(a).cast("decimal(19,0)") + F.lit(draw.randrange(n)).cast("decimal(19,0)"), F.lit(n).cast("decimal(19,0)")).cast("long")
+
+
+@contained
+def permutation_importance(data: DataFrame, features: list[str], model: Callable, repeats: int = 30, held_out: int | None = 0) -> DataFrame:
+    """M8: fall of macro F1 when a feature's values are dealt anew, ``repeats`` times; on a held-out fold, or on the
+    training rows (None). All features and repeats are one job: every row meets, by row number, those that lend it a
+    value, and one scoring of all of them ends in counts by (feature, repeat)."""
     fitted = Pipeline(stages=[model()]).fit(data if held_out is None else data.where(F.col("fold") != held_out))
-    test = (data if held_out is None else data.where(F.col("fold") == held_out)).drop("_f").cache()
+    test = (data if held_out is None else data.where(F.col("fold") == held_out)).drop("_f")
+    test = materialize(global_rank(test, F.struct(F.xxhash64("id"), "id"), "_i").withColumn("_i", F.col("_i") - 1), "test")
+    n = test.count()
+    if not n:
+        return data.sparkSession.createDataFrame([], "feature string, importance double, importance_std double")
     assemble = VectorAssembler(inputCols=features, outputCol="_f")
-    score = lambda d: metrics(fitted.transform(assemble.transform(d)).select(F.col("_y").alias("actual"), F.col("prediction").alias("predicted"))).select("macro_f1")
-    base, rows, placed = score(test).first()[0], [], global_rank(test, F.col("id"), "_i")
-    for f in features:
-        for r in range(repeats):
-            # Positions in two hash orders are matched: a join, not a shuffle on the driver.
-            b = global_rank(test.select(F.col(f).alias("_v"), "id"), F.struct(F.xxhash64("id", F.lit(f), F.lit(r)), "id"), "_i").select("_v", "_i")
-            rows.append(score(placed.join(b, "_i").withColumn(f, F.col("_v")).drop("_i", "_v")).select(F.lit(f).alias("feature"), (F.lit(base) - F.col("macro_f1")).alias("fall")))
-    return reduce(DataFrame.unionByName, rows).groupBy("feature").agg(F.avg("fall").alias("importance"), F.coalesce(F.stddev_samp("fall"), F.lit(0.0)).alias("importance_std"))
+    scored = lambda d, *keys: fitted.transform(assemble.transform(d)).select(*keys, F.col("_y").alias("actual"), F.col("prediction").alias("predicted"))
+    base = metrics(scored(test)).first()["macro_f1"]
+    turns = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(r).alias("repeat"), dealt(F.col("_i"), n, f"{f}/{r}").alias("_from")) for f in features for r in range(repeats)))
+    asked = test.select("_y", *features, F.explode(turns).alias("t")).select("_y", *features, "t.*")
+    lent = test.select(F.col("_i").alias("_from"), F.struct(*features).alias("_lent"))
+    new = {f: F.when(F.col("feature") == f, F.col("_lent")[f]).otherwise(F.col(f)) for f in features}
+    falls = metrics(scored(asked.join(lent, "_from").withColumns(new), "feature", "repeat"), ["feature", "repeat"]).select("feature", (F.lit(base) - F.col("macro_f1")).alias("fall"))
+    return falls.groupBy("feature").agg(F.avg("fall").alias("importance"), F.coalesce(F.stddev_samp("fall"), F.lit(0.0)).alias("importance_std"))
 
 
 def coefficients(data: DataFrame, features: list[str], classes: list[str], rows: int) -> DataFrame:

@@ -516,7 +516,7 @@ DF = ["size", "upper", "signs", "blanks"]
 def cv_model_summary(s, d):
     from tessera.operators import learning as L
 
-    return L.cross_validate(_labelled(s, d), "doc_id", "quality", DF, ["logistic", "tree"], 3)
+    return L.cross_validate(_labelled(s, d), "doc_id", "quality", DF, ["logistic", "linear_svm", "random_forest", "extra_trees"], 3)
 
 
 def oof_predictions(s, d):
@@ -540,7 +540,7 @@ def global_importance(s, d):
     df = _labelled(s, d)
     data, classes = L.prepare(df, "doc_id", "quality", DF, 3)
     data, n = data.cache(), df.count()
-    return L.global_importance(L.coefficients(data, DF, classes, n), L.permutation_importance(data, DF, L.models(n)["logistic"], 1))
+    return L.global_importance(L.coefficients(data, DF, classes, n), L.permutation_importance(data, DF, L.models(n)["logistic"]))
 
 
 def tree_rules(s, d):
