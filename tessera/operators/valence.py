@@ -8,6 +8,8 @@ exclamation and question marks, and s / sqrt(s^2 + 15) as the compound. Idioms o
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tessera.storage import broadcast_if_small
@@ -36,13 +38,13 @@ def _in(c: Column, words: list[str]) -> Column:
 
 
 def _upper(c: Column) -> Column:
-    return F.coalesce(c.rlike(r"\p{Lu}") & ~c.rlike(r"\p{Ll}"), F.lit(False))
+    return F.coalesce(c.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*$"), F.lit(False))
 
 
 def words(text: Column) -> Column:
     """The text cut at white space; signs at a word's ends go where more than two characters remain."""
     def bare(x: Column) -> Column:
-        y = F.regexp_replace(x, r"^\p{Punct}+|\p{Punct}+$", "")
+        y = F.btrim(x, F.lit(string.punctuation))
         return F.when(F.length(y) > 2, y).otherwise(x)
 
     return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda x: x != ""), bare)
@@ -62,16 +64,18 @@ def _rows(df: DataFrame, id_: str, text: str) -> DataFrame:
 
 
 def _ruled(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows with ``v``, the valence of each word after all rules."""
+    """rows with ``v``, the valence of each word after all rules; only words that the table holds are looked at further."""
     own = F.lower("w")
     rows = rows.join(table.select(F.col("token").alias("_t"), F.col("valence").alias("_v")), own == F.col("_t"), "left").drop("_t")
+    hit = F.col("_v").isNotNull()
     for k in (1, 2, 3):
         known = table.select(F.col("token").alias("_t"))
-        rows = rows.join(known, F.lower(f"p{k}") == F.col("_t"), "left").withColumn(f"free{k}", F.col(f"p{k}").isNotNull() & F.col("_t").isNull()).drop("_t")
+        # Other words look up themselves: no rule reads what they find, and no null gathers them in one task.
+        rows = rows.join(known, F.when(hit, F.lower(f"p{k}")).otherwise(own) == F.col("_t"), "left").withColumn(f"free{k}", F.col(f"p{k}").isNotNull() & F.col("_t").isNull()).drop("_t")
     low = {k: F.lower(f"p{k}") for k in (1, 2, 3)}
     silent = _in(own, BOOSTERS + DAMPERS) | ((own == "kind") & F.coalesce(F.lower("after") == "of", F.lit(False)))
-    v = F.when(silent, 0.0).otherwise(F.coalesce("_v", F.lit(0.0)))
-    rows = rows.withColumn("v", v + F.when(F.col("mixed") & _upper(F.col("w")), CAPITALS * F.signum(v)).otherwise(0.0))
+    rows = rows.withColumn("v", F.when(~hit, 0.0).when(silent, 0.0).otherwise(F.col("_v")))
+    rows = rows.withColumn("v", F.when((F.col("v") != 0) & F.col("mixed") & _upper(F.col("w")), F.col("v") + CAPITALS * F.signum("v")).otherwise(F.col("v")))
     negated = lambda k: _in(low[k], NEGATIONS) | F.coalesce(low[k].contains("n't"), F.lit(False))
     so = lambda k: _in(low[k], ["so", "this"])
     never = {2: _in(low[2], ["never"]) & so(1), 3: _in(low[3], ["never"]) & (so(2) | so(1))}
@@ -83,10 +87,10 @@ def _ruled(rows: DataFrame, table: DataFrame) -> DataFrame:
         factor = F.when(negated(k), NEGATION).otherwise(1.0)
         if k > 1:
             factor = F.when(never[k], NEVER_SO[k - 2]).when(doubt[k], 1.0).otherwise(factor)
-        rows = rows.withColumn("v", F.when(F.col(f"free{k}") & (F.col("v") != 0), (F.col("v") + step) * factor).otherwise(F.col("v")))
+        rows = rows.withColumn("v", F.when((F.col("v") != 0) & F.col(f"free{k}"), (F.col("v") + step) * factor).otherwise(F.col("v")))
     least = F.col("free1") & _in(low[1], ["least"]) & ~_in(low[2], ["at", "very"])
     place = F.when(F.col("but") < 0, 1.0).when(F.col("i") < F.col("but"), BEFORE_BUT).when(F.col("i") > F.col("but"), AFTER_BUT).otherwise(1.0)
-    return rows.withColumn("v", F.col("v") * F.when(least, NEGATION).otherwise(1.0) * place)
+    return rows.withColumn("v", F.when(F.col("v") == 0, 0.0).otherwise(F.col("v") * F.when(least, NEGATION).otherwise(1.0) * place))
 
 
 def valence(df: DataFrame, id_: str, text: str, table: DataFrame) -> DataFrame:
