@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,11 @@ from tessera.llm.common import arrow_map, chunks
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE_SPACE}\p{{L}}\p{{N}}]+"
 
-#: Words kept with their encoding, by a worker, in either of two generations: when the younger is full it becomes the
-#: older, and words met again move back. What is forgotten costs time only.
-CACHE_WORDS = 80_000
+#: Words, and runs of them without white space, kept with their encoding, by a worker, in either of two generations: when
+#: the younger is full it becomes the older, and what is met again moves back. What is forgotten costs time only.
+CACHE_WORDS = 160_000
+#: What ``str.split`` takes for white space and Unicode does not.
+SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Bytes of text in one batch.
 BATCH_BYTES = 1 << 20
 
@@ -47,6 +51,17 @@ def byte_letters() -> list[str]:
     return out
 
 
+class Runs(dict):
+    """Encoded runs by their text; one that is not held is encoded."""
+
+    def __init__(self, encode: Callable[[str], tuple[bytes, str]]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, run: str) -> tuple[bytes, str]:
+        return self.encode(run)
+
+
 class WordBpe:
     def __init__(self, spec: dict):
         model = spec["model"]
@@ -55,78 +70,100 @@ class WordBpe:
         self.text = {i: s for s, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text |= {i: s for s, i in self.special.items()}
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.merges = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.merges = {(vocab[a], vocab[b]): rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.end] for c in letters]
         self.split = regex.compile(SPLIT)
+        self.runs = regex.compile(rf"[^{WHITE_SPACE}]+")
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.cache: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.old: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.cache = Runs(self.run)
+        self.old: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, word: str) -> list[int]:
         raw = word.encode()
         ids = [self.inner[b] for b in raw]
         ids[-1] = self.last[raw[-1]]
-        n = len(ids)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        merges, queue = self.merges, []
-        for i in range(n - 1):
-            if found := merges.get((ids[i], ids[i + 1])):
-                queue.append((found[0], i, found[1]))
+        n, get, made = len(ids), self.merges.get, self.made
+        ranks = [*map(get, zip(ids, ids[1:])), None]  # of the pair that begins at each symbol
+        queue = [rank << 32 | i for i, rank in enumerate(ranks) if rank is not None]
+        if not queue:
+            return ids
         heapq.heapify(queue)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         while queue:
-            rank, i, new = heapq.heappop(queue)
-            j = after[i]
-            if ids[i] < 0 or j >= n:
-                continue
-            now = merges.get((ids[i], ids[j]))
-            if now is None or now[0] != rank:  # stale: a neighbour has merged since
+            lowest = heapq.heappop(queue)
+            i = lowest & 0xFFFFFFFF
+            if ranks[i] != lowest >> 32:  # stale: a neighbour has merged since
                 continue
+            j, new = after[i], made[lowest >> 32]
             ids[i], ids[j] = new, -1
+            ranks[i] = ranks[j] = None
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if found := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (found[0], i, found[1]))
+                if (rank := get((new, ids[k]))) is not None:
+                    ranks[i] = rank
+                    heapq.heappush(queue, rank << 32 | i)
             h = before[i]
-            if h >= 0 and (found := merges.get((ids[h], new))):
-                heapq.heappush(queue, (found[0], h, found[1]))
+            if h >= 0:
+                ranks[h] = rank = get((ids[h], new))
+                if rank is not None:
+                    heapq.heappush(queue, rank << 32 | h)
         return [i for i in ids if i >= 0]
 
-    def word(self, word: str) -> tuple[tuple[int, ...], str]:
-        out = self.cache.get(word) or self.old.get(word)
-        if out is None:
-            ids = tuple(self.merge(word))
-            out = (ids, self.decode(ids))
+    def kept(self, word: str, out: tuple[bytes, str]) -> tuple[bytes, str]:
         if len(word) <= 64:
             if len(self.cache) >= CACHE_WORDS:
-                self.old, self.cache = self.cache, {}
+                self.old = dict(self.cache)
+                self.cache.clear()
             self.cache[word] = out
         return out
 
+    def word(self, word: str) -> tuple[bytes, str]:
+        """The ids of one piece, as 32-bit numbers, and its decoded text."""
+        out = self.cache.get(word)
+        if out is None:
+            out = self.old.get(word)
+            if out is None:
+                ids = self.merge(word)
+                out = (array("i", ids).tobytes(), self.decode(ids))
+            self.kept(word, out)
+        return out
+
+    def run(self, run: str) -> tuple[bytes, str]:
+        """The same of a run without white space. No piece holds white space, and a piece alone is split no further, so
+        runs and pieces share a cache."""
+        out = self.old.get(run)
+        if out is None:
+            words = [run] if run.isascii() and run.isalpha() else self.split.findall(run)
+            if len(words) == 1:
+                return self.word(words[0])
+            found = [self.word(w) for w in words]
+            out = (b"".join([ids for ids, _ in found]), " ".join([t for _, t in found]))
+        return self.kept(run, out)
+
     def normalise(self, text: str) -> str:
         text = unicodedata.normalize("NFC", text)
         # Lower-casing goes letter by letter, so a final sigma gets no form of its own.
         return text.replace("Σ", "σ").lower()
 
-    def pieces(self, text: str) -> Iterator[tuple[tuple[int, ...], str]]:
-        if self.marks is None or "<" not in text:
-            parts = [text]
-        else:
-            parts = self.marks.split(text)
-        get, word = self.cache.get, self.word
+    def pieces(self, text: str) -> list[tuple[bytes, str]]:
+        """(ids as 32-bit numbers, decoded text) of each run without white space and of each special token."""
+        parts, found = [text] if self.marks is None or "<" not in text else self.marks.split(text), []
         for part in parts:
             if part in self.special:
-                yield (self.special[part],), part
+                found.append((array("i", [self.special[part]]).tobytes(), part))
             elif part:
-                for w in self.split.findall(self.normalise(part)):
-                    yield get(w) or word(w)
+                whole = self.normalise(part)
+                found.extend(map(self.cache.__getitem__, self.runs.findall(whole) if SEPARATORS.search(whole) else whole.split()))
+        return found
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        return array("i", b"".join([ids for ids, _ in self.pieces(text)])).tolist()
 
     def decode(self, ids) -> str:
         return " ".join(map(self.text.__getitem__, ids))
@@ -157,12 +194,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
         for b in chunks(batches, text, BATCH_BYTES):
             ids, ends, decoded = [], [0], []
             for t in b.column(text).to_pylist():
-                found = list(bpe.pieces(t)) if t else []
-                for x, _ in found:
-                    ids.extend(x)
-                ends.append(len(ids))
+                found = bpe.pieces(t) if t else []
+                ids.append(b"".join([x for x, _ in found]))
+                ends.append(ends[-1] + len(ids[-1]) // 4)
                 decoded.append(" ".join([s for _, s in found]))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(ids, np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists, pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
 
     return arrow_map(docs.select(*names), run, schema)

@@ -43,6 +43,18 @@ def test_bpe_random_unicode(both):
         assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids, text
 
 
+def test_runs_met_again_are_not_split_again(both):
+    """Only new runs without white space are cut into pieces and merged; separators that Unicode does not count as white space stay."""
+    ours, theirs = both
+    for text in ("It's 12 o'clock, isn't it?", "a\x1cb \x1f c\x85d", "<|endoftext|>x <y> 漢字，Σσ"):
+        assert ours.encode(text) == theirs.encode(text, add_special_tokens=False).ids
+    split, ours.split = ours.split, None
+    try:
+        assert ours.encode("isn't it? It's 12") == theirs.encode("isn't it? It's 12", add_special_tokens=False).ids
+    finally:
+        ours.split = split
+
+
 def test_bpe_with_a_small_cache(both, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
     ours, theirs = bpe.WordBpe(json.load(open(__import__("tessera.llm.queries", fromlist=["x"]).vocabulary()))), both[1]
