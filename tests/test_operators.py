@@ -157,6 +157,22 @@ def test_pairs_block_to_block(spark, monkeypatch):
             assert {(i, j) for j in range(57) if j != i and s[i, j] >= 0.6} | {(i, j) for j in order[:2]} <= near
 
 
+@pytest.mark.parametrize("largest", [1, 20])
+def test_blocks_grow_and_meet_once(spark, monkeypatch, largest):
+    """However many the rows, there are few blocks until these are of the largest size; each pair of blocks meets in both orders."""
+    for name, value in (("BLOCK", 1), ("LARGEST", largest), ("BLOCKS", 4)):
+        monkeypatch.setattr(V, name, value)
+    d = spark.range(60).selectExpr("id", "0L as apart", "array(double(id), 1.0) as v")
+
+    def each(row, m, n):
+        assert len(row["ids_a"]) == 8 * len(m[0]) and len(row["ids_b"]) == 8 * len(n[0])
+        yield [np.frombuffer(row["ids_a"], np.int64)[:1], np.frombuffer(row["ids_b"], np.int64)[:1]]
+
+    met = [tuple(r) for r in V._meet(d, ["v"], each, []).collect()]
+    blocks = len({a for a, _ in met})
+    assert len(met) == len(set(met)) == blocks**2 and (2 <= blocks <= 4 if largest == 20 else blocks > 30)
+
+
 def test_pair_table_checks(spark):
     from tessera.operators import contracts as D
 
