@@ -26,10 +26,15 @@ def select_present(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
 def pair_table(pairs: DataFrame, entities: DataFrame, key: str, source: str = "source", target: str = "target") -> DataFrame:
     """One row (pairs_off, self_pairs, repeated_pairs) of a table of ordered pairs: how far it is from n * (n - 1)
     rows, the pairs of a thing with itself, and the rows beyond the first of a pair. All are 0 in a whole table."""
-    n = entities.agg(F.countDistinct(key).alias("_n"))
     each = pairs.groupBy(source, target).agg(F.count("*").alias("_c"))
-    found = each.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_rows"), F.count_if(F.col(source) == F.col(target)).alias("self_pairs"), F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).alias("repeated_pairs"))
-    return found.crossJoin(F.broadcast(n)).select(F.abs(F.col("_rows") - F.col("_n") * (F.col("_n") - 1)).alias("pairs_off"), "self_pairs", "repeated_pairs")
+    return pair_totals(each.select(F.col("_c").alias("rows"), (F.col(source) == F.col(target)).cast("long").alias("self_pairs"), (F.col("_c") - 1).alias("repeated_pairs")), entities, key)
+
+
+def pair_totals(counts: DataFrame, entities: DataFrame, key: str) -> DataFrame:
+    """D9 from counts (rows, self_pairs, repeated_pairs) of the parts of a table of pairs, where a pair has one part."""
+    n = entities.agg(F.countDistinct(key).alias("_n"))
+    found = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("rows", "self_pairs", "repeated_pairs")))
+    return found.crossJoin(F.broadcast(n)).select(F.abs(F.col("rows") - F.col("_n") * (F.col("_n") - 1)).alias("pairs_off"), "self_pairs", "repeated_pairs")
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
