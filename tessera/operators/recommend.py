@@ -69,9 +69,16 @@ def feature_manifest(df: DataFrame, views: dict[str, Sequence[str]]) -> DataFram
 
 def model_summary(pairs: DataFrame, models: Sequence[str], entities: DataFrame, key: str) -> DataFrame:
     """V6: (model, entities, pairs, coverage, mean_score, best): which of the n * (n - 1) directed pairs a model scores."""
+    each = pairs.groupBy("source").agg(*(f(c).alias(f"{k}_{c}") for c in models for k, f in (("pairs", F.count), ("sum", F.sum), ("best", F.max))))
+    return summary_of_totals(each, models, entities, key)
+
+
+def summary_of_totals(totals: DataFrame, models: Sequence[str], entities: DataFrame, key: str) -> DataFrame:
+    """V6 from (source, pairs_<model>, sum_<model>, best_<model>), any number of rows a source."""
     n = entities.agg(F.countDistinct(key).alias("_n"))
-    row = pairs.agg(*(f(c).alias(f"{k}{i}") for i, c in enumerate(models) for k, f in (("n", F.count), ("m", F.avg), ("b", F.max))), *(F.countDistinct(F.when(F.col(c).isNotNull(), F.col("source"))).alias(f"e{i}") for i, c in enumerate(models)))
-    listed: Column = F.array(*(F.struct(F.lit(c).alias("model"), F.col(f"e{i}").alias("entities"), F.col(f"n{i}").alias("pairs"), F.col(f"m{i}").alias("mean_score"), F.col(f"b{i}").alias("best")) for i, c in enumerate(models)))
+    each = totals.groupBy("source").agg(*(f(f"{k}_{c}").alias(f"{k}_{c}") for c in models for k, f in (("pairs", F.sum), ("sum", F.sum), ("best", F.max))))
+    row = each.agg(*(x.alias(f"{k}{i}") for i, c in enumerate(models) for k, x in (("e", F.count_if((F.col(f"pairs_{c}") > 0) & F.col("source").isNotNull())), ("n", F.coalesce(F.sum(f"pairs_{c}"), F.lit(0)).cast("long")), ("s", F.sum(f"sum_{c}")), ("b", F.max(f"best_{c}")))))
+    listed: Column = F.array(*(F.struct(F.lit(c).alias("model"), F.col(f"e{i}").alias("entities"), F.col(f"n{i}").alias("pairs"), F.try_divide(f"s{i}", f"n{i}").alias("mean_score"), F.col(f"b{i}").alias("best")) for i, c in enumerate(models)))
     out = row.crossJoin(F.broadcast(n)).select("_n", F.explode(listed).alias("s")).select("s.*", "_n")
     return out.select("model", "entities", "pairs", F.round(F.try_divide(F.col("pairs"), F.col("_n") * (F.col("_n") - 1)), 6).alias("coverage"), F.round("mean_score", 6).alias("mean_score"), F.round("best", 6).alias("best"))
 

@@ -173,6 +173,27 @@ def test_blocks_grow_and_meet_once(spark, monkeypatch, largest):
     assert len(met) == len(set(met)) == blocks**2 and (2 <= blocks <= 4 if largest == 20 else blocks > 30)
 
 
+@pytest.mark.parametrize("block", [2000, 10])
+def test_what_is_taken_from_the_grid_without_writing_it(spark, monkeypatch, block):
+    """Counts, totals and best partners from the meetings of blocks are those of the whole table of pairs."""
+    from tessera.operators.contracts import pair_table, pair_totals
+    from tessera.operators.recommend import model_summary, recommend, summary_of_totals
+
+    monkeypatch.setattr(V, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, size=(12, 4)).astype(float)  # copies and equal scores
+    rows = [(i % 55, [float(c) for c in x[i % 12]], None if i % 9 == 0 else [float(c) for c in x[i % 5, :2]], None if i % 11 == 0 else i % 3) for i in range(60)]
+    d = spark.createDataFrame([*rows, (None, [1.0] * 4, None, 1), (99, None, None, 1)], "id long, v array<double>, w array<double>, g int")
+    grid = V.cosine_grid(d, "id", ["v", "w"])
+    assert pair_totals(V.grid_counts(d, "id"), d, "id").collect() == pair_table(grid, d, "id").collect()
+    assert summary_of_totals(V.grid_totals(d, "id", ["v", "w"]), ["v", "w"], d, "id").collect() == model_summary(grid, ["v", "w"], d, "id").collect()
+    once = d.where("id is null or id > 4")  # each id once
+    weights = {"v": 0.45, "w": 0.3}
+    score = F.round(V.hybrid(weights)[0], 9)
+    want, got = (sorted(recommend(p.withColumn("h", score), "h", 2, None, once, "id", same="g", least=0.1).collect()) for p in (V.cosine_grid(once, "id", ["v", "w"]), V.grid_best(once, "id", weights, 2, 0.1, "g")))
+    assert want == got and len(want) > 50
+
+
 def test_pair_table_checks(spark):
     from tessera.operators import contracts as D
 
