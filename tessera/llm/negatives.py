@@ -120,7 +120,7 @@ class Requests:
         self.ids, self.labels = np.array([r["id"] for r in asked], np.int64), np.array([r["label"] for r in asked], np.int64)
         self.vectors = whole(filled([r["v"] for r in asked], width), scale)
         limits = lambda p: (-math.inf, math.inf) if p is None else (-(-share[0] * number(p) // 100), share[1] * number(p) // 100)
-        self.windows = [[(w["window"], *limits(w["around"])) for w in r["windows"]] for r in asked]
+        self.windows = [[(w["window"], *limits(w["around"] if "around" in w else None)) for w in r["windows"]] for r in asked]
         self.least = [[-math.inf if w["least"] is None else number(w["least"]) for w in r["windows"]] for r in asked]
         length = _lengths(self.vectors)
         self.open = ~np.isfinite(length)  # no bounds for these
