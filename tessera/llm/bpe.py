@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tessera.llm.common import arrow_map, chunks
+from tessera.llm.common import arrow_map, chunks, held
 
 # Fixed values of the vocabulary's format: Unicode white space, and the pattern that splits normalised text.
 WHITE_SPACE = r"\t-\r \x85\xa0  -     　"
@@ -80,6 +80,7 @@ class WordBpe:
         self.runs = regex.compile(rf"[^{WHITE_SPACE}]+")
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
+        self.single: dict[int, tuple[bytes, str]] = {}
         self.cache = Runs(self.run)
         self.old: dict[str, tuple[bytes, str]] = {}
 
@@ -130,7 +131,11 @@ class WordBpe:
             out = self.old.get(word)
             if out is None:
                 ids = self.merge(word)
-                out = (array("i", ids).tobytes(), self.decode(ids))
+                out = self.single.get(ids[0]) if len(ids) == 1 else None
+                if out is None:
+                    out = (array("i", ids).tobytes(), self.decode(ids))
+                    if len(ids) == 1:  # bounded by the vocabulary: all words of one id share it
+                        self.single[ids[0]] = out
             self.kept(word, out)
         return out
 
@@ -169,28 +174,18 @@ class WordBpe:
         return " ".join(map(self.text.__getitem__, ids))
 
 
-_LOADED: dict[int, WordBpe] = {}
-
-
-def _loaded(key: int, data: bytes) -> WordBpe:
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = WordBpe(json.loads(data))
-    return _LOADED[key]
-
-
 def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Adds ``ids`` array<int> and ``decoded`` string. ``vocabulary``: a file's path that the driver can read (1.7 MB; it is
     broadcast once and each worker builds its tables from it)."""
     with open(vocabulary, "rb") as f:
         data = f.read()
-    shared, key = docs.sparkSession.sparkContext.broadcast(data), hash(data)
+    shared, key = docs.sparkSession.sparkContext.broadcast(data), ("bpe", hash(data))
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "decoded")]
     schema = StructType([*kept, StructField("ids", ArrayType(IntegerType(), False)), StructField("decoded", StringType())])
     names = [f.name for f in kept]
 
     def run(batches):
-        bpe = _loaded(key, shared.value)
+        bpe = held(key, lambda: WordBpe(json.loads(shared.value)))
         for b in chunks(batches, text, BATCH_BYTES):
             ids, ends, decoded = [], [0], []
             for t in b.column(text).to_pylist():
@@ -201,7 +196,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, text: str = "text") -> DataF
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists, pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
 
-    return arrow_map(docs.select(*names), run, schema)
+    return arrow_map(docs.select(*names), run, schema, keeps=key)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,14 +46,33 @@ def fold_bucket(key: Column, parts: int) -> Column:
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """``df.mapInArrow`` in batches of bounded size."""
+#: What this worker keeps for later tasks of the operator that made it.
+_HELD: dict[Hashable, Any] = {}
+
+
+def held(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What this worker keeps under ``key``; inside an ``arrow_map`` that ``keeps`` it, it is made once."""
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def _drop_others(keeps: Hashable) -> None:
+    for key in [k for k in _HELD if k != keeps]:
+        del _HELD[key]
+        gc.collect()
+
+
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str, keeps: Hashable = None) -> DataFrame:
+    """``df.mapInArrow`` in batches of bounded size. A worker keeps what is ``held`` under ``keeps`` for further tasks, and
+    nothing of other operators: workers live on from operator to operator, and each would add its own."""
     conf = df.sparkSession.conf
     for name, default, ours in (("maxRecordsPerBatch", "10000", str(BATCH_ROWS)), ("maxBytesPerBatch", "67108864b", f"{BATCH_BYTES}b")):
         if conf.get(f"spark.sql.execution.arrow.{name}") == default:
             conf.set(f"spark.sql.execution.arrow.{name}", ours)
 
     def run(batches):
+        _drop_others(keeps)
         try:
             yield from fn(batches)
         finally:  # a worker lives on for other tasks, beside a JVM that needs the memory

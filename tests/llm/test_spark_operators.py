@@ -8,11 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, fmindex, html, jaccard, lm, maxscore, quality, queries, substrings, toxicity, urls
-from tessera.llm.common import alnum_words, space_words
+from tessera.llm.common import alnum_words, arrow_map, space_words
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns named like whatever the operators use inside.
@@ -241,6 +242,19 @@ def test_bpe_on_tables(odd, docs, empty, rows):
     assert bpe.encode_decode(empty, queries.vocabulary()).count() == 0
 
 
+def test_workers_keep_no_encoder_for_other_operators(spark, docs):
+    """The words that a worker keeps encoded would otherwise stand beside all that later operators hold."""
+
+    def encoders(batches):
+        import gc
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(type(x).__name__ == "WordBpe" for x in gc.get_objects())])], ["n"])
+
+    bpe.encode_decode(docs.repartition(8), queries.vocabulary()).count()
+    assert arrow_map(spark.range(64).repartition(8), encoders, "n long").agg(F.sum("n")).first()[0] == 0
+
+
 def test_lm_on_tables(docs, odd, empty, rows):
     out = {r.doc_id: r for r in lm.report(docs).collect()}
     words = {r[0]: space_words((r[1] or "").encode()) for r in rows}
