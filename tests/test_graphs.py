@@ -74,6 +74,22 @@ def test_path_centralities_as_by_walks(spark, n, degree, seed, sources):
         assert mine == pytest.approx(want, abs=1e-9)
 
 
+@pytest.mark.parametrize("held", [0, P.HELD], ids=["tables", "arrays"])
+def test_paths_by_tables_and_by_arrays(spark, monkeypatch, held):
+    """Few edges walk as arrays from all sources in one job, not as a table a round; both ways give the plain walks."""
+    monkeypatch.setattr(P, "HELD", held)
+    written = []
+    monkeypatch.setattr(P, "materialize", lambda df, label, *a, m=P.materialize: (written.append(label), m(df, label, *a))[1])
+    edges = random_graph(30, 4, 7)
+    got = sorted(map(tuple, P.shortest_paths(*frame(spark, 30, edges)).collect()))
+    for mine, want in zip(got, walks(30, edges), strict=True):
+        assert mine == pytest.approx(want, abs=1e-9)
+    assert ("front" in written) == (held == 0)
+    n, most, mean = P.diameter(*frame(spark, 30, edges)).first()
+    size = 1 + max(w[5] for w in walks(30, edges))
+    assert (n, mean) == (size, pytest.approx(sum(w[4] for w in walks(30, edges) if w[5] == size - 1) / (size * (size - 1)))) and most >= 3
+
+
 def test_paths_of_odd_graphs(spark):
     nodes, edges = frame(spark, 4, [(0, 1, 1.0), (1, 2, 0.5), (1, 1, 0.5), (2, 1, 0.25)])  # no length, a loop, a repeated edge
     edges = edges.unionByName(spark.createDataFrame([(None, 2, 0.5, 0.5), (0, 3, 0.5, None), (0, 3, 0.5, math.inf)], EDGES))
