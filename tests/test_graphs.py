@@ -167,6 +167,20 @@ def test_communities_are_as_good_as_one_by_one(spark, n, degree, groups, inside)
         assert sizes == [n // groups] * groups and all(group[i] == group[i % groups] for i in range(n))
 
 
+@pytest.mark.parametrize("nodes", [4096, 40], ids=["one block", "blocks"])
+def test_communities_move_in_blocks(spark, monkeypatch, nodes):
+    """A level of a small graph is one step; of more blocks a few. By halves and single nodes it took dozens of tables."""
+    monkeypatch.setattr(C, "NODES", nodes)
+    written = []
+    monkeypatch.setattr(C, "materialize", lambda df, label, *a, m=C.materialize: (written.append(label), m(df, label, *a))[1])
+    edges = random_graph(150, 4, 3)
+    group = dict(map(tuple, C.louvain(*frame(spark, 150, edges)).collect()))
+    near = neighbours(150, edges)
+    assert modularity(near, group) > plain_louvain(near) - (0.01 if nodes > 150 else 0.04)
+    if nodes > 150:
+        assert written.count("moves") + written.count("wishes") <= 8
+
+
 def test_communities_of_odd_graphs(spark):
     nodes, edges = frame(spark, 6, [(0, 1, 0.5), (1, 2, 0.5), (0, 2, 0.5), (2, 2, 9.0), (3, 4, 0.5), (0, 1, 0.25)])
     edges = edges.unionByName(spark.createDataFrame([(None, 1, 1.0, 0.0), (4, 5, 0.0, 1.0), (4, 5, -1.0, 1.0), (4, 5, None, 1.0)], EDGES)).withColumn("c", F.lit(1)).withColumn("k", F.lit(1))
