@@ -257,3 +257,20 @@ def test_drift_matrix_has_every_feature_and_transition(spark, sf):
     years = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("year(o_orderdate) y").distinct().count()
     got = analytics.drift_matrix(spark, sf).select("feature", "to_year").distinct().count()
     assert got == len(analytics.YF) * (years - 1)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_edges_are_complete_where_blocks_meet(spark, monkeypatch, repeated):
+    """The same edges as from all pairs grouped, with ties, large ids and vectors that are null, zero or not numbers; the
+    pairs over the threshold pass no shuffle and no window."""
+    monkeypatch.setattr(V, "BLOCK", 20)
+    rng = np.random.default_rng(5)
+    rows = [((1 << 60) - 7 * i if i % 2 else -i, rng.integers(-2, 3, 6).astype(float).tolist(), 0) for i in range(90)]
+    rows += [(1000, None, 0), (1001, [0.0] * 6, 0), (1002, [float("nan")] * 6, 0), (None, [1.0] * 6, 0)] + rows[:3] * repeated
+    d = spark.createDataFrame(rows, "id long, v array<double>, label int")
+    found = V.cosine_graph(d, "id", "v", 3, 0.6)
+    want = G.edges_from_pairs(V.cosine_neighbours(d, "id", "v", 3, 0.6), 3, 0.6)
+    names = ["a", "b", "weight", "by_threshold", "by_top_k", "mutual_top_k", "distance"]
+    got = sorted(map(tuple, found.select(names).collect()))
+    assert got == sorted(map(tuple, want.select(names).collect())) and len(got) > 100
+    assert ("Window" in found._jdf.queryExecution().executedPlan().toString()) == repeated
