@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tessera.storage import contained, materialize
 
 
+#: Edges of a block on average, and pairs of edges that are held at once, where triangles are counted.
+EDGES, TOGETHER = 1 << 20, 1 << 21
+
+
 def edges_from_pairs(pairs: DataFrame, k: int = 5, least: float = 0.32) -> DataFrame:
     """G1: pairs (source, target, similarity) among the k nearest of a source or at least ``least``, as undirected edges."""
     w = Window.partitionBy("source").orderBy(F.desc("similarity"), "target")
@@ -133,13 +138,111 @@ def core_numbers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return known
 
 
+def _block_triangles(xy: list, yz: list, xz: list):
+    """(ids, sums) at each corner of the triangles x, y, z whose sides lie in three blocks of edges (first, second, weight)."""
+    (xs, at_x), (zs, at_z) = (np.unique(side, return_inverse=True) for side in xz[:2])
+    ys = np.unique(yz[0])
+    keys, inverse = np.unique(at_x * len(zs) + at_z, return_inverse=True)
+    weight = np.bincount(inverse, xz[2])
+
+    def known(edges, *ends):
+        """The edges with their ends' places, of those that are among ``ends``."""
+        places = [np.minimum(np.searchsorted(ids, side), len(ids) - 1) for side, ids in zip(edges, ends, strict=False)]
+        keep = np.logical_and(*(ids[at] == side for side, at, ids in zip(edges, places, ends, strict=False)))
+        return [c[keep] for c in (*places, edges[2])]
+
+    x, y, w = known(xy, xs, ys)
+    y2, z, w2 = known(yz, ys, zs)
+    order = np.argsort(y2, kind="stable")
+    y2, z, w2 = y2[order], z[order], w2[order]
+    first = np.searchsorted(y2, y)
+    count = np.searchsorted(y2, y, side="right") - first
+    ends, sums = np.cumsum(count), [np.zeros(len(ids)) for ids in (xs, ys, zs)]
+    start = 0
+    while start < len(x):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TOGETHER, side="right")))
+        n = count[start:stop]
+        one = np.repeat(np.arange(start, stop), n)
+        two = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[one]
+        key = x[one] * len(zs) + z[two]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        hit = np.flatnonzero(keys[at] == key)
+        one, two = one[hit], two[hit]
+        g = w[one] * w2[two] * weight[at[hit]]
+        for total, corner in zip(sums, (x[one], y[one], z[two]), strict=True):
+            total += np.bincount(corner, g, len(total))
+        start = stop
+    yield from zip((xs, ys, zs), sums, strict=True)
+
+
+def triangles(edges: DataFrame) -> DataFrame:
+    """(id, t): the sum over a node's triangles of the product of their sides' ``w``, for edges (a, b, w) of whole ids.
+
+    Nodes are dealt into blocks by hash and stand in the order of (block, id); a triangle's sides lie in three blocks of
+    edges, which meet in one task. What is shuffled is each edge once for each block of nodes, never a pair of edges.
+    """
+    parts, count = 1, edges.count()
+    while parts * (parts + 1) // 2 * EDGES < count:
+        parts += 1
+    end = lambda c: F.struct(F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(parts)).alias("block"), F.col(c).cast("long").alias("id"))
+    e = edges.where("a <> b").select(F.least(end("a"), end("b")).alias("x"), F.greatest(end("a"), end("b")).alias("y"), "w").select(F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.col("x.id").alias("x"), F.col("y.id").alias("y"), "w")
+
+    def runs(batches, keys):
+        """The columns of each run of rows of the same keys, in the order that they come."""
+        now, held = None, []
+        for b in batches:
+            columns = [c.to_numpy() for c in b.columns]
+            changed = np.logical_or.reduce([np.diff(c) != 0 for c in columns[:keys]])
+            cut = [0, *(np.flatnonzero(changed) + 1).tolist(), b.num_rows]
+            for start, stop in zip(cut, cut[1:], strict=False):
+                if start == stop:
+                    continue
+                key = [int(c[start]) for c in columns[:keys]]
+                if held and key != now:
+                    yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+                    held = []
+                now = key
+                held.append([c[start:stop] for c in columns[keys:]])
+        if held:
+            yield now, [np.concatenate(c) for c in zip(*held, strict=True)]
+
+    def pack(batches):
+        for (i, j), columns in runs(batches, 2):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([j], pa.int64()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)], ["i", "j", "x", "y", "w"])
+
+    def unpacked(batches):
+        held = []
+        for b in batches:
+            for k in range(b.num_rows):  # three rows of a meeting follow each other
+                role = b.column(1)[k].as_py()
+                if held and held[0] != b.column(0)[k].as_py():
+                    held = []
+                held = held or [b.column(0)[k].as_py(), {}]
+                held[1][role] = [np.frombuffer(b.column(2 + c)[k].as_buffer(), t) for c, t in enumerate((np.int64, np.int64, np.float64))]
+                if len(held[1]) == 3:
+                    for ids, total in _block_triangles(*(held[1][r] for r in range(3))):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "t"])
+                    held = []
+
+    blocks = materialize(e.repartition(min(parts * (parts + 1) // 2, 1000), "i", "j").sortWithinPartitions("i", "j").mapInArrow(pack, "i long, j long, x binary, y binary, w binary"), "blocks")
+    upto = lambda a, b: F.explode(F.sequence(a, b))
+    last = F.lit(parts - 1).cast("long")
+    name = lambda i, j, k: ((i * parts + j) * parts + k).alias("meeting")
+    i, j, other, packed = F.col("i"), F.col("j"), F.col("other"), ("x", "y", "w")
+    roles = (
+        blocks.withColumn("other", upto(j, last)).select(name(i, j, other), F.lit(0).alias("role"), *packed),  # the sides x, y
+        blocks.withColumn("other", upto(F.lit(0).cast("long"), i)).select(name(other, i, j), F.lit(1).alias("role"), *packed),  # y, z
+        blocks.withColumn("other", upto(i, j)).select(name(i, other, j), F.lit(2).alias("role"), *packed),  # x, z
+    )
+    meetings = roles[0].unionByName(roles[1]).unionByName(roles[2])
+    meetings = meetings.repartition(max(1, min(parts * (parts + 1) * (parts + 2) // 6, 1000)), "meeting").sortWithinPartitions("meeting", "role")
+    return meetings.mapInArrow(unpacked, "id long, t double").groupBy("id").agg(F.sum("t").alias("t")).where("t > 0")
+
+
 def clustering(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Weighted clustering coefficient, triangles by the geometric mean of their weights over the largest weight."""
     top = edges.agg(F.max("weight").alias("top"))
-    e = edges.crossJoin(F.broadcast(top)).select("a", "b", (F.col("weight") / F.col("top")).alias("w"))
-    ab, bc, ac = e.alias("ab"), e.alias("bc"), e.alias("ac")
-    t = ab.join(bc, F.col("ab.b") == F.col("bc.a")).join(ac, (F.col("ac.a") == F.col("ab.a")) & (F.col("ac.b") == F.col("bc.b")))
-    t = t.select(F.explode(F.array("ab.a", "ab.b", "bc.b")).alias("id"), F.cbrt(F.col("ab.w") * F.col("bc.w") * F.col("ac.w")).alias("g")).groupBy("id").agg(F.sum("g").alias("t"))
+    t = triangles(edges.crossJoin(F.broadcast(top)).select("a", "b", F.cbrt(F.col("weight") / F.col("top")).alias("w")))
     d = degrees(edges).select("id", "degree")
     ratio = 2 * F.col("t") / (F.col("degree") * (F.col("degree") - 1))
     return nodes.select("id").join(d, "id", "left").join(t, "id", "left").select("id", F.coalesce(F.when(F.col("degree") > 1, ratio), F.lit(0.0)).alias("clustering"))

@@ -227,3 +227,20 @@ def test_eigenvector_as_by_numpy(spark, basis):
     assert np.allclose([x[i] for i in range(51)], want, atol=1e-8)
     assert sorted(G.eigenvector(*frame(spark, 4, [])).collect()) == [(i, 0.5) for i in range(4)]
     assert G.eigenvector(*frame(spark, 0, [])).collect() == []
+
+
+@pytest.mark.parametrize("block", [1 << 20, 40], ids=["one block", "blocks"])
+def test_triangles_where_blocks_of_edges_meet(spark, monkeypatch, block):
+    """As by three loops; no pair of edges is a row: the plan joins no edges with edges."""
+    monkeypatch.setattr(G, "EDGES", block)
+    edges = random_graph(50, 14, 6)
+    nodes, table = frame(spark, 52, edges)
+    near, top, want = neighbours(50, edges), max(w for _, _, w in edges), [0.0] * 52
+    for a in range(50):
+        for b in near[a]:
+            for c in near[a].keys() & near[b].keys():
+                want[a] += (near[a][b] * near[b][c] * near[a][c]) ** (1 / 3) / top / (len(near[a]) * (len(near[a]) - 1))
+    got = G.clustering(nodes, table)
+    assert [r.clustering for r in got.orderBy("id").collect()] == pytest.approx(want, abs=1e-9) and sum(want) > 0
+    assert G.triangles(table.withColumnRenamed("weight", "w"))._jdf.queryExecution().executedPlan().toString().count("Join") == 0
+    assert all(r.clustering == 0 for r in G.clustering(*frame(spark, 3, [])).collect()) and G.clustering(*frame(spark, 3, [])).count() == 3
