@@ -76,14 +76,15 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
         try:
             yield from fn(batches)
         finally:  # a worker lives on for other tasks, beside a JVM that needs the memory
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            _give_back()
+            give_back()
 
     return df.mapInArrow(run, schema)
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """What this process no longer uses goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # glibc has it
         ctypes.CDLL(None).malloc_trim(0)
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.common import arrow_map, chunks, fold_bucket
+from tessera.llm.common import arrow_map, chunks, fold_bucket, give_back
 from tessera.storage import broadcast_if_small
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 2000, 4000, 20_000
@@ -41,6 +41,8 @@ THRESHOLD = 0.7
 CACHE_WORDS = 60_000
 #: Symbols of a word whose subsequences are listed at once; longer words are taken in pieces of PIECE symbols.
 LONG, PIECE = 64, 1 << 16
+#: Rows of a matrix of training that are worked on at once, so that no whole copy of it is made.
+PART = 2048
 LOWEST = -3.0
 #: The text's name beside columns that are carried along.
 TEXT = "__tessera_text"
@@ -171,7 +173,8 @@ def _kernel(words: list[str], table: np.ndarray) -> np.ndarray:
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, decay: float, steps: int) -> np.ndarray:
     """Squared hinge with L2 decay by Nesterov's gradient descent; the last column of ``x`` is the bias."""
     scale = weight / weight.sum()
-    top = float(np.linalg.eigvalsh((x * scale[:, None]).T @ x)[-1]) * 2 + decay
+    square = sum((x[a : a + PART] * scale[a : a + PART, None]).T @ x[a : a + PART] for a in range(0, len(x), PART))
+    top = float(np.linalg.eigvalsh(square)[-1]) * 2 + decay
     w = v = np.zeros(x.shape[1])
     for t in range(steps):
         slack = np.maximum(0, 1 - y * (x @ v))
@@ -187,7 +190,9 @@ def fit(texts: list[tuple[str, int]], seed: int = 7) -> Model:
     texts = sorted(set(texts))
     if len({y for _, y in texts}) < 2:
         return Model(np.zeros(SYMBOLS**3, np.float32), LOWEST, (0.0, 0.0, -100.0))
-    bags = [([w for w in words_of(t) if len(w) <= LONG - 2], y) for t, y in texts]
+    one: dict[str, str] = {}  # texts share their words
+    bags = [([one.setdefault(w, w) for w in words_of(t) if len(w) <= LONG - 2], y) for t, y in texts]
+    del one, texts
     order = rng.permutation(len(bags))
     part = len(bags) * 3 // 4
     learn, check = [bags[i] for i in order[:part]], [bags[i] for i in order[part:]]
@@ -222,9 +227,13 @@ def fit(texts: list[tuple[str, int]], seed: int = 7) -> Model:
         y = np.array([1.0] * len(chosen) + [-1.0] * (len(words) - len(chosen)))
         weight = np.array([float(min(picked[w], 20)) for w in chosen] + [1.0] * (len(words) - len(chosen)))
         weight[y > 0] *= (y < 0).sum() / max(1.0, weight[y > 0].sum()) * 0.5
-        x = np.append(_kernel(words, folded) @ white, np.ones((len(words), 1)), axis=1)
+        x = np.ones((len(words), white.shape[1] + 1))
+        for a in range(0, len(words), PART):
+            x[a : a + PART, :-1] = _kernel(words[a : a + PART], folded) @ white
         w = _svm(x, y, weight, 1e-4, 400)
-        model = Model((folded @ (white @ w[:-1])).astype(np.float32), float(w[-1]), (1.0, 0.0, 0.0))
+        del x
+        each = white @ w[:-1]
+        model = Model(np.concatenate([folded[a : a + PART] @ each for a in range(0, len(folded), PART)]).astype(np.float32), float(w[-1]), (1.0, 0.0, 0.0))
         margin = model.margins(listed)
         if k < ROUNDS - 1:  # the hardest words of clean texts join the negatives; toxic texts choose anew
             among = np.array([at[w] for w in clean])
@@ -263,7 +272,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     picked = [known.where(f"_label = {y}").orderBy("_order", "_key").limit(n) for y, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
     picked = picked[0].unionByName(picked[1])
     rows = docs.join(broadcast_if_small(picked, TRAIN_TOXIC + TRAIN_CLEAN), docs[key] == F.col("_key")).where(F.length(text) <= TRAIN_CHARS)
-    return fit([(r[0], int(r[1])) for r in rows.select(text, "_label").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).collect()])
+    model = fit([(r[0], int(r[1])) for r in rows.select(text, "_label").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).collect()])
+    give_back()  # the driver lives on for other steps
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -316,6 +316,21 @@ def plain_subsequences(word):
     return out
 
 
+def test_toxicity_training_makes_no_whole_copies():
+    """The driver trains beside its JVM: the folded table is 38 MB, and a copy of it in doubles was 76 more."""
+    import tracemalloc
+
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    bad, good = [word(6) for _ in range(200)], [word(5) for _ in range(1500)]
+    texts = [(" ".join([*rng.sample(good, 8), *rng.sample(bad, 2 * (i % 2))]), i % 2) for i in range(300)]
+    tracemalloc.start()
+    toxicity.fit(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 90e6
+
+
 def test_string_kernel_by_definition():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcd-é1") for _ in range(rng.randint(2, 14))) for _ in range(30)]
