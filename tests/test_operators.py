@@ -173,6 +173,17 @@ def test_blocks_grow_and_meet_once(spark, monkeypatch, largest):
     assert len(met) == len(set(met)) == blocks**2 and (2 <= blocks <= 4 if largest == 20 else blocks > 30)
 
 
+def test_blocks_meet_without_a_shuffle(spark, monkeypatch):
+    """No block is shuffled to its meetings, and a block's k nearest are merged from meeting to meeting of a task."""
+    for name, value in (("BLOCK", 10), ("PART", 1 << 40)):
+        monkeypatch.setattr(V, name, value)
+    rng = np.random.default_rng(4)
+    d = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(100)], "id long, v array<double>")
+    met = V._near(d, "id", "v", 3, None, None, None)
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and met.count() == 100 * 3
+
+
 @pytest.mark.parametrize("block", [2000, 10])
 def test_what_is_taken_from_the_grid_without_writing_it(spark, monkeypatch, block):
     """Counts, totals and best partners from the meetings of blocks are those of the whole table of pairs."""
