@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import communities as C, graph as G, paths as P
+from tessera.operators import communities as C, graph as G, paths as P, vectors as V
 
 EDGES = "a long, b long, weight double, distance double"
 
@@ -244,3 +244,29 @@ def test_triangles_where_blocks_of_edges_meet(spark, monkeypatch, block):
     assert [r.clustering for r in got.orderBy("id").collect()] == pytest.approx(want, abs=1e-9) and sum(want) > 0
     assert G.triangles(table.withColumnRenamed("weight", "w"))._jdf.queryExecution().executedPlan().toString().count("Join") == 0
     assert all(r.clustering == 0 for r in G.clustering(*frame(spark, 3, [])).collect()) and G.clustering(*frame(spark, 3, [])).count() == 3
+
+
+@pytest.mark.parametrize("query", ["node_degree", "group_interactions", "modularity_by_label", "graph_gexf", "graph_export"])
+def test_edges_that_are_read_once_are_not_written(spark, sf, monkeypatch, query):
+    """No table of all edges lies on the disk, and none is shuffled to find its ends' labels."""
+    from tessera.plans import analytics
+
+    written, write = [], analytics.materialize
+    monkeypatch.setattr(analytics, "materialize", lambda df, label, **more: written.append(label) or write(df, label, **more))
+    assert getattr(analytics, query)(spark, sf).limit(1).count()
+    assert "edges" not in written
+
+
+def test_edges_bring_labels_along(spark, monkeypatch):
+    """As joined, with labels that are null, and modularity from the sums between labels is that of the edges."""
+    monkeypatch.setattr(V, "BLOCK", 20)
+    rng = np.random.default_rng(6)
+    d = spark.createDataFrame([(i, rng.integers(-2, 3, 6).astype(float).tolist(), None if i % 8 == 0 else i % 3 - 1) for i in range(70)], "id long, v array<double>, label int")
+    got = V.cosine_graph(d, "id", "v", 3, 0.6, "label").cache()
+    label = {r.id: r.label for r in d.collect()}
+    rows = got.collect()
+    assert len(rows) > 100 and {r.by_threshold for r in rows} == {True, False} and all((r.la, r.lb) == (label[r.a], label[r.b]) for r in rows)
+    plain = V.cosine_graph(d, "id", "v", 3, 0.6)
+    assert sorted(got.select(plain.columns).collect()) == sorted(plain.collect())
+    want = G.modularity(plain, d.selectExpr("id", "label as community")).first()[0]
+    assert abs(G.modularity_between(G.between_groups(got)).first()[0] - want) < 1e-12
