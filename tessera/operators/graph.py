@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.storage import contained, materialize
 
 
 #: Edges of a block on average, and pairs of edges that are held at once, where triangles are counted.
 EDGES, TOGETHER = 1 << 20, 1 << 21
+#: Where ranks go round: nodes whose values a task holds as one vector (16 MB), edges of a packed row, values of a slice.
+NODES, PACKED, SLICE = 1 << 21, 1 << 20, 1 << 16
+#: Stands for no id beside whole numbers.
+NONE = -(1 << 63)
 
 
 def edges_from_pairs(pairs: DataFrame, k: int = 5, least: float = 0.32) -> DataFrame:
@@ -35,9 +42,171 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 @contained
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 20, damping: float = 0.85, tolerance: float | None = None) -> DataFrame:
-    """Weighted; dangling mass goes to all nodes alike. Lineage is cut by written tables every round."""
+    """(id, rank), weighted; dangling mass goes to all nodes alike.
+
+    The edges are read once and packed where they are read, in one direction, as rows of up to PACKED edges between node
+    numbers; no edge is shuffled. A round scans these rows: a task adds up what its edges send to either end in one vector
+    of all nodes, and slices of the tasks' vectors are summed. Over NODES different nodes, or if their ids are no whole
+    numbers, a round joins tables instead.
+    """
     n = nodes.count()
-    total = degrees(edges).select("id", "weighted_degree")
+    if not n:
+        return nodes.select("id", F.lit(0.0).alias("rank"))
+    kind, size = nodes.schema["id"].dataType, nodes.select("id").where("id is not null").distinct().count() + 1
+    if size > NODES or not isinstance(kind, IntegralType):
+        return _pagerank_by_tables(nodes, edges, n, rounds, damping, tolerance)
+    known = materialize(_numbers(nodes), "nodes")
+    packed = materialize(_packed(edges, known), "edges", rows_a_file=8)
+    row = lambda what, v: pa.RecordBatch.from_arrays([pa.array([what]), pa.array([v.tobytes()], pa.binary())], ["what", "v"])
+
+    def start(batches):
+        held = _vectors(batches)
+        degree, count = held["got"], held["count"].astype(float)
+        scale = np.divide(count, degree, out=np.zeros(size), where=degree != 0)
+        rank = np.full(size, 1.0 / n)
+        yield from (row("scale", scale), row("rank", rank), row("y", rank * scale))
+
+    def update(batches):
+        held = _vectors(batches)
+        old, scale, count = held["rank"], held["scale"], held["count"]
+        loose = float((count * old)[scale == 0].sum())
+        rank = (1 - damping) / n + damping * (held["got"] + loose / n)
+        yield from (row("rank", rank), row("y", rank * scale), row("moved", np.array([float((count * np.abs(rank - old)).sum())])))
+
+    def after(step, held, *more):
+        tables = [_sent(packed, held.where("what = 'y'"), size), counts, *more]
+        return materialize(reduce(DataFrame.unionByName, tables).repartition(1).mapInArrow(step, "what string, v binary"), "pagerank")
+
+    counts = known.where("what = 'count'")
+    state = after(start, known)
+    scale = state.where("what = 'scale'")
+    for _ in range(rounds):
+        state = after(update, state, scale, state.where("what = 'rank'"))
+        if tolerance is not None and np.frombuffer(state.where("what = 'moved'").first()["v"])[0] < n * tolerance:
+            break
+
+    def rows(batches):
+        held = _vectors(batches)
+        ids = np.append(held["ids"], 0)
+        at = np.repeat(np.arange(size), held["count"])
+        for a in range(0, len(at), 10_000):
+            some = at[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some], mask=some == size - 1), pa.array(held["rank"][some])], ["id", "rank"])
+
+    return known.where("what in ('ids', 'count')").unionByName(state.where("what = 'rank'")).repartition(1).mapInArrow(rows, "id long, rank double").select(F.col("id").cast(kind).alias("id"), "rank")
+
+
+def _vectors(batches) -> dict[str, np.ndarray]:
+    """Rows (what, v) as vectors by name; the slices of ``got`` as one."""
+    held, slices = {}, {}
+    for batch in batches:
+        for what, v in zip(batch.column("what").to_pylist(), batch.column("v"), strict=True):
+            v = np.frombuffer(v.as_py(), np.int64 if what in ("ids", "count") else np.float64)
+            if what.isdigit():
+                slices[int(what)] = v
+            else:
+                held[what] = v
+    if "count" in held:
+        got = np.zeros(len(held["count"]))
+        for a, v in slices.items():
+            got[a : a + len(v)] = v
+        got[-1] = 0  # what stands for ends that are no nodes, and for nodes without an id
+        held["got"] = got
+    return held
+
+
+def _numbers(nodes: DataFrame) -> DataFrame:
+    """(what, v): the different ids in order, how often each stands (last: how often none), and ones. Of bounded size."""
+
+    def pack(batches):
+        ids, count, none = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for batch in batches:
+            there = batch.filter(batch.column(0).is_valid())
+            none += sum(batch.column(1).to_pylist()) - sum(there.column(1).to_pylist())
+            ids.append(there.column(0).to_numpy())
+            count.append(there.column(1).to_numpy())
+        ids, count = np.concatenate(ids), np.concatenate(count)
+        order = np.argsort(ids)
+        vectors = {"ids": ids[order], "count": np.append(count[order], none), "y": np.ones(len(ids) + 1)}
+        yield pa.RecordBatch.from_arrays([pa.array(list(vectors)), pa.array([v.tobytes() for v in vectors.values()], pa.binary())], ["what", "v"])
+
+    return nodes.groupBy(F.col("id").cast("long").alias("id")).count().repartition(1).mapInArrow(pack, "what string, v binary")
+
+
+def _packed(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, w): edges between numbers of nodes, up to PACKED in a row; weights of six places as whole millionths."""
+
+    def row(*columns):
+        return pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], ["a", "b", "w"])
+
+    def pack(batches):
+        held, count = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            count += batch.num_rows
+            if count >= PACKED:
+                yield row(*map(np.concatenate, zip(*held, strict=True)))
+                held, count = [], 0
+        if count:
+            yield row(*map(np.concatenate, zip(*held, strict=True)))
+
+    def number(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("ids", "a", "b"))
+                w, ends = np.frombuffer(batch.column("w")[k].as_buffer()), []
+                for end in (a, b):
+                    at = np.searchsorted(ids, end)
+                    there = (at < len(ids)) & (end != NONE)
+                    there[there] = ids[at[there]] == end[there]
+                    ends.append(np.where(there, at, len(ids)))
+                order = np.lexsort(ends[::-1])
+                whole = np.clip(np.rint(w * 1e6), -(1 << 31) + 1, (1 << 31) - 1)
+                w = whole.astype(np.int32) if np.array_equal(whole / 1e6, w) else w
+                yield row(*(end[order].astype(np.int32) for end in ends), w[order])
+
+    ends = [F.coalesce(F.col(c).cast("long"), F.lit(NONE)).alias(c) for c in "ab"]
+    rows = edges.select(*ends, F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("w")).mapInArrow(pack, "a binary, b binary, w binary")
+    ids = known.where("what = 'ids'").select(F.col("v").alias("ids")).coalesce(1).hint("shuffle_replicate_nl")
+    return rows.crossJoin(ids).mapInArrow(number, "a binary, b binary, w binary")
+
+
+def _sent(packed: DataFrame, y: DataFrame, size: int) -> DataFrame:
+    """(what, v): slices, by where they begin, of the adjacency times ``y`` (one row). A task holds two vectors of all nodes."""
+
+    def send(batches):
+        got, some = np.zeros(size), False
+        for batch in batches:
+            for k in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in "ab")
+                w, v = batch.column("w")[k].as_buffer(), np.frombuffer(batch.column("v")[k].as_buffer())
+                w = np.frombuffer(w, np.int32) / 1e6 if len(w) == 4 * len(a) else np.frombuffer(w)
+                got += np.bincount(a, w * v[b], size)
+                got += np.bincount(b, w * v[a], size)
+                some = True
+        if some:
+            yield from sliced({a: got[a : a + SLICE] for a in range(0, size, SLICE)})
+
+    def sliced(parts):
+        for k, v in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([str(k)]), pa.array([v.tobytes()], pa.binary())], ["what", "v"])
+
+    def add(batches):
+        held = {}
+        for batch in batches:
+            for k, v in zip(batch.column("what").to_pylist(), batch.column("v"), strict=True):
+                v = np.frombuffer(v.as_buffer())
+                held[k] = held[k] + v if k in held else v.copy()
+        yield from sliced(held)
+
+    met = packed.crossJoin(y.select("v").coalesce(1).hint("shuffle_replicate_nl"))
+    return met.mapInArrow(send, "what string, v binary").repartition("what").mapInArrow(add, "what string, v binary")
+
+
+def _pagerank_by_tables(nodes: DataFrame, edges: DataFrame, n: int, rounds: int, damping: float, tolerance: float | None) -> DataFrame:
+    """Lineage is cut by written tables every round."""
+    edges = materialize(edges.select("a", "b", "weight"), "edges")
+    total = materialize(degrees(edges).select("id", "weighted_degree"), "degrees")
     out = materialize(both_ways(edges, "weight").join(total.withColumnRenamed("id", "a"), "a").select("a", "b", (F.col("weight") / F.col("weighted_degree")).alias("share")), "pagerank")
     rank = nodes.select("id", F.lit(1.0 / n).alias("rank"))
     for _ in range(rounds):
