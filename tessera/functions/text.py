@@ -132,12 +132,17 @@ def lexical(words: Column | str) -> dict[str, Column]:
     mean = ratio(F.aggregate(size, F.lit(0).cast("long"), lambda a, x: a + x), n)
     square = ratio(F.aggregate(size, F.lit(0).cast("long"), lambda a, x: a + x * x), n)  # no lambda may hold the mean: it would be computed for each word
     long = lambda k: F.size(F.filter(w, lambda x: F.length(x) >= k))
+    return lexical_of(n, v, mean, square, long(4), long(7), long(10))
+
+
+def lexical_of(n: Column, v: Column, mean: Column, square: Column, over_3: Column, over_6: Column, over_9: Column) -> dict[str, Column]:
+    """N7 from the counts alone."""
     return {
         "word_count": n, "unique_word_count": v, "type_token_ratio": ratio(v, n),
         "root_type_token_ratio": ratio(v, F.sqrt(n.cast("double"))), "corrected_type_token_ratio": ratio(v, F.sqrt(2.0 * n)),
         "repeated_word_occurrences": n - v, "token_repetition_ratio": ratio(n - v, n), "mean_word_length": mean, "std_word_length": F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)),
-        "long_word_count": long(7), "long_word_ratio": ratio(long(7), n), "very_long_word_count": long(10), "very_long_word_ratio": ratio(long(10), n),
-        "lexical_density_proxy": ratio(long(4), n),
+        "long_word_count": over_6, "long_word_ratio": ratio(over_6, n), "very_long_word_count": over_9, "very_long_word_ratio": ratio(over_9, n),
+        "lexical_density_proxy": ratio(over_3, n),
     }
 
 
@@ -164,14 +169,17 @@ def syllables(word: Column) -> Column:
 
 
 def readability(words: Column | str, n_sentences: Column) -> dict[str, Column]:
-    """N13 from the counts alone, rounded to 4 places."""
+    """N13 over a token array."""
     s = F.transform(col(words), syllables)
-    n = F.size(col(words))
+    letters = F.aggregate(col(words), F.lit(0).cast("long"), lambda a, x: a + F.length(F.replace(x, F.lit("'"), F.lit(""))))
+    return readability_of(F.size(col(words)), F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x), F.size(F.filter(s, lambda x: x >= 3)), letters, n_sentences)
+
+
+def readability_of(n: Column, syllables: Column, many: Column, letters: Column, n_sentences: Column) -> dict[str, Column]:
+    """N13 from the counts alone, rounded to 4 places."""
     per_sentence = ratio(n, F.greatest(F.lit(1), n_sentences))
-    per_word = ratio(F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x), n)
-    many = F.size(F.filter(s, lambda x: x >= 3))
+    per_word = ratio(syllables, n)
     hard = ratio(many, n)
-    letters = F.aggregate(col(words), F.lit(0).cast("long"), lambda a, x: a + F.length(F.replace(x, F.lit("'"), F.lit(""))))
     per_letter, full = ratio(letters, n), F.greatest(F.lit(1), n_sentences)
     return {
         "flesch_reading_ease": F.round(206.835 - 1.015 * per_sentence - 84.6 * per_word, 4),

@@ -51,7 +51,7 @@ def words(text: Column) -> Column:
 
 
 def _rows(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, marks, mixed, but, i, w, p1, p2, p3, after): a row a word, or one of nulls for a text without words."""
+    """(id, marks, mixed, but, n, i, w, p1, p2, p3, after): a row a word, or one of nulls for a text without words."""
     t = df.select(F.col(id_).alias("id"), F.col(text).alias("t"), words(F.col(text)).alias("w"))
     shouts, asks = (F.length("t") - F.length(F.replace("t", F.lit(c), F.lit(""))) for c in "!?")
     marks = F.least(shouts, F.lit(4)) * EXCLAMATION + F.when(asks < 2, 0.0).when(asks <= 3, asks * QUESTION).otherwise(QUESTIONS)
@@ -60,14 +60,15 @@ def _rows(df: DataFrame, id_: str, text: str) -> DataFrame:
     none = F.lit(None).cast("string")
     shifted = [F.concat(F.array(*[none] * k), F.col("w")).alias(f"p{k}") for k in (1, 2, 3)]
     t = t.select("id", "marks", "mixed", "but", F.arrays_zip("w", *shifted, F.slice("w", F.lit(2), F.greatest(F.size("w"), F.lit(1))).alias("after")).alias("z"), F.size("w").alias("n"))
-    return t.select("id", "marks", "mixed", "but", F.posexplode_outer(F.slice("z", F.lit(1), F.col("n"))).alias("i", "e")).select("id", "marks", "mixed", "but", "i", "e.*")
+    return t.select("id", "marks", "mixed", "but", "n", F.posexplode_outer(F.slice("z", F.lit(1), F.col("n"))).alias("i", "e")).select("id", "marks", "mixed", "but", "n", "i", "e.*")
 
 
 def _ruled(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """rows with ``v``, the valence of each word after all rules; only words that the table holds are looked at further."""
+    """rows with ``v``, the valence of each word after all rules: only words that the table holds, and a text's first row."""
     own = F.lower("w")
     rows = rows.join(table.select(F.col("token").alias("_t"), F.col("valence").alias("_v")), own == F.col("_t"), "left").drop("_t")
     hit = F.col("_v").isNotNull()
+    rows = rows.where(hit | (F.coalesce("i", F.lit(0)) == 0))
     for k in (1, 2, 3):
         known = table.select(F.col("token").alias("_t"))
         # Other words look up themselves: no rule reads what they find, and no null gathers them in one task.
@@ -102,9 +103,10 @@ def valence(df: DataFrame, id_: str, text: str, table: DataFrame) -> DataFrame:
     w = _ruled(_rows(df, id_, text), table)
     v = F.col("v")
     sums = w.groupBy("id").agg(
-        F.count("w").alias("n"), F.max("marks").alias("m"), F.sum(v).alias("s"), F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("p"),
-        F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("q"), F.count(F.when(v == 0, 1)).alias("z"),
+        F.sum(F.when(F.coalesce("i", F.lit(0)) == 0, F.col("n"))).alias("n"), F.max("marks").alias("m"), F.sum(v).alias("s"), F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("p"),
+        F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("q"), F.count(F.when(v != 0, 1)).alias("z"),
     )
+    sums = sums.withColumn("z", F.col("n") - F.col("z"))
     some = F.col("n") > 0
     total = F.col("s") + F.signum("s") * F.col("m")
     ahead = lambda a, b: (F.col(a) + F.when(F.col(a) > F.col(b), F.col("m")).otherwise(0.0)).alias(a)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions import lexicon, text as T
+from tessera.functions import counts, lexicon, text as T
 from tessera.operators import valence
 from tessera.storage import table
 
@@ -17,9 +17,13 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def _lexical(columns: dict) -> list:
+    return [R6(c).alias(n) if "ratio" in n or "mean" in n or "std" in n or "proxy" in n else c.cast("long").alias(n) for n, c in columns.items()]
+
+
 def doc_token_stats(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", T.tokens("text").alias("w"))
-    return d.select("doc_id", *(R6(c).alias(n) if "ratio" in n or "mean" in n or "std" in n or "proxy" in n else c.cast("long").alias(n) for n, c in T.lexical("w").items()))
+    return d.select("doc_id", *_lexical(T.lexical("w")))
 
 
 def doc_hapax(spark, sf_dir):
@@ -39,7 +43,11 @@ def doc_hapax(spark, sf_dir):
 def doc_structure_stats(spark, sf_dir):
     d = _docs(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("s", T.sentences("t"))
     words = lambda c: F.transform(c, lambda x: F.size(T.tokens(x)))
-    d = d.withColumn("sw", words(F.col("s"))).withColumn("lw", words(T.lines("t")))
+    return d.withColumn("sw", words(F.col("s"))).withColumn("lw", words(T.lines("t"))).select("doc_id", *_structure())
+
+
+def _structure() -> list:
+    """Columns over a text t, its sentences s, and the words of each of its sentences (sw) and lines (lw)."""
     (line_mean, line_std), (sentence_mean, sentence_std) = T.spread("lw"), T.spread("sw")
     n = F.length("t")
     upper, letters = F.regexp_count("t", F.lit(r"\p{Lu}")), F.regexp_count("t", F.lit(r"\p{L}"))
@@ -49,13 +57,16 @@ def doc_structure_stats(spark, sf_dir):
         "comma_count": T.count_of("t", ","), "semicolon_count": T.count_of("t", ";"), "colon_count": T.count_of("t", ":"), "apostrophe_count": T.count_of("t", "'"),
         "digit_count": F.regexp_count("t", F.lit("[0-9]")), "ellipsis_count": F.regexp_count("t", F.lit(r"\.\.\.|…")), "blank_line_runs": F.regexp_count("t", F.lit(r"\n[ \t]*\n")),
     }
-    return d.select("doc_id", *(c.cast("long").alias(k) for k, c in out.items()), R6(T.ratio(marks, n)).alias("punctuation_density"), R6(T.ratio(upper, letters)).alias("uppercase_ratio"),
-        R6(line_mean).alias("avg_words_per_line"), R6(line_std).alias("line_word_count_std"), R6(sentence_mean).alias("avg_words_per_sentence"), R6(sentence_std).alias("sentence_word_count_std"))
+    return [*(c.cast("long").alias(k) for k, c in out.items()), R6(T.ratio(marks, n)).alias("punctuation_density"), R6(T.ratio(upper, letters)).alias("uppercase_ratio"),
+        R6(line_mean).alias("avg_words_per_line"), R6(line_std).alias("line_word_count_std"), R6(sentence_mean).alias("avg_words_per_sentence"), R6(sentence_std).alias("sentence_word_count_std")]
+
+
+def _plain_line(line):
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}_\s']", ""), r"\s+", " "))
 
 
 def doc_line_repetition(spark, sf_dir):
-    line = F.trim(F.regexp_replace(F.regexp_replace(F.lower("line"), r"[^\p{L}\p{N}_\s']", ""), r"\s+", " "))
-    d = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", line.alias("line")).where("line <> ''")
+    d = _docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", _plain_line("line").alias("line")).where("line <> ''")
     c = d.groupBy("doc_id", "line").agg(F.count("*").alias("c")).groupBy("doc_id").agg(
         F.count("*").alias("unique_line_count"), F.sum(F.col("c") - 1).alias("duplicate_line_occurrences"), F.count_if(F.col("c") > 1).alias("duplicate_line_types"),
         F.sum("c").alias("n"), F.max("c").alias("most_repeated_line_count"),
@@ -98,9 +109,34 @@ FEATURE_TABLES = ("doc_token_stats", "doc_structure_stats", "doc_readability", "
 
 
 def doc_feature_row(spark, sf_dir):
-    """All features of a document as one wide row; what a document without words or lines lacks is null."""
-    parts = [globals()[name](spark, sf_dir) for name in FEATURE_TABLES]
-    return reduce(lambda a, b: a.join(b, "doc_id", "left"), parts)
+    """All features of a document as one wide row; what a document without words or lines lacks is null.
+
+    The words are cut once, by sentence, and all that is counted of words and lines comes from one pass over these arrays;
+    only the valences are joined. Documents without an id or of repeated ids need the tables joined, as their twin does."""
+    d = _docs(spark, sf_dir)
+    if d.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1).count():
+        return reduce(lambda a, b: a.join(b, "doc_id", "left"), [globals()[name](spark, sf_dir) for name in FEATURE_TABLES])
+    # No word crosses the end of a sentence or line, so the words of a text are those of its sentences.
+    d = d.select("doc_id", F.coalesce("text", F.lit("")).alias("t")).withColumn("s", T.sentences("t")).withColumn("sentence_words", F.transform("s", T.tokens))
+    d = d.withColumn("sw", F.transform("sentence_words", F.size)).withColumn("lw", F.transform(T.lines("t"), lambda x: F.regexp_count(F.lower(x), F.lit(T.WORD))))
+    plain = F.filter(F.transform(F.split("t", "\n"), _plain_line), lambda x: x != "")
+    d = d.select("doc_id", *_structure(), F.flatten("sentence_words").alias("words"), plain.alias("lines"))
+    structure = d.columns[1:-2]
+    lists = {name: lexicon.words(name) for name in lexicon.CATEGORIES} | {f"emotion_{name}": lexicon.EMOTION_WORDS[name].split() for name in lexicon.EMOTIONS}
+    d = counts.counted(d, "words", "lines", {f"in_{k}": v for k, v in lists.items()})
+    n, lines, c = F.col("w_n"), F.col("l_n"), F.col
+    some = lambda x: F.when(n > 0, x)
+    filled = lambda x: F.when(lines > 0, x)
+    listed = lambda names, before: [x for k in names for x in (c(f"in_{before}{k}").alias(f"{k}_count"), R6(T.ratio(c(f"in_{before}{k}"), n)).alias(f"{k}_ratio"))]
+    d = d.select(
+        "doc_id", *_lexical(T.lexical_of(n, c("w_unique"), T.ratio(c("letters_sum"), n), T.ratio(c("square_sum"), n), c("over_3"), c("over_6"), c("over_9"))), *structure,
+        *(x.alias(k) for k, x in T.readability_of(n, c("syllables_sum"), c("hard"), c("plain_letters"), c("sentence_count")).items()), *listed(lexicon.CATEGORIES, ""),
+        some(c("w_once")).alias("hapax_count"), some(R6(T.ratio(c("w_once"), n))).alias("hapax_ratio"), some(c("w_twice")).alias("dis_legomena_count"), some(R6(T.ratio(c("w_twice"), n))).alias("dis_legomena_ratio"),
+        "top_token", some(c("w_top")).alias("top_token_count"), some(R6(T.ratio(c("w_five"), n))).alias("top_5_word_share"),
+        filled(c("l_unique")).alias("unique_line_count"), filled(lines - c("l_unique")).alias("duplicate_line_occurrences"), filled(c("l_again")).alias("duplicate_line_types"), filled(c("l_top")).alias("most_repeated_line_count"),
+        filled(R6(T.ratio(lines - c("l_unique"), lines))).alias("line_repetition_ratio"), *listed(lexicon.EMOTIONS, "emotion_"),
+    )
+    return d.join(doc_sentiment(spark, sf_dir), "doc_id", "left")
 
 
 def doc_feature_coverage(spark, sf_dir):
