@@ -265,23 +265,46 @@ def _near(df: DataFrame, id_: str, vector: str, k: int | None, least: float | No
     rows = rows.where(F.col("v").isNotNull() & (F.lit(True) if apart is None else df[apart].isNotNull()))
     low = -1 if least is None else least
 
-    def each(row, m, n):
+    def each(row, m, n, held=None):
         own, other, g, h = (np.frombuffer(row[x], np.int64) for x in ("ids_a", "ids_b", "apart_a", "apart_b"))
+        x, y = m[0], n[0]
+        if apart is not None:  # rows of one value stand together, so what does not count is a run of columns
+            p, q = np.argsort(g, kind="stable"), np.argsort(h, kind="stable")
+            own, other, g, h, x, y = own[p], other[q], g[p], h[q], x[p], y[q]
         meets_itself, step = bool(len(np.intersect1d(own, other))), together(len(other))
-        no_own, no_other = np.isnan(m[0]).any(axis=1), np.isnan(n[0]).any(axis=1)
+        no_own, no_other = np.isnan(x).any(axis=1), np.flatnonzero(np.isnan(y).any(axis=1))
+        # The nearest are looked for in single precision, and found in double.
+        single = above is None
+        margin = 2e-6 + (4e-7 * x.shape[1] if single else 0)
+        left, right = (x.astype(np.float32), np.ascontiguousarray(y.T, np.float32)) if single else (x, y.T)
+        space = np.empty((min(step, len(own)), len(other)), left.dtype)
+        best = _kth_held(held, own, k) if held is not None else np.full(len(own), -np.inf)
         for a in range(0, len(own), step):
-            s = m[0][a : a + step] @ n[0].T
+            s = np.matmul(left[a : a + step], right, out=space[: min(step, len(own) - a)])
             s[no_own[a : a + step]], s[:, no_other] = -2, -2
             if meets_itself:
                 s[own[a : a + step, None] == other[None, :]] = -2
             if apart is not None:
-                s[g[a : a + step, None] == h[None, :]] = -2
+                some = g[a : a + step]
+                begin = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
+                ends = zip(begin, np.r_[begin[1:], len(some)], np.searchsorted(h, some[begin], "left"), np.searchsorted(h, some[begin], "right"), strict=True)
+                for top, bottom, first, last in ends:
+                    s[top:bottom, first:last] = -2
             # Rounding moves a value by at most half of 1e-6, so none that counts is below these; only they are rounded.
             bar = np.full(len(s), np.inf if above is None else above)
             if k is not None:
-                bar = np.minimum(bar, np.maximum(_least_of_best(s, k), low))
-            i, j = np.nonzero(s >= np.maximum(bar - 2e-6, -1.5)[:, None])
-            v = _rounded(s[i, j])
+                kth = best[a : a + step].copy()
+                if len(unknown := np.flatnonzero(np.isinf(kth))):
+                    kth[unknown] = _least_of_best(s if len(unknown) == len(s) else s[unknown], k)
+                bar = np.minimum(bar, np.maximum(kth, low))
+            bar = np.maximum(bar - margin, -1.5).astype(s.dtype)
+            able_rows = np.flatnonzero(s.max(axis=1, initial=-2) >= bar)
+            if len(able_rows) == len(s):
+                i, j = np.nonzero(s >= bar[:, None])
+            else:
+                i, j = np.nonzero(s[able_rows] >= bar[able_rows, None])
+                i = able_rows[i]
+            v = _rounded(np.einsum("ij,ij->i", x[a + i], y[j]) if single else s[i, j])
             keep = v >= (2 if above is None else above)
             if k is not None:
                 able = np.flatnonzero(v >= low)
@@ -291,7 +314,16 @@ def _near(df: DataFrame, id_: str, vector: str, k: int | None, least: float | No
             i, j = i[keep], j[keep]
             yield [own[a + i], other[j], v[keep]]
 
-    return _meet(rows, ["v"], each, [("similarity", pa.float64())], merge=first_of(k, -1) if above is None else None)
+    return _meet(rows, ["v"], each, [("similarity", pa.float64())], merge=first_of(k, -1) if above is None else None, bars=above is None)
+
+
+def _kth_held(held: list[np.ndarray], own: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best value that earlier meetings of a block found for each of its rows; -inf where they found fewer."""
+    if not len(held[0]):
+        return np.full(len(own), -np.inf)
+    last = np.searchsorted(held[0], own, side="right")
+    full = last - np.searchsorted(held[0], own, side="left") >= k
+    return np.where(full, held[2][np.maximum(last - 1, 0)], -np.inf)
 
 
 def first_of(k: int, sign: int):
@@ -313,12 +345,12 @@ def sums_of(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [ids, np.zeros(len(ids), np.int64), *(np.bincount(at, c, len(ids)) for c in columns[2:])]
 
 
-def _meet(rows: DataFrame, views: list[str], each, fields: list[tuple[str, pa.DataType]], unit_rows: bool = True, both: bool = True, merge=None) -> DataFrame:
+def _meet(rows: DataFrame, views: list[str], each, fields: list[tuple[str, pa.DataType]], unit_rows: bool = True, both: bool = True, merge=None, bars: bool = False) -> DataFrame:
     """``each`` of two packed blocks (of vectors over their norms, if ``unit_rows``), for all ordered pairs of blocks. Rows
     (id, apart, a vector a view) are dealt into blocks by hash, a block packed into one row of arrays (of floats, where
     they hold the values) in a file of its own, and this table is joined with itself without a shuffle: a task reads some
     blocks, and holds a part of all of about PART bytes that each of them meets in turn. ``merge``: the rows of a block
-    are merged from meeting to meeting, and leave the task once. Without ``both``, ``each`` gets two blocks in one order
+    are merged from meeting to meeting, and leave the task once; with ``bars``, ``each`` gets what is held. Without ``both``, ``each`` gets two blocks in one order
     only and answers for both."""
     with scratch(rows.sparkSession):
         blobs, blocks, width, size = _packed(rows.where("id is not null"), views)
@@ -356,7 +388,10 @@ def _meet(rows: DataFrame, views: list[str], each, fields: list[tuple[str, pa.Da
                     yield from sent(held)
                     held = None
                 now = column["block"][k].as_py()
-                found = [*([held] if held is not None else []), *each(row, *sides)]
+                if bars:
+                    found = [*([held] if held is not None else []), *each(row, *sides, held)]
+                else:
+                    found = [*([held] if held is not None else []), *each(row, *sides)]
                 held = merge([np.concatenate(c) for c in zip(*found, strict=True)]) if found else None
         if held is not None:
             yield from sent(held)
