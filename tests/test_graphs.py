@@ -270,3 +270,20 @@ def test_edges_bring_labels_along(spark, monkeypatch):
     assert sorted(got.select(plain.columns).collect()) == sorted(plain.collect())
     want = G.modularity(plain, d.selectExpr("id", "label as community")).first()[0]
     assert abs(G.modularity_between(G.between_groups(got)).first()[0] - want) < 1e-12
+
+
+def test_edges_are_thinned_out_where_they_are_read(spark, monkeypatch):
+    """The forest and the components are those of all edges, but a task sends fewer edges than there are nodes."""
+    monkeypatch.setattr(G, "HELD", 30)
+    edges = random_graph(60, 12, 8) + [(70 + i, 71 + i, 0.5) for i in range(3)]
+    nodes, table = frame(spark, 75, edges)
+    kept = sorted((1 - w, a, b) for a, b, w in edges)
+    group, want = list(range(75)), []
+    for d, a, b in kept:
+        if group[a] != group[b]:
+            want.append((d, a, b))
+            group = [group[a] if g == group[b] else g for g in group]
+    assert G.thinned(table.coalesce(1)).count() == len(want) and G.thinned(table.limit(0)).count() == 0
+    assert sorted(map(tuple, G.spanning_forest(nodes, table.repartition(3), whole=True).collect())) == want
+    least = {g: min(i for i in range(75) if group[i] == g) for g in group}
+    assert dict(map(tuple, G.components(nodes, table.repartition(3)).collect())) == {i: least[g] for i, g in enumerate(group)}
